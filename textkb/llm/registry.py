@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard
+from . import mixing, ngram_jaccard, secrets, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+    "op8_mixing": mixing.op8_mixing,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op8_mixing": mixing.OP8_SQL}
