@@ -170,3 +170,78 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Tr
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[_ASCII_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
         return mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+
+
+# --- characters ----------------------------------------------------------------------------------
+
+SPACE = 32
+_LOWER = np.arange(0x10000, dtype=np.uint32)
+_LETTER = np.zeros(0x10000, bool)
+for _c in range(0x10000):
+    _s = chr(_c)
+    if _s.isalpha():
+        _LETTER[_c] = True
+        _low = _s.lower()
+        if len(_low) == 1 and ord(_low) < 0x10000:
+            _LOWER[_c] = ord(_low)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the rows, and their offsets; broken UTF-8 is replaced."""
+    try:
+        text = data.tobytes().decode("utf-8")
+        begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        at = begins[offsets]
+    except UnicodeDecodeError:
+        rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        text, at = "".join(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), at.astype(np.int64)
+
+
+def letters_only(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters with a space for every other character, and where letters stand."""
+    low = np.minimum(cp, 0xFFFF).astype(np.int64)
+    letter = _LETTER[low]
+    out = np.where(letter, _LOWER[low], np.uint32(SPACE))
+    beyond = np.flatnonzero(cp > 0xFFFF)
+    if len(beyond):
+        for i in beyond:
+            c = chr(cp[i])
+            letter[i] = c.isalpha()
+            out[i] = cp[i] if letter[i] else SPACE
+    return out, letter
+
+
+def char_ngrams(cp: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], inner: np.ndarray | None = None):
+    """For each order the hashes (64 bits) and the rows of all character n-grams of the rows.
+
+    Each row is padded with a space on both sides, and no n-gram crosses a row. With ``inner`` (True
+    where a character may stand inside an n-gram) others may only be its first or last character.
+    """
+    rows = len(offsets) - 1
+    lengths = np.diff(offsets)
+    padded = np.full(len(cp) + 2 * rows, SPACE, np.uint32)
+    owner = np.repeat(np.arange(rows), lengths + 2)
+    place = np.arange(len(cp)) + 1 + 2 * np.repeat(np.arange(rows), lengths)
+    padded[place] = cp
+    ok = np.zeros(len(padded), bool)
+    ok[place] = True if inner is None else inner
+    value = mix64(padded.astype(np.uint64) + U64(0xA0761D6478BD642F))
+    n, total, out, inside = len(padded), None, {}, None
+    with np.errstate(over="ignore"):
+        for j in range(max(orders)):
+            factor = U64(pow(0xE7037ED1A0B428DB, j + 1, 1 << 64))
+            m = max(n - j, 0)
+            total = value[:m] * factor if total is None else total[:m] + value[j:] * factor
+            if j >= 2:  # characters 1 .. j-1 lie inside
+                step = ok[j - 1 : j - 1 + m]
+                inside = step if inside is None else inside[:m] & step
+            if j + 1 in orders and m:
+                keep = owner[:m] == owner[j:]
+                if inside is not None:
+                    keep = keep & inside[:m]
+                at = np.flatnonzero(keep)
+                out[j + 1] = (total[at] + U64(j), owner[at])
+            elif j + 1 in orders:
+                out[j + 1] = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_jaccard, secrets, warc
+from . import language_id, mixing, ngram_jaccard, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op9_quality": quality.op9_quality,
     "op3_warc": warc.op3_warc,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op8_mixing": mixing.op8_mixing,
