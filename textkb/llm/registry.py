@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ngram_jaccard, packing, quality, secrets, toxicity, warc
+from . import decontamination, language_id, mixing, ngram_jaccard, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op6_decontamination": decontamination.op6_decontamination,
     "op2_packing": packing.op2_packing,
     "op1_language_id": language_id.op1_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
