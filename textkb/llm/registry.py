@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, ngram_jaccard, packing, quality, secrets, toxicity, warc
+from . import decontamination, language_id, mixing, nearest, ngram_jaccard, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op7_nearest": nearest.op7_nearest,
     "op6_decontamination": decontamination.op6_decontamination,
     "op2_packing": packing.op2_packing,
     "op1_language_id": language_id.op1_language_id,
