@@ -155,10 +155,10 @@ def key_04(spark, sf_dir):
     return U.vector_upserted(_rows(spark, sf_dir), "id", "batch", "seq")
 
 
-@query("key_05_new_only", f"WITH r AS ({_ROWS}) SELECT * FROM r WHERE batch > 4 AND id NOT IN (SELECT id FROM r WHERE batch <= 4)")
+@query("key_05_new_only", f"WITH r AS ({_ROWS}) SELECT * FROM r WHERE batch >= 1 AND id NOT IN (SELECT id FROM r WHERE batch < 1)")
 def key_05(spark, sf_dir):
     r = _rows(spark, sf_dir)
-    return U.new_only(r.where("batch > 4"), r.where("batch <= 4"))
+    return U.new_only(r.where("batch >= 1"), r.where("batch < 1"))
 
 
 @query("key_06_counts", """
