@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textkb.llm import ngram_jaccard
+from textkb.llm import decontamination, mixing, ngram_jaccard, packing, quality
 from textkb.llm.common import materialize, table
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It learns from the given documents."""
+    model = quality.trained_on(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id."""
-    found = ngram_jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of linked documents: the one with the smallest id."""
+    return ngram_jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks: repeated rows are the result."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token-id sequences of the mixed documents."""
+    return packing.pack(docs)
 
 
-STAGES = [("ngram_jaccard_join", deduplicate)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", deduplicate),
+    ("benchmark_decontamination", decontaminate),
+    ("mixing_to_target_weights", mix),
+    ("token_id_output", pack),
+]
 
 #: Learned and hashed decisions cannot be stated in SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None

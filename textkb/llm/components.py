@@ -25,7 +25,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))
         )
-    return out.where(F.col("u") != F.col("v")).distinct()
+    out = out.where(F.col("u") != F.col("v"))
+    return out if large else out.distinct()
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a vertex has two smaller neighbours, or is one and has one: else all links are stars."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("low")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("low"))
+    )
+    return bool(ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 or (n > 0 and low > 0)").take(1))
 
 
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -39,15 +48,10 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         .distinct()
     )
     edges = materialize(edges)
-    before = None
     for _ in range(max_rounds):
-        edges = materialize(_star(_star(edges, large=True), large=False))
-        now = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if now == before:
+        if not _unsettled(edges):
             break
-        before = now
+        edges = materialize(_star(_star(edges, large=True), large=False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, bounded_batches, code_points, mix64, slices, table, utf8
+from .common import _LOWER, U64, bounded_batches, code_points, materialize, mix64, slices, table, utf8
 
 WIDTHS = (12, 24, 40, 80, 160, 320, 640)
 WALKS, TABLES, SAMPLED = 2, 32, 8
@@ -272,5 +272,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], SCHEMA)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
+    found = materialize(contamination(docs, benchmark, **options).select("doc_id")).distinct()
+    return docs.join(materialize(found), "doc_id", "left_anti").select(docs.columns)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

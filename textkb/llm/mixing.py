@@ -60,36 +60,43 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceil
     return ranked.withColumn("target", F.least(level, cap.cast("double")))
 
 
+def _word_count() -> F.Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
+
+
+def _copies(rate: F.Column, seed: str) -> F.Column:
+    whole = F.floor(rate).cast("long")
+    return whole + (hash_unit("doc_id", seed=seed) < rate - whole).cast("long")
+
+
+def _rate(target: str, size: str) -> F.Column:
+    return F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
+
+
 def mixed_counts(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, rate, copies, taken.
 
     A null text has size 0; null sources are one source; a source without words has target 0 and
     rate 0; repeated rows draw alike, as the draw depends on doc_id only; an empty table gives none.
     """
-    sizes = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long")).alias("size"),
-    )
-    sizes = materialize(sizes)
+    sizes = materialize(docs.select("doc_id", "source", _word_count().alias("size")))
     targets = source_targets(sizes, **shares).select(F.col("source").alias("of"), "source_size", "target")
     joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate").cast("long")
-    extra = (hash_unit("doc_id", seed=seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra).withColumn("taken", F.col("size") * F.col("copies"))
+    joined = joined.withColumn("rate", _rate("target", "source_size"))
+    return joined.withColumn("copies", _copies(F.col("rate"), seed)).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its count says, with all its columns.
+def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as ``mixed_counts`` says, with all its columns.
 
-    Counts are joined by document id (distinct ids draw once; repeated rows repeat alike), and
-    rows with a null id are left out, as no draw could tell them apart.
+    Only the table of sources meets the texts, and Spark sends it to them where it is small.
     """
-    doc_id, copies, times = unique_names(docs.columns, "mix_id", "mix_copies", "mix_times")
-    counts = mixed_counts(docs, **options).groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("copies").alias(copies))
-    counts = counts.where(F.col(copies) > 0)
-    out = docs.join(counts, F.col("doc_id") == F.col(doc_id))
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
+    of, size, target, times = unique_names(docs.columns, "mix_of", "mix_size", "mix_target", "mix_times")
+    targets = source_targets(docs.select("source", _word_count().alias("size")), **shares)
+    targets = materialize(targets.select(F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target)))
+    copies = _copies(_rate(target, size), seed)
+    out = docs.join(targets, F.col("source").eqNullSafe(F.col(of))).withColumn(times, copies).where(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,18 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two docum
 3. *Prefixes.* In rare-first order a set of n keeps its first ``n - ceil(n*t) + 1`` n-grams: two
    sets that link share one of those. They are shuffled on the n-gram; n-grams of one class drop out.
 4. *Candidates.* Partners with the n-gram in common pass the length filter (``t*|B| <= |A|``), the
-   positional filter (what can still follow in both sets reaches the needed overlap), then, once per
-   pair, the suffix filter (bisecting both sets by a pivot bounds their overlap), then the exact count.
+   positional filter (what can still follow in both sets reaches the needed overlap) and the suffix
+   filter, all inside the join: the parities of the sets' members by hash bucket bound their symmetric
+   difference from below. Pairs that are left are made distinct and verified once: bisecting both
+   sets by pivots bounds the overlap again, then it is counted.
 5. *Components.* Each n-gram first proposes, for each class, only its neighbour and the head of its
    list, and each class checks its most frequent partner. What these links join needs no further
-   check, so a group of thousands of near copies costs thousands of checks, not millions. After
-   two such rounds *every* candidate pair across different components is checked: no link between
-   components is lost. ``similar_pairs`` gives all links instead.
+   check, so a group of thousands of near copies costs thousands of checks, not millions. Then
+   *every* candidate pair across different components is checked: no link between components is
+   lost. ``similar_pairs`` gives all links instead.
+6. *Hot lists.* Where more than ``HEAVY`` classes in several components share an n-gram, no pair rows
+   are made: the classes outside the group's largest component meet all of its classes in cells of
+   ``BLOCK`` x ``BLOCK`` sets, salted over tasks, and a cell gives back a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ from .components import components
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
 FILTER_BITS = 23  # of the bit filter that tells which documents' sets are wanted again
+SIGNATURE_LONGS = 8
+SIGNATURE = [f"sig{i}" for i in range(SIGNATURE_LONGS)]
+HEAVY = 64  # classes of one n-gram from which pairs are checked in blocks instead of rows
+BLOCK = 256  # sets on each side of such a block
 NGRAM, PERCENT = 5, 80
 
 
@@ -88,9 +97,21 @@ def class_id(unique: np.ndarray) -> int:
     return int(mix64(np.array([total + U64(len(unique))]))[0].astype(np.int64))
 
 
+def parity_signature(unique: np.ndarray) -> np.ndarray:
+    """Parity of the number of members in each of 64 * SIGNATURE_LONGS hash buckets, as longs.
+
+    A member of only one of two sets flips one bit of their XOR, so its bits are at most the size of
+    the symmetric difference.
+    """
+    bits = 64 * SIGNATURE_LONGS
+    odd = np.bincount((mix64(unique) % U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: a row ``(doc_id, size, cls)`` per document and, at a task's end, its sketch chunks."""
-    schema = "doc_id long, size long, cls long, chunk int, counts binary"
+    """One pass: a row ``(doc_id, size, cls, sig0..)`` per document and, at a task's end, its sketch chunks."""
+    names = ["doc_id", "size", "cls", *SIGNATURE, "chunk", "counts"]
+    schema = ", ".join(f"{c} long" for c in names[:-2]) + ", chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -99,8 +120,9 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             seen = seen or batch.num_rows > 0
             size, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            signature = np.zeros((batch.num_rows, SIGNATURE_LONGS), np.int64)
             for i, unique in sets(batch, n):
-                size[i], cls[i] = len(unique), class_id(unique)
+                size[i], cls[i], signature[i] = len(unique), class_id(unique), parity_signature(unique)
                 pending.append((unique & mask).astype(np.int64))
                 waiting += len(unique)
                 if waiting > 1 << 20:
@@ -108,8 +130,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                     pending, waiting = [], 0
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["doc_id", "size", "cls", "chunk", "counts"],
+                [batch.column(0), pa.array(size), pa.array(cls), *map(pa.array, signature.T.copy()), none.cast(pa.int32()), none.cast(pa.binary())], names
             )
         if pending:
             sketch += np.bincount(np.concatenate(pending), minlength=len(sketch))
@@ -117,8 +138,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
             none = pa.nulls(SKETCH_CHUNKS, pa.int64())
             chunks = np.minimum(sketch, 2**31 - 1).astype(np.int32).reshape(SKETCH_CHUNKS, -1)
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in chunks])],
-                ["doc_id", "size", "cls", "chunk", "counts"],
+                [none] * (len(names) - 2) + [pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in chunks])], names
             )
 
     return docs.mapInArrow(run, schema)
@@ -201,11 +221,13 @@ def _wanted_sets(docs: DataFrame, wanted, n: int) -> DataFrame:
                 continue
             cls, grams = [], []
             for _, unique in sets(batch.take(pa.array(keep)), n):
-                cls.append(class_id(unique))
-                grams.append(unique.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
+                if len(unique):
+                    cls.append(class_id(unique))
+                    grams.append(unique.tobytes())
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
 
-    return docs.mapInArrow(run, "cls long, grams binary").where("length(grams) > 0")
+    return docs.mapInArrow(run, "cls long, grams binary")
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
@@ -288,93 +310,201 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, ok boolean")
 
 
+def block_links(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
+    """Which x and y link, as a boolean matrix; overlaps are counted by products of 0/1 blocks."""
+    nx, ny = np.array([len(v) for v in x_sets]), np.array([len(v) for v in y_sets])
+    shared = np.intersect1d(np.unique(np.concatenate(x_sets)), np.unique(np.concatenate(y_sets)), assume_unique=True)
+    overlap = np.zeros((len(nx), len(ny)), np.float32)
+
+    def places(sets_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(v) for v in sets_])
+        at = np.searchsorted(shared, flat)
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == flat[hit]
+        return owner[hit], at[hit]
+
+    (xo, xa), (yo, ya) = places(x_sets), places(y_sets)
+    for begin in range(0, len(shared), width):
+        left, right = np.zeros((len(nx), width), np.float32), np.zeros((len(ny), width), np.float32)
+        for m, o, a in ((left, xo, xa), (right, yo, ya)):
+            k = (a >= begin) & (a < begin + width)
+            m[o[k], a[k] - begin] = 1
+        overlap += left @ right.T
+    return overlap * (100 + percent) >= percent * (nx[:, None] + ny[None, :])
+
+
+def _forest(links: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join different trees; x and y carry ids."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for i, j in np.argwhere(links):
+        a, b = int(x[i]), int(y[j])
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[ra] = rb
+            out.append((a, b))
+    return out
+
+
 # --- the join -----------------------------------------------------------------------------------
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+
+
 class _Join:
-    """The tables that both results need: members, shared prefix postings, sets of candidates."""
+    """The tables that both results need: members, signatures, shared prefix postings, first candidates."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         if n < 1 or not 0 < percent <= 100:
             raise ValueError("n must be positive and percent in 1..100")
-        spark, self.percent = docs.sparkSession, percent
+        spark, self.n, self.percent = docs.sparkSession, n, percent
         bounded_batches(spark)
         self.docs = docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         described = materialize(_described(docs, n))
         self.members = described.where("chunk is null").select("doc_id", "size", "cls")
+        self.signatures = described.where("chunk is null and size > 0").select("cls", *SIGNATURE)
         sketch = spark.sparkContext.broadcast(_summed_sketch(described.where("chunk is not null").select("chunk", "counts")))
-        by_gram = Window.partitionBy("gram").orderBy("size", "cls").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing
-        )
+        ordered = Window.partitionBy("gram").orderBy("size", "cls")
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        # Equal sets of several tasks stand together in this order, and the first of them is kept. The two
+        # candidates of each posting come from the same sort, so the postings are shuffled once.
+        distinct = F.coalesce(F.lag("cls").over(ordered) != F.col("cls"), F.lit(True))
+        heads = {c: F.first(c).over(ordered) for c in ("cls", "size", "pos")}
+        before = {c: F.lag(c).over(ordered) for c in ("cls", "size", "pos")}
         shared = (
             _prefixes(docs, sketch, n, percent)
-            .withColumns({"lo": F.min("cls").over(by_gram), "hi": F.max("cls").over(by_gram)})
-            .where("lo < hi")
-            .select("gram", "cls", "size", "pos")
+            .withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole), "distinct": distinct})
+            .withColumns({f"f_{c}": v for c, v in heads.items()} | {f"p_{c}": v for c, v in before.items()})
+            .where("lo < hi and distinct")
+            .select("gram", "cls", "size", "pos", *(self._candidate(k).alias(k) for k in ("head", "previous")))
         )
-        self.shared = materialize(shared).distinct()
-        near = self._neighbours(self.shared)
-        wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+        self.shared = materialize(shared)
+        both = self.shared.select("cls", F.explode(F.array("head", "previous")).alias("a")).where("a is not null")
+        near = both.groupBy(F.col("cls").alias("b"), "a").count()
+        self.proposed = materialize(near)
+
+    def _sets_of(self, classes: DataFrame) -> DataFrame:
+        """``(cls, grams)`` of the given classes: texts are read again, and a bit filter over the ids of one
+        document of each class keeps the others from being taken apart."""
+        spark = self.docs.sparkSession
         holders = self.members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        bits = spark.sparkContext.broadcast(_bit_filter(holders.join(wanted, "cls", "left_semi").select("doc_id")))
-        self.grams = materialize(_wanted_sets(docs.where("doc_id is not null"), bits, n).dropDuplicates(["cls"]))
-
-    def _neighbours(self, postings: DataFrame, other: bool = False) -> DataFrame:
-        """Candidates of each posting with the one before it and with the first of its list."""
-        w = Window.partitionBy("gram").orderBy("size", "cls")
-        heads = {"cls": "long", "size": "int", "pos": "int"} | ({"component": "long"} if other else {})
-        cols = {f"p_{c}": F.lag(c).over(w) for c in heads} | {f"f_{c}": F.first(c).over(w) for c in heads}
-        rows = postings.withColumns(cols)
-        out = None
-        for k in ("p", "f"):
-            cond = F.col(f"{k}_cls").isNotNull() & (F.col(f"{k}_cls") != F.col("cls")) & _passes(
-                self.percent, f"{k}_size", f"{k}_pos", "size", "pos"
-            )
-            if other:
-                cond = cond & (F.col(f"{k}_component") != F.col("component"))
-            part = rows.where(cond).select(F.col(f"{k}_cls").alias("a"), F.col("cls").alias("b"))
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def _crossing(self, postings: DataFrame) -> DataFrame:
-        """Every candidate pair of postings in different components."""
-        x = postings.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("cls", "size", "pos", "component")))
-        y = postings.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("cls", "size", "pos", "component")))
+        bits = spark.sparkContext.broadcast(_bit_filter(holders.join(classes.distinct(), "cls", "left_semi").select("doc_id")))
+        found = _wanted_sets(self.docs.where("doc_id is not null"), bits, self.n)
+        return materialize(found.join(classes.distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
+
+    def _candidate(self, which: str) -> F.Column:
+        """The class of the list's first (or of the previous) posting, if the pair passes the filters."""
+        k = which[0] if which == "previous" else "f"
+        ok = (F.col(f"{k}_cls") != F.col("cls")) & _passes(self.percent, f"{k}_size", f"{k}_pos", "size", "pos")
+        return F.when(ok, F.col(f"{k}_cls"))
+
+    def _crossing(self, postings: DataFrame, same=None) -> DataFrame:
+        """Every candidate pair of postings in different components (and not in the same ``same``). The
+        parity signatures of the sets stand beside the postings, so pairs too far apart never leave
+        the join."""
+        names = ["cls", "size", "pos", "component", *SIGNATURE]
+        classes = self.signatures.join(postings.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+        postings = postings.join(classes, "cls")
+        if same:
+            names.append(same)
+        postings = materialize(postings.select("gram", *names))
+        x = postings.select("gram", *(F.col(c).alias(f"x_{c}") for c in names)).alias("x")
+        y = postings.select("gram", *(F.col(c).alias(f"y_{c}") for c in names)).alias("y")
+        differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in SIGNATURE), F.lit(0))
+        sizes = F.col("x_size") + F.col("y_size")
+        need = F.ceil(F.lit(self.percent) * sizes / F.lit(100 + self.percent))
+        apart = F.coalesce(F.col(f"x_{same}") != F.col(f"y_{same}"), F.lit(True)) if same else F.lit(True)
         return (
-            x.join(y, "gram")
-            .where((F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")))
-            .where(_passes(self.percent, "x_size", "x_pos", "y_size", "y_pos"))
+            x.join(
+                y,
+                apart
+                & (F.col("x.gram") == F.col("y.gram"))
+                & (F.col("x_cls") < F.col("y_cls"))
+                & (F.col("x_component") != F.col("y_component"))
+                & _passes(self.percent, "x_size", "x_pos", "y_size", "y_pos")
+                & (differing <= sizes - 2 * need),
+            )
             .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
             .distinct()
         )
 
-    def _check(self, pairs: DataFrame) -> DataFrame:
-        return materialize(_verified(pairs, self.grams, self.percent))
-
-    def class_components(self, rounds: int = 2) -> DataFrame:
-        links, tested, comps = None, None, None
-        for r in range(rounds + 1):
-            postings = self._open_postings(comps)
-            if r < rounds:
-                counted = self._neighbours(postings, other=True).groupBy("b", "a").count()
-                pairs = counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-                pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            else:
-                pairs = self._crossing(postings)
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            done = self._check(pairs)
-            tested = done if tested is None else tested.unionByName(done)
-            comps = materialize(components(tested.where("ok"), "a", "b"))
-        return comps
+    def _heavy_groups(self, postings: DataFrame) -> DataFrame:
+        """``(cls, grp)``: classes that hot lists connect. ``postings`` has the list's length as ``n``."""
+        first = F.min("cls").over(Window.partitionBy("gram"))
+        links = postings.where(F.col("n") > HEAVY).select("cls", first.alias("head")).where("cls <> head")
+        return materialize(components(links, "cls", "head").select(F.col("vertex").alias("cls"), F.col("component").alias("grp")))
+
+    def _blocked(self, members: DataFrame, grams: DataFrame) -> DataFrame:
+        """Links between components inside each group of ``members`` (cls, grp, component), cell by cell."""
+        percent = self.percent
+        sizes = members.groupBy("grp", "component").count().groupBy("grp").agg(
+            F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("biggest")
+        )
+        sizes = sizes.select(
+            "grp", "main", F.ceil((F.col("n") - F.col("biggest")) / BLOCK).alias("kx"), F.ceil(F.col("n") / BLOCK).alias("ky")
+        )
+        rows = materialize(members.join(sizes.where("kx > 0"), "grp").join(grams, "cls"))
+        place = lambda k, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(k))
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+        columns = ("cls", "component", "grams")
+        x = rows.where("component <> main").select("grp", place("kx", 1).alias("i"), every("ky").alias("j"), *columns)
+        y = rows.select("grp", every("kx").alias("i"), place("ky", 2).alias("j"), *columns)
+
+        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            pairs: list[tuple[int, int]] = []
+            if left.num_rows and right.num_rows:
+                read = lambda t: [np.frombuffer(v.as_buffer(), np.uint64) for v in t["grams"]]
+                found = block_links(read(left), read(right), percent)
+                found &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+                pairs = _forest(found, left["cls"].to_numpy(), right["cls"].to_numpy())
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        keys = ("grp", "i", "j")
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(cell, "a long, b long")
+
+    def _check(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
+        return materialize(_verified(pairs, grams, self.percent))
+
+    def class_components(self) -> DataFrame:
+        pairs = self.proposed.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tested = self._check(pairs, self._sets_of(_ends(pairs)))
+        comps = materialize(components(tested.where("ok"), "a", "b"))
+        postings = self._open_postings(comps).withColumn("n", F.count("*").over(Window.partitionBy("gram")))
+        postings = materialize(postings)
+        groups = members = None
+        if postings.where(F.col("n") > HEAVY).take(1):
+            groups = self._heavy_groups(postings)
+            members = materialize(postings.select("cls", "component").distinct().join(groups, "cls"))
+            postings = postings.join(groups, "cls", "left")
+        light = self._crossing(postings.where(F.col("n") <= HEAVY), "grp" if members is not None else None)
+        light = materialize(light.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        wanted = _ends(light) if members is None else _ends(light).unionByName(members.select("cls"))
+        if not wanted.take(1):
+            return comps
+        grams = self._sets_of(wanted)
+        found = tested.unionByName(self._check(light, grams)).where("ok").select("a", "b")
+        if members is not None:
+            found = found.unionByName(materialize(self._blocked(members, grams)))
+        return materialize(components(found, "a", "b"))
 
     def _open_postings(self, comps: DataFrame | None) -> DataFrame:
         """Postings of the n-grams whose classes are not yet all in one component."""
+        shared = self.shared.drop("head", "previous")
         if comps is None:
-            return self.shared.withColumn("component", F.col("cls"))
+            return shared.withColumn("component", F.col("cls"))
         w = Window.partitionBy("gram")
         return (
-            self.shared.join(comps.withColumnRenamed("vertex", "cls"), "cls", "left")
+            shared.join(comps.withColumnRenamed("vertex", "cls"), "cls", "left")
             .withColumn("component", F.coalesce("component", "cls"))
             .withColumns({"lo": F.min("component").over(w), "hi": F.max("component").over(w)})
             .where("lo < hi")
@@ -404,11 +534,26 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT)
     )
 
 
+def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id, with all its columns.
+
+    Rows with a null doc_id stay. Where an id is repeated one of its rows stays. The ids that go are
+    a table of their own: where it is small Spark sends it to the texts, else both sides are shuffled.
+    """
+    found = materialize(jaccard_components(docs, n, percent))
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    ids = found.where("doc_id is not null").select("doc_id")
+    if ids.groupBy("doc_id").count().where("count > 1").take(1):
+        known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+        docs = known.unionByName(docs.where("doc_id is null"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def similar_pairs(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All links ``(a, b)`` between classes of equal sets, and membership ``(doc_id, size, cls)``."""
     j = _Join(docs, n, percent)
-    pairs = j._crossing(j._open_postings(None))
-    return j._check(pairs).where("ok").select("a", "b"), j.members
+    pairs = materialize(j._crossing(j._open_postings(None)))
+    return j._check(pairs, j._sets_of(_ends(pairs))).where("ok").select("a", "b"), j.members
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,22 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: QualityModel, least: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns and nothing shuffled."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(place))
+            out = [shared.value.scores(*encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets)]
+            if out:
+                yield batch.filter(pa.array(np.concatenate(out) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained_on(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return train(labelled_texts(docs, labels, "quality"))
 
