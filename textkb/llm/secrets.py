@@ -108,9 +108,15 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCUMENTS) -> np.ndarray:
     for r in sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
     random, ordinary = counts.reshape(2, _SIDE, _SIDE)
-    # Random strings are close to uniform: their sparse counts are smoothed towards that.
-    probability = lambda c, a: (c + a) / (c + a).sum(axis=1, keepdims=True)
-    return np.log(probability(random, 5.0) / probability(ordinary, 0.5)).ravel()
+    # A pair backs off to its second character alone: what ordinary runs hardly hold tells against them.
+    # Random strings may use any character, whatever the few samples hold: theirs backs off half to uniform.
+    single = lambda c: (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * _SIDE)
+    # A pair seen once among the ordinary runs counts as unseen: a lone secret there must not explain itself.
+    discount = np.minimum(ordinary, 1)
+    left = 5.0 + discount.sum(axis=1, keepdims=True)
+    p_ordinary = (ordinary - discount + left * single(ordinary)) / (ordinary.sum(axis=1, keepdims=True) + 5.0)
+    p_random = (random + 50.0 * (0.5 * single(random) + 0.5 / _SIDE)) / (random.sum(axis=1, keepdims=True) + 50.0)
+    return np.log(p_random / p_ordinary).ravel()
 
 
 def secret_spans(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
