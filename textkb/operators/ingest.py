@@ -49,7 +49,7 @@ class Kind:
 
     @property
     def schema(self) -> str:
-        return f"struct<`{self.path}`:array<{self.item}>>" if self.path else self.item
+        return f"struct<`{self.path}`:array<string>>" if self.path else self.item
 
 
 def _filled(name: str, kind: Kind) -> Column:
@@ -65,7 +65,9 @@ def ingest(responses: DataFrame, kind: Kind) -> DataFrame:
     ``responses`` has book_name, chapter_id, seq (the order in which later rows win) and response.
     """
     rows = parsed(responses, kind.schema).where("parsed is not null")
-    item = F.col(f"parsed.{kind.path}") if kind.path else F.array("parsed")
+    # Items are parsed one by one, so that one that is no object does not spoil the others.
+    objects = lambda: F.transform(F.filter(f"parsed.{kind.path}", lambda x: x.startswith("{")), lambda x: F.from_json(x, kind.item))
+    item = objects() if kind.path else F.array("parsed")
     rows = rows.select("book_name", "chapter_id", "seq", F.posexplode(item).alias("pos", "item")).where("item is not null")
     rows = rows.select("book_name", "chapter_id", "seq", "pos", *(_filled(f, kind).alias(f) for f in kind.fields))
     for f in kind.required:

@@ -6,11 +6,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normalization, which Spark has no function for."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -40,7 +40,7 @@ def windowed_counts(log: DataFrame, time: str = "ts", kind: str = "event_type",
 
 def monitor(spark: SparkSession, folder: str, schema: str, id_column: str = "event_id", time: str = "ts", **options) -> DataFrame:
     """Streaming twin of ``windowed_counts`` over a folder of Parquet files, repeated ids dropped."""
-    log = spark.readStream.schema(schema).parquet(folder)
+    log = spark.readStream.schema(schema).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
     once = log.withWatermark(time, options.get("late", "1 hour")).dropDuplicatesWithinWatermark([id_column])
     counts = once.groupBy(F.window(time, options.get("width", "1 hour")), options.get("kind", "event_type")).agg(F.count("*").alias("searches"))
     return counts.select(F.col("window.start").alias("start"), options.get("kind", "event_type"), "searches")
