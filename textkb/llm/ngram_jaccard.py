@@ -558,3 +558,19 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tu
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(32))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(32)))) END AS grams FROM worded
+), sizes AS (SELECT doc_id, len(grams)::BIGINT AS n FROM sets),
+grams AS (SELECT doc_id, unnest(grams) AS g FROM sets),
+counted AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM counted JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, low) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT b, low FROM reach JOIN both_ways ON doc_id = a WHERE low < b)
+SELECT doc_id, any_value(n) AS n_shingles, min(low) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

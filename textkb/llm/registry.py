@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op8_mixing": mixing.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op4_ngram_jaccard": ngram_jaccard.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
