@@ -209,25 +209,27 @@ def _prefixes(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
 
 
 def _wanted_sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """``(cls, grams)`` of the documents whose id passes the bit filter (a superset is harmless)."""
+    """``(holder, grams)`` of the documents whose id passes the bit filter (a superset is harmless)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, seen = wanted.value, set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = (mix64(ids.view(np.uint64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
             keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             if not len(keep):
                 continue
-            cls, grams = [], []
-            for _, unique in sets(batch.take(pa.array(keep)), n):
-                if len(unique):
-                    cls.append(class_id(unique))
+            holders, grams = [], []
+            for k, unique in sets(batch.take(pa.array(keep)), n):
+                holder = int(ids[keep[k]])
+                if len(unique) and holder not in seen:
+                    seen.add(holder)
+                    holders.append(holder)
                     grams.append(unique.tobytes())
-            if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
+            if holders:
+                yield pa.RecordBatch.from_arrays([pa.array(holders, pa.int64()), pa.array(grams, pa.binary())], ["holder", "grams"])
 
-    return docs.mapInArrow(run, "cls long, grams binary")
+    return docs.mapInArrow(run, "holder long, grams binary")
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
@@ -293,7 +295,7 @@ def _passes(percent: int, sa: str, pa_: str, sb: str, pb: str) -> F.Column:
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, ok)`` for each distinct candidate pair: suffix filter, then the exact count."""
+    """``(a, b, ok)`` for each distinct candidate pair with its holders ``ha, hb``: bounds, then the exact count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,9 +306,8 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    left = grams.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-    right = grams.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    side = lambda end, name: grams.select(F.col("holder").alias(end), F.col("grams").alias(name))
+    joined = pairs.join(side("ha", "x"), "ha").join(side("hb", "y"), "hb").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long, ok boolean")
 
 
@@ -391,14 +392,15 @@ class _Join:
         near = both.groupBy(F.col("cls").alias("b"), "a").count()
         self.proposed = materialize(near)
 
+        self.holders = materialize(self.members.where("size > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("holder")))
+
     def _sets_of(self, classes: DataFrame) -> DataFrame:
-        """``(cls, grams)`` of the given classes: texts are read again, and a bit filter over the ids of one
-        document of each class keeps the others from being taken apart."""
+        """``(holder, grams)`` for the given classes: texts are read again, and a bit filter over the ids of
+        their holders (a class's smallest document) keeps the others from being taken apart. The few
+        that pass by chance are rows of documents that hold no pair, and match nothing."""
         spark = self.docs.sparkSession
-        holders = self.members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        bits = spark.sparkContext.broadcast(_bit_filter(holders.join(classes.distinct(), "cls", "left_semi").select("doc_id")))
-        found = _wanted_sets(self.docs.where("doc_id is not null"), bits, self.n)
-        return materialize(found.join(classes.distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
+        bits = spark.sparkContext.broadcast(_bit_filter(self.holders.join(classes.distinct(), "cls", "left_semi").select("holder")))
+        return materialize(_wanted_sets(self.docs.where("doc_id is not null"), bits, self.n))
 
     def _candidate(self, which: str) -> F.Column:
         """The class of the list's first (or of the previous) posting, if the pair passes the filters."""
@@ -451,7 +453,7 @@ class _Join:
         sizes = sizes.select(
             "grp", "main", F.ceil((F.col("n") - F.col("biggest")) / BLOCK).alias("kx"), F.ceil(F.col("n") / BLOCK).alias("ky")
         )
-        rows = materialize(members.join(sizes.where("kx > 0"), "grp").join(grams, "cls"))
+        rows = materialize(members.join(sizes.where("kx > 0"), "grp").join(self.holders, "cls").join(grams, "holder"))
         place = lambda k, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(k))
         every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
         columns = ("cls", "component", "grams")
@@ -472,7 +474,8 @@ class _Join:
         return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(cell, "a long, b long")
 
     def _check(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-        return materialize(_verified(pairs, grams, self.percent))
+        end = lambda c: self.holders.select(F.col("cls").alias(c), F.col("holder").alias(f"h{c}"))
+        return materialize(_verified(pairs.join(end("a"), "a").join(end("b"), "b"), grams, self.percent))
 
     def class_components(self) -> DataFrame:
         pairs = self.proposed.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
