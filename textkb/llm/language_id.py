@@ -110,9 +110,11 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, grams: int =
     """A filter from ``docs`` (doc_id, text, lang); rows with null text or lang teach nothing."""
     bounded_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    have = known.groupBy("lang").agg(F.count("*").alias("have"))
-    biggest = have.orderBy(F.desc("have"), "lang").select("lang").first()
-    sample = known.join(have, "lang").where(hash_unit("doc_id", seed="language") * F.col("have") < per_language)
+    have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a number for each language
+    biggest = max(sorted(have), key=have.get) if have else None
+    limit = F.create_map(*(F.lit(x) for lang, n in have.items() for x in (lang, per_language / n))) if have else None
+    drawn = hash_unit("doc_id", seed="language") < limit[F.col("lang")] if have else F.lit(False)
+    sample = known.where(drawn)
     total = _counted(sample).groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     kept = (
@@ -125,7 +127,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, grams: int =
         .groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     )
     found = {r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in kept.collect()}
-    return LanguageFilter.build(found, biggest["lang"] if biggest else None)
+    return LanguageFilter.build(found, biggest)
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
