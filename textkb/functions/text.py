@@ -157,7 +157,7 @@ def token_estimate(c: Column | str) -> Column:
 
 
 #: Boundaries at which a text may be cut, best first.
-CUTS = ("。\n", "！\n", "？\n", "\n\n", "。", "！", "？")
+CUTS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?")
 
 
 def cut_at_boundary(c: Column | str, limit: int, cuts: Sequence[str] = CUTS, window: int = 500) -> Column:
@@ -171,7 +171,7 @@ def cut_at_boundary(c: Column | str, limit: int, cuts: Sequence[str] = CUTS, win
     for b in cuts:
         back = F.instr(F.reverse(tail), b[::-1])
         at = F.when(back > 0, F.lit(tail_from) + F.length(tail) - back + 1)
-        places.append(F.when(at > limit // 2, at))
+        places.append(F.when(at - len(b) > limit // 2, at))
     at = F.coalesce(*places, F.lit(limit)).cast("int")
     return F.when(F.length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), at))
 

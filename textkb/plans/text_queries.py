@@ -178,13 +178,13 @@ def sta_04(spark, sf_dir):
 def _cut_sql(limit: int, cuts) -> str:
     tail = f"substr(substr(text, 1, {limit}), {max(limit - 500, 0) + 1}, 500)"
     place = lambda b: f"CASE WHEN instr(reverse({tail}), '{b[::-1]}') > 0 THEN {max(limit - 500, 0)} + length({tail}) - instr(reverse({tail}), '{b[::-1]}') + 1 END"
-    parts = ", ".join(f"(CASE WHEN {place(b)} > {limit // 2} THEN {place(b)} END)" for b in cuts)
+    parts = ", ".join(f"(CASE WHEN {place(b)} - {len(b)} > {limit // 2} THEN {place(b)} END)" for b in cuts)
     return f"CASE WHEN length(text) <= {limit} THEN text ELSE substr(text, 1, coalesce({parts}, {limit})::INT) END"
 
 
-@query("sta_05_cut_at_boundary", f"SELECT doc_id, length(x)::BIGINT AS chars, md5(x) AS digest FROM (SELECT doc_id, {_cut_sql(1000, ('. ', ', ', ' '))} AS x FROM documents)")
+@query("sta_05_cut_at_boundary", f"SELECT doc_id, length(x)::BIGINT AS chars, md5(x) AS digest FROM (SELECT doc_id, {_cut_sql(1000, T.CUTS)} AS x FROM documents)")
 def sta_05(spark, sf_dir):
-    return _digest(table(spark, sf_dir, "documents").select("doc_id", T.cut_at_boundary("text", 1000, (". ", ", ", " ")).alias("x")), "doc_id", "x")
+    return _digest(table(spark, sf_dir, "documents").select("doc_id", T.cut_at_boundary("text", 1000).alias("x")), "doc_id", "x")
 
 
 @query("sta_09_book_metadata", "SELECT source AS book_name, count(*)::BIGINT AS chapters, sum(length(text))::BIGINT AS total_chars, list_sort(list_distinct(list(lang))) AS tags FROM documents GROUP BY source")

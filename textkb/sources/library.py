@@ -13,8 +13,8 @@ from ..functions.text import col, strip
 
 UNKNOWN_AUTHOR, UNSORTED = "未知作者", "未分类"
 
-#: Words that are no part of a name, longest first where one holds another.
-JUNK_WORDS = ("未删减", "番外完结", "精校版", "完整版", "补车番", "未删", "全本", "完结", "番外", "补番", "补车", "补C", "补F", "连载", "坑", "作者", "补r", "补R", "实体", "福利", "校对", "精校", "全订", "-txt", "txt", "TXT", "NP", "np", "全文")
+#: Words that are no part of a name.
+JUNK_WORDS = ("番外完结", "精校版", "未删减", "未删", "全本", "完整版", "完结", "番外", "补番", "补车", "补车番", "补C", "补F", "连载", "坑", "作者", "补r", "补R", "实体", "福利", "校对", "精校", "全订", "-txt", "txt", "TXT", "NP", "np", "全文")
 #: Patterns of texts that stand where an author should but name none.
 FAKE_AUTHORS = (r"热门", r"^未知$", r"^全$", r"^\+全$", r"^\+$", r"感言", r"贺岁篇", r"补最新福", r"东南亚篇", r"南京篇", r"共七册", r"个故事", r"篇$", r"^车$", r"微博小段", r"补全", r"未删减完整版", r"精校版全本", r"校对版全本", r"共\d+章", r"补\d+", r"\+番外", r"^\[.*\]$", r"^［.*］$", r"^不含.*?$", r"^番番$", r"^完&$", r"^\d+$", r"电竞")
 #: Latin author names that are real.
@@ -111,7 +111,7 @@ def canonical_name(name: Column | str, folder: Column | str, parent: Column | st
 
     def tidy(c: Column) -> Column:
         c = F.regexp_replace(c, r"[(（\[【『].*?[)）\]】』]|[(（\[【『］\]]+|[)）\]】』]+$", "")
-        for w in JUNK_WORDS:
+        for w in sorted(JUNK_WORDS, key=len, reverse=True):
             c = F.replace(c, F.lit(w), F.lit(""))
         return strip(c)
 
