@@ -86,26 +86,30 @@ def document_text(template: Mapping[str, str]) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"{label}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for label, c in template.items()))
 
 
-#: Which tables a stage of writing looks into: (stage, sub types, mood used, bucket, table).
+#: Which lookups a writing context gets. The first rule that holds counts: stages, whether a
+#: stage or a sub type is enough, sub types (none: any), then (bucket, table, field, term); a term is a
+#: fixed word, the context's elements, or its mood.
+ELEMENTS, MOOD = "{elements}", "{mood}"
 LOOKUPS = (
-    ("worldbuilding", "power system,society,geography", False, "excerpts", "world_settings"),
-    ("worldbuilding", "power system,society,geography", False, "structure_tips", "cross_book_comparisons"),
-    ("characters", "dialogue,portrait,relations", False, "excerpts", "dialogue_samples"),
-    ("characters", "dialogue,portrait,relations", False, "techniques", "character_speech_style"),
-    ("outline", "outline,structure,plot", False, "structure_tips", "macro_outlines"),
-    ("outline", "outline,structure,plot", False, "techniques", "climax_buildup_chains"),
-    ("prose", "fight,action", False, "excerpts", "action_scene_samples"),
-    ("prose", "fight,action", False, "excerpts", "climax_excerpts"),
-    ("prose", "scenery,atmosphere", False, "excerpts", "description_samples"),
-    ("prose", "scenery,atmosphere", True, "techniques", "sensory_mappings"),
-    ("prose", "mystery,reveal", False, "techniques", "information_management"),
-)
+    (("世界观设计",), True, ("力量体系设计", "社会结构设计", "地理设计"), (("excerpts", "world_settings", "query", ELEMENTS), ("structure_tips", "cross_book_comparisons", "dimension", "世界观设计"))),
+    (("人物设计",), True, ("角色对话", "人物塑造", "关系设计"), (("excerpts", "dialogue_samples", "query", ELEMENTS), ("techniques", "character_speech_style", "query", ELEMENTS), ("structure_tips", "cross_book_comparisons", "dimension", "人物塑造"), ("common_mistakes", "common_mistakes", "dimension", "人物"))),
+    (("大纲设计",), True, ("大纲设计", "结构设计", "情节编排"), (("structure_tips", "macro_outlines", "query", ELEMENTS), ("techniques", "climax_buildup_chains", "query", ELEMENTS), ("common_mistakes", "common_mistakes", "dimension", "情节"))),
+    (("正文写作", "修改打磨"), False, ("打斗场景", "动作场景", "战斗描写"), (("excerpts", "action_scene_samples", "query", ELEMENTS), ("excerpts", "climax_excerpts", "type", "打斗"), ("techniques", "technique_combinations", "scene_type", "打斗"), ("common_mistakes", "common_mistakes", "dimension", "节奏"))),
+    (("正文写作", "修改打磨"), False, ("感情线对话", "暧昧对话", "情感对话"), (("excerpts", "dialogue_samples", "scene_type", "感情"), ("techniques", "technique_combinations", "scene_type", "对话"), ("common_mistakes", "common_mistakes", "dimension", "对话"))),
+    (("正文写作", "修改打磨"), False, ("环境描写", "氛围描写", "场景描写"), (("excerpts", "description_samples", "query", ELEMENTS), ("techniques", "sensory_mappings", "query", MOOD), ("common_mistakes", "common_mistakes", "dimension", "描写"))),
+    (("正文写作", "修改打磨"), False, ("高潮铺垫", "高潮场景", "决战", "揭秘"), (("excerpts", "climax_excerpts", "query", ELEMENTS), ("techniques", "climax_buildup_chains", "query", ELEMENTS), ("techniques", "technique_combinations", "scene_type", "高潮"), ("common_mistakes", "common_mistakes", "dimension", "节奏"))),
+    (("正文写作", "修改打磨"), False, ("悬疑场景", "推理场景", "线索揭露"), (("techniques", "information_management", "query", ELEMENTS), ("common_mistakes", "common_mistakes", "dimension", "情节"))),
+    (("正文写作", "修改打磨"), False, (), (("excerpts", "dialogue_samples", "query", ELEMENTS), ("excerpts", "description_samples", "query", ELEMENTS), ("techniques", "skills", "query", ELEMENTS), ("common_mistakes", "common_mistakes", "dimension", "对话"), ("common_mistakes", "common_mistakes", "dimension", "描写"))),
+)
 
 
 def lookups(contexts: DataFrame) -> DataFrame:
-    """Contexts (context_id, stage, sub_type, mood, elements) to the lookups that a rule table gives them:
-    a rule holds for its stage and, if it names sub types, for a context with one of these."""
-    rules = F.array(*(F.struct(F.lit(s).alias("s"), F.split(F.lit(t), ",").alias("t"), F.lit(m).alias("m"), F.lit(b).alias("bucket"), F.lit(n).alias("table_name")) for s, t, m, b, n in LOOKUPS))
-    rows = contexts.withColumn("_r", F.explode(rules)).where((F.col("_r.s") == F.col("stage")) & F.array_contains(F.col("_r.t"), F.col("sub_type")))
-    terms = F.when(F.col("_r.m"), F.col("mood")).otherwise(F.array_join("elements", " "))
-    return rows.select("context_id", "_r.bucket", "_r.table_name", terms.alias("terms"))
+    """Contexts (context_id, stage, sub_type, mood, elements) to the lookups of the first rule that holds."""
+    words = {ELEMENTS: F.array_join("elements", " "), MOOD: F.coalesce("mood", F.lit(""))}
+    chosen = None
+    for stages, either, subs, entries in LOOKUPS:
+        stage, sub = F.col("stage").isin(*stages), F.coalesce(F.col("sub_type").isin(*subs), F.lit(False)) if subs else F.lit(True)
+        rows = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(t).alias("table_name"), F.lit(f).alias("field"), words.get(w, F.lit(w)).alias("term")) for b, t, f, w in entries))
+        holds = (stage | sub) if either else (stage & sub)
+        chosen = F.when(holds, rows) if chosen is None else chosen.when(holds, rows)
+    return contexts.select("context_id", F.inline(chosen))

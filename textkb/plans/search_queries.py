@@ -74,16 +74,27 @@ def vec_06(spark, sf_dir):
     return S.top_k_each(_vectors(spark, sf_dir).where("label in (4, 5, 6)"), q, 4, ["label"]).select("label", "id", "rank")
 
 
-_RULES = " UNION ALL ".join(f"SELECT '{s}' AS s, '{t}' AS t, {str(m).lower()} AS m, '{b}' AS bucket, '{n}' AS table_name" for s, t, m, b, n in S.LOOKUPS)
+def _rule_sql() -> str:
+    words = {S.ELEMENTS: "array_to_string(elements, ' ')", S.MOOD: "mood"}
+    cases = []
+    for stages, either, subs, entries in S.LOOKUPS:
+        parts = ["stage IN (" + ", ".join(f"'{x}'" for x in stages) + ")"] + (["sub_type IN (" + ", ".join(f"'{x}'" for x in subs) + ")"] if subs else [])
+        rows = ", ".join(f"{{'bucket': '{b}', 'table_name': '{t}', 'field': '{f}', 'term': {words.get(w, repr(w))}}}" for b, t, f, w in entries)
+        cases.append(f"WHEN {(' OR ' if either else ' AND ').join(parts)} THEN [{rows}]")
+    return f"CASE {' '.join(cases)} END"
+
+
+_STAGE_NAMES = ("世界观设计", "人物设计", "大纲设计", "正文写作", "修改打磨", "其他")
+_SUB_NAMES = ("打斗场景", "环境描写", "决战", "推理场景", "情感对话", "其他", "地理设计")
 
 
 @query("vec_07_lookups", f"""
-WITH c AS (SELECT event_id AS context_id, ['worldbuilding', 'characters', 'outline', 'prose'][(event_id % 4 + 1)::INT] AS stage, ['society', 'portrait', 'plot', 'fight', 'scenery'][(event_id % 5 + 1)::INT] AS sub_type, event_type AS mood, [event_type, user_id::VARCHAR] AS elements FROM events)
-SELECT context_id, bucket, table_name, CASE WHEN m THEN mood ELSE array_to_string(elements, ' ') END AS terms FROM c JOIN ({_RULES}) r ON c.stage = r.s AND list_contains(string_split(r.t, ','), c.sub_type)""")
+WITH c AS (SELECT event_id AS context_id, {list(_STAGE_NAMES)}[(event_id % 6 + 1)::INT] AS stage, {list(_SUB_NAMES)}[(event_id % 7 + 1)::INT] AS sub_type, event_type AS mood, [event_type, user_id::VARCHAR] AS elements FROM events),
+r AS (SELECT context_id, unnest({_rule_sql()}) AS x FROM c) SELECT context_id, x.bucket, x.table_name, x.field, x.term FROM r""")
 def vec_07(spark, sf_dir):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
     c = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("context_id"), pick(("worldbuilding", "characters", "outline", "prose")).alias("stage"), pick(("society", "portrait", "plot", "fight", "scenery")).alias("sub_type"),
+        F.col("event_id").alias("context_id"), pick(_STAGE_NAMES).alias("stage"), pick(_SUB_NAMES).alias("sub_type"),
         F.col("event_type").alias("mood"), F.array("event_type", F.col("user_id").cast("string")).alias("elements"),
     )
     return S.lookups(c)
