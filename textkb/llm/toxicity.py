@@ -162,7 +162,9 @@ def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL, features: int =
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["found", "label"])
 
     bound = F.when(F.col("label") == 1, per_label / max(int(docs[1]), 1)).otherwise(per_label / max(int(docs[0]), 1))
-    sample = labelled.where(hash_unit("doc_id", seed="toxicity") < bound).select("text", "label")
+    # The larger share does not depend on the label, so Spark applies it where the texts are read.
+    draw = hash_unit("doc_id", seed="toxicity")
+    sample = labelled.where(draw < per_label / max(int(docs.min()), 1)).where(draw < bound).select("text", "label")
     rows = sample.mapInArrow(encode, "found binary, label int").collect()
     y = np.array([r["label"] for r in rows], float)
     cols = [np.frombuffer(bytes(r["found"]), np.int32) for r in rows]
