@@ -172,7 +172,10 @@ def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> QualityModel
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["bag", "label"])
 
     bound = F.when(F.col("label") == 1, per_label / n1).otherwise(per_label / n0)
-    sample = labelled.where(hash_unit("doc_id", seed="quality") < bound).select("text", "label", "doc_id")
+    # The larger share does not depend on the label, so Spark applies it where the texts are read.
+    most = per_label / min(n0, n1)
+    draw = hash_unit("doc_id", seed="quality")
+    sample = labelled.where(draw < most).where(draw < bound).select("text", "label", "doc_id")
     rows = sample.select("text", "label").mapInArrow(run, "bag binary, label int").collect()
     bags = [np.frombuffer(bytes(r["bag"]), np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     y = np.array([r["label"] for r in rows], float)
