@@ -327,6 +327,28 @@ def test_decontamination(spark, odd):
     assert decontamination.contamination(frame, bench.limit(0)).count() == 0 and decontamination.contamination(odd.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("length", [100, 1000, 3000])
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_decontamination_recall_by_edits(length, share):
+    """Random substitutions, insertions and deletions, up to the share that verification allows."""
+    r = random.Random(length)
+    letters = "eeeeetttaaaooiinnsshhrrdlucmfwypvbg     "
+    code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    plain = ["".join(r.choice(letters) for _ in range(length)) for _ in range(20)]
+    items = [(i, decontamination.normalized(code(t), np.array([0, len(t)]))[0]) for i, t in enumerate(" ".join(t.split()) for t in plain)]
+    indexes, found = decontamination._indexes(items), 0
+    for i, item in items:
+        t = [chr(c) for c in item]
+        for _ in range(int(share * len(t))):
+            at, kind = r.randrange(len(t)), r.randrange(3)
+            t[at : at + (kind != 1)] = [] if kind == 2 else [r.choice(letters)]
+        cp = code("xqz " * r.randrange(20, 60) + "".join(t) + " jkq" * 30)
+        got = decontamination.search(cp, np.array([0, len(cp)]), indexes, decontamination.MAX_EDITS)
+        assert all(e <= decontamination.MAX_EDITS * n for _, _, _, _, e, n in got)
+        found += i in {x[1] for x in got}
+    assert found >= 18
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
