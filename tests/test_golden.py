@@ -204,3 +204,23 @@ def test_views_reject_unknown_parameters(spark):
     t = spark.createDataFrame([("1", "b", "e")], "id string, book_name string, event_name string")
     with pytest.raises(ValueError):
         views.view({"world_timeline": t}, "worldbuilding_timeline", nope=1)
+
+
+def test_top_k_of_many_queries_stays_off_the_driver(spark, monkeypatch):
+    from textkb.operators import search
+
+    r = random.Random(3)
+    vectors = [(i, "ab"[i % 2], [float(r.randrange(4)) for _ in range(3)]) for i in range(60)]
+    queries = [(i, [float(r.randrange(4)) for _ in range(3)]) for i in range(search.QUERY_BLOCK + 50)]
+    v, q = spark.createDataFrame(vectors, "id long, kind string, embedding array<float>"), spark.createDataFrame(queries, "query_id long, query array<float>")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+            m.setattr(type(q), name, lambda *_: pytest.fail("the query set passes through the driver"))
+        found = search.top_k_each(v, q, 2, ["kind"])
+    got = sorted((x["query_id"], x["kind"], x["rank"], x["id"]) for x in found.collect())
+    want = []
+    for i, a in queries:
+        for kind in "ab":
+            near = sorted((sum((x - y) ** 2 for x, y in zip(a, e, strict=True)), j) for j, c, e in vectors if c == kind)
+            want += [(i, kind, n + 1, j) for n, (_, j) in enumerate(near[:2])]
+    assert got == sorted(want) and found.columns == ["id", "kind", "embedding", "query_id", "distance", "rank"]

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+QUERY_BLOCK, VECTOR_CELLS = 256, 64
+
 
 def _known(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
@@ -56,16 +58,22 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, where: Mapping[str
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = (), id_column: str = "id") -> DataFrame:
-    """The k nearest vectors for every row of a small, stated query set, per ``by`` group.
+    """The k nearest vectors for every row of a query set (``query_id``, ``query``) of any size, per ``by`` group.
 
-    The queries (``query_id``, ``query``) are one array beside each vector, so there is one pass over the
-    vectors; the rank filter keeps k rows a group before the shuffle.
+    Queries are held as rows of about ``QUERY_BLOCK`` each and dealt to every cell of the vectors by an
+    equi-join on (block, cell), both numbers salted by id: only the count of the queries passes through the
+    driver. k rows a query, group and cell are merged.
     """
-    held = [(r["query_id"], [float(x) for x in r["query"]]) for r in queries.select("query_id", "query").collect()]
-    kind = queries.schema["query_id"].dataType
-    items = F.array(*(F.struct(F.lit(i).cast(kind).alias("query_id"), F.array(*map(F.lit, q)).alias("query")) for i, q in held))
-    rows = vectors.withColumn("_q", F.explode(items))
-    rows = rows.withColumn("query_id", F.col("_q.query_id")).withColumn("distance", squared_distance(F.col("embedding"), F.col("_q.query"))).drop("_q")
+    q = queries.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    held = q.groupBy(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "query")).alias("_q"))
+    held = held.withColumn("_cell", F.explode(F.expr(f"sequence(0L, {VECTOR_CELLS - 1}L)")))
+    cells = vectors.withColumn("_cell", F.pmod(F.xxhash64(F.col(id_column)), F.lit(VECTOR_CELLS)))
+    cells = cells.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    rows = cells.join(held, ["_block", "_cell"]).withColumn("_q", F.explode("_q"))
+    rows = rows.select(*vectors.columns, "_cell", F.col("_q.query_id").alias("query_id"), squared_distance(F.col("embedding"), F.col("_q.query")).alias("distance"))
+    inner = Window.partitionBy("query_id", *by, "_cell").orderBy("distance", id_column)
+    rows = rows.withColumn("_rank", F.row_number().over(inner)).where(F.col("_rank") <= k).drop("_rank", "_cell")
     w = Window.partitionBy("query_id", *by).orderBy("distance", id_column)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
