@@ -224,3 +224,9 @@ def test_top_k_of_many_queries_stays_off_the_driver(spark, monkeypatch):
             near = sorted((sum((x - y) ** 2 for x, y in zip(a, e, strict=True)), j) for j, c, e in vectors if c == kind)
             want += [(i, kind, n + 1, j) for n, (_, j) in enumerate(near[:2])]
     assert got == sorted(want) and found.columns == ["id", "kind", "embedding", "query_id", "distance", "rank"]
+
+
+def test_unverified_quotes_in_another_unicode_form(spark):
+    rows = [("ＡＢＣ１２３ＤＥＦ", "so abc ABC123DEF end"), ("cafe\u0301 au lait", "un café au lait"), ("ABC123DEF", "x ＡＢＣ１２３\nＤＥＦ"), ("ＡＢＣ１２３ＤＥＧ", "so ABC123DEF end"), ("ＡＢ", "so"), (None, "so")]
+    df = spark.createDataFrame(rows, "q string, t string")
+    assert [r[0] for r in df.select(quotes.unverified(F.col("q"), F.col("t"))).collect()] == [False, False, False, True, False, None]

@@ -18,8 +18,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def unverified(quote: Column, text: Column, least: int = 8) -> Column:
-    """True for a quote of ``least`` or more characters that the text does not contain, spaces and line ends aside."""
-    dense = lambda c: F.translate(c, " \n", "")
+    """True for a quote of ``least`` or more characters that the text does not contain, both in NFKC, spaces and line ends aside."""
+    dense = lambda c: F.translate(nfkc(c), " \n", "")
     return (F.length(dense(quote)) >= least) & ~F.contains(dense(text), dense(quote))
 
 
