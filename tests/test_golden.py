@@ -230,3 +230,44 @@ def test_unverified_quotes_in_another_unicode_form(spark):
     rows = [("ＡＢＣ１２３ＤＥＦ", "so abc ABC123DEF end"), ("cafe\u0301 au lait", "un café au lait"), ("ABC123DEF", "x ＡＢＣ１２３\nＤＥＦ"), ("ＡＢＣ１２３ＤＥＧ", "so ABC123DEF end"), ("ＡＢ", "so"), (None, "so")]
     df = spark.createDataFrame(rows, "q string, t string")
     assert [r[0] for r in df.select(quotes.unverified(F.col("q"), F.col("t"))).collect()] == [False, False, False, True, False, None]
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    import re
+
+    r = random.Random(11)
+    pool = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 12))) for _ in range(60)]
+    sentence = lambda: " ".join(r.choice(pool) for _ in range(r.randrange(2, 9))) + "."
+    texts, quotes_ = [], []
+    for i in range(12):
+        parts = [sentence() + " " for _ in range(10)]
+        texts.append((i, "".join(parts)))
+        for share in (0.0, 0.08, 0.14, 0.2):
+            a = r.randrange(8)
+            c = list("".join(parts[a : a + r.randrange(1, 3)]).strip())
+            step = int(1 / share) if share else len(c) + 1
+            for at in range(step - 1, len(c), step):  # evenly spread: every long word is touched
+                c[at] = "Z"
+            quotes_.append((len(quotes_), "".join(c)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for doc, text in texts:
+        s = re.split(r"(?<=[.])", text)
+        for no in range(len(s)):
+            for span in {"".join(s[no : no + n]).strip(" ") for n in range(1, 9)}:
+                for q, quote in quotes_:
+                    if abs(len(span) - len(quote)) <= len(quote) * (1 - 0.85):
+                        ratio = round(1 - distance(span, quote) / max(len(span), len(quote)), 4)
+                        if ratio >= 0.85:
+                            want[q, doc] = max(want.get((q, doc), (0, 0)), (ratio, -no))
+    found = quotes.fuzzy_matches(spark.createDataFrame(quotes_, "quote_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").collect()
+    assert {(x["quote_id"], x["doc_id"]): -x["sentence"] for x in found} == {k: v[1] for k, v in want.items()} and len(want) >= 30
+    assert all(abs(float(x["ratio"]) - want[x["quote_id"], x["doc_id"]][0]) < 2e-4 for x in found)

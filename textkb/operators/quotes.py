@@ -10,6 +10,9 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
+#: A similarity this much below the least one may still round to it.
+ROUNDED = 0.0001
+
 
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -52,19 +55,23 @@ def _with_place(rows: DataFrame, text: str) -> DataFrame:
 def fuzzy_matches(quotes: DataFrame, texts: DataFrame, key: str, window: int = 8, least: float = 0.85) -> DataFrame:
     """Quotes in windows of up to ``window`` sentences at Levenshtein similarity ``least`` or more.
 
-    Only windows that share a rare word (one of the quote's three longest) and a similar length meet
-    their quote; the best window of each (quote, text) is kept.
+    A window meets the quotes of similar length that have a piece in it: a quote is cut into one piece more
+    than the edits that ``least`` admits at the greatest length, so one piece of every match is unchanged
+    and none is lost. The best window of each (quote, text) is kept.
     """
-    words = F.transform(F.array_sort(F.array_distinct(F.split(F.lower("quote"), r"[^\p{L}\p{N}]+")), lambda a, b: F.length(b) - F.length(a)), lambda w: w)
-    q = quotes.select("quote_id", "quote", F.explode(F.slice(words, 1, 3)).alias("word")).where("word <> ''")
+    edits = f"int(floor({1 - least + ROUNDED} * (floor(length(quote) * {2 - least}) + 1)))"
+    cut = "int(floor({i} * length(quote) / (edits + 1)))"
+    q = quotes.select("quote_id", "quote", F.expr(edits).alias("edits")).where("length(quote) > 0")
+    pieces = f"transform(sequence(0, edits), i -> substring(quote, {cut.format(i='i')} + 1, {cut.format(i='(i + 1)')} - {cut.format(i='i')}))"
+    lengths = f"explode(sequence(greatest(int(floor(length(quote) * {least})) - 1, 0), int(ceil(length(quote) * {2 - least})) + 1))"
+    q = q.select("*", F.expr(pieces).alias("pieces"), F.expr(lengths).alias("length"))
     sentences = texts.select(key, F.posexplode(F.split("text", r"(?<=[.!?。！？\n])")).alias("no", "sentence"))
     w = Window.partitionBy(key).orderBy("no")
     spans = sentences.select(key, "no", *(F.lead("sentence", i).over(w).alias(f"s{i}") for i in range(window)))
     joined = F.array(*(F.concat_ws("", *(f"s{j}" for j in range(i + 1))) for i in range(window)))
-    found = spans.select(key, "no", "s0", F.array_distinct(joined).alias("spans"))
-    found = found.withColumn("word", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws("", "s0", F.element_at("spans", -1))), r"[^\p{L}\p{N}]+")))).where("word <> ''")
-    pairs = found.join(q, "word").select(key, "no", "quote_id", "quote", "spans").dropDuplicates([key, "no", "quote_id"])
-    pairs = pairs.withColumn("span", F.explode("spans")).withColumn("span", F.trim("span"))
+    found = spans.select(key, "no", F.explode(F.array_distinct(joined)).alias("span")).withColumn("span", F.trim("span"))
+    pairs = found.withColumn("length", F.length("span")).join(q, "length")
+    pairs = pairs.where(F.exists("pieces", lambda p: F.contains("span", p))).where("levenshtein(span, quote, edits) >= 0")
     near = F.abs(F.length("span") - F.length("quote")) <= F.length("quote") * (1 - least)
     ratio = 1 - F.levenshtein("span", "quote") / F.greatest(F.length("span"), F.length("quote"))
     scored = pairs.where(near).withColumn("ratio", T.decimal_round(ratio)).where(F.col("ratio") >= least)
