@@ -349,6 +349,22 @@ def test_decontamination_recall_by_edits(length, share):
     assert found >= 18
 
 
+def test_decontamination_of_short_items(spark):
+    """Every place of items under 24 characters, held against the column recurrence over whole texts."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip()
+    items = [(n, w) for n in range(1, 24) if (w := " ".join(word(n).split()))]
+    docs = [(i, word(30) + edited + word(20)) for i, edited in enumerate([*(t for _, t in items), *(t[:3] + "zz" + t[4:] for _, t in items), "", *(t[1:] for _, t in items)])]
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (50, " "), (51, "")], "item_id long, text string")).collect()
+    code = lambda t: decontamination.normalized(np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0, len(t)]))[0]
+    want = {(d, i): b[0] for d, t in docs for i, w in items if (b := decontamination.best_substring(code(w), code(t), int(0.2 * len(w))))}
+    assert {(x["doc_id"], x["item_id"]): x["edits"] for x in got} == want and len(want) >= 40
+    texts, names = dict(docs), dict(items)
+    exact = [x for x in got if x["edits"] == 0]
+    assert exact and all(" ".join(texts[x["doc_id"]][x["start"] : x["end"]].split()) == names[x["item_id"]] for x in exact)
+    assert {n for n, _ in items if n > 9} <= {x["item_id"] for x in exact}
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,8 @@ Texts and items are compared as lower-case characters with runs of white space a
   key, half of them on each of two independent walks. One of the item's blocks has to collide in one
   table. Widths, samples and tables are set so that at ``MAX_EDITS`` random edits at least 0.9 of the
   items from 80 characters on are found (tests: 100, 1,000 and 3,000).
+* *Short items.* Items shorter than the least of ``WIDTHS`` are not hashed by walks: all their places within
+  ``MAX_EDITS`` are found, by pieces (``ShortItems``).
 * *Verification.* A colliding pair is dropped only if the ``STRETCH`` characters of the item around it
   stand in the text with more than ``STRETCH_EDITS`` times the allowed share of edits. The rest is
   verified by the exact edit distance of the item to the best substring around the place it proposes
@@ -41,7 +43,6 @@ FLAG_BITS = 20
 MAX_EDITS = 0.2
 STRETCH, STRETCH_EDITS = 64, 2
 BLOCK_CHARS = 200_000
-LEAST_ITEM = WIDTHS[0][0]
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int, item_chars int"
 
 _BLANK = np.zeros(0x10000, bool)
@@ -205,6 +206,60 @@ class ItemIndex:
         return good
 
 
+class ShortItems:
+    """Items too short for windows. One of (edits + 1) equal pieces of an item stands unchanged in every
+    match, so all places are met: pieces are looked up at each place of the text."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items, self._pieces = items, {}
+
+    def pieces(self, max_edits: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(length, codes in order, item, offset in the item)`` for each length of a piece, 8 at most."""
+        if max_edits not in self._pieces:
+            by: dict[int, list] = {}
+            for k, (_, cp) in enumerate(self.items):
+                parts, s = int(max_edits * len(cp)) + 1, symbols(cp)
+                size = len(cp) // parts
+                for o in range(0, parts * size, size):
+                    by.setdefault(min(size, 8), []).append((int(_codes(s[o : o + size], min(size, 8))[0]), k, o))
+            self._pieces[max_edits] = [(n, *(np.array(c, t) for c, t in zip(zip(*sorted(x), strict=True), (np.uint64, np.int64, np.int64), strict=True))) for n, x in sorted(by.items())]
+        return self._pieces[max_edits]
+
+    def candidates(self, symbol: np.ndarray, rows_at: np.ndarray, max_edits: float) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(row, item, begin, end, least edits)`` of the stretches that may hold an item."""
+        lengths = np.array([len(cp) for _, cp in self.items])
+        limits = (max_edits * lengths).astype(np.int64)
+        bits = [bit_rows(symbols(cp), np.zeros(1, np.int64), len(cp)) for _, cp in self.items]
+        for size, known, items, offsets in self.pieces(max_edits):
+            for a in range(0, len(symbol) - size + 1, 1 << 16):
+                codes = _codes(symbol[a : a + (1 << 16) + size - 1], size)
+                lo, hi = np.searchsorted(known, codes, "left"), np.searchsorted(known, codes, "right")
+                n = hi - lo
+                at = np.repeat(np.arange(a, a + len(codes)), n)
+                hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = np.searchsorted(rows_at, at, "right") - 1
+                inside = at + size <= rows_at[row + 1]
+                at, hit, row = at[inside], hit[inside], row[inside]
+                for k in np.unique(items[hit]).tolist():
+                    length, limit = int(lengths[k]), int(limits[k])
+                    mine = np.flatnonzero(items[hit] == k)
+                    for b in range(0, len(mine), 1 << 13):
+                        m = mine[b : b + (1 << 13)]
+                        r, first = row[m], at[m] - offsets[hit[m]] - limit
+                        least = least_edits(np.repeat(bits[k], len(m), axis=0), length, _regions(symbol, first, rows_at[r], rows_at[r + 1], length + 2 * limit))
+                        good = least <= limit
+                        begin, end = np.maximum(first, rows_at[r]), np.minimum(first + length + 2 * limit, rows_at[r + 1])
+                        yield from zip(r[good].tolist(), [k] * int(good.sum()), begin[good].tolist(), end[good].tolist(), least[good].tolist(), strict=True)
+
+
+def _codes(symbol: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` symbols from each place on, as one number."""
+    out = np.zeros(len(symbol) - size + 1, np.uint64)
+    for j in range(size):
+        out |= symbol[j : j + len(out)].astype(np.uint64) << U64(8 * j)
+    return out
+
+
 def best_substring(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int] | None:
     """Least edit distance of ``item`` to a substring of ``text``, if at most ``limit``, and its first
     end: the bit-parallel column recurrence over integers of any length."""
@@ -240,19 +295,31 @@ def located(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, i
     return edits, end - back[1], end
 
 
-def _indexes(items: list[tuple[int, np.ndarray]]) -> list[ItemIndex]:
+def _indexes(items: list[tuple[int, np.ndarray]]) -> list[ItemIndex | ShortItems]:
     by_width: dict[int, list] = {}
     for one in items:
-        by_width.setdefault(max(w for least, w in WIDTHS if least <= len(one[1])), []).append(one)
-    return [ItemIndex(w, x) for w, x in sorted(by_width.items())]
+        by_width.setdefault(max((w for least, w in WIDTHS if least <= len(one[1])), default=0), []).append(one)
+    return [ItemIndex(w, x) if w else ShortItems(x) for w, x in sorted(by_width.items())]
 
 
-def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex], max_edits: float) -> list[tuple[int, int, int, int, int, int]]:
+def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems], max_edits: float) -> list[tuple[int, int, int, int, int, int]]:
     """``(row, item_id, start, end, edits, item_chars)``: the best place of each item in each row."""
     text, rows_at, places = normalized(cp, at)
     symbol = symbols(text)
     best: dict[tuple[int, int], tuple] = {}
     for index in indexes:
+        if isinstance(index, ShortItems):
+            for r, k, lo, hi, least in index.candidates(symbol, rows_at, max_edits):
+                item_id, item = index.items[k]
+                old = best.get((r, item_id))
+                if old and (least, int(places[lo] - at[r])) > old[:2]:
+                    continue
+                found = located(item, text[lo:hi], int(max_edits * len(item)))
+                if found:
+                    edits, s, e = found
+                    value = (edits, int(places[lo + s] - at[r]), int(places[lo + e - 1] - at[r]) + 1, len(item))
+                    best[r, item_id] = min(old or value, value)
+            continue
         w = index.width
         blocks = np.diff(rows_at) // w
         row = np.repeat(np.arange(len(blocks)), blocks)
@@ -289,7 +356,7 @@ def _item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[
         item = normalized(cp, np.array([0, len(cp)]))[0]
         item = item[1:] if len(item) and item[0] == 32 else item
         item = item[:-1] if len(item) and item[-1] == 32 else item
-        if len(item) < LEAST_ITEM:
+        if not len(item):
             continue
         if block and size + len(item) > block_chars:
             yield block
@@ -305,8 +372,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
     at its best place (code points, end exclusive; ties: the first).
 
     Null texts and rows with a null doc_id hold nothing; repeated rows repeat their findings; items
-    that are null or shorter than ``LEAST_ITEM`` characters after normalization take no part; an
-    empty table on either side gives no rows.
+    that are null or empty after normalization take no part; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
