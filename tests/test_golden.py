@@ -164,11 +164,11 @@ def test_sinks(spark, tmp_path):
 
 
 def test_responses(spark):
-    good = '{"narrative_skills":[{"skill_name":"a","scene_type":"s"},{"skill_name":" "},{"skill_name":"a","scene_type":"t"}, 5]}'
+    good = '{"scene_type":"t","narrative_skills":[{"skill_name":"a","analysis":"s"},{"skill_name":" "},{"skill_name":"a","analysis":"u"}, 5]}'
     rows = [("b", "c", 0, good), ("b", "c", 1, f"Sure!\n```json\n{good}\n```"), ("b", "d", 2, '{"narrative_skills": [{'), ("b", "e", 3, '{"other": 1}'), ("b", "f", 4, None)]
-    df = spark.createDataFrame(rows, "book_name string, chapter_id string, seq int, response string")
+    df = spark.createDataFrame(rows, "book_name string, chapter_id string, seq int, response string").withColumn("category", F.lit("x"))
     got = ingest.ingest(df, ingest.KINDS["skills"]).collect()
-    assert [(r["skill_name"], r["scene_type"], r["seq"]) for r in got] == [("a", "t", 1)]
+    assert [(r["skill_name"], r["scene_type"], r["analysis"], r["seq"]) for r in got] == [("a", "t", "u", 1)]
     assert sorted(r["seq"] for r in ingest.rejects(df, ingest.KINDS["skills"].schema).collect()) == [2, 4]
     assert len(ingest.KINDS) == 39
 

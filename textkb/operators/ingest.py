@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from dataclasses import field as _field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,135 +21,238 @@ def json_part(response: Column | str) -> Column:
 
 def parsed(responses: DataFrame, schema: str, column: str = "response") -> DataFrame:
     """Adds ``parsed``: the struct, or null where the text holds no valid JSON object."""
-    part = json_part(column)
-    return responses.withColumn("parsed", F.when(F.try_parse_json(part).isNotNull(), F.from_json(part, schema, {"mode": "PERMISSIVE"})))
+    return responses.withColumn("parsed", F.try_variant_get(F.try_parse_json(json_part(column)), "$", schema))
 
 
-def rejects(responses: DataFrame, schema: str, column: str = "response") -> DataFrame:
-    return parsed(responses, schema, column).where("parsed is null").drop("parsed")
+def rejects(responses: DataFrame, column: str = "response") -> DataFrame:
+    """The responses that hold no valid JSON object."""
+    return responses.where(F.try_parse_json(json_part(column)).isNull())
+
+
+@dataclass(frozen=True)
+class Field:
+    """Where a column comes from: ``name`` in the item, ``$.name`` in the response, ``@name`` beside it.
+
+    ``how``: text (JSON text for anything nested), int, double, json (JSON text), bar or comma (a list of
+    strings joined by that). ``default`` stands for what is missing or blank.
+    """
+
+    source: str
+    how: str = "text"
+    default: object = ""
+
+
+def _fields(*specs: str) -> dict[str, Field]:
+    """``name=source#how?default``, all but the name optional. A name with ``_`` in front is only for others to use."""
+    out = {}
+    empty = {"text": "", "bar": "", "comma": "", "json": "[]", "int": None, "double": None, "array": None}
+    for spec in specs:
+        name, source, how, default = re.fullmatch(r"(\w+)(?:=([@$.\w]+))?(?:#(\w+))?(?:\?(.*))?", spec).groups()
+        how = how or "text"
+        value = empty[how] if default is None else {"int": int, "double": float}.get(how, str)(default)
+        out[name] = Field(source or name, how, value)
+    return out
 
 
 @dataclass(frozen=True)
 class Kind:
     """How one kind of response becomes rows of a table.
 
-    ``path``: the array in the response ('' for the object itself); ``fields``: name -> type;
-    ``required`` must be non-blank; ``defaults`` fill blanks; ``key`` makes the id; ``first``: the first
-    row of a key wins (else the last).
+    ``path``: the list of items in the response, with ``one`` a single object ('': the response itself);
+    ``required`` columns must not be blank and ``where`` must hold; ``derive`` adds columns (SQL or a
+    function) from the others; ``key`` makes the id; ``first``: the first row of a key wins (else the last).
     """
 
     table: str
     path: str
-    fields: dict[str, str]
+    fields: dict[str, Field]
     required: tuple[str, ...] = ()
-    defaults: dict[str, object] = field(default_factory=dict)
     key: tuple[str, ...] = ("book_name", "chapter_id")
+    derive: dict[str, str | Callable[[], Column]] = _field(default_factory=dict)
+    where: str = "true"
+    one: bool = False
     first: bool = False
     limit_one_per_book: bool = False
 
-    @property
-    def item(self) -> str:
-        return "struct<" + ",".join(f"`{k}`:{v}" for k, v in self.fields.items()) + ">"
-
-    @property
-    def schema(self) -> str:
-        return f"struct<`{self.path}`:array<string>>" if self.path else self.item
-
-
-def _filled(name: str, kind: Kind) -> Column:
-    c = F.col(f"item.{name}")
-    if kind.fields[name] == "string":
-        c = F.nullif(T.strip(c), F.lit(""))
-    return F.coalesce(c, F.lit(kind.defaults[name])) if name in kind.defaults else c
+    @cached_property
+    def context(self) -> list[str]:
+        """Columns that must stand beside the response."""
+        return list(dict.fromkeys(f.source[1:] for f in self.fields.values() if f.source.startswith("@")))
+
+    @cached_property
+    def columns(self) -> list[str]:
+        return [c for c in (*self.fields, *self.derive) if not c.startswith("_")]
+
+
+def _value(name: str, f: Field) -> Column:
+    if f.source.startswith("@"):
+        got = F.col(f"_context.{f.source[1:]}")
+        return got if f.how == "array" else F.coalesce(got, F.lit(f.default))
+    whole, path = ("_response", f.source) if f.source.startswith("$") else ("_item", f"$.{f.source}")
+    get = lambda t: F.try_variant_get(F.col(whole), path, t)
+    if f.how in ("int", "double"):
+        got = get(f.how)
+    elif f.how == "json":
+        got = F.to_json(get("variant"))
+    elif f.how == "bar":
+        got = F.array_join(get("array<string>"), "|")
+    elif f.how == "comma":
+        got = T.joined_known(get("array<string>"))
+    else:
+        got = F.nullif(T.strip(get("string")), F.lit(""))
+    return got if f.default is None else F.coalesce(got, F.lit(f.default))
 
 
 def ingest(responses: DataFrame, kind: Kind) -> DataFrame:
-    """``(id, book_name, chapter_id, seq, fields..)`` rows of one kind, one for each key.
+    """``(id, book_name, chapter_id, seq, pos, columns..)`` rows of one kind, one for each key.
 
-    ``responses`` has book_name, chapter_id, seq (the order in which later rows win) and response.
+    ``responses`` has book_name, chapter_id, seq (the order in which later rows win), response and the kind's
+    ``context`` columns. Every response is parsed once; items are read one by one, so that one that is no
+    object does not spoil the others. Copies of a key are cut to one in each task before the shuffle.
     """
-    rows = parsed(responses, kind.schema).where("parsed is not null")
-    # Items are parsed one by one, so that one that is no object does not spoil the others.
-    objects = lambda: F.transform(F.filter(f"parsed.{kind.path}", lambda x: x.startswith("{")), lambda x: F.from_json(x, kind.item))
-    item = objects() if kind.path else F.array("parsed")
-    rows = rows.select("book_name", "chapter_id", "seq", F.posexplode(item).alias("pos", "item")).where("item is not null")
-    rows = rows.select("book_name", "chapter_id", "seq", "pos", *(_filled(f, kind).alias(f) for f in kind.fields))
+    given = F.struct(*(F.col(c) for c in kind.context)) if kind.context else F.lit(None)
+    rows = responses.select("book_name", "chapter_id", "seq", given.alias("_context"), F.try_parse_json(json_part("response")).alias("_response"))
+    path = f"$.{kind.path}" if kind.path else "$"
+    items = F.try_variant_get("_response", path, "array<variant>") if kind.path and not kind.one else F.array(F.try_variant_get("_response", path, "variant"))
+    # Outer: else Spark would filter by the list, and parse each response a second time for that.
+    rows = rows.select("*", F.posexplode_outer(items).alias("pos", "_item")).where("_item is not null")
+    if not kind.required:
+        rows = rows.where(F.schema_of_variant("_item").startswith("OBJECT"))
+    kept = [c for c in ("book_name", "chapter_id", "seq", "pos") if c not in kind.fields]
+    rows = rows.select(*kept, *(_value(n, f).alias(n) for n, f in kind.fields.items()))
     for f in kind.required:
-        rows = rows.where(F.col(f).isNotNull())
-    rows = rows.withColumn("id", T.key(*(F.col(k) if k in rows.columns else F.lit(k) for k in kind.key)))
+        rows = rows.where(F.coalesce(F.col(f), F.lit("")) != "")
+    for name, rule in kind.derive.items():
+        rows = rows.withColumn(name, F.expr(rule) if isinstance(rule, str) else rule())
+    rows = rows.where(kind.where)
+    rows = rows.withColumn("id", F.col("chapter_id") if kind.key == ("chapter_id",) else T.key(*(F.col(k) if k in rows.columns else F.lit(k) for k in kind.key)))
     out = one_per_key(rows, ["id"], ["seq", "pos"], first=kind.first)
     if kind.limit_one_per_book:
         out = one_per_key(out, ["book_name"], ["seq", "pos"], first=True)
-    return out.select("id", "book_name", "chapter_id", "seq", "pos", *kind.fields)
+    return out.select("id", "book_name", "chapter_id", "seq", "pos", *(c for c in kind.columns if c not in ("book_name", "chapter_id")))
 
 
 def one_per_key(rows: DataFrame, key: list[str], order: list[str], first: bool) -> DataFrame:
-    """The first or last row of each key by ``order``: an aggregate, so copies of a key are combined before
-    the shuffle and no key's rows meet in one sort."""
-    rest = [c for c in rows.columns if c not in key]
-    pick = (F.min_by if first else F.max_by)(F.struct(*rest), F.struct(*order))
-    return rows.groupBy(*key).agg(pick.alias("_row")).select(*key, *(F.col(f"_row.{c}") for c in rest)).select(rows.columns)
+    """The first or last row of each key by ``order``. Spark cuts a key's rows to one in each task before the
+    shuffle (window group limit), so no key's rows meet in one sort."""
+    w = Window.partitionBy(*key).orderBy(*((F.col(c).asc() if first else F.col(c).desc()) for c in order))
+    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
 
+def _sample(table: str, type_: str, *others: str, text: str = "original_text", default: str = "未知", strict: bool = False) -> Kind:
+    fields = _fields(f"{type_}?{'' if strict else default}", text, *others, "writing_quality#int?5")
+    return Kind(table, table, fields, (type_, text) if strict else (text,), ("book_name", "chapter_id", type_))
 
-S = "string"
-SAMPLE = {"type": S, "original_text": S, "technique": S, "tension": S, "writing_quality": "int"}
 
+def _state_json() -> Column:
+    """Flattened character state and the other notes on a chapter as one JSON object."""
+    parts = [F.lit('{"character_state":'), F.coalesce(F.to_json(flattened_state("_state")), F.lit("{}"))]
+    for name in ("key_events", "scene_transitions", "information_flow", "emotion_arc", "time_progression"):
+        parts += [F.lit(f',"{name}":'), F.col(f"_{name}")]
+    return F.concat(*parts, F.lit("}"))
 
-def _sample(table: str, path: str, text: str = "original_text", kind: str = "type") -> Kind:
-    fields = {kind: S, text: S, "technique": S, "tension": S, "writing_quality": "int"}
-    return Kind(table, path, fields, (text,), {"writing_quality": 5}, ("book_name", "chapter_id", kind))
 
+def _scores() -> Column:
+    """``{dimension: {score, comment}}`` of the dimensions that are objects."""
+    entry = "struct<score:double,comment:string>"
+    scores = F.map_filter(F.from_json("_scores", "map<string,string>"), lambda k, v: v.rlike(r"^\s*\{"))
+    filled = lambda k, v: F.struct(F.coalesce(F.from_json(v, entry)["score"], F.lit(0.0)).alias("score"), F.coalesce(F.from_json(v, entry)["comment"], F.lit("")).alias("comment"))
+    return F.coalesce(F.to_json(F.transform_values(scores, filled)), F.lit("{}"))
+
+
+def _listed(source: str, required: str, **defaults: str) -> Callable[[], Column]:
+    """The objects of a JSON list that have ``required``, with exactly the given fields."""
+
+    def column() -> Column:
+        objects = F.filter(F.from_json(source, "array<string>"), lambda x: x.startswith("{"))
+        typed = F.transform(objects, lambda x: F.from_json(x, "struct<" + ",".join(f"{n}:string" for n in defaults) + ">"))
+        kept = F.filter(typed, lambda x: F.coalesce(x[required], F.lit("")) != "")
+        return F.coalesce(F.to_json(F.transform(kept, lambda x: F.struct(*(F.coalesce(x[n], F.lit(d)).alias(n) for n, d in defaults.items())))), F.lit("[]"))
+
+    return column
+
+
+_PROFILE = ("appearance", "quirks", "identity", "motivation", "internal_conflict", "personality", "relation_to_mc?未知", "relations_to_others", "climax_or_fate", "background", "speech_samples", "behavior_samples", "relationship_evolution", "abilities", "internal_dilemma", "transformation_trigger", "contrast_design")
 
 #: Response kinds by table. Keys name columns or, where there is none, literals.
 KINDS = {
     k.table: k
     for k in (
-        Kind("plot_arcs", "", {"summary": S, "emotion_arc": S, "time_progression": S, "character_state": "map<string,string>", "key_events": "array<struct<event:string,impact:string>>"}),
-        Kind("skills", "narrative_skills", {"scene_type": S, "skill_name": S, "original_text": S}, ("skill_name",), {}, ("book_name", "chapter_id", "skill_name")),
-        Kind("author_fingerprints", "", {"narrative_perspective": S, "sentence_style": S, "verbs": "array<string>", "adjectives": "array<string>"}, (), {}, ("book_name", "chapter_id", "fingerprint")),
-        Kind("sensory_mappings", "sensory_mappings", {"emotion": S, "visual": S, "sound": S}, ("emotion",), {}, ("book_name", "chapter_id", "emotion")),
-        Kind("classic_excerpts", "classic_excerpts", {"style_tag": S, "text": S}, ("text",), {}, ("book_name", "chapter_id", "style_tag")),
-        Kind("world_settings", "world_settings", {"module": S, "entity": S, "content": S}, ("content",), {}, ("book_name", "module", "entity")),
-        Kind("world_timeline", "world_timeline", {"era_or_year": S, "event_name": S}, ("event_name",), {}, ("book_name", "era_or_year", "event_name"), first=True),
-        Kind("faction_networks", "faction_networks", {"faction_a": S, "faction_b": S, "relation": S}, ("faction_a", "faction_b"), {}, ("book_name", "faction_a", "faction_b")),
-        Kind("golden_finger", "golden_finger", {"name": S, "type": S, "abilities": "array<string>"}, ("name",), {}, ("book_name", "golden_finger"), first=True, limit_one_per_book=True),
-        Kind("character_profiles", "characters", {"name": S, "role": S, "profile": S}, ("name",), {"role": "未知"}, ("book_name", "name", "profile")),
-        Kind("macro_outlines", "", {"volume_index": "int", "volume_theme": S, "core_conflict": S}, ("volume_theme",), {}, ("book_name", "volume_index")),
-        Kind("plot_foreshadowing", "foreshadowing", {"hook": S, "status": S, "planted": S, "resolved": S}, ("hook",), {}, ("book_name", "hook", "planted", "resolved")),
-        Kind("entity_state_tracker", "entities", {"entity": S, "description": S, "chapter_range": S}, ("entity", "description"), {}, ("book_name", "entity", "chapter_range"), first=True),
-        Kind("setting_evolutions", "evolutions", {"module": S, "entity": S, "chapter_range": S}, ("module", "entity"), {}, ("book_name", "module", "entity", "chapter_range")),
-        Kind("chapter_functions", "functions", {"chapter_id_": S, "function_type": S}, ("chapter_id_",), {}, ("book_name", "chapter_id_")),
-        _sample("dialogue_samples", "dialogues"), _sample("description_samples", "descriptions"), _sample("transition_samples", "transitions"),
-        _sample("narrative_distance", "distances", "original_example"), _sample("show_tell_patterns", "show_tell", "original_example"),
-        _sample("action_scene_samples", "actions"), _sample("climax_excerpts", "climaxes"), _sample("memorable_quotes", "quotes", "quote_text"),
-        Kind("character_speech_style", "speech", {"name": S, "catchphrases": "array<string>"}, ("name",), {}, ("book_name", "name", "speech")),
-        Kind("character_behavior_marks", "behavior", {"name": S, "habitual_actions": "array<string>"}, ("name",), {}, ("book_name", "name", "behavior")),
-        Kind("character_relationship_dynamics", "relations", {"a": S, "b": S, "relation": S}, ("a", "b"), {}, ("book_name", "a", "b")),
-        Kind("plot_lines", "plot_lines", {"name": S, "line_type": S}, ("name",), {}, ("book_name", "name")),
-        Kind("revelation_pacing", "revelations", {"secret": S, "pace": S}, ("secret",), {}, ("book_name", "secret")),
-        Kind("emotion_transition_patterns", "transitions", {"from_emotion": S, "to_emotion": S}, ("from_emotion", "to_emotion"), {}, ("book_name", "from_emotion", "to_emotion")),
-        Kind("information_management", "information", {"info_type": S, "technique": S}, ("info_type",), {}, ("book_name", "info_type")),
-        Kind("climax_buildup_chains", "chains", {"climax": S, "steps": "array<string>"}, ("climax",), {}, ("book_name", "climax")),
-        Kind("conflict_escalation", "conflicts", {"conflict": S, "levels": "array<string>"}, ("conflict",), {}, ("book_name", "conflict")),
-        Kind("story_events", "events", {"event_name": S, "event_type": S, "significance": S}, ("event_name",), {"significance": "medium"}, ("book_name", "chapter_id", "event_name")),
-        Kind("event_causal_edges", "edges", {"source": S, "target": S, "causal_type": S}, ("source", "target"), {}, ("book_name", "source", "target")),
-        Kind("chapter_reviews", "", {"overall_score": "double", "issues": "array<struct<issue_type:string,severity:string,description:string>>"}, (), {}, ("book_name", "chapter_id", "review")),
-        Kind("kb_references", "references", {"ref_book": S, "dimension": S, "table_name": S}, ("ref_book", "dimension"), {}, ("book_name", "dimension", "ref_book", "table_name")),
-        Kind("cross_book_comparisons", "comparisons", {"dimension": S, "books": "array<string>", "finding": S}, ("dimension",), {}, ("dimension", "books")),
-        Kind("common_mistakes", "mistakes", {"dimension": S, "name": S, "frequency": "int"}, ("dimension", "name"), {"frequency": 1}, ("dimension", "name")),
-        Kind("technique_combinations", "combinations", {"scene_type": S, "name": S}, ("name",), {}, ("scene_type", "name", "book_name")),
+        Kind("plot_arcs", "", _fields("category=@category", "summary=chapter_summary", "_state=character_state", "_key_events=key_events#json", "_scene_transitions=scene_transitions#json?{}", "_information_flow=information_flow#json?{}", '_emotion_arc=emotion_arc#json?""', '_time_progression=time_progression#json?""'), key=("chapter_id",), derive={"character_state_json": _state_json}),
+        Kind("skills", "narrative_skills", _fields("category=@category", "scene_type=$.scene_type?未知", "skill_name", "analysis", "original_example"), ("skill_name",), ("book_name", "chapter_id", "skill_name"), {"tags": "scene_type || '|' || skill_name"}),
+        Kind("author_fingerprints", "author_fingerprint", _fields("category=@category", "verbs=preferred_verbs#comma", "adjectives=preferred_adjectives#comma", "imagery=environmental_imagery#comma", "transitions=signature_transitions#comma", "narrative_perspective", "sentence_rhythm"), key=("book_name", "chapter_id", "fingerprint"), one=True),
+        Kind("sensory_mappings", "sensory_mappings", _fields("category=@category", "emotion", "show_not_tell", "analysis"), ("emotion",), ("book_name", "chapter_id", "emotion")),
+        Kind("classic_excerpts", "classic_excerpts", _fields("category=@category", "excerpt_text", "scene_type", "style_tag"), ("excerpt_text",), ("book_name", "chapter_id", "style_tag"), {"_garbled": lambda: T.is_mojibake("excerpt_text")}, "NOT _garbled"),
+        Kind("world_settings", "world_settings", _fields("author=@author", "category=@category", "module?未知", "entity?未知", "content", "tags#bar"), ("content",), ("book_name", "module", "entity")),
+        Kind("world_timeline", "world_timeline", _fields("era_or_year?未知纪元", "event_name", "event_description", "impact"), ("event_name",), ("book_name", "era_or_year", "event_name"), first=True),
+        Kind("faction_networks", "faction_networks", _fields("faction_a", "faction_b", "relation_type?未知", "relation_detail", "stability", "key_events"), ("faction_a", "faction_b"), ("book_name", "faction_a", "faction_b")),
+        Kind("golden_finger", "golden_finger", _fields("name", "type", "abilities#json", "upgrade_path", "limitations#json", "cost_layers#json", "interaction_with_plot"), ("name",), ("book_name", "golden_finger", "name"), {"source_chapter": "chapter_id"}, "type <> '无'", one=True, first=True, limit_one_per_book=True),
+        Kind("character_profiles", "character_profiles", _fields("author=@author", "category=@category", "name", "role_type?未知", *_PROFILE), ("name",), ("book_name", "name", "profile")),
+        Kind("macro_outlines", "", _fields("category=@category", "volume_index=@volume_index#int", "chapter_range=@chapter_range", "theme=volume_theme", "conflict=core_conflict", "_beats=plot_beats#json", "arc=character_arc"), ("theme",), ("book_name", "_volume"), {"_volume": "'vol_' || volume_index", "beats_json": "CASE WHEN _beats LIKE '[%' THEN _beats ELSE '[]' END"}),
+        Kind("plot_foreshadowing", "foreshadowing", _fields("hook_name", "_action=action?plant", "_range=@chapter_range", "planned_payoff=description", "payoff_timing", "scope_type"), ("hook_name",), ("book_name", "hook_name", "planted_chapter", "resolved_chapter"), {"status": lambda: foreshadowing_status("_action"), "planted_chapter": "CASE WHEN status = 'open' THEN _range ELSE '' END", "resolved_chapter": "CASE WHEN status = 'resolved' THEN _range ELSE '' END", "last_advanced_chapter": "CASE WHEN status = 'advancing' THEN _range ELSE '' END"}),
+        Kind("entity_state_tracker", "state_changes", _fields("entity_name", "chapter_range=@chapter_range", "_type=change_type?状态变更", "_detail=change_description"), ("entity_name", "_detail"), ("book_name", "entity_name", "chapter_range"), {"current_state_json": "to_json(named_struct('type', _type, 'detail', _detail))"}, first=True),
+        Kind("setting_evolutions", "setting_evolutions", _fields("setting_module", "setting_entity", "chapter_range=@chapter_range", "evolution_type?未知", "before_state", "after_state", "trigger_event"), ("setting_module", "setting_entity"), ("book_name", "setting_module", "setting_entity", "chapter_range")),
+        Kind("chapter_functions", "chapter_functions", _fields("chapter_id", "function_type?未知", "pacing_type?未知", "structure_pattern_json=structure_pattern#json?{}", "hook_type?无钩子", "hook_content"), ("chapter_id",), ("book_name", "chapter_id")),
+        _sample("dialogue_samples", "scene_type", "emotional_tension", "subtext", "plot_function"),
+        _sample("description_samples", "description_type", "technique_analysis", "sensory_details"),
+        _sample("transition_samples", "transition_type", "technique_analysis"),
+        _sample("narrative_distance", "distance_type", "trigger_reason", text="original_example", strict=True),
+        _sample("show_tell_patterns", "pattern_type", "switching_triggers", text="original_example", strict=True),
+        _sample("action_scene_samples", "action_type", "technique_analysis", "pacing_analysis", "sensory_details"),
+        _sample("climax_excerpts", "excerpt_type", "technique_analysis", "emotional_impact"),
+        _sample("memorable_quotes", "quote_type", "context", "technique_analysis", text="quote_text", default=""),
+        Kind("character_speech_style", "speech_style", _fields("character_name=@character_name", "catchphrases#bar", "vocabulary_preference", "sentence_pattern", "tone_contexts_json=tone_contexts#json?{}", "dialogue_samples_json=dialogue_samples#json"), key=("book_name", "character_name", "speech"), one=True),
+        Kind("character_behavior_marks", "behavior_marks", _fields("character_name=@character_name", "habitual_actions#bar", "micro_expressions#bar", "defense_mechanisms", "behavior_samples_json=behavior_samples#json"), key=("book_name", "character_name", "behavior"), one=True),
+        Kind("character_relationship_dynamics", "relationship_dynamics", _fields("character_a=@character_name", "character_b=other_character", "timeline_json=relationship_timeline#json"), ("character_b",), ("book_name", "character_a", "character_b")),
+        Kind("plot_lines", "plot_lines", _fields("line_type", "theme", "chapter_distribution", "milestones_json=milestones#json"), ("line_type",), ("book_name", "line_type", "theme")),
+        Kind("revelation_pacing", "revelation_pacing", _fields("revelation_name", "reveal_chapter", "reveal_method", "impact"), ("revelation_name",), ("book_name", "revelation_name", "reveal_chapter")),
+        Kind("emotion_transition_patterns", "emotion_transition_patterns", _fields("transition_type", "foreshadowing_method"), ("transition_type",), ("book_name", "transition_type")),
+        Kind("information_management", "information_management", _fields("strategy_type", "target_info", "conceal_method", "reveal_timing", "dramatic_purpose"), ("strategy_type", "target_info"), ("book_name", "strategy_type", "target_info")),
+        Kind("climax_buildup_chains", "climax_buildup_chains", _fields("climax_name", "climax_chapter", "buildup_steps_json=buildup_steps#json", "tension_escalation"), ("climax_name",), ("book_name", "climax_name")),
+        Kind("conflict_escalation", "conflict_escalation", _fields("conflict_line", "escalation_steps_json=escalation_steps#json", "escalation_pattern"), ("conflict_line",), ("book_name", "conflict_line")),
+        Kind("story_events", "events", _fields("chapter_id", "event_name", "event_summary", "event_type", "characters_involved#json", "significance"), ("event_name",), ("book_name", "chapter_id", "event_name")),
+        Kind("event_causal_edges", "causal_edges", _fields("batch=@batch#int", "source=source_index", "target=target_index", "relation_type?未知", "relation_detail"), ("source", "target"), ("book_name", "batch", "source", "target")),
+        Kind("chapter_reviews", "", _fields("project_name=@project_name", "chapter_index=@chapter_index#int", "overall_score#double?0", "_scores=dimension_scores#json?{}", "_issues=issues#json", "_suggestions=suggestions#json", "_rewrites=rewrite_samples#json", "benchmark_books=@benchmark_books", "reviewed_at=@reviewed_at"), key=("project_name", "chapter_index", "review"), derive={
+            "dimension_scores_json": _scores,
+            "issues_json": _listed("_issues", "issue_type", issue_type="", severity="中", location="", description="", original_excerpt=""),
+            "suggestions_json": _listed("_suggestions", "suggestion_type", suggestion_type="", priority="中", description="", expected_effect=""),
+            "rewrite_samples_json": _listed("_rewrites", "rewritten_text", original_text="", rewritten_text="", rewrite_reason="", technique_applied=""),
+        }),
+        Kind("kb_references", "recommendations", _fields("project_name=@project_name", "_dimension=dimension", "ref_book", "ref_table", "ref_content=ref_content_summary", "usage_purpose=usage_suggestion"), ("ref_book", "_dimension"), ("project_name", "_dimension", "ref_book", "ref_table"), {"target_type": "'project'", "target_id": "project_name", "ref_id": "''"}),
+        Kind("cross_book_comparisons", "", _fields("comparison_dimension=@comparison_dimension", "_books=@books#array", "common_patterns_json=common_patterns#json", "unique_features_json=unique_features#json", "best_practices", "created_at=@created_at"), key=("comparison_dimension", "_joined"), derive={"books_analyzed": lambda: F.to_json("_books"), "_joined": lambda: F.array_join("_books", "_")}),
+        Kind("common_mistakes", "mistakes", _fields("dimension", "mistake_name", "typical_manifestation", "frequency#int?0", "correction_direction", "created_at=@created_at"), ("mistake_name",), ("dimension", "mistake_name")),
+        Kind("technique_combinations", "combinations", _fields("scene_type=@scene_type", "combo_name", "technique_sequence_json=technique_sequence#json", "technique_roles_json=technique_roles#json", "applicable_scenarios", "variations", "benchmark_book", "original_example", "created_at=@created_at"), ("combo_name",), ("scene_type", "combo_name", "benchmark_book")),
     )
 }
 
+#: Which table and column gives the good example for a mistake's dimension.
+BENCHMARKS = {"对话": ("dialogue_samples", "original_text"), "描写": ("description_samples", "original_text"), "节奏": ("climax_excerpts", "original_text"), "人物": ("character_profiles", "speech_samples"), "情节": ("climax_buildup_chains", "buildup_steps_json")}
+
+
+def with_benchmarks(mistakes: DataFrame, tables: dict[str, DataFrame], most: int = 200) -> DataFrame:
+    """Mistakes with ``benchmark_example`` (cut) and ``benchmark_book``: the row with the smallest id of the table
+    that ``BENCHMARKS`` names for the dimension; blank where there is none."""
+    rows = [tables[t].agg(F.min_by(F.struct(F.col(c).alias("x"), "book_name"), "id").alias("b")).select(F.lit(d).alias("dimension"), F.substring("b.x", 1, most).alias("benchmark_example"), F.col("b.book_name").alias("benchmark_book")) for d, (t, c) in BENCHMARKS.items() if t in tables]
+    if not rows:
+        return mistakes.withColumns({"benchmark_example": F.lit(""), "benchmark_book": F.lit("")})
+    found = rows[0]
+    for r in rows[1:]:
+        found = found.unionByName(r)
+    out = mistakes.join(F.broadcast(found), "dimension", "left")  # a row for each dimension at most
+    return out.select(*mistakes.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("benchmark_example", "benchmark_book")))
+
 
 def flattened_state(state: Column | str) -> Column:
     """One level of nested state: ``{k: {a: x}}`` (JSON values) becomes ``{k_a: x}``; lists joined by ``, ``;
-    a value that is no object stays as it is, under its own name."""
-    entries = F.map_entries(F.from_json(T.col(state), "map<string,string>"))
-    text = lambda v: F.when(v.rlike(r"^\s*\["), F.array_join(F.from_json(v, "array<string>"), ", ")).otherwise(v)
+    a value that is no object stays as it is, under its own name. A state that is no object is ``{_raw: state}``."""
+    whole = T.strip(F.coalesce(T.col(state), F.lit("")))
+    entries = F.map_entries(F.from_json(whole, "map<string,string>"))
+    text = lambda v: F.coalesce(F.when(v.rlike(r"^\s*\["), F.array_join(F.from_json(v, "array<string>"), ", ")).otherwise(v), F.lit(""))
     nested = lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat(e["key"], F.lit("_"), x["key"]).alias("key"), text(x["value"]).alias("value")))
     plain = lambda e: F.array(F.struct(e["key"].alias("key"), text(e["value"]).alias("value")))
-    return F.map_from_entries(F.flatten(F.transform(entries, lambda e: F.when(e["value"].rlike(r"^\s*\{"), nested(e)).otherwise(plain(e)))))
+    flat = F.map_from_entries(F.flatten(F.transform(entries, lambda e: F.when(e["value"].rlike(r"^\s*\{"), nested(e)).otherwise(plain(e)))))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return F.when(whole.startswith("{"), flat).when((whole == "") | (whole == "[]"), none).otherwise(F.create_map(F.lit("_raw"), whole))
 
 
 def foreshadowing_status(status: Column | str) -> Column:
@@ -156,13 +263,20 @@ def foreshadowing_status(status: Column | str) -> Column:
 
 
 def causal_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
-    """Edges by batch number and event number to edges by event id; what matches no event is dropped."""
+    """Edges by batch and event number (``source``, ``target``) to keyed edges by event id; what matches no
+    event is dropped, and of edges between the same two events one stays."""
     number = lambda c: F.col(c).try_cast("int")
-    source = events.select("book_name", "batch", F.col("number").alias("s"), F.col("event_id").alias("source_id"))
-    target = events.select("book_name", "batch", F.col("number").alias("t"), F.col("event_id").alias("target_id"))
+    source = events.select("book_name", "batch", F.col("number").alias("s"), F.col("event_id").alias("source_event_id"))
+    target = events.select("book_name", "batch", F.col("number").alias("t"), F.col("event_id").alias("target_event_id"))
     rows = edges.withColumn("s", number("source")).withColumn("t", number("target")).where("s is not null and t is not null")
     joined = rows.join(source, ["book_name", "batch", "s"]).join(target, ["book_name", "batch", "t"])
-    return joined.select("book_name", "source_id", "target_id", "causal_type").distinct()
+    keyed = joined.withColumn("id", T.key("book_name", "source_event_id", "target_event_id"))
+    return one_per_key(keyed, ["id"], ["batch", "relation_type", "relation_detail"], first=True).select("id", "book_name", "source_event_id", "target_event_id", "relation_type", "relation_detail")
+
+
+def with_global_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges of the batches and, of those found over a whole book, the ones with new ids."""
+    return edges.unionByName(found.join(edges.select("id"), "id", "left_anti"))
 
 
 def numbered_events(events: DataFrame, batch: int = 10) -> DataFrame:

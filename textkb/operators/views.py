@@ -26,46 +26,46 @@ class View:
 VIEWS: dict[str, View] = {
     "worldbuilding_settings": View("world_settings", ("entity", "content"), ("book_name", "module")),
     "worldbuilding_timeline": View("world_timeline", ("event_name",), order=("era_or_year", "id")),
-    "worldbuilding_search": View("world_settings", ("module", "entity")),
-    "worldbuilding_conflicts": View("conflict_escalation", ("conflict",)),
+    "worldbuilding_search": View("world_settings", ("module", "entity", "content")),
+    "worldbuilding_conflicts": View("conflict_escalation", ("conflict_line",)),
     "worldbuilding_factions": View("faction_networks", ("faction_a", "faction_b")),
-    "worldbuilding_setting_evolutions": View("setting_evolutions", ("entity",), ("book_name", "module")),
+    "worldbuilding_setting_evolutions": View("setting_evolutions", ("setting_entity",), ("book_name", "setting_module")),
     "character_profile": View("character_profiles", ("name",)),
-    "character_speech_style": View("character_speech_style", ("name",)),
-    "character_behavior": View("character_behavior_marks", ("name",)),
-    "character_relationship": View("character_relationship_dynamics", ("a", "b")),
-    "character_search": View("character_profiles", ("name", "role", "profile")),
-    "plot_subplots": View("plot_lines", ("name",), where="line_type <> 'main'"),
-    "plot_foreshadowing": View("plot_foreshadowing", ("hook",), ("book_name", "status")),
+    "character_speech_style": View("character_speech_style", ("character_name",)),
+    "character_behavior": View("character_behavior_marks", ("character_name",)),
+    "character_relationship": View("character_relationship_dynamics", ("character_a", "character_b")),
+    "character_search": View("character_profiles", ("name", "role_type", "personality")),
+    "plot_subplots": View("plot_lines", ("theme",), where="line_type <> 'main'"),
+    "plot_foreshadowing": View("plot_foreshadowing", ("hook_name",), ("book_name", "status")),
     "plot_chapter_functions": View("chapter_functions", ("function_type",)),
-    "plot_volume_outlines": View("macro_outlines", ("volume_theme",), order=("volume_index", "id")),
-    "plot_revelation_pacing": View("revelation_pacing", ("secret",)),
-    "plot_emotion_transitions": View("emotion_transition_patterns", ("from_emotion", "to_emotion")),
-    "plot_information_management": View("information_management", ("info_type",)),
-    "plot_climax_buildup": View("climax_buildup_chains", ("climax",)),
-    "plot_conflict_escalation": View("conflict_escalation", ("conflict",)),
+    "plot_volume_outlines": View("macro_outlines", ("theme",), order=("volume_index", "id")),
+    "plot_revelation_pacing": View("revelation_pacing", ("revelation_name",)),
+    "plot_emotion_transitions": View("emotion_transition_patterns", ("transition_type",)),
+    "plot_information_management": View("information_management", ("strategy_type", "target_info")),
+    "plot_climax_buildup": View("climax_buildup_chains", ("climax_name",)),
+    "plot_conflict_escalation": View("conflict_escalation", ("conflict_line",)),
     "style_fingerprint": View("author_fingerprints", ("narrative_perspective",)),
     "style_sensory": View("sensory_mappings", ("emotion",)),
-    "style_dialogue_samples": View("dialogue_samples", ("type",), order=("writing_quality", "id")),
-    "style_description_samples": View("description_samples", ("type",)),
+    "style_dialogue_samples": View("dialogue_samples", ("scene_type",), order=("writing_quality", "id")),
+    "style_description_samples": View("description_samples", ("description_type",)),
     "style_skills": View("skills", ("skill_name", "scene_type")),
-    "style_transitions": View("transition_samples", ("type",)),
-    "style_narrative_distance": View("narrative_distance", ("type",)),
-    "style_show_tell": View("show_tell_patterns", ("type",)),
-    "excerpt_search": View("classic_excerpts", ("style_tag", "text")),
+    "style_transitions": View("transition_samples", ("transition_type",)),
+    "style_narrative_distance": View("narrative_distance", ("distance_type",)),
+    "style_show_tell": View("show_tell_patterns", ("pattern_type",)),
+    "excerpt_search": View("classic_excerpts", ("style_tag", "excerpt_text")),
     "excerpt_dialogue": View("dialogue_samples", ("original_text",)),
     "excerpt_description": View("description_samples", ("original_text",)),
-    "excerpt_classic": View("classic_excerpts", ("text",)),
-    "search_climax": View("climax_excerpts", ("original_text", "technique")),
+    "excerpt_classic": View("classic_excerpts", ("excerpt_text",)),
+    "search_climax": View("climax_excerpts", ("original_text", "technique_analysis")),
     "search_quotes": View("memorable_quotes", ("quote_text",)),
-    "search_style": View("author_fingerprints", ("sentence_style",)),
-    "search_plot": View("plot_lines", ("name", "line_type")),
+    "search_style": View("author_fingerprints", ("sentence_rhythm", "imagery")),
+    "search_plot": View("plot_lines", ("theme", "line_type")),
     "review": View("chapter_reviews", ()),
-    "recommend": View("kb_references", ("dimension", "ref_book")),
-    "compare": View("cross_book_comparisons", ("dimension", "finding")),
-    "mistakes": View("common_mistakes", ("dimension", "name"), (), ("frequency", "id")),
-    "combos": View("technique_combinations", ("scene_type", "name")),
-    "plot_line_nodes": View("plot_lines", ("name",), ("book_name", "line_type")),
+    "recommend": View("kb_references", ("ref_book", "ref_table")),
+    "compare": View("cross_book_comparisons", ("comparison_dimension", "best_practices")),
+    "mistakes": View("common_mistakes", ("dimension", "mistake_name"), (), ("frequency", "id")),
+    "combos": View("technique_combinations", ("scene_type", "combo_name")),
+    "plot_line_nodes": View("plot_lines", ("theme",), ("book_name", "line_type")),
     "events": View("story_events", ("event_name",), ("book_name", "event_type", "significance")),
 }
 
@@ -93,8 +93,8 @@ def books(metadata: DataFrame, category: str = "") -> DataFrame:
 
 def patterns(comparisons: DataFrame, combinations: DataFrame, most: int = 20) -> DataFrame:
     """Cross-book findings and technique combinations in one list, cut."""
-    a = comparisons.select(F.lit("comparison").alias("origin"), "id", F.col("dimension").alias("name"))
-    b = combinations.select(F.lit("combination").alias("origin"), "id", "name")
+    a = comparisons.select(F.lit("comparison").alias("origin"), "id", F.col("comparison_dimension").alias("name"))
+    b = combinations.select(F.lit("combination").alias("origin"), "id", F.col("combo_name").alias("name"))
     return S.page(a.unionByName(b), ["origin", "id"], most)
 
 

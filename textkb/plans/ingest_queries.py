@@ -12,7 +12,7 @@ from .base import query, table
 _K = "(props::JSON->>'k')::INT"
 
 
-def _responses(spark, sf_dir, body):
+def _responses(spark, sf_dir, body, *beside):
     """Events as responses: book = user, chapter = hour, JSON built from the event, some fenced, some broken."""
     e = table(spark, sf_dir, "events")
     json = F.to_json(body)
@@ -20,7 +20,7 @@ def _responses(spark, sf_dir, body):
     broken = F.when(F.col("event_id") % 17 == 0, F.substring(json, 1, 12))
     return e.select(
         F.col("user_id").cast("string").alias("book_name"), F.date_format("ts", "'h'dd-HH").alias("chapter_id"), F.col("event_id").alias("seq"),
-        F.coalesce(broken, fenced, json).alias("response"),
+        F.coalesce(broken, fenced, json).alias("response"), *beside,
     )
 
 
@@ -43,47 +43,106 @@ def src_07(spark, sf_dir):
 @query("src_07_rejects", f"SELECT user_id::VARCHAR AS book_name, count(*)::BIGINT AS rejected FROM events WHERE NOT ({_GOOD}) GROUP BY user_id")
 def src_07_rejects(spark, sf_dir):
     r = _responses(spark, sf_dir, F.struct(F.col("event_type").alias("kind"), _k().alias("k")))
-    return I.rejects(r, "struct<kind:string,k:int>").groupBy("book_name").agg(F.count("*").alias("rejected"))
+    return I.rejects(r).groupBy("book_name").agg(F.count("*").alias("rejected"))
 
 
-def _literal(v: object) -> str:
-    return f"'{v}'" if isinstance(v, str) else str(v)
-
-
-#: What an event says for each field of a kind, in Spark and in SQL.
+#: What an event says for a field, by its kind, in Spark and in SQL (missing for some events).
 _VALUES = {
-    "string": (lambda f, i: F.when(_k() % (7 + i) == 0, F.lit(" ")).otherwise(F.concat(F.lit(f"{f}-"), F.col("event_type"), F.lit("-"), _k() % (5 + i))), lambda f, i: f"CASE WHEN {_K} % {7 + i} = 0 THEN NULL ELSE '{f}-' || event_type || '-' || {_K} % {5 + i} END"),
+    "text": (lambda f, i: F.when(_k() % (7 + i) == 0, F.lit(" ")).otherwise(F.concat(F.lit(f"{f}-"), F.col("event_type"), F.lit("-"), _k() % (5 + i))), lambda f, i: f"CASE WHEN {_K} % {7 + i} = 0 THEN NULL ELSE '{f}-' || event_type || '-' || {_K} % {5 + i} END"),
     "int": (lambda f, i: F.when(_k() % 4 != 0, _k()), lambda f, i: f"CASE WHEN {_K} % 4 <> 0 THEN {_K} END"),
-    "double": (lambda f, i: F.col("value"), lambda f, i: "value"),
-    "array<string>": (lambda f, i: F.array(F.col("event_type"), _k().cast("string")), lambda f, i: f"[event_type, {_K}::VARCHAR]"),
+    "double": (lambda f, i: F.when(_k() % 4 != 0, F.col("value")), lambda f, i: f"CASE WHEN {_K} % 4 <> 0 THEN value END"),
+    "json": (lambda f, i: F.when(_k() % 6 != 0, F.array(F.col("event_type"), _k().cast("string"))), lambda f, i: f"CASE WHEN {_K} % 6 <> 0 THEN to_json([event_type, {_K}::VARCHAR])::VARCHAR END"),
+    "bar": (lambda f, i: F.array(F.col("event_type"), _k().cast("string")), lambda f, i: f"event_type || '|' || {_K}"),
+    "comma": (lambda f, i: F.array(F.col("event_type"), F.lit("未知"), _k().cast("string")), lambda f, i: f"event_type || ',' || {_K}"),
+    "array": (lambda f, i: F.array(F.col("event_type"), (_k() % 3).cast("string")), lambda f, i: f"[event_type, ({_K} % 3)::VARCHAR]"),
 }
 
 
-def _register(number: str, kind: I.Kind) -> None:
-    simple = {f: t for f, t in kind.fields.items() if t in _VALUES}
-    kind = I.Kind(kind.table, kind.path, simple, kind.required, kind.defaults, kind.key, kind.first, kind.limit_one_per_book)
-    fields = list(simple)
-    raw = ", ".join(f"{_VALUES[t][1](f, i)} AS {f}" for i, (f, t) in enumerate(simple.items()))
-    filled = ", ".join(f"coalesce({f}, {_literal(kind.defaults[f])}) AS {f}" if f in kind.defaults else f for f in fields)
-    text = lambda k: f"coalesce({k}::VARCHAR, '')" if k in {*fields, "book_name", "chapter_id"} else f"'{k}'"
-    arrays = {f for f, t in simple.items() if t.startswith("array")}
-    text_of = lambda k: f"coalesce('[' || array_to_string({k}, ', ') || ']', '')" if k in arrays else text(k)
-    where = " AND ".join([_GOOD, *(f"{f} IS NOT NULL" for f in kind.required)])
+def _objects(**fields):
+    """A list of two objects, of which only the first has its required field."""
+    kind = "array<struct<" + ",".join(f"{n}:string" for n in fields) + ">>"
+    item = lambda first: F.struct(*((F.col("event_type") if v == "=" and first else F.lit(None if v == "=" else v)).cast("string").alias(n) for n, v in fields.items()))
+    return F.array(item(True), item(False)).cast(kind)
+
+
+#: Fields with a layout of their own: (table, field) -> the JSON value in Spark.
+_LAYOUTS = {
+    ("plot_arcs", "_state"): lambda: F.struct(F.struct(F.array(F.col("event_type"), _k().cast("string")).alias("feels"), F.lit("京城").alias("at")).alias("甲"), F.col("event_type").alias("乙")),
+    ("plot_arcs", "_key_events"): lambda: F.array(F.struct(F.col("event_type").alias("event"), F.lit("变").alias("impact"))),
+    ("plot_arcs", "_scene_transitions"): lambda: F.struct(_k().alias("count"), F.array(F.lit("时间跳跃")).alias("methods")),
+    ("plot_arcs", "_emotion_arc"): lambda: F.lit("平静"),
+    ("plot_foreshadowing", "_action"): lambda: F.element_at(F.array(*map(F.lit, ("Resolve", "推进(advance)", "defer", "plant"))), _k() % 4 + 1),
+    ("chapter_reviews", "_scores"): lambda: F.struct(F.struct(_k().alias("score"), F.col("event_type").alias("comment")).alias("对话"), F.lit("x").alias("note")),
+    ("chapter_reviews", "_issues"): lambda: _objects(issue_type="=", severity=None, description="d", extra="e"),
+    ("chapter_reviews", "_suggestions"): lambda: _objects(suggestion_type="=", priority="高"),
+    ("chapter_reviews", "_rewrites"): lambda: _objects(rewritten_text="=", original_text="o"),
+}
+
+_OPEN = "CASE WHEN k % 4 = 0 THEN 'resolved' WHEN k % 4 = 1 THEN 'advancing' WHEN k % 4 = 2 THEN 'deferred' ELSE 'open' END"
+#: Derived columns where Spark's expression is not SQL that both engines read.
+_DERIVED = {
+    ("plot_arcs", "character_state_json"): """'{"character_state":{"乙":"' || et || '","甲_at":"京城","甲_feels":"' || et || ', ' || k || '"},"key_events":[{"event":"' || et || '","impact":"变"}],"scene_transitions":{"count":' || k || ',"methods":["时间跳跃"]},"information_flow":' || _information_flow || ',"emotion_arc":"平静","time_progression":' || _time_progression || '}'""",
+    ("classic_excerpts", "_garbled"): "false",
+    ("plot_foreshadowing", "status"): _OPEN,
+    ("entity_state_tracker", "current_state_json"): "json_object('type', _type, 'detail', _detail)::VARCHAR",
+    ("cross_book_comparisons", "books_analyzed"): "to_json(_books)::VARCHAR",
+    ("cross_book_comparisons", "_joined"): "array_to_string(_books, '_')",
+    ("chapter_reviews", "dimension_scores_json"): """'{"对话":{"score":' || k::DOUBLE || ',"comment":"' || et || '"}}'""",
+    ("chapter_reviews", "issues_json"): """'[{"issue_type":"' || et || '","severity":"中","location":"","description":"d","original_excerpt":""}]'""",
+    ("chapter_reviews", "suggestions_json"): """'[{"suggestion_type":"' || et || '","priority":"高","description":"","expected_effect":""}]'""",
+    ("chapter_reviews", "rewrite_samples_json"): """'[{"original_text":"o","rewritten_text":"' || et || '","rewrite_reason":"","technique_applied":""}]'""",
+}
+
+
+def _literal(v: object) -> str:
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def _kind_sql(kind: I.Kind) -> str:
+    raw, filled = [], []
+    for i, (name, f) in enumerate(kind.fields.items()):
+        value = "NULL" if (kind.table, name) in _LAYOUTS else _VALUES[f.how][1](name.strip("_"), i)
+        raw.append(f"{value} AS {name}")
+        filled.append(name if f.default is None or f.how == "array" else f"coalesce({name}, {_literal(f.default)}) AS {name}")
+    kept = [c for c in ("book_name", "chapter_id", "seq") if c not in kind.fields]
+    own = {"book_name": f"{_BOOK} AS book_name", "chapter_id": f"{_CHAPTER} AS chapter_id", "seq": "event_id AS seq"}
+    derived = "".join(f", {_DERIVED.get((kind.table, n), r)} AS {n}" for n, r in kind.derive.items())
+    where = " AND ".join([f"coalesce({f}, '') <> ''" for f in kind.required if (kind.table, f) not in _LAYOUTS] or ["true"])
+    names = {*kind.fields, *kind.derive, "book_name", "chapter_id"}
+    key = "chapter_id" if kind.key == ("chapter_id",) else "md5(to_json([" + ", ".join(f"coalesce({k}::VARCHAR, '')" if k in names else f"'{k}'" for k in kind.key) + "])::VARCHAR)"
     order = "ASC" if kind.first else "DESC"
-    sql = f"""
-WITH raw AS (SELECT {_BOOK} AS book_name, {_CHAPTER} AS chapter_id, event_id AS seq, event_id, {raw} FROM events),
-filled AS (SELECT book_name, chapter_id, seq, {filled} FROM raw WHERE {where}),
-keyed AS (SELECT *, md5(to_json([{', '.join(text_of(k) for k in kind.key)}])::VARCHAR) AS id FROM filled),
+    columns = ["id", "book_name", "chapter_id", "seq", "0::INT AS pos", *(c for c in kind.columns if c not in ("book_name", "chapter_id"))]
+    once = " QUALIFY row_number() OVER (PARTITION BY book_name ORDER BY seq) = 1" if kind.limit_one_per_book else ""
+    return f"""
+WITH raw AS (SELECT {', '.join([*(own[c] for c in kept), 'event_type AS et', f'{_K} AS k', *raw])} FROM events WHERE {_GOOD}),
+filled AS (SELECT {', '.join([*kept, 'et', 'k', *filled])} FROM raw),
+derived AS (SELECT *{derived} FROM filled WHERE {where}),
+keyed AS (SELECT *, {key} AS id FROM derived WHERE {kind.where}),
 kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq {order}) = 1)
-SELECT id, book_name, chapter_id, seq, 0::INT AS pos, {', '.join(fields)} FROM kept"""
-    if kind.limit_one_per_book:
-        sql += " QUALIFY row_number() OVER (PARTITION BY book_name ORDER BY seq) = 1"
+SELECT {', '.join(columns)} FROM kept{once}"""
+
+
+def kind_responses(spark, sf_dir, kind: I.Kind):
+    """Events as responses in the layout of a kind, with the columns that stand beside them."""
+    inside, outside, beside = [], [], []
+    for i, (name, f) in enumerate(kind.fields.items()):
+        layout = _LAYOUTS.get((kind.table, name))
+        value = layout() if layout else _VALUES[f.how][0](name.strip("_"), i)
+        if f.source.startswith("@"):
+            beside.append((F.when(F.trim(value) != "", value) if f.how == "text" else value).alias(f.source[1:]))
+        elif f.source.startswith("$"):
+            outside.append(value.alias(f.source[2:]))
+        else:
+            inside.append(value.alias(f.source))
+    item = F.struct(*inside)
+    body = item if not kind.path else F.struct(*outside, (item if kind.one else F.array(item)).alias(kind.path))
+    return _responses(spark, sf_dir, body, *beside)
 
-    @query(f"{number}_{kind.table}", sql)
+
+def _register(number: str, kind: I.Kind) -> None:
+    @query(f"{number}_{kind.table}", _kind_sql(kind))
     def run(spark, sf_dir):
-        item = F.struct(*(_VALUES[t][0](f, i).alias(f) for i, (f, t) in enumerate(simple.items())))
-        body = F.struct(F.array(item).alias(kind.path)) if kind.path else item
-        return I.ingest(_responses(spark, sf_dir, body), kind)
+        return I.ingest(kind_responses(spark, sf_dir, kind), kind)
 
 
 _NUMBERS = {
@@ -93,7 +152,7 @@ _NUMBERS = {
     "ing_12": ["dialogue_samples", "description_samples", "transition_samples", "narrative_distance", "show_tell_patterns", "action_scene_samples", "climax_excerpts", "memorable_quotes"],
     "ing_13": ["character_speech_style", "character_behavior_marks", "character_relationship_dynamics"],
     "ing_14": ["plot_lines", "revelation_pacing", "emotion_transition_patterns", "information_management", "climax_buildup_chains", "conflict_escalation"],
-    "ing_15": ["story_events"], "ing_16": ["chapter_reviews"], "ing_17": ["kb_references"], "ing_18": ["cross_book_comparisons", "common_mistakes", "technique_combinations"],
+    "ing_15": ["story_events", "event_causal_edges"], "ing_16": ["chapter_reviews"], "ing_17": ["kb_references"], "ing_18": ["cross_book_comparisons", "common_mistakes", "technique_combinations"],
 }
 for _number, _tables in _NUMBERS.items():
     for _table in _tables:
@@ -119,8 +178,14 @@ def ing_09_status(spark, sf_dir):
 
 @query("ing_15_causal_edges", f"""
 WITH e AS (SELECT {_BOOK} AS book_name, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS c, event_type FROM events),
-n AS (SELECT *, (c // 10)::INT AS batch, row_number() OVER (PARTITION BY book_name, c // 10 ORDER BY c, event_id)::INT AS number FROM e)
-SELECT DISTINCT a.book_name, a.event_id AS source_id, b.event_id AS target_id, a.event_type AS causal_type FROM n a JOIN n b ON a.book_name = b.book_name AND a.batch = b.batch AND b.number = a.number + 1""")
+n AS (SELECT *, (c // 10)::INT AS batch, row_number() OVER (PARTITION BY book_name, c // 10 ORDER BY c, event_id)::INT AS number FROM e),
+edges AS (
+  SELECT a.book_name, a.event_id AS source_event_id, b.event_id AS target_event_id, a.event_type AS relation_type, b.event_type AS relation_detail
+  FROM n a JOIN n b ON a.book_name = b.book_name AND a.batch = b.batch AND b.number = a.number + 1
+  UNION ALL SELECT book_name, event_id, lead(event_id) OVER (PARTITION BY book_name ORDER BY c), 'global', '' FROM n WHERE event_type = 'error'
+)
+SELECT md5(to_json([book_name, source_event_id::VARCHAR, target_event_id::VARCHAR])::VARCHAR) AS id, * FROM edges WHERE target_event_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY book_name, source_event_id, target_event_id ORDER BY relation_type = 'global') = 1""")
 def ing_15_edges(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -128,8 +193,21 @@ def ing_15_edges(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     events = e.select(F.col("user_id").cast("string").alias("book_name"), "event_id", order.alias("chapter_no"), F.col("event_id").alias("seq"), "event_type")
     events = I.numbered_events(events)
-    edges = events.select("book_name", "batch", F.col("number").cast("string").alias("source"), (F.col("number") + 1).cast("string").alias("target"), F.col("event_type").alias("causal_type"))
-    return I.causal_edges(edges, events)
+    w = Window.partitionBy("book_name", "batch").orderBy("number")
+    edges = events.select("book_name", "batch", F.col("number").cast("string").alias("source"), (F.col("number") + 1).cast("string").alias("target"), F.col("event_type").alias("relation_type"), F.coalesce(F.lead("event_type").over(w), F.lit("")).alias("relation_detail"))
+    weighty = events.where("event_type = 'error'").withColumn("next", F.lead("event_id").over(Window.partitionBy("book_name").orderBy("chapter_no"))).where("next is not null")
+    whole = weighty.select(T.key("book_name", "event_id", "next").alias("id"), "book_name", F.col("event_id").alias("source_event_id"), F.col("next").alias("target_event_id"), F.lit("global").alias("relation_type"), F.lit("").alias("relation_detail"))
+    return I.with_global_edges(I.causal_edges(edges, events), whole)
+
+
+@query("ing_18_benchmarks", f"""
+WITH m AS ({_kind_sql(I.KINDS['common_mistakes'])}), d AS ({_kind_sql(I.KINDS['dialogue_samples'])}), x AS ({_kind_sql(I.KINDS['climax_excerpts'])}),
+b AS (SELECT 0 AS n, substr(arg_min(original_text, id), 1, 200) AS example, arg_min(book_name, id) AS book FROM d UNION ALL SELECT 1, substr(arg_min(original_text, id), 1, 200), arg_min(book_name, id) FROM x)
+SELECT m.id, CASE m.frequency % 3 WHEN 0 THEN '对话' WHEN 1 THEN '节奏' ELSE '其他' END AS dimension, coalesce(example, '') AS benchmark_example, coalesce(book, '') AS benchmark_book FROM m LEFT JOIN b ON n = m.frequency % 3""")
+def ing_18_benchmarks(spark, sf_dir):
+    rows = {t: I.ingest(kind_responses(spark, sf_dir, I.KINDS[t]), I.KINDS[t]) for t in ("common_mistakes", "dialogue_samples", "climax_excerpts")}
+    mistakes = rows.pop("common_mistakes").withColumn("dimension", F.when(F.col("frequency") % 3 == 0, "对话").when(F.col("frequency") % 3 == 1, "节奏").otherwise("其他"))
+    return I.with_benchmarks(mistakes.select("id", "dimension"), rows)
 
 
 _ROWS = f"SELECT md5(to_json([user_id::VARCHAR, event_type])::VARCHAR) AS id, user_id, event_type, value, event_id AS seq, (event_id // 1000)::INT AS batch FROM events"

@@ -13,20 +13,24 @@ from .base import ORACLES, QUERIES, query, table
 _TABLES = {n.split("_", 2)[2]: n for n in list(QUERIES) if n.startswith("ing_") and n.split("_", 2)[2] in I.KINDS}
 
 
-def _register(name: str, v: V.View) -> None:
+def _register(no: int, name: str, v: V.View) -> None:
+    """Views in turn with and without a book, from the start of the list or further on."""
     source = _TABLES[v.table]
+    book = {"book_name": str(no % 40)} if no % 2 and "book_name" in v.equal else {}
+    offset = 5 * (no % 3 == 2)
     conditions = ["(" + " OR ".join(f"{c} ILIKE '%e%'" for c in v.like) + ")"] if v.like else []
+    conditions += [f"{c} = '{x}'" for c, x in book.items()]
     conditions += [v.where] if v.where else []
     order = ", ".join(f"{c} NULLS LAST" for c in v.order)
     where = " AND ".join(conditions) or "true"
 
-    @query(f"view_{name}", f"SELECT * FROM ({ORACLES[source]}) WHERE {where} ORDER BY {order} LIMIT 50")
+    @query(f"view_{name}", f"SELECT * FROM ({ORACLES[source]}) WHERE {where} ORDER BY {order} LIMIT 50 OFFSET {offset}")
     def run(spark, sf_dir):
-        return V.view({v.table: QUERIES[source](spark, sf_dir)}, name, "e" if v.like else "")
+        return V.view({v.table: QUERIES[source](spark, sf_dir)}, name, "e" if v.like else "", offset=offset, **book)
 
 
-for _name, _view in V.VIEWS.items():
-    _register(_name, _view)
+for _no, (_name, _view) in enumerate(V.VIEWS.items()):
+    _register(_no, _name, _view)
 
 
 @query("view_by_book", """
@@ -44,7 +48,7 @@ def view_books(spark, sf_dir):
 
 
 @query("view_patterns", f"""
-SELECT * FROM (SELECT 'comparison' AS origin, id, dimension AS name FROM ({ORACLES['ing_18_cross_book_comparisons']}) UNION ALL SELECT 'combination', id, name FROM ({ORACLES['ing_18_technique_combinations']})) ORDER BY origin, id LIMIT 20""")
+SELECT * FROM (SELECT 'comparison' AS origin, id, comparison_dimension AS name FROM ({ORACLES['ing_18_cross_book_comparisons']}) UNION ALL SELECT 'combination', id, combo_name FROM ({ORACLES['ing_18_technique_combinations']})) ORDER BY origin, id LIMIT 20""")
 def view_patterns(spark, sf_dir):
     return V.patterns(QUERIES["ing_18_cross_book_comparisons"](spark, sf_dir), QUERIES["ing_18_technique_combinations"](spark, sf_dir))
 
