@@ -375,18 +375,23 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     rows = [(i, v.tolist(), "c") for i, v in enumerate(x)]
     rows += [(2000, None, "c"), (2020, [0.0] * 16, "c"), (2040, [float("nan")] + [1.0] * 15, "c"), (2060, [None] + [1.0] * 15, "c"), (2080, [1.0], "c"), (None, [1.0] * 16, "c"), (7, x[7].tolist(), "c")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf string")
+    # All rows that take part: 2080 counts as followed by zeros, both rows of id 7 are candidates.
+    ids = np.concatenate([np.arange(1500), [2080, 7]])
+    y = np.vstack([x, np.eye(1, 16), x[[7]]]).astype(float)
     found = nearest.nearest(frame).collect()
     by = {}
     for r in found:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert sorted(by) == list(range(0, 1500, 20))
-    y, ids, hits = x.astype(float), np.arange(1500), 0
+    assert sorted(by) == [*range(0, 1500, 20), 2080]
+    hits = 0
     for q, got in by.items():
-        score = nearest.inner_products(y[[q]], y)[0]
-        order = [i for i in np.lexsort((ids, -score)) if i != q][:20]
+        at = int(np.flatnonzero(ids == q)[0])
+        score = (y * y[at]).cumsum(axis=1)[:, -1]
+        order = [i for i in np.lexsort((ids, -score)) if i != at][:20]
         got.sort()
-        assert [r for r, *_ in got] == list(range(1, 21)) and all(score[i] == s for _, i, s in got) and q not in {i for _, i, _ in got}
-        hits += len({i for _, i, _ in got} & set(order))
+        assert [r for r, *_ in got] == list(range(1, 21)) and q not in {i for _, i, _ in got}
+        assert all(score[np.flatnonzero(ids == i)[0]] == s for _, i, s in got)
+        hits += len({i for _, i, _ in got} & set(ids[order].tolist()))
         assert [(-s, i) for _, i, s in got] == sorted((-s, i) for _, i, s in got)
     assert hits / (20 * len(by)) >= 0.9
     assert nearest.nearest(frame.limit(0)).count() == 0
@@ -394,6 +399,18 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert len(few) == 4 and {r["query_id"] for r in few} == {0}
 
 
+def test_nearest_of_repeated_rows_and_scored_once(spark):
+    """Rows with one id are rows of their own; every candidate is scored once, and clusters need few."""
+    g = np.random.default_rng(3)
+    centre = g.normal(size=(40, 8))
+    x = np.repeat(centre, 80, axis=0) + 0.01 * g.normal(size=(3200, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    share = [r["n"] / 3200 for r in nearest.nearest(frame, scored=True).groupBy("query_row").agg(F.sum("scored").alias("n")).collect()]
+    assert len(share) == 160 and max(share) < 1 and np.mean(share) < 0.5
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(twice).collect()) == [(20, 1, 20, 1.0)] * 2 + [(20, 2, 3, 0.5)] * 2
+
+
 # --- the folds ------------------------------------------------------------------------------------------------------------
 
 
