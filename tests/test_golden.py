@@ -169,8 +169,7 @@ def test_responses(spark):
     df = spark.createDataFrame(rows, "book_name string, chapter_id string, seq int, response string").withColumn("category", F.lit("x"))
     got = ingest.ingest(df, ingest.KINDS["skills"]).collect()
     assert [(r["skill_name"], r["scene_type"], r["analysis"], r["seq"]) for r in got] == [("a", "t", "u", 1)]
-    assert sorted(r["seq"] for r in ingest.rejects(df, ingest.KINDS["skills"].schema).collect()) == [2, 4]
-    assert len(ingest.KINDS) == 39
+    assert sorted(r["seq"] for r in ingest.rejects(df).collect()) == [2, 4]
 
 
 def test_scalars(spark):

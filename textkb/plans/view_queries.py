@@ -16,7 +16,7 @@ _TABLES = {n.split("_", 2)[2]: n for n in list(QUERIES) if n.startswith("ing_")
 def _register(no: int, name: str, v: V.View) -> None:
     """Views in turn with and without a book, from the start of the list or further on."""
     source = _TABLES[v.table]
-    book = {"book_name": str(no % 40)} if no % 2 and "book_name" in v.equal else {}
+    book = {"book_name": str(no % 12)} if no % 2 and "book_name" in v.equal else {}
     offset = 5 * (no % 3 == 2)
     conditions = ["(" + " OR ".join(f"{c} ILIKE '%e%'" for c in v.like) + ")"] if v.like else []
     conditions += [f"{c} = '{x}'" for c, x in book.items()]
