@@ -2,18 +2,18 @@
 
 Texts and items are compared as lower-case characters with runs of white space as one space.
 
-* *Windows.* An item gets the window size w that ``WIDTHS`` states for its length, 40 at most, so that a
-  long item has many windows. A text is cut into blocks of w characters: wherever the item stands, whole
-  blocks lie in it. All w-character substrings of the item are indexed, so the block's offset inside the
-  item does not matter.
+* *Windows.* Items are dealt into classes by length (``CLASSES``). The windows of a class are two thirds as
+  long as its shortest item, and a text has one every third of that: wherever an item stands, a whole
+  window lies in it. All windows of an item are indexed, so its place in the text does not matter.
 * *Embedding.* The CGK random walk reads the window and writes 3w/2 characters; after each, a random
   bit for (step, character) says whether to move on. Texts at edit distance k end up within O(k^2)
   Hamming distance, as the walks fall into step again after an edit.
-* *LSH.* Each of ``TABLES`` tables samples 12 written characters (9 of the shortest windows) as a 64-bit
-  key, half of them on each of two independent walks. One of the item's blocks has to collide in one
-  table. Widths, samples and tables are set so that at ``MAX_EDITS`` random edits at least 0.9 of the
-  items from 80 characters on are found (tests: 100, 1,000 and 3,000).
-* *Short items.* Items shorter than the least of ``WIDTHS`` are not hashed by walks: all their places within
+* *LSH.* Each of ``TABLES`` tables samples some places of a stretch of one of the walks; a key is the XOR of
+  random words of (place, character). One of the item's windows has to collide in one table. Classes,
+  samples and tables are set for a recall of at least 0.9 at every share of random edits up to
+  ``MAX_EDITS`` (tests: items of 24 to 1,000 characters). A walk over hundreds of characters loses its step
+  under so many edits, so items of more than 240 characters have several windows of 107 instead of one.
+* *Short items.* Items shorter than the least of ``CLASSES`` are not hashed by walks: all their places within
   ``MAX_EDITS`` are found, by pieces (``ShortItems``).
 * *Verification.* A colliding pair is dropped only if the ``STRETCH`` characters of the item around it
   stand in the text with more than ``STRETCH_EDITS`` times the allowed share of edits. The rest is
@@ -26,6 +26,7 @@ a pass over the corpus without any shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, bounded_batches, code_points, materialize, mix64, slices, table, utf8
+from .common import _LOWER, U64, bounded_batches, code_points, mix64, slices, table, utf8
 
-#: Least length of an item, and the width of its windows.
-WIDTHS = ((24, 12), (40, 16), (80, 24), (160, 40))
-WALKS, TABLES, SAMPLED = 2, 32, 12
-FLAG_BITS = 20
+#: Least length of an item, width of its windows, length of a sampled stretch of the walk, places sampled in it.
+CLASSES = ((24, 16, 18, 9), (36, 24, 18, 9), (54, 36, 18, 10), (81, 54, 24, 14), (160, 107, 24, 14))
+WALKS, TABLES = 2, 64
+FLAG_BITS = 18
 MAX_EDITS = 0.2
-STRETCH, STRETCH_EDITS = 64, 2
+STRETCH, STRETCH_EDITS = 32, 2
 BLOCK_CHARS = 200_000
+WINDOWS = 32768  # of a text that are embedded at once
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int, item_chars int"
 
 _BLANK = np.zeros(0x10000, bool)
@@ -90,40 +92,47 @@ def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     place = np.arange(n, dtype=np.int32) * np.int32(width + 1)
     bits, out = _walk_bits(width, walk), np.empty((width * 3 // 2, n), np.uint8)
     for j in range(len(out)):
-        c = flat[place]
-        out[j] = c
-        place += bits[j][c]
+        flat.take(place, out=out[j])
+        place += bits[j].take(out[j])
     return out
 
 
-def keys(embedded: np.ndarray, walk: int) -> Iterator[np.ndarray]:
-    """The 64-bit keys of each table of one walk."""
-    g = np.random.default_rng(77 + walk)
-    half = len(embedded) // 2
-    size = min(SAMPLED, half)
-    for t in range(TABLES // WALKS):  # within half of the walk: an edit spoils what follows it for a while
-        begin = 0 if t % 2 == 0 else int(g.integers(1, half + 1))
-        picked = np.zeros((embedded.shape[1], 16), np.uint8)
-        picked[:, :size] = embedded[begin + g.choice(half, size, replace=False)].T
-        words = picked.view(np.uint64)
-        yield words[:, 0] ^ mix64(words[:, 1])
+def keys(embedded: np.ndarray, walk: int, stretch: int, sampled: int) -> Iterator[np.ndarray]:
+    """The 32-bit keys of each table of one walk: half of the stretches lie evenly, half at random."""
+    g, steps = np.random.default_rng(77 + walk), len(embedded)
+    words = (mix64(np.arange(steps * 256, dtype=np.uint64) + U64(1 + walk * (1 << 32))) >> U64(32)).astype(np.uint32).reshape(steps, 256)
+    hashed = np.empty(embedded.shape, np.uint32)
+    for j in range(steps):
+        words[j].take(embedded[j], out=hashed[j])
+    room = max(1, steps - stretch + 1)
+    for t in range(TABLES // WALKS):  # within a stretch: an edit spoils what follows it for a while
+        begin = int(g.integers(0, room)) if t % 2 else (t // 2 * stretch // 2) % room
+        picked = begin + g.choice(min(stretch, steps), min(sampled, steps), replace=False)
+        key = hashed[picked[0]].copy()
+        for j in picked[1:]:
+            key ^= hashed[j]
+        yield key
+
+
+def _flag(key: np.ndarray) -> np.ndarray:
+    return key >> np.uint32(32 - FLAG_BITS)
 
 
 def bit_rows(symbol: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-    """For the ``size`` symbols from each ``begin`` on: the places of each of 32 classes of symbols, as bits."""
-    out = np.zeros((len(begin), 32), np.uint64)
+    """For the ``size`` symbols (32 at most) from each ``begin`` on: the places of each of 32 classes of symbols, as bits."""
+    out = np.zeros((len(begin), 32), np.uint32)
     every = np.arange(len(begin))
     for j in range(size):
-        out[every, symbol[begin + j] & 31] |= U64(1 << j)
+        out[every, symbol[begin + j] & 31] |= np.uint32(1 << j)
     return out
 
 
 def least_edits(bits: np.ndarray, size: int, texts: np.ndarray) -> np.ndarray:
     """Least edit distance of each pattern (a row of ``bit_rows``) to a substring of its text, classes told
     apart only, so never more than the true one: ``best_substring`` for all rows at once, one word a row."""
-    n, one, top = len(bits), U64(1), U64(size - 1)
+    n, one, top = len(bits), np.uint32(1), np.uint32(size - 1)
     bits, rows = bits.ravel(), np.arange(n, dtype=np.int64) * 32
-    pv, mv = np.full(n, (1 << size) - 1, np.uint64), np.zeros(n, np.uint64)
+    pv, mv = np.full(n, (1 << size) - 1, np.uint32), np.zeros(n, np.uint32)
     score = np.full(n, size, np.int32)
     best = score.copy()
     for column in np.ascontiguousarray(texts.T & np.uint8(31)):
@@ -131,8 +140,8 @@ def least_edits(bits: np.ndarray, size: int, texts: np.ndarray) -> np.ndarray:
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv), pv & xh
-        score += ((ph >> top) & one).astype(np.int32)
-        score -= ((mh >> top) & one).astype(np.int32)
+        score += ((ph >> top) & one).view(np.int32)
+        score -= ((mh >> top) & one).view(np.int32)
         ph <<= one
         mh <<= one
         pv, mv = mh | ~(xv | ph), ph & xv
@@ -147,10 +156,10 @@ def _regions(symbol: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.nd
 
 
 class ItemIndex:
-    """Keys of all windows of the items of one width."""
+    """Keys of all windows of the items of one class."""
 
-    def __init__(self, width: int, items: list[tuple[int, np.ndarray]]):
-        self.width, self.items = width, items
+    def __init__(self, width: int, stretch: int, sampled: int, items: list[tuple[int, np.ndarray]]):
+        self.width, self.stride, self.items, self.sampling = width, width // 3, items, (stretch, sampled)
         self.lengths = np.array([len(cp) for _, cp in items])
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.symbols = np.concatenate([symbols(cp) for _, cp in items])
@@ -163,10 +172,10 @@ class ItemIndex:
         self.bits = np.concatenate([bit_rows(self.symbols, b + np.arange(n - m + 1), m) for b, n, m in zip(self.begins, self.lengths, sizes, strict=True)])
         self.tables = []
         for walk in range(WALKS):
-            for k in keys(embed(windows, walk), walk):
-                order = np.argsort(k, kind="stable")
+            for k in keys(embed(windows, walk), walk, *self.sampling):
+                order = np.argsort(k, kind="stable").astype(np.int32)
                 flags = np.zeros(1 << FLAG_BITS, bool)
-                flags[(mix64(k) >> U64(64 - FLAG_BITS)).astype(np.int64)] = True
+                flags[_flag(k)] = True
                 self.tables.append((k[order], order, flags))
 
     def proposals(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +183,9 @@ class ItemIndex:
         pairs = []
         for walk in range(WALKS):
             e = embed(windows, walk)
-            for t, k in enumerate(keys(e, walk), walk * (TABLES // WALKS)):
+            for t, k in enumerate(keys(e, walk, *self.sampling), walk * (TABLES // WALKS)):
                 known, order, flags = self.tables[t]
-                maybe = np.flatnonzero(flags[(mix64(k) >> U64(64 - FLAG_BITS)).astype(np.int64)])
+                maybe = np.flatnonzero(flags.take(_flag(k)))
                 if not len(maybe):
                     continue
                 lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
@@ -184,7 +193,7 @@ class ItemIndex:
                 if not n.any():
                     continue
                 hit = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                pairs.append(np.unique(np.repeat(maybe, n) * len(self.item) + hit))
+                pairs.append(np.repeat(maybe, n) * len(self.item) + hit)
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         return pairs // len(self.item), pairs % len(self.item)
 
@@ -296,22 +305,36 @@ def located(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, i
 
 
 def _indexes(items: list[tuple[int, np.ndarray]]) -> list[ItemIndex | ShortItems]:
-    by_width: dict[int, list] = {}
+    by_class: dict[int, list] = {}
     for one in items:
-        by_width.setdefault(max((w for least, w in WIDTHS if least <= len(one[1])), default=0), []).append(one)
-    return [ItemIndex(w, x) if w else ShortItems(x) for w, x in sorted(by_width.items())]
+        by_class.setdefault(sum(c[0] <= len(one[1]) for c in CLASSES), []).append(one)
+    return [ItemIndex(*CLASSES[c - 1][1:], x) if c else ShortItems(x) for c, x in sorted(by_class.items())]
+
+
+_latest: dict[str, list] = {}  # the index that this worker built last
+
 
+def _indexed(token: str, items: list[tuple[int, np.ndarray]]) -> list[ItemIndex | ShortItems]:
+    if token not in _latest:
+        _latest.clear()
+        _latest[token] = _indexes(items)
+    return _latest[token]
 
-def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems], max_edits: float) -> list[tuple[int, int, int, int, int, int]]:
-    """``(row, item_id, start, end, edits, item_chars)``: the best place of each item in each row."""
+
+def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems], max_edits: float, one: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+    """``(row, item_id, start, end, edits, item_chars)``: the best place of each item in each row; with ``one``
+    a row in which an item is found is not searched further."""
     text, rows_at, places = normalized(cp, at)
     symbol = symbols(text)
     best: dict[tuple[int, int], tuple] = {}
+    done: set[int] = set()
     for index in indexes:
         if isinstance(index, ShortItems):
             for r, k, lo, hi, least in index.candidates(symbol, rows_at, max_edits):
                 item_id, item = index.items[k]
                 old = best.get((r, item_id))
+                if one and r in done:
+                    continue
                 if old and (least, int(places[lo] - at[r])) > old[:2]:
                     continue
                 found = located(item, text[lo:hi], int(max_edits * len(item)))
@@ -319,16 +342,17 @@ def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems]
                     edits, s, e = found
                     value = (edits, int(places[lo + s] - at[r]), int(places[lo + e - 1] - at[r]) + 1, len(item))
                     best[r, item_id] = min(old or value, value)
+                    done.add(r)
             continue
         w = index.width
-        blocks = np.diff(rows_at) // w
-        row = np.repeat(np.arange(len(blocks)), blocks)
+        windows = np.maximum((np.diff(rows_at) - w) // index.stride + 1, 0)
+        row = np.repeat(np.arange(len(windows)), windows)
         if not len(row):
             continue
-        start = rows_at[:-1][row] + (np.arange(len(row)) - (np.cumsum(blocks) - blocks)[row]) * w
+        start = rows_at[:-1][row] + (np.arange(len(row)) - (np.cumsum(windows) - windows)[row]) * index.stride
         tried = set()
-        for a in range(0, len(row), 1 << 15):
-            part = start[a : a + (1 << 15)]
+        for a in range(0, len(row), WINDOWS):
+            part = start[a : a + WINDOWS]
             i, hit = index.proposals(symbol[part[:, None] + np.arange(w)])
             good = index.plausible(symbol, part[i], rows_at[row[a + i]], rows_at[row[a + i] + 1], hit, max_edits)
             i, hit = i[good], hit[good]
@@ -336,7 +360,7 @@ def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems]
                 item_id, item = index.items[k]
                 limit = int(max_edits * len(item))
                 bin_ = guess // max(limit, 1)
-                if (r, k, bin_) in tried:
+                if (r, k, bin_) in tried or one and r in done:
                     continue
                 tried.add((r, k, bin_))
                 lo = max(int(rows_at[r]), (bin_ - 1) * limit if limit else guess)
@@ -346,6 +370,7 @@ def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems]
                     edits, s, e = found
                     value = (edits, int(places[lo + s] - at[r]), int(places[lo + e - 1] - at[r]) + 1, len(item))
                     best[r, item_id] = min(best.get((r, item_id), value), value)
+                    done.add(r)
     return sorted((r, i, s, e, d, n) for (r, i), (d, s, e, n) in best.items())
 
 
@@ -371,17 +396,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
     """Rows ``(doc_id, item_id, start, end, edits, item_chars)``: each item found in each row of ``docs``
     at its best place (code points, end exclusive; ties: the first).
 
-    Null texts and rows with a null doc_id hold nothing; repeated rows repeat their findings; items
-    that are null or empty after normalization take no part; an empty table on either side gives no rows.
+    Null and empty texts hold nothing; rows are judged one by one, so repeated rows repeat their findings
+    and rows with a null doc_id give theirs with a null; texts are searched whole, however long; items
+    that are null or empty after normalization take no part; an empty table on either side gives no
+    rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def scan(shared):
+    def scan(shared, token: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            indexes = _indexes(shared.value)
             for batch in batches:
+                indexes = _indexed(token, shared.value)
                 ids = batch.column(0).to_pylist()
                 data, offsets = utf8(batch.column(1))
                 out = []
@@ -395,14 +422,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
 
         return docs.mapInArrow(run, SCHEMA)
 
-    passes = [scan(spark.sparkContext.broadcast(block)) for block in _item_blocks(benchmark, block_chars)]
+    passes = [scan(spark.sparkContext.broadcast(block), uuid.uuid4().hex) for block in _item_blocks(benchmark, block_chars)]
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    found = materialize(contamination(docs, benchmark, **options).select("doc_id")).distinct()
-    return docs.join(materialize(found), "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns and nothing shuffled.
+
+    Rows are judged one by one by their own text: null ids, repeated ids and clashing column names make no
+    difference, null and empty texts stay. Each block of the benchmark judges what the earlier ones left.
+    """
+    spark, place = docs.sparkSession, docs.columns.index("text")
+    bounded_batches(spark)
+
+    def kept(docs: DataFrame, shared, token: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                indexes = _indexed(token, shared.value)
+                data, offsets = utf8(batch.column(place))
+                free = np.ones(batch.num_rows, bool)
+                for a, b in slices(offsets):
+                    cp, at = code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    free[[a + found[0] for found in search(cp, at, indexes, max_edits, one=True)]] = False
+                yield batch.filter(pa.array(free))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for block in _item_blocks(benchmark, block_chars):
+        docs = kept(docs, spark.sparkContext.broadcast(block), uuid.uuid4().hex)
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
