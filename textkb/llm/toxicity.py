@@ -1,12 +1,14 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes log-count ratio features.
 
-1. In how many training documents of each label a hashed n-gram occurs is counted by tasks and added
-   up by Spark, over *all* labelled training documents (two arrays of ``2**BITS`` counts).
-2. ``r = log((p + a) / |p| / ((q + a) / |q|))`` is an n-gram's log-count ratio; the ``FEATURES``
-   n-grams whose presence tells most about the label (G statistic) are kept.
-3. A logistic regression on the present features, each with value r, is fitted on at most about
-   ``TRAIN_PER_LABEL`` documents of each label (chosen by a hash of the id); its intercept is
-   moved back to the label shares of all training documents.
+1. A feature is a hashed character n-gram that a text holds at least once, twice, or four times
+   (``LEVELS``): what few texts hold by chance, toxic ones repeat.
+2. Training uses at most about ``TRAIN_PER_LABEL`` labelled documents of each label, drawn by a hash of
+   the id before texts meet labels, so only drawn texts are shuffled. How many of them hold a feature is
+   counted by tasks and added up by Spark.
+3. ``r = log((p + a) / |p| / ((q + a) / |q|))`` is a feature's log-count ratio; the ``FEATURES`` features
+   whose presence tells most about the label (G statistic) are kept.
+4. A logistic regression on the present features, each with value r, is fitted on the same documents; its
+   intercept is moved back to the label shares of all training documents.
 
 Scoring walks the whole text. All sizes are parameters, none grows with the corpus.
 """
@@ -21,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, char_ngrams, code_points, hash_unit, held_out, letters_only, slices, table, utf8
+from .common import U64, bounded_batches, char_ngrams, code_points, hash_unit, held_out, letters_only, materialize, slices, table, utf8
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
+LEVELS = (1, 2, 4)
 FEATURES = 4096
 TRAIN_PER_LABEL = 4000
 SMOOTHING = 1.0
 L2, STEPS = 1.0, 300
-CHUNKS = 64
 _FACTOR = U64(0x9E3779B97F4A7C15)
 
 
@@ -43,77 +45,58 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(bucket), np.concatenate([r for _, r in parts])
 
 
-def _present(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, by row."""
-    pair = np.unique(rows << BITS | bucket)
-    return pair & ((1 << BITS) - 1), pair >> BITS
+def _features(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, row) pairs of n-grams: feature = level << BITS | bucket."""
+    pair, n = np.unique(rows << BITS | bucket, return_counts=True)
+    held = [np.flatnonzero(n >= least) for least in LEVELS]
+    feature = [pair[at] & ((1 << BITS) - 1) | level << BITS for level, at in enumerate(held)]
+    return np.concatenate(feature), np.concatenate([pair[at] >> BITS for at in held])
 
 
-def _document_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each bucket by label (2, 2**BITS), and documents by label."""
-    size = 2 << BITS
+def _chosen(sample: DataFrame, docs: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the largest G statistic of presence against label, and their log-count ratios."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        total = np.zeros((2, len(LEVELS) << BITS), np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            docs += np.bincount(label, minlength=2)
             for a, b in slices(offsets):
-                bucket, rows = _present(*_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                found, rows = _features(*_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 for k in (0, 1):
-                    total[k] += np.bincount(bucket[label[a:b][rows] == k], minlength=1 << BITS)
-        if docs.sum():
-            chunks = total.reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in chunks]), pa.array([docs.tobytes()] * CHUNKS)], ["chunk", "counts", "docs"]
-            )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for c, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                now = [np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)]
-                out[c] = [p + q for p, q in zip(out[c], now, strict=True)] if c in out else now
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(out), pa.int32()), *(pa.array([v[i].tobytes() for v in out.values()], pa.binary()) for i in (0, 1))], ["chunk", "counts", "docs"]
-        )
-
-    schema = "chunk int, counts binary, docs binary"
-    rows = labelled.select("text", "label").mapInArrow(run, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
-    counts, docs = np.zeros((CHUNKS, size // CHUNKS), np.int64), np.zeros(2, np.int64)
-    for r in rows:
-        counts[r["chunk"]], docs = np.frombuffer(bytes(r["counts"]), np.int64), np.frombuffer(bytes(r["docs"]), np.int64)
-    return counts.reshape(2, -1), docs
+                    total[k] += np.bincount(found[label[a:b][rows] == k], minlength=total.shape[1])
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["feature", "n0", "n1"])
+
+    counts = sample.select("text", "label").mapInArrow(run, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    inside = [F.col(f"n{k}") + 0.5 for k in (0, 1)]
+    outside = [F.lit(float(docs[k])) - F.col(f"n{k}") + 0.5 for k in (0, 1)]
+    p = (inside[0] + inside[1]) / F.lit(float(docs.sum()) + 2)
+    told = [i * F.log(i / (i + o) / p) + o * F.log(o / (i + o) / (1 - p)) for i, o in zip(inside, outside, strict=True)]
+    best = counts.orderBy(F.desc(F.round(told[0] + told[1], 6)), "feature").limit(features).toArrow()
+    smooth = np.array([best["n0"].to_numpy(), best["n1"].to_numpy()]) + SMOOTHING
+    share = smooth / (docs[:, None] + 2 * SMOOTHING)
+    return best["feature"].to_numpy().astype(np.int64), np.log(share[1] / share[0])
 
 
 @dataclass
 class ToxicityModel:
-    feature: np.ndarray  # int32 by bucket, -1: none
-    weight: np.ndarray  # by feature, the ratio already multiplied in
+    number: np.ndarray  # int32 by feature, -1: not kept
+    weight: np.ndarray  # by number, the ratio already multiplied in
     intercept: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
+    def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept features of the rows, by number, and their rows."""
         bucket, rows = _buckets(data, offsets)
-        f = self.feature[bucket]
-        keep = f >= 0
-        pair = np.unique(rows[keep] * len(self.weight) + f[keep])
-        z = self.intercept + np.bincount(pair // max(len(self.weight), 1), weights=self.weight[pair % max(len(self.weight), 1)], minlength=n)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        keep = (self.number.reshape(len(LEVELS), -1) >= 0).any(axis=0)[bucket]
+        found, row = _features(bucket[keep], rows[keep])
+        n = self.number[found]
+        return n[n >= 0], row[n >= 0]
 
-
-def _chosen(counts: np.ndarray, docs: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with the largest G statistic of presence against label, and their log-count ratios."""
-    n = docs.astype(float)[:, None]
-    inside, outside = counts + 0.5, n - counts + 0.5
-    p = inside.sum(axis=0) / (inside + outside).sum(axis=0)
-    g = (inside * np.log(inside / (inside + outside) / p) + outside * np.log(outside / (inside + outside) / (1 - p))).sum(axis=0)
-    best = np.argsort(-g, kind="stable")[:features]
-    best = best[counts[:, best].sum(axis=0) > 0]
-    smooth = counts[:, best] + SMOOTHING
-    share = smooth / (docs[:, None] + 2 * SMOOTHING)
-    return best, np.log(share[1] / share[0])
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n, row = self.present(data, offsets)
+        z = self.intercept + np.bincount(row, weights=self.weight[n], minlength=len(offsets) - 1)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, float]:
@@ -135,48 +118,56 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarr
 
 
 def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL, features: int = FEATURES) -> ToxicityModel:
-    """From ``(doc_id, text, label)`` rows. With one label or none, every score is that label's share."""
-    bounded_batches(labelled.sparkSession)
-    labelled = labelled.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
-    counts, docs = _document_counts(labelled)
-    none = np.full(1 << BITS, -1, np.int32)
-    if docs.min() == 0:
-        share = (docs[1] + 0.5) / (docs.sum() + 1.0)
-        return ToxicityModel(none, np.zeros(1), float(np.log(share / (1 - share))))
-    best, ratio = _chosen(counts, docs, features)
-    feature = none.copy()
-    feature[best] = np.arange(len(best))
+    """From ``(doc_id, text, label)`` rows, one for each id. Rows with other labels than 0 and 1 take no part.
+
+    A null text counts as an empty one. With one label or none, every score is that label's share. The
+    order of rows does not matter: features of one statistic are taken by number, documents are sorted.
+    """
     spark = labelled.sparkSession
-    lut = spark.sparkContext.broadcast(feature)
+    bounded_batches(spark)
+    labelled = labelled.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
+    have = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n0, n1 = have.get(0, 0), have.get(1, 0)
+    none = np.full(len(LEVELS) << BITS, -1, np.int32)
+    if not n0 or not n1:
+        return ToxicityModel(none, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+    bound = F.when(F.col("label") == 1, per_label / n1).otherwise(per_label / n0)
+    # The larger share does not depend on the label, so Spark applies it where the texts are read.
+    draw = hash_unit("doc_id", seed="toxicity")
+    sample = materialize(labelled.where(draw < per_label / min(n0, n1)).where(draw < bound).select("text", "label"))
+    drawn = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    docs = np.array([drawn.get(0, 0), drawn.get(1, 0)], float)
+    best, ratio = _chosen(sample, docs, features)
+    number = none.copy()
+    number[best] = np.arange(len(best))
+    model = ToxicityModel(number, ratio, 0.0)
+    shared = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             found = []
             for a, b in slices(offsets):
-                bucket, rows = _buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                f = lut.value[bucket]
-                pair = np.unique(rows[f >= 0] * (1 << 20) + f[f >= 0])
-                edges = np.searchsorted(pair, np.arange(b - a + 1) * (1 << 20))
-                found += [(pair[edges[i] : edges[i + 1]] & ((1 << 20) - 1)).astype(np.int32).tobytes() for i in range(b - a)]
+                n, row = shared.value.present(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                order = np.lexsort((n, row))
+                n, edges = n[order].astype(np.int32), np.searchsorted(row[order], np.arange(b - a + 1))
+                found += [n[edges[i] : edges[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["found", "label"])
 
-    bound = F.when(F.col("label") == 1, per_label / max(int(docs[1]), 1)).otherwise(per_label / max(int(docs[0]), 1))
-    # The larger share does not depend on the label, so Spark applies it where the texts are read.
-    draw = hash_unit("doc_id", seed="toxicity")
-    sample = labelled.where(draw < per_label / max(int(docs.min()), 1)).where(draw < bound).select("text", "label")
-    rows = sample.mapInArrow(encode, "found binary, label int").collect()
-    y = np.array([r["label"] for r in rows], float)
-    cols = [np.frombuffer(bytes(r["found"]), np.int32) for r in rows]
+    rows = sorted((r["label"], bytes(r["found"])) for r in sample.mapInArrow(encode, "found binary, label int").collect())
+    y = np.array([label for label, _ in rows], float)
+    cols = [np.frombuffer(found, np.int32) for _, found in rows]
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
     w, b = _logistic(owner, np.concatenate(cols) if cols else np.empty(0, np.int64), ratio, y, len(best))
     ones, zeros = max(y.sum(), 0.5), max(len(y) - y.sum(), 0.5)
-    b += float(np.log(docs[1] / docs[0]) - np.log(ones / zeros))
-    return ToxicityModel(feature, w * ratio, b)
+    b += float(np.log(n1 / n0) - np.log(ones / zeros))
+    return ToxicityModel(number, w * ratio, b)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``(doc_id, score)`` per row of ``docs``, from ``text`` alone; null or empty texts get the intercept's."""
+    """``(doc_id, score)`` per row of ``docs``, from ``text`` alone: equal texts score equally, repeated rows and
+    ids as often as they come. Null and empty texts get the intercept's score; long texts are walked whole;
+    an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -191,9 +182,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``(doc_id, text, label)`` of the training fold; a document with several labels takes the largest."""
+    """``(doc_id, text, label)`` of the training fold, one row for each id.
+
+    A document with several labels takes the largest; of several texts under one id the smallest in
+    code-point order counts (null only where there is no other). Null ids have no label.
+    """
     kept = labels.where(F.col(column).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(column).alias("label"))
-    return docs.where(~held_out()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(kept, "doc_id")
+    return docs.where(~held_out()).groupBy("doc_id").agg(F.min("text").alias("text")).join(kept, "doc_id")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
