@@ -77,7 +77,7 @@ _bits: dict[tuple[int, int], np.ndarray] = {}
 def _walk_bits(width: int, walk: int) -> np.ndarray:
     if (width, walk) not in _bits:
         g = np.random.default_rng(1000 * walk + width)
-        b = g.integers(0, 2, (width * 3 // 2, 256), dtype=np.int32)
+        b = g.integers(0, 2, (width * 3 // 2, 256))
         b[:, 0] = 0
         _bits[width, walk] = b
     return _bits[width, walk]
@@ -89,10 +89,10 @@ def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     flat = np.zeros((n, width + 1), np.uint8)
     flat[:, :width] = windows
     flat = flat.ravel()
-    place = np.arange(n, dtype=np.int32) * np.int32(width + 1)
+    place = np.arange(n) * (width + 1)
     bits, out = _walk_bits(width, walk), np.empty((width * 3 // 2, n), np.uint8)
     for j in range(len(out)):
-        flat.take(place, out=out[j])
+        flat.take(place, out=out[j], mode="clip")  # unbuffered
         place += bits[j].take(out[j])
     return out
 
@@ -103,7 +103,7 @@ def keys(embedded: np.ndarray, walk: int, stretch: int, sampled: int) -> Iterato
     words = (mix64(np.arange(steps * 256, dtype=np.uint64) + U64(1 + walk * (1 << 32))) >> U64(32)).astype(np.uint32).reshape(steps, 256)
     hashed = np.empty(embedded.shape, np.uint32)
     for j in range(steps):
-        words[j].take(embedded[j], out=hashed[j])
+        words[j].take(embedded[j], out=hashed[j], mode="clip")
     room = max(1, steps - stretch + 1)
     for t in range(TABLES // WALKS):  # within a stretch: an edit spoils what follows it for a while
         begin = int(g.integers(0, room)) if t % 2 else (t // 2 * stretch // 2) % room
@@ -199,19 +199,19 @@ class ItemIndex:
 
     def plausible(self, symbol: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, hit: np.ndarray, max_edits: float) -> np.ndarray:
         """Whether the stretch of the item around each proposed window stands in the text (rows ``low`` to
-        ``high``) with at most ``STRETCH_EDITS`` times the allowed share of edits; all of a short item."""
+        ``high``) with at most ``STRETCH_EDITS`` times the allowed share of edits."""
         item, offset = self.item[hit], self.offset[hit]
-        good = np.zeros(len(hit), bool)
-        size = np.minimum(self.lengths[item], STRETCH)
-        for m in np.unique(size).tolist():
-            rows = np.flatnonzero(size == m)
+        m = np.minimum(self.lengths[item], STRETCH)
+        begin = np.clip(offset - (m - self.width) // 2, 0, self.lengths[item] - m)
+        limit = (STRETCH_EDITS * max_edits * m).astype(np.int64)
+        first, good = start - offset + begin - limit // 2, np.zeros(len(hit), bool)
+        for size in np.unique(m).tolist():
+            rows = np.flatnonzero(m == size)
             for a in range(0, len(rows), 1 << 13):
                 r = rows[a : a + (1 << 13)]
-                begin = np.clip(offset[r] - (m - self.width) // 2, 0, self.lengths[item[r]] - m)
-                limit = int(STRETCH_EDITS * max_edits * m)
-                first = start[r] - offset[r] + begin - limit // 2
-                texts = _regions(symbol, first, low[r], high[r], m + limit // 2 * 2)
-                good[r] = least_edits(self.bits[self.first_bits[item[r]] + begin], m, texts) <= limit
+                most = int(limit[r[0]])
+                texts = _regions(symbol, first[r], low[r], high[r], size + most // 2 * 2)
+                good[r] = least_edits(self.bits[self.first_bits[item[r]] + begin[r]], size, texts) <= most
         return good
 
 
@@ -261,6 +261,15 @@ class ShortItems:
                         yield from zip(r[good].tolist(), [k] * int(good.sum()), begin[good].tolist(), end[good].tolist(), least[good].tolist(), strict=True)
 
 
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """The places of the first of equal rows."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        c = c - c.min(initial=0)
+        key = key * (int(c.max(initial=0)) + 1) + c
+    return np.unique(key, return_index=True)[1]
+
+
 def _codes(symbol: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` symbols from each place on, as one number."""
     out = np.zeros(len(symbol) - size + 1, np.uint64)
@@ -354,9 +363,14 @@ def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems]
         for a in range(0, len(row), WINDOWS):
             part = start[a : a + WINDOWS]
             i, hit = index.proposals(symbol[part[:, None] + np.arange(w)])
+            once = _first_of(i, index.item[hit], (part[i] - index.offset[hit]) // 4)  # neighbours say the same
+            i, hit = i[once], hit[once]
             good = index.plausible(symbol, part[i], rows_at[row[a + i]], rows_at[row[a + i] + 1], hit, max_edits)
             i, hit = i[good], hit[good]
-            for r, k, guess in zip(row[a + i].tolist(), index.item[hit].tolist(), (part[i] - index.offset[hit]).tolist(), strict=True):
+            which, guess, r = index.item[hit], part[i] - index.offset[hit], row[a + i]
+            limits = (max_edits * index.lengths[which]).astype(np.int64)
+            once = _first_of(r, which, guess // np.maximum(limits, 1))
+            for r, k, guess in zip(r[once].tolist(), which[once].tolist(), guess[once].tolist(), strict=True):
                 item_id, item = index.items[k]
                 limit = int(max_edits * len(item))
                 bin_ = guess // max(limit, 1)
