@@ -38,7 +38,7 @@ TREES, LEAF_ROWS, TOP_LEVELS = 8, 64, 12
 SAMPLE_VALUES = 1 << 22
 NEIGHBOURS, EVERY = 20, 20
 CALIBRATION, TARGET_RECALL = 64, 0.94
-CELL_VALUES, QUERIES = 1 << 22, 1024
+CELL_VALUES, QUERIES = 1 << 22, 8192
 
 
 @dataclass
