@@ -89,7 +89,11 @@ def test_names(spark):
     assert got == [("书", "某", "玄幻", ["热血", "升级"]), ("书", "someone", "武侠", []), ("书[番外]", "未知作者", "仙侠", []), ("书名[番外]", "乙[番外]", "/" and got[3][2], [])]
     canon = lambda name, folder="热门小说", parent="": tuple(one(spark, lambda c: L.canonical_name(c, F.lit(folder), F.lit(parent)), name))
     assert canon("[完结]《长夜》作者：墨香") == ("长夜", "墨香", "") and canon("《长夜》全本", "墨香合集") == ("长夜", "墨香", "")
-    assert canon("长夜-墨香") == ("长夜", "墨香", "") and canon("长夜番外 by priest") == ("长夜", "priest", "番外")
+    assert canon("长夜-墨香") == ("长夜", "墨香", "") and canon("长夜番外 by priest") == ("长夜番外", "priest", "番外")
+    # Folders on the block list, named like the title or holding a count are told apart.
+    assert canon("长夜", "凡人修仙传") == ("长夜", "未知", "") and canon("《诛仙》", "诛仙", "萧鼎（7本）") == ("诛仙", "萧鼎", "")
+    assert canon("《甲乙》作者：丙") == ("甲乙", "未知", "") and canon("《甲乙》作者：乱") == ("甲乙", "乱", "") and canon("《甲乙》作者：水千丞 番全") == ("甲乙", "水千丞", "番外")
+    assert canon("007 《甲-乙》（墨香）") == ("甲乙", "墨香", "") and canon("【全】长夜 （完结）墨香2020") == ("长夜", "墨香", "")
 
 
 def test_decoding():
@@ -97,6 +101,7 @@ def test_decoding():
     for codec in ("utf-8", "utf-8-sig", "utf-16", "gbk"):
         assert L.decoded(s.encode(codec)) == s
     assert L.decoded("這是繁體字".encode("big5")) and L.decoded(b"") == ""
+    assert [L.decoded(t.encode("gbk")) for t in ("你好", "第一章")] == ["你好", "第一章"] and L.decoded("café".encode("latin-1") + b"!!!") == "café!!!"
 
 
 def test_library_scan_merge_and_stream(spark, tmp_path):
@@ -113,7 +118,16 @@ def test_library_scan_merge_and_stream(spark, tmp_path):
     (root / "《乙》.txt").write_text("第一章 a\n" + "y" * 150 + "\n第二章 b\n" + "z" * 150)
     for _ in range(2):  # the second run finds nothing new
         streams.ingest_library(spark, str(root), table, check).awaitTermination()
-    assert sorted((r["book_name"], r["count"]) for r in spark.read.parquet(table).groupBy("book_name").count().collect()) == [("乙", 2), ("甲", 1)]
+    count = lambda: sorted((r["book_name"], r["count"]) for r in spark.read.parquet(table).groupBy("book_name").count().collect())
+    assert count() == [("乙", 2), ("甲", 1)]
+    (root / "二").mkdir()
+    (root / "二" / "《乙》.txt").write_text("第三章 c\n" + "w" * 150)  # a later file adds to the book
+    streams.ingest_library(spark, str(root), table, check).awaitTermination()
+    assert count() == [("乙", 3), ("甲", 1)]
+    (root / "《乙》.txt").unlink()
+    (root / "《乙》新.txt").write_text("第一章 a\n" + "y" * 150)  # a shorter edition leaves no chapter behind
+    streams.ingest_library(spark, str(root), table, check).awaitTermination()
+    assert count() == [("乙", 2), ("甲", 1)]
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
@@ -151,7 +165,13 @@ def test_sinks(spark, tmp_path):
     log = spark.createDataFrame([("q" * 600,)], "query_text string")
     sinks.append_log(log, str(tmp_path / "log"))
     assert len(spark.read.parquet(str(tmp_path / "log")).first()["query_text"]) == 500
-    sinks.write_vectors(rows.withColumn("collection", F.lit("x")).withColumn("batch", F.lit(0)), str(tmp_path / "v"))
+    vectors = rows.withColumn("collection", F.lit("x")).withColumn("batch", F.lit(0))
+    other = vectors.withColumn("collection", F.lit("y"))
+    sinks.write_vectors(vectors.unionByName(other.withColumn("id", F.concat(F.lit("y"), "id"))), str(tmp_path / "v"))
+    sinks.write_vectors(vectors.where("id = '1'").withColumn("v", F.lit("again")), str(tmp_path / "v"))
+    assert {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"1": "again", "2": "kept", "y1": "old", "y2": "kept"}
+    logged = sinks.search_log(spark.createDataFrame([("q",), ("q",)], "query_text string")).collect()
+    assert len({r["id"] for r in logged}) == 2
     nodes = spark.createDataFrame([("n", {"a": "x\x07", "b": None})], "node_id string, attrs map<string,string>")
     sinks.write_graph(nodes, nodes, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g/nodes")).first()["attrs"] == {"a": "x", "b": ""}
@@ -225,6 +245,12 @@ def test_top_k_of_many_queries_stays_off_the_driver(spark, monkeypatch):
     assert got == sorted(want) and found.columns == ["id", "kind", "embedding", "query_id", "distance", "rank"]
 
 
+def test_quote_positions_without_wide_blanks(spark):
+    rows = [("天地玄黄", "第一章\u3000天地\u3000玄黄"), ("天地", "天地"), ("", "x"), (None, "x"), ("x", None), ("洪荒", "天地"), ("a\u3000b", " \n a b")]
+    df = spark.createDataFrame(rows, "q string, t string")
+    assert [(r["level"], r["position"]) for r in quotes.positions(df, "q", "t").collect()] == [("spaces", 4), ("exact", 0), ("none", -1), ("none", -1), ("none", -1), ("none", -1), ("spaces", 3)]
+
+
 def test_unverified_quotes_in_another_unicode_form(spark):
     rows = [("ＡＢＣ１２３ＤＥＦ", "so abc ABC123DEF end"), ("cafe\u0301 au lait", "un café au lait"), ("ABC123DEF", "x ＡＢＣ１２３\nＤＥＦ"), ("ＡＢＣ１２３ＤＥＧ", "so ABC123DEF end"), ("ＡＢ", "so"), (None, "so")]
     df = spark.createDataFrame(rows, "q string, t string")

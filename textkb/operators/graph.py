@@ -1,23 +1,15 @@
 """Property graphs as node and edge tables: building, neighbourhoods, components, causal chains.
 
 Loops run over frontiers: a step is one join on the edges, visited nodes go out by an anti join, and the
-lineage is cut with a checkpoint in the shared folder, so a lost executor costs one step at most.
+lineage is cut with a table in the shared folder, so a lost executor costs one step at most.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; without a configured folder (tests, one machine) one is made."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from .scratch import materialize as cut
 
 
 def appearance_edges(states: DataFrame, skip=("_raw", "旁白"), chars: int = 50) -> DataFrame:

@@ -28,9 +28,10 @@ def unverified(quote: Column, text: Column, least: int = 8) -> Column:
 
 def positions(rows: DataFrame, quote: str, text: str) -> DataFrame:
     """``level`` and ``position`` (from 0, -1: none): the exact place, else the place with white space left out,
-    counted back to the original by the non-space characters before it. One expression a row, no join."""
-    found = lambda a, b: F.expr(f"instr({a}, {b})")
-    dense = lambda c: f"regexp_replace(`{c}`, '[ \\\\t\\\\n\\\\r\\\\f]', '')"
+    counted back to the original by the non-space characters before it. Null and blank quotes are nowhere. One
+    expression a row, no join; only rows found without white space are walked."""
+    found = lambda a, b: F.expr(f"if({b} = '', 0, coalesce(instr({a}, {b}), 0))")
+    dense = lambda c: f"regexp_replace(`{c}`, r'[{T.SPACE}]', '')"
     rows = rows.withColumn("_exact", found(f"`{text}`", f"`{quote}`"))
     rows = rows.withColumn("_dense", F.when(F.col("_exact") > 0, F.lit(0)).otherwise(found(dense(text), dense(quote))))
     return _with_place(rows, text)
@@ -38,13 +39,14 @@ def positions(rows: DataFrame, quote: str, text: str) -> DataFrame:
 
 def _with_place(rows: DataFrame, text: str) -> DataFrame:
     chars = F.split(F.col(text), "")
+    blank = lambda c: c.rlike(f"[{T.SPACE}]")
     walk = F.aggregate(
         chars,
         F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.lit(-1).alias("found")),
         lambda s, c: F.struct(
-            (s["seen"] + F.when(c.rlike(r"\s"), 0).otherwise(1)).alias("seen"),
+            (s["seen"] + F.when(blank(c), 0).otherwise(1)).alias("seen"),
             (s["at"] + 1).alias("at"),
-            F.when((s["found"] < 0) & ~c.rlike(r"\s") & (s["seen"] + 1 == F.col("_dense")), s["at"]).otherwise(s["found"]).alias("found"),
+            F.when((s["found"] < 0) & ~blank(c) & (s["seen"] + 1 == F.col("_dense")), s["at"]).otherwise(s["found"]).alias("found"),
         ),
     )["found"]
     level = F.when(F.col("_exact") > 0, "exact").when(F.col("_dense") > 0, "spaces").otherwise("none")

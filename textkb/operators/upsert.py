@@ -5,10 +5,12 @@ A batch is one DataFrame with an order column; existing rows count as the earlie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import one_per_key
+from .scratch import materialize
 
 
 def replaced(rows: DataFrame, key: str, batch: str, seq: str) -> DataFrame:
@@ -23,9 +25,8 @@ def ignored(rows: DataFrame, key: str, batch: str, seq: str) -> DataFrame:
 
 def vector_upserted(rows: DataFrame, key: str, batch: str, seq: str) -> DataFrame:
     """The latest batch wins, and inside it the first row of a key."""
-    rest = [c for c in rows.columns if c != key]
-    pick = F.max_by(F.struct(*rest), F.struct(F.col(batch), -F.col(seq)))
-    return rows.groupBy(key).agg(pick.alias("_row")).select(key, *(F.col(f"_row.{c}") for c in rest)).select(rows.columns)
+    w = Window.partitionBy(key).orderBy(F.col(batch).desc(), F.col(seq).asc())
+    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
 def new_only(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -37,24 +38,25 @@ def write_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def upsert_table(rows: DataFrame, path: str, key: str, by: str, seq: str, ignore: bool = False) -> None:
+def upsert_table(rows: DataFrame, path: str, key: str, by: str, seq: str, ignore: bool = False, merge=None) -> None:
     """Keyed upsert into a partitioned table: only the touched partitions are read and written again.
 
-    The merged rows go through the checkpoint folder, since they read the partitions they replace.
+    ``merge`` (default: REPLACE, or IGNORE) makes one row of each key from old rows (``_batch`` 0) and new ones
+    (1). The merged rows are written to the shared folder first, since they read the partitions they replace.
     """
     spark = rows.sparkSession
     fresh = rows.withColumn("_batch", F.lit(1))
     try:
         old = spark.read.parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # no table yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         old = None
     if old is not None:
         touched = rows.select(by).distinct()
         fresh = old.join(touched, by, "left_semi").withColumn("_batch", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    merged = (ignored if ignore else replaced)(fresh, key, "_batch", seq).drop("_batch")
-    write_partitions(merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist(), path, by)
+    merged = (merge or (ignored if ignore else replaced))(fresh, key, "_batch", seq).drop("_batch")
+    write_partitions(materialize(merged), path, by)
 
 
 def append_log(rows: DataFrame, path: str, query: str = "query_text", limit: int = 500) -> None:
@@ -66,6 +68,11 @@ def migrated(df: DataFrame, quality: str = "writing_quality", default: int = 5)
     return df.withColumn(quality, F.coalesce(F.col(quality), F.lit(default)) if quality in df.columns else F.lit(default))
 
 
+def search_log(searches: DataFrame) -> DataFrame:
+    """Rows of the search log with an ``id`` of their own each: a UUID, as equal searches are told apart."""
+    return searches.select(F.expr("uuid()").alias("id"), *searches.columns)
+
+
 def counts_by_book(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.groupBy("book_name").agg(F.count("*").alias("records")).select(F.lit(n).alias("table_name"), "book_name", "records") for n, t in tables.items()]
     out = parts[0]

@@ -58,7 +58,7 @@ def chk_05(spark, sf_dir):
 
 
 @query("chk_06_slice_merge", """
-WITH s AS (SELECT source AS book_name, 'ch' || doc_id // 100 AS chapter_id, doc_id, lang AS scene_type, list_slice(string_split(text, ' '), 1, 6) AS skills FROM documents),
+WITH s AS (SELECT source AS book_name, 'ch' || doc_id // 100 AS chapter_id, doc_id, lang AS scene_type, string_split(text, ' ') AS skills FROM documents),
 u AS (SELECT book_name, chapter_id, doc_id, unnest(skills) AS name, unnest(range(len(skills))) AS i FROM s),
 f AS (SELECT *, row_number() OVER (PARTITION BY book_name, chapter_id, name ORDER BY doc_id, i) AS r FROM u),
 n AS (SELECT book_name, chapter_id, list(name ORDER BY doc_id, i) AS skills FROM f WHERE r = 1 GROUP BY ALL)
@@ -67,7 +67,7 @@ def chk_06(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     slices = docs.select(
         F.col("source").alias("book_name"), F.concat(F.lit("ch"), F.floor(F.col("doc_id") / 100), F.lit("_"), F.col("doc_id") % 100 + 1).alias("chapter_id"),
-        "doc_id", F.col("lang").alias("scene_type"), F.slice(F.split("text", " "), 1, 6).alias("skills"),
+        "doc_id", F.col("lang").alias("scene_type"), F.split("text", " ").alias("skills"),
     )
     return C.merged_slices(slices, "doc_id")
 

@@ -173,12 +173,12 @@ def agg_02(spark, sf_dir):
 
 
 @query("agg_03_mistakes", """
-WITH i AS (SELECT CASE WHEN event_type = 'error' THEN '未知' ELSE event_type END AS issue_type, props AS description, event_id AS seq FROM events WHERE value < 5),
+WITH i AS (SELECT CASE WHEN event_type = 'error' THEN '未知' ELSE event_type END AS issue_type, props AS description, event_id AS seq FROM events),
 d AS (SELECT *, CASE issue_type WHEN 'click' THEN 'touch' WHEN 'view' THEN 'touch' ELSE issue_type END AS dimension FROM i),
 g AS (SELECT dimension, issue_type, count(*)::BIGINT AS frequency, list(description ORDER BY seq DESC)[1:2] AS examples FROM d GROUP BY ALL)
 SELECT *, sum(frequency) OVER (PARTITION BY dimension)::BIGINT AS in_dimension FROM g QUALIFY in_dimension >= 2""")
 def agg_03(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value < 5")
+    e = table(spark, sf_dir, "events")
     i = e.select(F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("issue_type"), F.col("props").alias("description"), F.col("event_id").alias("seq"))
     return R.mistake_patterns(i, {"click": "touch", "view": "touch"})
 
@@ -214,10 +214,10 @@ def sta_07(spark, sf_dir):
 
 
 @query("sta_08_merged_style", """
-WITH w AS (SELECT DISTINCT source AS book_name, trim(unnest(string_split(substr(text, 1, 200), ','))) AS word FROM documents), k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN ('无', 'none'))
+WITH w AS (SELECT DISTINCT source AS book_name, trim(unnest(string_split(text, ','))) AS word FROM documents), k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN ('无', 'none'))
 SELECT book_name, list_sort(list(word))[1:30] AS words FROM k GROUP BY book_name""")
 def sta_08(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), F.substring("text", 1, 200).alias("verbs"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), F.col("text").alias("verbs"))
     return R.merged_style(d, "verbs")
 
 
@@ -233,16 +233,16 @@ def key_10(spark, sf_dir):
 
 
 @query("key_11_positions", """
-WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN replace(substr(text, 21, 40), ' ', '') WHEN doc_id % 3 = 1 THEN substr(text, 21, 40) ELSE 'qqqqqqqq' END AS quote FROM documents WHERE length(text) BETWEEN 100 AND 3000),
+WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN replace(substr(text, 21, 40), ' ', '') WHEN doc_id % 3 = 1 THEN substr(text, 21, 40) ELSE 'qqqqqqqq' END AS quote FROM documents),
 s AS (SELECT *, regexp_replace(text, '\\s', '', 'g') AS dense, regexp_replace(quote, '\\s', '', 'g') AS dq FROM q),
-p AS (SELECT *, CASE WHEN instr(text, quote) > 0 THEN 'exact' WHEN instr(dense, dq) > 0 THEN 'spaces' ELSE 'none' END AS level FROM s),
+p AS (SELECT *, CASE WHEN quote <> '' AND instr(text, quote) > 0 THEN 'exact' WHEN dq <> '' AND instr(dense, dq) > 0 THEN 'spaces' ELSE 'none' END AS level FROM s),
 c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM p WHERE level = 'spaces'),
 n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c WHERE NOT regexp_matches(ch, '\\s'))
 SELECT p.doc_id, level, CASE level WHEN 'exact' THEN instr(text, quote) - 1 WHEN 'spaces' THEN n.i ELSE -1 END::INT AS position FROM p LEFT JOIN n ON level = 'spaces' AND n.doc_id = p.doc_id AND n.k = instr(dense, dq)""")
 def key_11(spark, sf_dir):
     from ..operators.quotes import positions
 
-    d = table(spark, sf_dir, "documents").where("length(text) between 100 and 3000")
+    d = table(spark, sf_dir, "documents")
     piece = F.substring("text", 21, 40)
     quote = F.when(F.col("doc_id") % 3 == 0, F.replace(piece, F.lit(" "), F.lit(""))).when(F.col("doc_id") % 3 == 1, piece).otherwise("qqqqqqqq")
     return positions(d.select("doc_id", quote.alias("quote"), "text"), "quote", "text").select("doc_id", "level", "position")
@@ -300,11 +300,11 @@ for _letter, _severity, _what in (("C", "high", "sensory"), ("D", "high", "setti
 
 
 @query("dq_d_modules", """
-WITH h AS (SELECT user_id::VARCHAR AS book_name, list(DISTINCT event_type) AS have FROM events WHERE event_id % 40 = 0 GROUP BY user_id), g AS (SELECT book_name, list_sort(list_filter(['click', 'error', 'purchase', 'refund', 'view'], lambda x: NOT list_contains(have, x))) AS gap FROM h)
+WITH h AS (SELECT user_id::VARCHAR AS book_name, list(DISTINCT (props::JSON->>'k')) AS have FROM events GROUP BY user_id), g AS (SELECT book_name, list_sort(list_filter(['11', '23', '42', '58', '77'], lambda x: NOT list_contains(have, x))) AS gap FROM h)
 SELECT 'D' AS stage, book_name, '' AS chapter_id, 'medium' AS severity, 'missing: ' || array_to_string(gap[1:3], ', ') AS description FROM g WHERE len(gap) > 3""")
 def dq_d(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("user_id").cast("string").alias("book_name"), F.col("event_type").alias("module"))
-    return Q.missing_modules(e, ["click", "error", "purchase", "refund", "view"], 3)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book_name"), F.get_json_object("props", "$.k").alias("module"))
+    return Q.missing_modules(e, ["11", "23", "42", "58", "77"], 3)
 
 
 @query("dq_d_profiles", """
@@ -369,9 +369,9 @@ def xbk_04(spark, sf_dir):
 
 
 @query("xbk_06_benchmark_pack", f"""
-SELECT book_name, type, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY book_name, type ORDER BY writing_quality DESC, seq)::INT AS place FROM ({_SAMPLES}) WHERE type IN ('en', 'fr')) WHERE place <= 3""")
+SELECT book_name, type, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY book_name, type ORDER BY writing_quality DESC, seq)::INT AS place FROM ({_SAMPLES})) WHERE place <= 3""")
 def xbk_06(spark, sf_dir):
-    return R.best_rows(_samples(spark, sf_dir).where("type in ('en', 'fr')"), 3, True).select("book_name", "type", "seq", "place")
+    return R.best_rows(_samples(spark, sf_dir), 3, True).select("book_name", "type", "seq", "place")
 
 
 @query("xbk_07_recommendation", f"""

@@ -9,7 +9,7 @@ from ..operators import graph as G
 from ..operators import search as S
 from .base import query, table
 
-_Q = "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0"
+_Q = "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0"
 _DIST = "list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
 _ROUND = lambda c: f"round(({c})::DECIMAL(20,10), 4)::DOUBLE"
 
@@ -18,7 +18,7 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
 
-def _queries(spark, sf_dir, every=100):
+def _queries(spark, sf_dir, every=50):
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
@@ -122,7 +122,7 @@ _FILTERS = {
     "flt_06_page": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40", lambda s, d: S.page(table(s, d, "orders"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20, 40).select("o_orderkey", "o_totalprice")),
     "flt_07_renamed": ("SELECT event_id AS id, event_type AS kind FROM events", lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))),
     "flt_08_decoded": ("SELECT event_id, coalesce((props::JSON->>'k')::INT, 0) AS k, []::VARCHAR[] AS tags FROM events", lambda s, d: table(s, d, "events").withColumn("p", F.from_json("props", "k int, tags array<string>")).select("event_id", F.coalesce("p.k", F.lit(0)).alias("k"), F.coalesce("p.tags", F.array().cast("array<string>")).alias("tags"))),
-    "flt_09_split": ("SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.filter(F.transform(F.split(F.substring("text", 1, 200), ","), lambda x: F.trim(x)), lambda x: x != "").alias("items"))),
+    "flt_09_split": ("SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "").alias("items"))),
     "flt_10_shortened": ("SELECT doc_id, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS excerpt FROM documents", None),
     "srt_02_frequency": ("SELECT event_type, count(*)::BIGINT AS frequency FROM events GROUP BY event_type ORDER BY frequency DESC, event_type LIMIT 3", lambda s, d: S.page(table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("frequency")), [F.desc("frequency"), F.col("event_type")], 3)),
     "srt_01_latest": ("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 25", lambda s, d: S.page(table(s, d, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 25)),
@@ -150,11 +150,11 @@ for _name, (_sql, _f) in _FILTERS.items():
 
 # --- graphs: suppliers and parts, and events of one user in a row ----------------------------------------
 
-_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_partkey % 7 = 0)"
+_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def _edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
 
 
@@ -179,9 +179,7 @@ def grf_06(spark, sf_dir):
     return G.numbered_subgraph(s.unionByName(p), _edges(spark, sf_dir), 1, 300)
 
 
-@query("grf_07_components", f"""
-WITH RECURSIVE {_EDGES}, {_STEPS}, reach(node, low) AS (SELECT DISTINCT at_, at_ FROM steps UNION SELECT to_, low FROM reach JOIN steps ON node = at_ WHERE low < to_)
-SELECT node, min(low) AS component FROM reach GROUP BY node""")
+@query("grf_07_components")  # too slow as recursive SQL on whole tables: tests hold it against plain search
 def grf_07(spark, sf_dir):
     return G.weak_components(_edges(spark, sf_dir))
 

@@ -78,10 +78,24 @@ def src_03(spark, sf_dir):
 
 
 @query("src_04_canonical", """
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN split_part(c_name, ' ', 1) ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 2 THEN '番外' ELSE '' END AS kind FROM customer""")
+SELECT c_custkey, c_name AS title, CASE WHEN c_custkey % 3 = 2 THEN '番外' ELSE '' END AS kind,
+  CASE WHEN c_custkey % 3 = 0 THEN replace(c_mktsegment, ' ', '') || '分类：c' || c_nationkey || '标签：a、b、' || c_nationkey WHEN c_nationkey % 3 = 0 THEN '作家甲' WHEN c_nationkey % 3 = 1 THEN '作家乙' ELSE '未知' END AS author FROM customer""")
 def src_04(spark, sf_dir):
+    n = F.col("c_nationkey") % 3
+    folder = F.when(n == 0, "作家甲（3本）合集").when(n == 1, "凡人修仙传").otherwise("诛仙")
+    parent = F.when(n == 1, "作家乙小说").otherwise("三体·书籍")
     rows = _names(spark, sf_dir)
-    return rows.select("c_custkey", L.canonical_name("raw", F.lit("作家甲"), F.lit("合集")).alias("n")).select("c_custkey", "n.title", "n.kind")
+    return rows.select("c_custkey", L.canonical_name("raw", folder, parent).alias("n")).select("c_custkey", "n.title", "n.kind", "n.author")
+
+
+@query("src_05_decoded", """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '第一章 ' || c_name WHEN 1 THEN '你好' || c_name WHEN 2 THEN c_name ELSE c_name || ' café' END AS text FROM customer""")
+def src_05(spark, sf_dir):
+    """UTF-8, GBK, UTF-16 with its mark, and Latin-1 (an odd number of bytes)."""
+    c, name, n = table(spark, sf_dir, "customer"), F.col("c_name"), F.col("c_custkey") % 4
+    gbk, mark = F.unhex(F.lit("C4E3BAC3")), F.unhex(F.lit("FFFE"))
+    raw = F.when(n == 0, F.encode(F.concat(F.lit("第一章 "), name), "UTF-8")).when(n == 1, F.concat(gbk, F.encode(name, "UTF-8"))).when(n == 2, F.concat(mark, F.encode(name, "UTF-16LE"))).otherwise(F.encode(F.concat(name, F.lit(" café")), "ISO-8859-1"))
+    return L.texts(c.select(F.col("c_custkey").cast("string").alias("path"), raw.alias("content"))).select(F.col("path").cast("long").alias("c_custkey"), "text")
 
 
 @query("src_06_merged", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY lpad(turn::VARCHAR, 6, '0'), text) AS text FROM conversations GROUP BY conv_id")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import export_attributes
-from ..operators.upsert import append_log, upsert_table, vector_upserted, write_partitions
+from ..operators.upsert import append_log, search_log, upsert_table, vector_upserted
 
-__all__ = ["append_log", "peek", "write_graph", "write_rejects", "write_replace", "write_ignore", "write_vectors"]
+__all__ = ["append_log", "peek", "search_log", "write_graph", "write_rejects", "write_replace", "write_ignore", "write_vectors"]
 
 
 def write_replace(rows: DataFrame, path: str, key: str = "id", by: str = "book_name", seq: str = "seq") -> None:
@@ -24,7 +24,9 @@ def write_rejects(rows: DataFrame, path: str) -> None:
 
 
 def write_vectors(rows: DataFrame, path: str, batch: str = "batch", seq: str = "seq") -> None:
-    write_partitions(vector_upserted(rows, "id", batch, seq), path, "collection")
+    """Upsert into the collections that ``rows`` name: other ids of a collection stay, and of one id the latest
+    batch of the new rows wins (inside it the first), over anything written before."""
+    upsert_table(vector_upserted(rows, "id", batch, seq), path, "id", "collection", seq)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -34,9 +36,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def peek(spark: SparkSession, tables: dict[str, DataFrame], seed: int = 0) -> list[tuple[str, int, dict | None]]:
-    """Row count and one random row of each table."""
+    """Row count and one random row of each table, in one pass each: every row draws a number, the least is shown."""
     out = []
     for name, df in tables.items():
-        row = df.orderBy(F.rand(seed)).limit(1).collect()
-        out.append((name, df.count(), row[0].asDict() if row else None))
+        n, row = df.withColumn("_draw", F.rand(seed)).agg(F.count("*"), F.min_by(F.struct(*df.columns), "_draw")).first()
+        out.append((name, n, row.asDict() if row else None))
     return out

@@ -9,26 +9,32 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import key
 from ..operators.chapters import split_chapters
 from ..operators.clean import cleaned
-from ..operators.upsert import upsert_table
+from ..operators.scratch import materialize
+from ..operators.upsert import write_partitions
 from ..sources import library
 
 
 def ingest_library(spark: SparkSession, root: str, table: str, checkpoint: str) -> StreamingQuery:
-    """New files below ``root`` become cleaned chapters, upserted into ``table`` by book; each file once.
+    """New files below ``root`` become cleaned chapters in ``table``; each file is noticed once.
 
-    The stream's checkpoint is the manifest of what has been read; the keyed upsert makes a repeated
-    batch harmless.
+    A book of which a file is new is built again from all its files, and its partition is replaced: a later
+    file adds to the earlier ones, and a shorter edition leaves no chapter behind. The stream's checkpoint
+    is the manifest of what has been read; a repeated batch builds the same partitions again.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        names = library.descriptors(batch.select("path"), root).select("book_name", F.col("all_files")[0].alias("path"))
-        books = cleaned(library.merged(library.texts(batch.select("path", "content")).join(names, "path")), "book_name")
+    named = lambda paths: library.descriptors(paths, root).select("book_name", F.col("all_files")[0].alias("path"))
+
+    def rebuild(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        touched = materialize(named(batch.select("path")).select("book_name").distinct())
+        whole = library.files(spark, root)
+        wanted = materialize(named(whole.select("path")).join(touched, "book_name", "left_semi"))
+        books = cleaned(library.merged(library.texts(whole.join(wanted.select("path"), "path", "left_semi")).join(wanted, "path")), "book_name")
         rows = split_chapters(books, "book_name").withColumn("id", key("book_name", "chapter_idx", "slice_no")).withColumn("seq", F.lit(epoch))
-        upsert_table(rows, table, "id", "book_name", "seq")
+        write_partitions(materialize(rows), table, "book_name")
 
-    return found.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return found.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(log: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
