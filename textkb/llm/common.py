@@ -24,8 +24,8 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a task looks at; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch. With long texts the default of 10,000 would not bound a task's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, whichever is reached first: what bounds a task's memory.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -35,9 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small (a batch holds rows, and a text may be long)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small: a text may be long, so bytes count and not rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -47,13 +48,15 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; the setting is made here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, one machine (a local master) takes a
+    temporary folder; on a cluster that is an error, as executors and driver share no other folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        root = set_dir or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        if not set_dir:
-            spark.sparkContext.setCheckpointDir(root)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/textkb-{uuid.uuid4().hex}"
 
 

@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 *Base spans* are what three patterns find (assignments, access ids, hexadecimal runs).
-*Model spans* are further runs of key-like characters that a first-order Markov model of random
-strings explains better than one of ordinary identifiers. Both models are counts of adjacent
-character pairs, fitted on labelled samples: values inside base spans are the random ones, the
-other key-like runs of the same texts the ordinary ones. The samples come from at most about
-``TRAIN_DOCUMENTS`` documents chosen by a hash of their id; the counts are summed by Spark into
-2 * 66 * 66 numbers, so the model has a fixed size. Every text is scanned whole.
+*Model spans* are further runs of ``RUN_LEAST`` or more key-like characters that a first-order Markov model
+of random strings explains better than one of ordinary identifiers. Both kinds of samples are
+labelled by how they are made: the random ones are drawn from the alphabets that keys use (``ALPHABETS``,
+a model for each, the best one counts); the ordinary ones are the words of at most about
+``TRAIN_DOCUMENTS`` documents (chosen by a hash of their id) put together the way code does
+(snake_case, camelCase, paths, numbers behind), long numbers, dates and rulers. So no secret of the corpus counts as an ordinary string.
+The counts are summed by Spark into a table of fixed size. Every text is scanned whole.
+
+A run is a model span if its ratio exceeds ``THRESHOLD`` in total and ``PER_CHARACTER`` on average: long
+ordinary runs cannot collect it bit by bit. Shorter runs and secrets made of words are left alone.
 """
 
 from __future__ import annotations
@@ -33,15 +37,21 @@ KINDS = ("assign", "access", "hex", "markov")
 
 RUN_LEAST = 16  # characters of a run that the models look at
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}", re.ASCII)
-THRESHOLD = 12.0  # nats by which the random model must explain a run better
+THRESHOLD, PER_CHARACTER = 12.0, 1.6  # nats by which a random model must explain a run better
 TRAIN_DOCUMENTS = 20_000
+RANDOM_STRINGS = 2000  # for each alphabet
 
+WORD = re.compile(r"[A-Za-z]{2,15}", re.ASCII)
+BACK_OFF = 10.0
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _START = len(_ALPHABET)  # stands before the first character
 _SIDE = len(_ALPHABET) + 1
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
+_UPPER, _LOWER, _DIGITS = _ALPHABET[:26], _ALPHABET[26:52], _ALPHABET[52:62]
+#: What keys are drawn from: hexadecimal, base 32, digits and one case, letters and digits, the two base 64.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", _UPPER + "234567", _UPPER + _DIGITS, _LOWER + _DIGITS, _ALPHABET[:62], _ALPHABET[:62] + "+/", _ALPHABET[:62] + "-_")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _TO_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _TO_RUN = bytes(120 if b < 128 and _CODE[b] >= 0 else 32 for b in range(256))
@@ -81,47 +91,80 @@ def _overlaps(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:
     return any(s < b and a < e for s, _, e in spans)
 
 
+def random_strings(alphabet: str, n: int = RANDOM_STRINGS, seed: int = 1) -> list[str]:
+    """Labelled samples of one kind: strings of 16 to 64 characters of an alphabet, all alike likely."""
+    g = np.random.default_rng([seed, len(alphabet), ord(alphabet[0])])
+    return ["".join(alphabet[i] for i in g.integers(0, len(alphabet), m)) for m in g.integers(16, 65, n)]
+
+
+_JOINS = (
+    lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "".join(w),
+    lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w),
+    lambda w: "_".join(x.upper() for x in w), lambda w: "".join(x.upper() for x in w),
+)
+
+
+def identifiers(words: list[str]) -> list[str]:
+    """Labelled samples of the other kind: three neighbouring words put together as code does, some with a number."""
+    out = []
+    for i in range(0, len(words) - 2, 3):
+        k = i // 3
+        name = _JOINS[k % len(_JOINS)](words[i : i + 3])
+        out.append(f"{name}{k % 2000}" if k % 5 == 0 else f"{name}={words[i]}" if k % 11 == 0 else name)
+    return out
+
+
+def plain_strings(n: int = RANDOM_STRINGS, seed: int = 2) -> list[str]:
+    """More ordinary samples: long numbers, dates, rulers."""
+    g = np.random.default_rng(seed)
+    numbers = ["".join(map(str, g.integers(0, 10, m))) for m in g.integers(16, 25, n)]
+    dates = [f"{y}-{m:02d}-{d:02d}" + ("" if k % 2 else f"_{k % 24:02d}-{k % 60:02d}") for k, (y, m, d) in enumerate(g.integers((1990, 1, 1), (2031, 13, 29), (n, 3)))]
+    return numbers + dates + [c * 20 for c in "=-_+/"] * (n // 20)
+
+
 def fit(docs: DataFrame, bound: int = TRAIN_DOCUMENTS) -> np.ndarray:
-    """Log-likelihood ratio (random over ordinary) of each character pair, flattened."""
+    """Log-likelihood ratios (random over ordinary) of each character pair, (alphabets, pairs)."""
     n = docs.count()
     sample = docs.where(hash_unit("doc_id", seed="secrets") < sample_fraction(n, bound)).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, _SIDE * _SIDE), np.int64)
+        total = np.zeros(_SIDE * _SIDE, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                raw = text.encode()
-                spans = base_spans(text, raw)
-                for s, kind, e in spans:
-                    value = re.split(r"[^A-Za-z0-9+/_=-]", text[s:e])[-1]
-                    if value:
-                        np.add.at(total[0], _transitions(value), 1)
-                for a, b in runs(text, raw):
-                    if not _overlaps(spans, a, b):
-                        np.add.at(total[1], _transitions(text[a:b]), 1)
-        at = np.nonzero(total.ravel())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+                names = identifiers(WORD.findall(text or ""))
+                if names:
+                    total += np.bincount(np.concatenate([_transitions(x) for x in names]), minlength=len(total))
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    counts = np.zeros(2 * _SIDE * _SIDE)
+    ordinary = np.bincount(np.concatenate([_transitions(x) for x in plain_strings()]), minlength=_SIDE * _SIDE).astype(float)
     for r in sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]
-    random, ordinary = counts.reshape(2, _SIDE, _SIDE)
-    # A pair backs off to its second character alone: what ordinary runs hardly hold tells against them.
-    # Random strings may use any character, whatever the few samples hold: theirs backs off half to uniform.
-    single = lambda c: (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * _SIDE)
-    # A pair seen once among the ordinary runs counts as unseen: a lone secret there must not explain itself.
-    discount = np.minimum(ordinary, 1)
-    left = 5.0 + discount.sum(axis=1, keepdims=True)
-    p_ordinary = (ordinary - discount + left * single(ordinary)) / (ordinary.sum(axis=1, keepdims=True) + 5.0)
-    p_random = (random + 50.0 * (0.5 * single(random) + 0.5 / _SIDE)) / (random.sum(axis=1, keepdims=True) + 50.0)
-    return np.log(p_random / p_ordinary).ravel()
-
-
-def secret_spans(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
+        ordinary[r["at"]] += r["n"]
+    ordinary = ordinary.reshape(_SIDE, _SIDE)
+    # A pair backs off to its second character alone, and that to a uniform one, as if seen BACK_OFF times.
+    single = (ordinary.sum(axis=0) + 1.0) / (ordinary.sum() + _SIDE)
+    p_ordinary = (ordinary + BACK_OFF * single) / (ordinary.sum(axis=1, keepdims=True) + BACK_OFF)
+    out = []
+    for alphabet in ALPHABETS:
+        random = np.bincount(np.concatenate([_transitions(x) for x in random_strings(alphabet)]), minlength=_SIDE * _SIDE).reshape(_SIDE, _SIDE)
+        one = (random.sum(axis=0) + 0.02) / (random.sum() + 0.02 * _SIDE)
+        p_random = (random + BACK_OFF * one) / (random.sum(axis=1, keepdims=True) + BACK_OFF)
+        out.append(np.log(p_random / p_ordinary).ravel())
+    return np.array(out)
+
+
+def ratio(models: np.ndarray, run: str) -> float:
+    """Nats by which the best of the random models explains a run better than the ordinary one."""
+    return float(models[:, _transitions(run)].sum(axis=1).max())
+
+
+def secret_spans(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, threshold: float = THRESHOLD, per_character: float = PER_CHARACTER) -> DataFrame:
     """Per row of ``docs``: doc_id and its spans ``array<struct<kind,start,end,score>>`` (code points,
-    end exclusive) by start, then kind. A null or empty text has none; rows repeat as they come."""
+    end exclusive) by start, then kind.
+
+    A null or empty text has none; repeated rows and ids are judged row by row; texts are scanned whole,
+    however long; overlapping matches of different kinds are all given, ties by kind as listed; a model span
+    never overlaps a base span; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -130,7 +173,7 @@ def secret_spans(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, threshold: float
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = model.value
+        models = model.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out = []
@@ -141,8 +184,8 @@ def secret_spans(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, threshold: float
                 found = [(s, k, e, None) for s, k, e in spans]
                 for a, b in runs(text, raw):
                     if not _overlaps(spans, a, b):
-                        score = float(ratio[_transitions(text[a:b])].sum())
-                        if score > threshold:
+                        score = ratio(models, text[a:b])
+                        if score > max(threshold, per_character * (b - a)):
                             found.append((a, 3, b, score))
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in sorted(found, key=lambda f: f[:3])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(item))], ["doc_id", "spans"])
