@@ -248,7 +248,7 @@ def test_packing_round_trip(spark, odd):
     extra = docs_frame(spark, [(50, "two  spaces \n\n and\ttabs  ", "en", "a"), (51, "naïve café 漢字 🙂", "en", "a")])
     frame = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(extra)
     packed = packing.pack(frame, row_tokens=256, shard_sequences=8).collect()
-    coder = packing.Tokenizer()
+    coder = packing.Tokenizer(packing.read_vocabulary())
     segments = {}
     for r in packed:
         ids = np.frombuffer(r["ids"], coder.dtype)

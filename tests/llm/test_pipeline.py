@@ -36,7 +36,7 @@ def test_each_stage_does_what_its_operator_says(spark):
         elif name == "mixing_to_target_weights":
             want = [r["doc_id"] for r in mixing.mixed_counts(docs).collect() for _ in range(r["copies"])]
         else:
-            coder = packing.tokenizer(packing.VOCABULARY, packing.PATTERN, packing.END_OF_TEXT)
+            coder = packing.Tokenizer(packing.read_vocabulary())
             assert sum(r["n_tokens"] for r in after) == sum(len(coder.ids(r["text"])) for r in before)
             assert {d for r in after for d in r["doc_ids"]} == {r["doc_id"] for r in before}
             continue

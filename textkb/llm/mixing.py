@@ -64,9 +64,15 @@ def _word_count() -> F.Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
-def _copies(rate: F.Column, seed: str) -> F.Column:
+def _draw(seed: str) -> F.Column:
+    """The document's number in [0, 1): from its id, or for a null id from its text, so that they do not draw alike."""
+    null_id = F.concat(F.lit("\\N"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return hash_unit(F.coalesce(F.col("doc_id").cast("string"), null_id), seed=seed)
+
+
+def _copies(rate: F.Column, draw: F.Column) -> F.Column:
     whole = F.floor(rate).cast("long")
-    return whole + (hash_unit("doc_id", seed=seed) < rate - whole).cast("long")
+    return whole + (draw < rate - whole).cast("long")
 
 
 def _rate(target: str, size: str) -> F.Column:
@@ -77,13 +83,14 @@ def mixed_counts(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, rate, copies, taken.
 
     A null text has size 0; null sources are one source; a source without words has target 0 and
-    rate 0; repeated rows draw alike, as the draw depends on doc_id only; an empty table gives none.
+    rate 0; repeated rows draw alike, as the draw depends on doc_id only (on the text where the id is
+    null); long texts are counted whole; an empty table gives none; other columns are ignored.
     """
-    sizes = materialize(docs.select("doc_id", "source", _word_count().alias("size")))
+    sizes = materialize(docs.select("doc_id", "source", _word_count().alias("size"), _draw(seed).alias("draw")))
     targets = source_targets(sizes, **shares).select(F.col("source").alias("of"), "source_size", "target")
     joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     joined = joined.withColumn("rate", _rate("target", "source_size"))
-    return joined.withColumn("copies", _copies(F.col("rate"), seed)).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.withColumn("copies", _copies(F.col("rate"), F.col("draw"))).drop("draw").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     of, size, target, times = unique_names(docs.columns, "mix_of", "mix_size", "mix_target", "mix_times")
     targets = source_targets(docs.select("source", _word_count().alias("size")), **shares)
     targets = materialize(targets.select(F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target)))
-    copies = _copies(_rate(target, size), seed)
+    copies = _copies(_rate(target, size), _draw(seed))
     out = docs.join(targets, F.col("source").eqNullSafe(F.col(of))).withColumn(times, copies).where(F.col(times) > 0)
     return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
 
@@ -106,7 +113,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, '\N' || md5(coalesce(text, ''))) AS drawn FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -126,7 +134,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
-    ('0x' || substr(md5('mix-1' || chr(31) || coalesce(s.doc_id::VARCHAR, '\N')), 1, 8))::UBIGINT::DOUBLE / 4294967296e0 AS draw
+    ('0x' || substr(md5('mix-1' || chr(31) || s.drawn), 1, 8))::UBIGINT::DOUBLE / 4294967296e0 AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -22,7 +22,8 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two docum
    lost. ``similar_pairs`` gives all links instead.
 6. *Hot lists.* Where more than ``HEAVY`` classes in several components share an n-gram, no pair rows
    are made: the classes outside the group's largest component meet all of its classes in cells of
-   ``BLOCK`` x ``BLOCK`` sets, salted over tasks, and a cell gives back a spanning forest of its links.
+   ``BLOCK`` x ``BLOCK`` sets, salted over tasks. A cell applies the length filter and the bound by parities
+   to all its pairs at once, counts the overlaps of sets that are left, and gives back a spanning forest.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    U64, bounded_batches, materialize, mix64, slices, table, utf8, word_hashes, words,
+    U64, bounded_batches, materialize, mix64, slices, table, unique_names, utf8, word_hashes, words,
 )
 from .components import components
 
@@ -334,6 +335,15 @@ def block_links(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int
     return overlap * (100 + percent) >= percent * (nx[:, None] + ny[None, :])
 
 
+def may_link(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which x and y pass the length filter and the bound by parities of members, as a boolean matrix."""
+    nx, ny = np.array([len(v) for v in x_sets])[:, None], np.array([len(v) for v in y_sets])[None, :]
+    need = -(-percent * (nx + ny) // (100 + percent))
+    sx, sy = (np.array([parity_signature(v) for v in sets_]).view(np.uint64) for sets_ in (x_sets, y_sets))
+    differing = sum(np.bitwise_count(sx[:, [k]] ^ sy[:, k]).astype(np.int64) for k in range(SIGNATURE_LONGS))
+    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (differing <= nx + ny - 2 * need)
+
+
 def _forest(links: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Links that join different trees; x and y carry ids."""
     parent: dict[int, int] = {}
@@ -464,9 +474,12 @@ class _Join:
             pairs: list[tuple[int, int]] = []
             if left.num_rows and right.num_rows:
                 read = lambda t: [np.frombuffer(v.as_buffer(), np.uint64) for v in t["grams"]]
-                found = block_links(read(left), read(right), percent)
-                found &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-                pairs = _forest(found, left["cls"].to_numpy(), right["cls"].to_numpy())
+                a, b = read(left), read(right)
+                open_ = may_link(a, b, percent) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
+                i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                if len(i):
+                    found = block_links([a[k] for k in i], [b[k] for k in j], percent) & open_[np.ix_(i, j)]
+                    pairs = _forest(found, left["cls"].to_numpy()[i], right["cls"].to_numpy()[j])
             a, b = zip(*pairs, strict=True) if pairs else ((), ())
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -540,14 +553,17 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, with all its columns.
 
-    Rows with a null doc_id stay. Where an id is repeated one of its rows stays. The ids that go are
-    a table of their own: where it is small Spark sends it to the texts, else both sides are shuffled.
+    Rows with a null doc_id have no place in that order and stay. Where an id is repeated, the row with the
+    smallest text stays (of equal texts any, they are told apart by nothing that counts here). The ids that
+    go are a table of their own: where it is small Spark sends it to the texts, else both sides are shuffled.
     """
     found = materialize(jaccard_components(docs, n, percent))
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
     ids = found.where("doc_id is not null").select("doc_id")
     if ids.groupBy("doc_id").count().where("count > 1").take(1):
-        known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+        (place,) = unique_names(docs.columns, "place_of_id")
+        w = Window.partitionBy("doc_id").orderBy("text")
+        known = docs.where("doc_id is not null").withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
         docs = known.unionByName(docs.where("doc_id is null"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -44,11 +44,10 @@ class Tokenizer:
     """Byte-level BPE. The pattern's look-ahead only matters where white space meets white space;
     texts without that use the pattern less the look-ahead, which gives the same ids much faster."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int | None = END_OF_TEXT):
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN, end: int | None = END_OF_TEXT):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         make = lambda p: tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})
         self.encoding, self.simple = make(pattern), make(pattern.replace(_LOOKAHEAD, ""))
         self.dtype = np.dtype("<u2") if max(max(ranks.values()), end or 0) < 1 << 16 else np.dtype("<u4")
@@ -59,13 +58,20 @@ class Tokenizer:
         return np.array(found + self.end if found else found, self.dtype)
 
 
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, read on the driver: executors need not hold it."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 _tokenizers: dict[tuple, Tokenizer] = {}
 
 
-def tokenizer(*key) -> Tokenizer:
+def tokenizer(vocabulary: bytes, *key) -> Tokenizer:
     """One per worker process: it is slow to build."""
+    key = (hash(vocabulary), *key)
     if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(*key)
+        _tokenizers[key] = Tokenizer(vocabulary, *key[1:])
     return _tokenizers[key]
 
 
@@ -138,13 +144,15 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int | None = END_OF
 
     Every token of every text is in exactly one segment; a document's segments in order of
     ``doc_offsets`` are its ids with the end mark. Null and empty texts have no segment; a null
-    doc_id is kept as null; repeated rows are packed as often as they come; padding repeats the end
-    mark (or 0) after ``n_tokens``.
+    doc_id is kept as null; repeated rows are packed as often as they come; long texts are split into
+    full rows and a rest; segments of equal length keep their order; padding repeats the end mark (or 0)
+    after ``n_tokens``. An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = tokenizer(vocabulary, PATTERN, end), TaskContext.get()
+        coder, task = tokenizer(shared.value, PATTERN, end), TaskContext.get()
         part, shard, held, segments = task.partitionId() if task else 0, 0, 0, []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

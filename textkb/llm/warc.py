@@ -6,9 +6,10 @@ dictionary built from the archive's own records, then each record is a frame of
 roll at ``ARCHIVE_BYTES`` of uncompressed records, which bounds a task's memory and a row's size; a
 longer single record makes an archive of its own.
 
-Payload digests and the first holder of each payload are found by Spark before writing: minima are
-pre-aggregated per digest, only digests with several rows are joined back, and a payload that a
-third of all pages share is a skewed join of rows that adaptive execution splits.
+Payload digests and the first holder of each payload are found by Spark before writing: digests are
+grouped (minima are pre-aggregated), and only the digests of several rows, narrow rows, come back to the
+pages. Where they are a small table, Spark sends it to the pages and no payload is shuffled; else both
+sides are, and a payload that a third of all pages share is a skewed join that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -99,6 +100,29 @@ def write_archive(name: str, records: list[bytes]) -> bytes:
     return b"".join(out)
 
 
+def _frames(view: memoryview) -> Iterator[memoryview]:
+    """The Zstandard frames of ``view`` one after the other, found by their block headers: nothing is copied."""
+    at = 0
+    while at < len(view):
+        if bytes(view[at : at + 4]) != b"\x28\xb5\x2f\xfd":
+            raise ValueError("not a Zstandard frame")
+        head = view[at + 4]
+        single, checksum = head >> 5 & 1, head >> 2 & 1
+        end = at + 5 + (not single) + (0, 1, 2, 4)[head & 3] + ((1 if single else 0), 2, 4, 8)[head >> 6]
+        last = False
+        while not last:
+            if end + 3 > len(view):
+                raise ValueError("truncated record")
+            block = int.from_bytes(view[end : end + 3], "little")
+            last, kind = block & 1, block >> 1 & 3
+            end += 3 + (1 if kind == 1 else block >> 3)  # a run-length block holds one byte
+        end += 4 * checksum
+        if end > len(view):
+            raise ValueError("truncated record")
+        yield view[at:end]
+        at = end
+
+
 def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of an archive, in order."""
     view, dictionary = memoryview(content), None
@@ -109,12 +133,8 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raw = zstandard.ZstdDecompressor().decompress(raw)
         dictionary, view = zstandard.ZstdCompressionDict(raw), view[8 + size :]
     decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while len(view):
-        one = decompressor.decompressobj()
-        record = one.decompress(view)
-        if not one.eof:
-            raise ValueError("truncated record")
-        view = view[len(view) - len(one.unused_data) :]
+    for frame in _frames(view):
+        record = decompressor.decompressobj().decompress(frame)
         head, _, rest = record.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -143,7 +163,7 @@ def write_archives(pages: DataFrame, revisit_least: int = REVISIT_LEAST, archive
         .groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("digest", "first")
     )
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    joined = rows.join(materialize(firsts), "digest", "left").select("page_id", "url", "payload", "digest", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, records, size = TaskContext.get(), 0, [], 0
