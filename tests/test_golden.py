@@ -213,6 +213,41 @@ def test_graph(spark):
     assert {comps[n] for n in "abcde"} == {"a"} and comps["y"] == "x" and {v for k, v in comps.items() if k.isdigit()} == {"0000"}
 
 
+def test_graph_stats_by_plain_search(spark):
+    r = random.Random(2)
+    edges = [(f"n{r.randrange(40):02d}", f"n{r.randrange(40):02d}") for _ in range(25)]
+    nodes = [(f"n{i:02d}", "ab"[i % 2], ["x", "x|y ", "", " z| "][i % 4]) for i in range(42)]
+    near, seen, sizes = {n: set() for n, *_ in nodes}, set(), []
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for n in near:
+        if n not in seen:
+            todo, size = [n], 0
+            seen.add(n)
+            while todo:
+                size += 1
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            sizes.append(size)
+    got = {(x["measure"], x["name"]): x["value"] for x in graph.graph_stats(spark.createDataFrame(nodes, "node_id string, node_type string, book_list string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    books = [b.strip() for *_, bs in nodes for b in bs.split("|") if b.strip()]
+    want = {("nodes", ""): 42, ("edges", ""): 25, ("components", ""): len(sizes), ("largest component", ""): max(sizes), ("nodes by type", "a"): 21, ("nodes by type", "b"): 21}
+    assert got == want | {("nodes by book", b): books.count(b) for b in set(books)}
+
+
+def test_plot_lines_and_documents(spark):
+    from textkb.operators import search
+
+    lines = spark.createDataFrame([("b", "main", "t", "1-9"), ("b", "main", "t", "1-9"), ("b", None, " ", "")], "book_name string, line_type string, theme string, chapter_distribution string")
+    assert {r["node_id"] for r in graph.plot_line_nodes(lines).collect()} == {"plot:b:main:t", "plot:b:unknown:unknown"}
+    assert set(search.TEMPLATES) >= {"skills", "world_settings", "story_events"}
+    event = spark.createDataFrame([("夺剑", None, "高潮", '["甲","乙"]', "high")], "event_name string, event_summary string, event_type string, characters_involved string, significance string")
+    assert search.documents(event, "story_events").first()["document"] == "事件:夺剑\n摘要:\n类型:高潮\n角色:甲,乙\n重要性:high"
+    assert one(spark, lambda c: search.query_text(c, F.lit("needs"), 3), "abcdef") == "needs abc"
+
+
 def test_carried_state(spark):
     rows = spark.createDataFrame([("b", i, s, f) for i, (s, f) in enumerate([("a", False), ("x", True), ("x", True), ("b", False), ("x", True), ("c", False)])], "book_name string, seq int, state string, failed boolean")
     got = [r["state_before"] for r in relate.carried_state(rows, "state", "failed", F.lit("0")).orderBy("seq").collect()]

@@ -59,6 +59,49 @@ def causal_chain(events: DataFrame, edges: DataFrame, starts: DataFrame, depth:
     return reached.join(events.select(F.col("event_id").alias("node"), "event_name"), "node")
 
 
+def chain_edges(reached: DataFrame, events: DataFrame, edges: DataFrame, direction: str) -> DataFrame:
+    """The causal edges at each reached event: ``(start, depth, direction, relation_type, relation_detail, event_name,
+    chapter_id)`` of the event at the other end, one step further than the reached one. ``edges`` has source_event_id,
+    target_event_id, relation_type and relation_detail; what is missing of an unknown event is blank."""
+    ends = {"downstream": ("source_event_id", "target_event_id"), "upstream": ("target_event_id", "source_event_id")}
+    parts = []
+    for way in ends if direction == "both" else (direction,):
+        here, there = ends[way]
+        parts.append(edges.select(F.col(here).alias("node"), F.col(there).alias("other"), F.lit(way).alias("direction"), "relation_type", "relation_detail"))
+    steps = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    known = events.select(F.col("event_id").alias("other"), "event_name", "chapter_id")
+    rows = reached.select("start", "node", "depth").join(steps, "node").join(known, "other", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return rows.select("start", (F.col("depth") + 1).alias("depth"), "direction", "relation_type", "relation_detail", blank("event_name"), blank("chapter_id"))
+
+
+def causal_overview(events: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+    """A row for each book without a start event: counts of events and edges, and its first ``most`` events of high
+    significance by id. Each task keeps at most ``most`` of a book before the shuffle."""
+    w = Window.partitionBy("book_name").orderBy("event_id")
+    high = events.where("significance = 'high'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_name", "chapter_id", "event_type"))), lambda x: F.struct(x["event_name"].alias("event_name"), x["chapter_id"].alias("chapter_id"), x["event_type"].alias("event_type")))
+    out = events.groupBy("book_name").agg(F.count("*").alias("total_events")).join(edges.groupBy("book_name").agg(F.count("*").alias("total_edges")), "book_name", "left")
+    out = out.join(high.groupBy("book_name").agg(told.alias("high_events")), "book_name", "left")
+    return out.withColumn("total_edges", F.coalesce("total_edges", F.lit(0).cast("long")))
+
+
+def event_graph(events: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``event:name`` (of equal names the last by id) and edges between names; edges of unknown events go."""
+    node = events.groupBy(F.concat(F.lit("event:"), "event_name").alias("node_id")).agg(F.max_by(F.struct("book_name", "chapter_id", "event_type", "significance"), "event_id").alias("a"))
+    nodes = node.select("node_id", F.lit("story_event").alias("node_type"), F.col("a.book_name").alias("book_list"), "a.chapter_id", "a.event_type", "a.significance")
+    name = lambda end: events.select(F.col("event_id").alias(f"{end}_event_id"), F.concat(F.lit("event:"), "event_name").alias(end))
+    both = edges.join(name("source"), "source_event_id").join(name("target"), "target_event_id")
+    last = both.groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.max_by(F.struct("relation_type", "book_name"), F.struct("source_event_id", "target_event_id")).alias("a"))
+    return nodes, last.select("src", "dst", "a.relation_type", F.col("a.book_name").alias("book"))
+
+
+def plot_line_nodes(lines: DataFrame) -> DataFrame:
+    """A node for each plot line, keyed by book, type and theme."""
+    blank = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("unknown"))
+    return lines.select(F.concat_ws(":", F.lit("plot"), "book_name", blank("line_type"), blank("theme")).alias("node_id"), F.lit("plot_line").alias("node_type"), F.col("book_name").alias("book_list"), "line_type", "theme", "chapter_distribution").dropDuplicates(["node_id"])
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between the given nodes (column ``node``)."""
     ids = nodes.select("node").distinct()
@@ -86,7 +129,8 @@ def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(measure, name, value)``: nodes and edges, nodes by type, components and the largest."""
+    """``(measure, name, value)``: nodes and edges, nodes by type, nodes by book (where there is a ``book_list``, names
+    with ``|`` between them), components and the largest."""
     row = lambda df, measure, name, value: df.select(F.lit(measure).alias("measure"), name.alias("name"), value.cast("long").alias("value"))
     comp = weak_components(edges).groupBy("component").count()
     alone = nodes.join(edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct(), "node_id", "left_anti")
@@ -98,6 +142,9 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         row(sizes.agg(F.count("*").alias("v")), "components", F.lit(""), F.col("v")),
         row(sizes.agg(F.max("count").alias("v")), "largest component", F.lit(""), F.col("v")),
     ]
+    if "book_list" in nodes.columns:
+        book = nodes.select(F.explode(F.transform(F.split("book_list", r"\|"), lambda b: F.trim(b))).alias("book")).where("book <> ''")
+        parts.append(row(book.groupBy("book").agg(F.count("*").alias("v")), "nodes by book", F.col("book"), F.col("v")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +74,44 @@ def sample_rules(samples: DataFrame, least: int, quality: int = 3) -> DataFrame:
     )
 
 
+#: The least length of a text by its table.
+LEAST_CHARS = {"dialogue_samples": 30, "description_samples": 30, "transition_samples": 20, "narrative_distance": 20, "show_tell_patterns": 20, "action_scene_samples": 30, "climax_excerpts": 50, "memorable_quotes": 15}
+
+
+def sample_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Stage F over the sample tables, each with its own least length; a climax without impact is medium."""
+    text = {"narrative_distance": "original_example", "show_tell_patterns": "original_example", "memorable_quotes": "quote_text"}
+    parts = []
+    for name, rows in tables.items():
+        found = sample_rules(rows.select("book_name", F.col(text.get(name, "original_text")).alias("text"), "writing_quality"), LEAST_CHARS[name])
+        parts.append(found.withColumn("description", F.concat(F.lit(f"{name}: "), "description")))
+        if name == "climax_excerpts":
+            parts.append(blank_field(rows, "emotional_impact", "F", "medium", "climax without impact", "chapter_id"))
+    return union(parts)
+
+
+#: What to do about an issue, by stage and a pattern of its description; the first that fits.
+SUGGESTIONS = (
+    ("A", "summary|failure rate", "check the responses of these chapters and run them again"),
+    ("D", "^missing", "run the settings stage over more chapters"),
+    ("E", "^no ", "check that the summaries are complete"),
+    ("F", "empty", "check the layout of the responses"),
+    ("F", "short|low quality", "sample more chapters"),
+    ("F", "impact", "ask for the impact again"),
+    ("C", "sensory", "the book may hold dialogue alone"),
+    (".", "^no (?!cast)", "run the stage again for this book"),
+)
+
+
+def suggested(issues: DataFrame) -> DataFrame:
+    """Adds ``suggestion``: '' where there is none."""
+    rule = None
+    for stage, pattern, text in SUGGESTIONS:
+        holds = F.col("stage").rlike(f"^{stage}$") & F.col("description").rlike(pattern)
+        rule = F.when(holds, text) if rule is None else rule.when(holds, text)
+    return issues.withColumn("suggestion", rule.otherwise(""))
+
+
 def blank_field(rows: DataFrame, field: str, stage: str, severity: str, description: str, chapter: str | None = None) -> DataFrame:
     return issue(rows.where(F.coalesce(F.trim(F.col(field).cast("string")), F.lit("")) == ""), stage, severity, description, chapter)
 

@@ -94,6 +94,110 @@ def document_text(template: Mapping[str, str]) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"{label}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for label, c in template.items()))
 
 
+#: The lines of a row's document by its table: (label, column); a label with ? is left out when blank.
+TEMPLATES = {
+    "skills": (("技法", "skill_name"), ("分析", "analysis"), ("原文", "original_example")),
+    "sensory_mappings": (("情绪", "emotion"), ("展示", "show_not_tell"), ("分析", "analysis")),
+    "world_settings": (("模块", "module"), ("实体", "entity"), ("设定", "content")),
+    "character_profiles": (("定位", "role_type"), ("外貌", "appearance"), ("微表情/口癖", "quirks"), ("身份", "identity"), ("动机", "motivation"), ("内心冲突/弧光", "internal_conflict"), ("性格", "personality"), ("与主角关系", "relation_to_mc"), ("与其他配角关系", "relations_to_others"), ("高光/宿命预设", "climax_or_fate"), ("前史", "background"), ("语言风格样本", "speech_samples"), ("行为标志样本", "behavior_samples"), ("关系演变", "relationship_evolution"), ("能力体系", "abilities"), ("两难困境", "internal_dilemma"), ("转变触发器", "transformation_trigger"), ("对比设计", "contrast_design")),
+    "macro_outlines": (("卷主题", "theme"), ("冲突", "conflict"), ("弧光", "arc"), ("节拍", "beats")),
+    "dialogue_samples": (("场景", "scene_type"), ("对话", "original_text"), ("情绪张力", "emotional_tension"), ("潜台词", "subtext"), ("剧情作用", "plot_function"), ("剧情上下文?", "context_summary")),
+    "description_samples": (("类型", "description_type"), ("描写", "original_text"), ("技法", "technique_analysis"), ("感官", "sensory_details"), ("剧情上下文?", "context_summary")),
+    "transition_samples": (("转场类型", "transition_type"), ("原文", "original_text"), ("技法", "technique_analysis"), ("剧情上下文?", "context_summary")),
+    "action_scene_samples": (("动作类型", "action_type"), ("原文", "original_text"), ("技法", "technique_analysis"), ("节奏", "pacing_analysis"), ("剧情上下文?", "context_summary")),
+    "climax_excerpts": (("高潮类型", "excerpt_type"), ("原文", "original_text"), ("技法", "technique_analysis"), ("情感冲击", "emotional_impact"), ("剧情上下文?", "context_summary")),
+    "memorable_quotes": (("金句", "quote_text"), ("上下文", "context"), ("技法", "technique_analysis"), ("类型", "quote_type"), ("剧情上下文?", "context_summary")),
+    "character_speech_style": (("人物", "character_name"), ("口头禅", "catchphrases"), ("词汇偏好", "vocabulary_preference"), ("句式偏好", "sentence_pattern"), ("对话样本", "dialogue_samples")),
+    "story_events": (("事件", "event_name"), ("摘要", "event_summary"), ("类型", "event_type"), ("角色", "characters"), ("重要性", "significance")),
+    "event_causal_edges": (("因", "source_name"), ("果", "target_name"), ("关系", "relation_type"), ("详情", "relation_detail")),
+}
+
+
+def documents(rows: DataFrame, table: str, summaries: DataFrame | None = None, most: int = 150) -> DataFrame:
+    """``rows`` of a table with the ``document`` that is embedded for them. JSON lists of strings are told line by
+    line (beats) or joined; the summary of the row's chapter (cut to ``most``) stands below, where there is one."""
+    listed = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    more = {"beats": lambda: F.concat(F.lit("\n"), F.array_join(F.transform(listed("beats_json"), lambda b: F.concat(F.lit("- "), b)), "\n")), "dialogue_samples": lambda: F.array_join(listed("dialogue_samples_json"), "|"), "characters": lambda: F.array_join(listed("characters_involved"), ",")}
+    out = rows
+    if summaries is not None and any(c == "context_summary" for _, c in TEMPLATES[table]):
+        short = F.when(F.length("summary") > most, F.concat(F.substring("summary", 1, most), F.lit("..."))).otherwise(F.col("summary"))
+        out = rows.join(summaries.select("book_name", "chapter_id", short.alias("context_summary")), ["book_name", "chapter_id"], "left")
+    parts = []
+    for label, column in TEMPLATES[table]:
+        known = column in out.columns or column in more
+        value = F.coalesce((more[column]() if column in more and column not in out.columns else F.col(column)).cast("string"), F.lit("")) if known else F.lit("")
+        line = F.concat(F.lit(f"{label.rstrip('?')}:"), value)
+        parts.append(F.when(value != "", line) if label.endswith("?") else line)
+    return out.withColumn("document", F.concat_ws("\n", *parts)).select(*rows.columns, "document")
+
+
+#: What a kind of document, and a stage of writing, asks: collections of vectors, tables, further tables.
+DOCUMENT_TYPES = {
+    "world": (("world_settings_kb",), ("world_settings", "world_timeline"), ("faction_networks", "setting_evolutions")),
+    "character": (("character_profiles_kb", "character_speech_style_kb"), ("character_profiles",), ("character_behavior_marks", "character_relationship_dynamics")),
+    "outline": (("macro_outlines_kb",), ("macro_outlines", "plot_foreshadowing"), ("climax_buildup_chains", "conflict_escalation")),
+    "chapter": (("novel_skills", "dialogue_samples_kb"), ("dialogue_samples", "description_samples"), ("skills", "technique_combinations")),
+}
+WRITING_STAGES = {
+    "world_building": (("world_settings_kb",), ("world_settings", "world_timeline")),
+    "character_design": (("character_profiles_kb",), ("character_profiles", "character_speech_style")),
+    "outlining": (("macro_outlines_kb",), ("macro_outlines", "plot_lines")),
+    "chapter_outlining": (("macro_outlines_kb", "story_events_kb"), ("chapter_functions", "plot_foreshadowing")),
+    "writing": (("novel_skills", "dialogue_samples_kb"), ("dialogue_samples", "description_samples")),
+    "polishing": (("classic_excerpts", "sensory_details"), ("sensory_mappings", "common_mistakes")),
+}
+
+
+def query_text(content: Column, needs: Column, most: int) -> Column:
+    """What is embedded for a request: its needs, then the head of its content."""
+    return F.trim(F.concat_ws(" ", F.nullif(F.trim(needs), F.lit("")), F.substring(content, 1, most)))
+
+
+def _of_genre(rows: DataFrame, genre: str) -> DataFrame:
+    return like(rows, "category", genre) if "category" in rows.columns else rows
+
+
+def _listed(tables: Mapping[str, DataFrame], names: Sequence[str], genre: str, most: int) -> DataFrame | None:
+    """``(origin, id, n)``: the first rows by id of each of the tables that there are."""
+    parts = [page(_of_genre(tables[t], genre), ["id"], most).select(F.lit(t).alias("origin"), F.col("id").cast("string").alias("id"), F.lit(i).alias("n")) for i, t in enumerate(names) if t in tables]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _numbered(rows: DataFrame, part: str, order: Sequence[str], most: int) -> DataFrame:
+    """One part of an answer, in order and cut: it holds a page of rows, so one window over all is fine."""
+    w = Window.orderBy(*(F.col(c).asc_nulls_last() for c in order))
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(F.lit(part).alias("part"), "origin", "id", "place")
+
+
+def enhance(hits: DataFrame, tables: Mapping[str, DataFrame], document_type: str, limit: int = 10, genre: str = "", comparisons: DataFrame | None = None) -> DataFrame:
+    """``(part, origin, id, place)``: primary rows (vector ``hits`` of the type's collections by rank, then rows of its
+    tables that the hits do not hold), secondary rows (at most ``min(limit // 2, 5)`` a table, ``limit // 2`` in all) and up
+    to five cross-book patterns. ``hits`` has collection, id and rank."""
+    collections, first, second = DOCUMENT_TYPES[document_type]
+    number = F.array_position(F.array(*map(F.lit, collections)), F.col("collection"))
+    near = hits.where(F.col("collection").isin(*collections)).where(F.col("rank") <= limit).select(F.col("collection").alias("origin"), F.col("id").cast("string").alias("id"), (number - 100).cast("int").alias("n"), "rank")
+    rows = _listed(tables, first, genre, limit)
+    primary = near if rows is None else near.unionByName(rows.join(near.select("id"), "id", "left_anti").withColumn("rank", F.lit(None).cast("int")))
+    parts = [_numbered(primary, "primary", ["n", "rank", "id"], limit)]
+    more = _listed(tables, second, genre, min(limit // 2, 5))
+    if more is not None:
+        parts.append(_numbered(more, "secondary", ["n", "id"], limit // 2))
+    if comparisons is not None:
+        parts.append(_numbered(comparisons.select(F.lit("cross_book_comparisons").alias("origin"), F.col("id").cast("string").alias("id")), "patterns", ["id"], 5))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def context_search(hits: DataFrame, tables: Mapping[str, DataFrame], stage: str, limit: int = 10, genre: str = "") -> DataFrame:
+    """``(part, origin, id, place)``: what a stage of writing asks: vector hits of its collections, then rows of its tables
+    (at most ``min(limit // 2, 5)`` a table), each cut to ``limit``."""
+    collections, names = WRITING_STAGES[stage]
+    number = F.array_position(F.array(*map(F.lit, collections)), F.col("collection")).cast("int")
+    near = hits.where(F.col("collection").isin(*collections)).where(F.col("rank") <= limit).select(F.col("collection").alias("origin"), F.col("id").cast("string").alias("id"), number.alias("n"), "rank")
+    vectors = _numbered(near, "vectors", ["n", "rank", "id"], limit)
+    rows = _listed(tables, names, genre, min(limit // 2, 5))
+    return vectors if rows is None else vectors.unionByName(_numbered(rows, "structured", ["n", "id"], limit))
+
+
 #: Which lookups a writing context gets. The first rule that holds counts: stages, whether a
 #: stage or a sub type is enough, sub types (none: any), then (bucket, table, field, term); a term is a
 #: fixed word, the context's elements, or its mood.

@@ -122,6 +122,10 @@ kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 SELECT {', '.join(columns)} FROM kept{once}"""
 
 
+def kind_sql(name: str) -> str:
+    return _kind_sql(I.KINDS[name])
+
+
 def kind_responses(spark, sf_dir, kind: I.Kind):
     """Events as responses in the layout of a kind, with the columns that stand beside them."""
     inside, outside, beside = [], [], []

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import relate as R
 from ..operators import rules as Q
+from ..operators import ingest as I
 from .base import CHAPTERS, INDEXED, chapters, indexed, query, table
+from .ingest_queries import kind_responses, kind_sql
 
 _SAMPLES = "SELECT source AS book_name, lang AS type, doc_id AS seq, coalesce(quality, 5)::INT AS writing_quality FROM documents LEFT JOIN labels USING (doc_id)"
 
@@ -333,6 +335,42 @@ def dq_o(spark, sf_dir):
     return Q.blank_field(e, "causal_type", "O", "low", "edge without type", "chapter_id")
 
 
+def _rows_of(spark, sf_dir, *tables):
+    """Rows ingested from responses, by table."""
+    return {t: I.ingest(kind_responses(spark, sf_dir, I.KINDS[t]), I.KINDS[t]) for t in tables}
+
+
+@query("dq_c_perspective", f"SELECT 'C' AS stage, book_name, chapter_id, 'medium' AS severity, 'no perspective' AS description FROM ({kind_sql('author_fingerprints')}) WHERE narrative_perspective = ''")
+def dq_c_perspective(spark, sf_dir):
+    return Q.blank_field(_rows_of(spark, sf_dir, "author_fingerprints")["author_fingerprints"], "narrative_perspective", "C", "medium", "no perspective", "chapter_id")
+
+
+def _dq_f_sql(t, c, least):
+    s = f"s AS (SELECT book_name, count(*) AS n, count(*) FILTER ({c} = '') AS e, count(*) FILTER ({c} <> '' AND length({c}) < {least}) AS sh, count(*) FILTER (writing_quality < 3) AS low FROM ({kind_sql(t)}) GROUP BY book_name)"
+    row = lambda severity, what, where: f"SELECT 'F' AS stage, book_name, '' AS chapter_id, '{severity}' AS severity, '{t}: ' || {what} AS description FROM s WHERE {where}"
+    return f"(WITH {s} " + " UNION ALL ".join([row("high", "e || ' empty'", "e > 0"), row("medium", "sh || '/' || n || ' short'", "sh > 0.3 * n"), row("medium", "low || '/' || n || ' of low quality'", "low > 0.5 * n")]) + ")"
+
+
+@query("dq_f_tables", " UNION ALL ".join([_dq_f_sql("dialogue_samples", "original_text", 30), _dq_f_sql("memorable_quotes", "quote_text", 15), _dq_f_sql("climax_excerpts", "original_text", 50), f"SELECT 'F', book_name, chapter_id, 'medium', 'climax without impact' FROM ({kind_sql('climax_excerpts')}) WHERE emotional_impact = ''"]))
+def dq_f_tables(spark, sf_dir):
+    return Q.sample_tables(_rows_of(spark, sf_dir, "dialogue_samples", "memorable_quotes", "climax_excerpts"))
+
+
+@query("dq_g_characters", " UNION ALL ".join(f"SELECT 'G' AS stage, c_custkey::VARCHAR AS book_name, '' AS chapter_id, '{s}' AS severity, '{d}' AS description FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT book_name FROM ({kind_sql(t)}))" for t, s, d in (("character_speech_style", "high", "no speech style"), ("character_behavior_marks", "medium", "no behaviour"), ("character_relationship_dynamics", "medium", "no relations"))))
+def dq_g_characters(spark, sf_dir):
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("book_name"))
+    wanted = {"character_speech_style": ("high", "no speech style"), "character_behavior_marks": ("medium", "no behaviour"), "character_relationship_dynamics": ("medium", "no relations")}
+    return Q.union([Q.missing_rows(books, rows, "G", *wanted[t]) for t, rows in _rows_of(spark, sf_dir, *wanted).items()])
+
+
+@query("dq_save_suggested", f"""
+WITH {_SUMMARY}, i AS (SELECT book_name, chapter_id, CASE WHEN summary = '' THEN 'critical' ELSE 'high' END AS severity, CASE WHEN summary = '' THEN 'empty summary' ELSE 'short summary' END AS description FROM s WHERE length(summary) < 50
+  UNION ALL SELECT book_name, chapter_id, 'medium', 'no cast' FROM s WHERE cast_size = 0 UNION ALL SELECT book_name, '', 'critical', 'failure rate too high' FROM s GROUP BY book_name HAVING avg((summary = '')::INT) > 0.1)
+SELECT md5(to_json([book_name, 'A', chapter_id, description])::VARCHAR) AS id, 'A' AS stage, book_name, chapter_id, severity, description, CASE WHEN description = 'no cast' THEN '' ELSE 'check the responses of these chapters and run them again' END AS suggestion FROM i""")
+def dq_save_suggested(spark, sf_dir):
+    return Q.suggested(Q.saved(Q.summary_rules(_summaries(spark, sf_dir)))).select("id", "stage", "book_name", "chapter_id", "severity", "description", "suggestion")
+
+
 @query("dq_save_verdicts", f"""
 WITH {_SUMMARY}, i AS (SELECT book_name, chapter_id, CASE WHEN summary = '' THEN 'critical' ELSE 'high' END AS severity FROM s WHERE length(summary) < 50 UNION ALL SELECT book_name, chapter_id, 'medium' FROM s WHERE cast_size = 0 UNION ALL SELECT book_name, '', 'critical' FROM s GROUP BY book_name HAVING avg((summary = '')::INT) > 0.1)
 SELECT book_name, count(*) FILTER (severity = 'critical')::BIGINT AS critical, count(*) FILTER (severity = 'high')::BIGINT AS high, count(*) FILTER (severity = 'medium')::BIGINT AS medium, 0::BIGINT AS low,

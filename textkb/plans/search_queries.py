@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import search as S
-from .base import query, table
+from . import ingest_queries  # noqa: F401 (its SQL comes first)
+from .base import ORACLES, query, table
 
 _Q = "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0"
 _DIST = "list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
@@ -188,7 +189,7 @@ def grf_07(spark, sf_dir):
 def grf_07_stats(spark, sf_dir):
     e = _edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct().withColumn("node_type", F.substring("node_id", 1, 1))
-    return G.graph_stats(nodes, e)
+    return G.graph_stats(nodes.withColumn("book_list", F.concat_ws("|", F.substring("node_id", 1, 2), F.substring("node_id", -1, 1))), e)
 
 
 @query("grf_08_induced", f"WITH {_EDGES}, n AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 2 = 0) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
@@ -243,3 +244,121 @@ def grf_11(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     attrs = F.create_map(F.lit("book"), F.col("source"), F.lit("head"), F.substring("text", 1, 80))
     return d.select("doc_id", F.map_values(G.export_attributes(attrs)).alias("vals"))
+
+
+_STORY = "e AS (SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS book_name, 'c' || event_id % 7 AS chapter_id, event_type || '-' || (props::JSON->>'k') AS event_name, event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS significance, user_id, ts, event_id AS n FROM events), l AS (SELECT book_name, event_id AS source_event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, n) AS target_event_id, event_type AS relation_type, chapter_id AS relation_detail FROM e), links AS (SELECT * FROM l WHERE target_event_id IS NOT NULL)"
+
+
+def _story(spark, sf_dir):
+    """Events as story events, each the cause of the next one of its user."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("book_name"), F.concat(F.lit("c"), F.col("event_id") % 7).alias("chapter_id"), F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("event_name"), "event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("significance"), "user_id", "ts", F.col("event_id").alias("n"))
+    links = rows.withColumn("target_event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "n"))).where("target_event_id is not null")
+    return rows, links.select("book_name", F.col("event_id").alias("source_event_id"), "target_event_id", F.col("event_type").alias("relation_type"), F.col("chapter_id").alias("relation_detail"))
+
+
+@query("grf_10_overview", f"""
+WITH {_STORY}, h AS (SELECT *, row_number() OVER (PARTITION BY book_name ORDER BY event_id) AS r FROM e WHERE significance = 'high'),
+g AS (SELECT book_name, list({{'event_name': event_name, 'chapter_id': chapter_id, 'event_type': event_type}} ORDER BY r) AS high_events FROM h WHERE r <= 5 GROUP BY book_name),
+a AS (SELECT book_name, count(*)::BIGINT AS total_events FROM e GROUP BY book_name), b AS (SELECT book_name, count(*)::BIGINT AS total_edges FROM links GROUP BY book_name)
+SELECT book_name, total_events, coalesce(total_edges, 0)::BIGINT AS total_edges, list_transform(high_events, lambda x: x.event_name || ' ' || x.chapter_id || ' ' || x.event_type) AS high FROM a LEFT JOIN b USING (book_name) LEFT JOIN g USING (book_name)""")
+def grf_10_overview(spark, sf_dir):
+    events, links = _story(spark, sf_dir)
+    o = G.causal_overview(events, links, 5)
+    return o.select("book_name", "total_events", "total_edges", F.transform("high_events", lambda x: F.concat_ws(" ", x["event_name"], x["chapter_id"], x["event_type"])).alias("high"))
+
+
+@query("grf_10_edges", f"""
+WITH {_STORY}, d0 AS (SELECT event_id AS start, event_id AS node, 0 AS depth FROM e WHERE n % 50 = 0), s AS (SELECT source_event_id AS a, target_event_id AS b FROM links),
+d1 AS (SELECT start, b AS node, 1 AS depth FROM d0 JOIN s ON a = node), r AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1)
+SELECT start, (depth + 1)::INT AS depth, 'downstream' AS direction, relation_type, relation_detail, event_name, e.chapter_id FROM r JOIN links ON source_event_id = node JOIN e ON e.event_id = target_event_id""")
+def grf_10_edges(spark, sf_dir):
+    events, links = _story(spark, sf_dir)
+    starts = events.where("n % 50 = 0").select(F.col("event_id").alias("node"))
+    steps = links.select(F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst"))
+    return G.chain_edges(G.neighbourhood(steps, starts, 1, "out"), events, links, "downstream")
+
+
+@query("grf_03_by_name", f"""
+WITH {_STORY}, j AS (SELECT 'event:' || a.event_name AS src, 'event:' || b.event_name AS dst, relation_type, links.book_name, source_event_id, target_event_id FROM links JOIN e a ON a.event_id = source_event_id JOIN e b ON b.event_id = target_event_id)
+SELECT src, dst, arg_max(relation_type, (source_event_id, target_event_id)) AS relation_type, arg_max(book_name, (source_event_id, target_event_id)) AS book FROM j GROUP BY src, dst""")
+def grf_03_by_name(spark, sf_dir):
+    return G.event_graph(*_story(spark, sf_dir))[1]
+
+
+@query("grf_03_event_nodes", f"""
+WITH {_STORY} SELECT 'event:' || event_name AS node_id, 'story_event' AS node_type, arg_max(book_name, event_id) AS book_list, arg_max(chapter_id, event_id) AS chapter_id, arg_max(event_type, event_id) AS event_type, arg_max(significance, event_id) AS significance FROM e GROUP BY event_name""")
+def grf_03_event_nodes(spark, sf_dir):
+    return G.event_graph(*_story(spark, sf_dir))[0]
+
+
+def _hits(spark, sf_dir, vec_id, collections):
+    """The nearest vectors to one, by collection: labels 0, 1, .. play the collections."""
+    q = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select(F.lit(0).alias("query_id"), F.col("embedding").alias("query"))
+    name = F.element_at(F.array(*map(F.lit, collections)), F.col("label") + 1)
+    v = _vectors(spark, sf_dir).where(F.col("label") < len(collections))
+    return S.top_k_each(v, q, 20, ["label"]).select(name.alias("collection"), "id", "rank")
+
+
+def _hits_sql(vec_id, collections):
+    return f"(SELECT {list(collections)}[label + 1] AS origin, label AS n, vec_id::VARCHAR AS id, row_number() OVER (PARTITION BY label ORDER BY {_DIST}, vec_id) AS rank FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = {vec_id}) WHERE label < {len(collections)})"
+
+
+def _kinds(spark, sf_dir, *names):
+    from ..operators import ingest as I
+    from .ingest_queries import kind_responses
+
+    return {n: I.ingest(kind_responses(spark, sf_dir, I.KINDS[n]), I.KINDS[n]) for n in names}
+
+
+def _first_sql(names, most, genre=""):
+    from .ingest_queries import kind_sql
+
+    where = lambda t: f" WHERE category ILIKE '%{genre}%'" if genre and "category" in kind_columns(t) else ""
+    return " UNION ALL ".join(f"(SELECT '{t}' AS origin, {i} AS n, id FROM ({kind_sql(t)}){where(t)} ORDER BY id LIMIT {most})" for i, t in enumerate(names))
+
+
+def kind_columns(name):
+    from ..operators import ingest as I
+
+    return I.KINDS[name].columns
+
+
+def _part_sql(part, rows, order, most):
+    return f"(SELECT '{part}' AS part, origin, id, (row_number() OVER (ORDER BY {order}))::INT AS place FROM ({rows}) QUALIFY place <= {most})"
+
+
+_COLLECTIONS, _FIRST, _SECOND = S.DOCUMENT_TYPES["character"]
+
+
+@query("vec_05_by_type", " UNION ALL ".join([
+    _part_sql("primary", f"SELECT origin, n - 100 AS n, id, rank FROM {_hits_sql(100, _COLLECTIONS)} WHERE rank <= 12 UNION ALL SELECT origin, n, id, NULL FROM ({_first_sql(_FIRST, 12, 'click')})", "n, rank NULLS LAST, id", 12),
+    _part_sql("secondary", _first_sql(_SECOND, 5), "n, id", 6),
+    _part_sql("patterns", "SELECT 'cross_book_comparisons' AS origin, id FROM (" + ORACLES["ing_18_cross_book_comparisons"] + ")", "id", 5),
+]))
+def vec_05_by_type(spark, sf_dir):
+    tables = _kinds(spark, sf_dir, *_FIRST, *_SECOND, "cross_book_comparisons")
+    return S.enhance(_hits(spark, sf_dir, 100, _COLLECTIONS), tables, "character", 12, "click", tables["cross_book_comparisons"])
+
+
+@query("vec_06_by_stage", " UNION ALL ".join([
+    _part_sql("vectors", f"SELECT * FROM {_hits_sql(200, S.WRITING_STAGES['writing'][0])} WHERE rank <= 8", "n, rank, id", 8),
+    _part_sql("structured", _first_sql(S.WRITING_STAGES["writing"][1], 4), "n, id", 8),
+]))
+def vec_06_by_stage(spark, sf_dir):
+    collections, names = S.WRITING_STAGES["writing"]
+    return S.context_search(_hits(spark, sf_dir, 200, collections), _kinds(spark, sf_dir, *names), "writing", 8)
+
+
+@query("vec_08_documents", f"""
+SELECT id, '场景:' || scene_type || chr(10) || '对话:' || original_text || chr(10) || '情绪张力:' || emotional_tension || chr(10) || '潜台词:' || subtext || chr(10) || '剧情作用:' || plot_function
+  || CASE WHEN summary <> '' THEN chr(10) || '剧情上下文:' || CASE WHEN length(summary) > 150 THEN left(summary, 150) || '...' ELSE summary END ELSE '' END AS document
+FROM ({ORACLES['ing_12_dialogue_samples']}) d LEFT JOIN (SELECT book_name, chapter_id, summary || repeat('x', 160) AS summary FROM ({ORACLES['ing_01_plot_arcs']})) p USING (book_name, chapter_id)
+UNION ALL SELECT id, '卷主题:' || theme || chr(10) || '冲突:' || conflict || chr(10) || '弧光:' || arc || chr(10) || '节拍:' || chr(10) || array_to_string(list_transform(beats_json::JSON::VARCHAR[], lambda b: '- ' || b), chr(10)) FROM ({ORACLES['ing_08_macro_outlines']})""")
+def vec_08_documents(spark, sf_dir):
+    rows = _kinds(spark, sf_dir, "dialogue_samples", "plot_arcs", "macro_outlines")
+    arcs = rows["plot_arcs"].withColumn("summary", F.concat("summary", F.lit("x" * 160)))
+    told = S.documents(rows["dialogue_samples"], "dialogue_samples", arcs).select("id", "document")
+    return told.unionByName(S.documents(rows["macro_outlines"], "macro_outlines").select("id", "document"))
