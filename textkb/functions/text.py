@@ -6,7 +6,7 @@ written so that they mean the same in Java and RE2 (``\\x{..}`` escapes, explici
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,6 +85,11 @@ def collapsed(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"\n{3,}", "\n\n"), r"[ \t]+", " ")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 

@@ -28,23 +28,33 @@ def note_line_states(lines: DataFrame, keys: list[str], order: str, trigger: F.C
     return rows.where(((F.col("_state") == 0) & ~trigger) | ((F.col("_state") == 1) & header)).drop("_flip", "_set", "_flips", "_state")
 
 
+def note_free(text: Column | str, trigger: str = T.NOTE_LINE, header: str = T.CHAPTER_LINE) -> Column:
+    """A text without author's notes: one walk over its lines inside the row, and only for texts with a trigger."""
+
+    def step(s: Column, line: Column) -> Column:
+        def seen(stripped: Column) -> Column:
+            note, chapter = stripped.rlike(trigger), stripped.rlike(header)
+            keep = (~s["inside"] & ~note) | (s["inside"] & chapter)
+            inside = F.when(note & chapter, ~s["inside"]).when(note, True).when(chapter, False).otherwise(s["inside"])
+            return F.struct(inside.alias("inside"), F.when(keep, F.array_append(s["kept"], line)).otherwise(s["kept"]).alias("kept"))
+
+        return T.let(T.strip(line), seen)
+
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
+    walked = lambda t: F.aggregate(F.split(t, "\n"), start, step, lambda s: F.array_join(s["kept"], "\n"))
+    return T.let(T.col(text), lambda t: F.when(t.rlike(f"(?m){trigger}"), walked(t)).otherwise(t))
+
+
 def without_author_notes(docs: DataFrame, key: str, text: str, trigger: str = T.NOTE_LINE, header: str = T.CHAPTER_LINE) -> DataFrame:
-    """Documents without author's notes. Only texts with a trigger are taken apart into lines."""
-    has = F.coalesce(F.col(text).rlike(f"(?m){trigger}"), F.lit(False))
-    lines = docs.where(has).select(key, F.posexplode(F.split(text, "\n")).alias("_line_no", "_line"))
-    stripped = T.strip("_line")
-    kept = note_line_states(lines, [key], "_line_no", stripped.rlike(trigger), stripped.rlike(header))
-    whole = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line_no", "_line"))), lambda x: x["_line"]), "\n").alias("_kept"))
-    touched = docs.where(has).join(whole, key, "left").withColumn(text, F.coalesce("_kept", F.lit(""))).drop("_kept")
-    return docs.where(~has).unionByName(touched.select(docs.columns))
+    """Documents without author's notes; nothing is shuffled."""
+    return docs.withColumn(text, note_free(text, trigger, header))
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The whole cleaning chain in its fixed order, and a flag for texts that end up short."""
     first = T.without_noise_lines(T.without_symbol_lines(T.without_ads(T.unix_newlines(text))))
     rest = T.trimmed_lines(T.collapsed(T.without_controls(text)))
-    out = without_author_notes(docs.withColumn(text, first), key, text)
-    return out.withColumn(text, rest).withColumn("is_short", T.is_short(text))
+    return docs.withColumn(text, note_free(first)).withColumn(text, rest).withColumn("is_short", T.is_short(text))
 
 
 def swept(df: DataFrame, columns: list[str], mode: str = "delete") -> DataFrame:

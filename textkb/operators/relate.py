@@ -110,19 +110,23 @@ def mistake_patterns(issues: DataFrame, dimensions: Mapping[str, str] = DIMENSIO
     mapping = F.create_map(*(F.lit(x) for kv in dimensions.items() for x in kv))
     kind = F.coalesce(F.nullif(F.col("issue_type"), F.lit("")), F.lit(unknown))
     rows = issues.withColumn("issue_type", kind).withColumn("dimension", F.coalesce(F.try_element_at(mapping, F.col("issue_type")), F.col("issue_type")))
-    newest = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("seq", "description")), asc=False), 1, examples), lambda x: x["description"])
-    grouped = rows.groupBy("dimension", "issue_type").agg(F.count("*").alias("frequency"), newest.alias("examples"))
+    w = Window.partitionBy("dimension", "issue_type").orderBy(F.desc("seq"), F.desc("description"))
+    newest = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= examples)  # cut in each task first
+    newest = newest.groupBy("dimension", "issue_type").agg(ordered("description", "_n").alias("examples"))
+    grouped = rows.groupBy("dimension", "issue_type").agg(F.count("*").alias("frequency")).join(newest, ["dimension", "issue_type"])
     return grouped.withColumn("in_dimension", F.sum("frequency").over(Window.partitionBy("dimension"))).where(F.col("in_dimension") >= least)
 
 
 def run_report(results: DataFrame, most: int = 10) -> DataFrame:
     """By stage: rows of successes, failures, and the first failures by name."""
-    failed = F.when(F.col("status") != "complete", F.col("book_name"))
-    return results.groupBy("stage").agg(
-        F.sum(F.when(F.col("status") == "complete", F.col("rows")).otherwise(0)).alias("succeeded"),
-        F.count(failed).alias("failures"),
-        F.slice(F.array_sort(F.collect_list(failed)), 1, most).alias("first_failures"),
+    failed = F.col("status") != "complete"
+    w = Window.partitionBy("stage").orderBy("book_name")
+    first = results.where(failed & F.col("book_name").isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    first = first.groupBy("stage").agg(ordered("book_name", "_n").alias("first_failures"))
+    out = results.groupBy("stage").agg(
+        F.sum(F.when(F.col("status") == "complete", F.col("rows")).otherwise(0)).alias("succeeded"), F.count(F.when(failed, F.col("book_name"))).alias("failures")
     )
+    return out.join(first, "stage", "left").withColumn("first_failures", F.coalesce("first_failures", F.array().cast("array<string>")))
 
 
 def style_summaries(samples: DataFrame, least: int = 2, first: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import col, strip
+from ..functions.text import col, let, strip
 
 UNKNOWN_AUTHOR, UNSORTED = "未知作者", "未分类"
 
@@ -135,22 +135,17 @@ def canonical_name(name: Column | str, folder: Column | str, parent: Column | st
     for word, value in KINDS:
         found = F.contains(raw, F.lit(word))
         kind = F.when(found, value) if kind is None else kind.when(found, value)
-    parts = _let(strip(_gone(raw, *NAME_NOISE)), _split_name)
-    tidy = _let(parts, lambda p: F.struct(_tidy_title(p["title"]).alias("title"), _tidy_author(p["author"]).alias("author")))
+    parts = let(strip(_gone(raw, *NAME_NOISE)), _split_name)
+    tidy = let(parts, lambda p: F.struct(_tidy_title(p["title"]).alias("title"), _tidy_author(p["author"]).alias("author")))
 
     def chosen(p: Column) -> Column:
         single = (F.length(p["author"]) == 1) & ~p["author"].isin(*SHORT_AUTHORS)
         own = F.when(~is_fake_author(p["author"]) & ~p["author"].startswith("+") & ~single, p["author"])
-        inherited = lambda c: _let(folder_author(c), lambda f: F.when(~is_fake_author(f) & ~f.isin(*NO_AUTHOR_FOLDERS) & (f != p["title"]), f))
+        inherited = lambda c: let(folder_author(c), lambda f: F.when(~is_fake_author(f) & ~f.isin(*NO_AUTHOR_FOLDERS) & (f != p["title"]), f))
         who = _within(_gone(F.coalesce(own, inherited(folder), inherited(parent), F.lit("未知")), ILLEGAL), "·. ")
         return F.struct(_gone(p["title"], ILLEGAL).alias("title"), F.coalesce(F.nullif(who, F.lit("")), F.lit("未知")).alias("author"), kind.otherwise("").alias("kind"))
 
-    return _let(tidy, chosen)
-
-
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+    return let(tidy, chosen)
 
 
 def _split_name(head: Column) -> Column:
@@ -168,9 +163,9 @@ def _split_name(head: Column) -> Column:
 
     underline, ending = r"[_\-]{1,2}([a-zA-Z0-9\x{4e00}-\x{9fa5}]+)$", r"([\x{4e00}-\x{9fa5}A-Za-z]{2,})$"
     quoted, dashed = head.rlike("(?s)《.*》"), head.rlike(dash)
-    by_quoted = _let(strip(first(head, "(?s)《.*》(.*)$")), lambda r: author(r, (r.rlike(underline), first(r, underline)), (F.lit(True), first(r, r"(?s)^([^\s\[（(【\-_.]*)"))))
+    by_quoted = let(strip(first(head, "(?s)《.*》(.*)$")), lambda r: author(r, (r.rlike(underline), first(r, underline)), (F.lit(True), first(r, r"(?s)^([^\s\[（(【\-_.]*)"))))
     lead = strip(first(head, r"(?s)^(.*?)(?:\s+|_|作者[：:\s_]*|by\s*|\z)"))
-    by_plain = _let(F.substring(head, F.length(lead) + 1, F.length(head)), lambda r: author(r, (r.rlike(ending), first(r, ending)), (F.lit(True), r)))
+    by_plain = let(F.substring(head, F.length(lead) + 1, F.length(head)), lambda r: author(r, (r.rlike(ending), first(r, ending)), (F.lit(True), r)))
     title = F.when(quoted, first(head, "(?s)《(.*)》")).when(dashed, strip(first(head, dash))).otherwise(lead)
     who = F.when(quoted, by_quoted).when(dashed, strip(first(head, dash, 2))).otherwise(by_plain)
     return F.struct(title.alias("title"), who.alias("author"))
