@@ -25,7 +25,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a task looks at; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, whichever is reached first: what bounds a task's memory.
-BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
