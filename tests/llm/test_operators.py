@@ -433,6 +433,22 @@ def test_nearest_of_repeated_rows_and_scored_once(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(twice).collect()) == [(20, 1, 20, 1.0)] * 2 + [(20, 2, 3, 0.5)] * 2
 
 
+def test_scorers_take_odd_rows(spark, odd):
+    """A row for each row, equal texts alike, whatever stands beside the text; nothing for an empty table."""
+    rows = [(i, words(i, 40) + (" idiot" if i % 3 == 0 else ""), "en" if i % 2 else "de", "a") for i in range(60)]
+    train = docs_frame(spark, rows)
+    labelled = train.select("doc_id", "text", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+    models = ((language_id.predict, language_id.train(train)), (toxicity.score, toxicity.train(labelled)), (quality.score, quality.train(labelled)))
+    repeated = odd.unionByName(odd)
+    for score, model in models:
+        got = {}
+        for (i, t), r in zip([(x["doc_id"], x["text"]) for x in repeated.collect()], score(repeated, model).collect(), strict=True):
+            assert r["doc_id"] == i and got.setdefault(t or "", tuple(r)[1:]) == tuple(r)[1:]
+        assert score(odd.limit(0), model).count() == 0
+    spans = [(x["doc_id"], len(x["spans"])) for x in secrets.secret_spans(repeated).collect()]
+    assert len(spans) == repeated.count() and packing.pack(odd.where("doc_id is null")).first()["doc_ids"] == [None]
+
+
 # --- the folds ------------------------------------------------------------------------------------------------------------
 
 

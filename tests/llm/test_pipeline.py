@@ -45,3 +45,24 @@ def test_each_stage_does_what_its_operator_says(spark):
         seen.append(name)
         docs = out
     assert len(seen) == 4
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids and texts, repeated rows, empty and long texts, a null source, clashing names, an empty table."""
+    long = "a long text of words " * 8000
+    rows = [
+        (None, "some words without an id that nobody repeats", "en", None, 1, "x", "y"), (1, None, None, None, 0, None, None), (2, "", "en", "a", 0, "x", "y"), (3, " \n", "en", "a", 2, "x", "y"),
+        (4, long, "en", "hot", len(long), "x", "y"), (5, "one two three four five six", "de", "hot", 5, "x", "y"), (5, "one two three four five six", "de", "hot", 5, "x", "y"), (5, "another text under the same id", "de", "hot", 5, "x", "y"),
+    ]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, place_of_id string")
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            out = materialize(stage(spark, docs, DIR))
+            assert out.columns == docs.columns
+            docs = out
+        texts = sorted(str(r["text"])[:12] for r in docs.collect())
+        packed = corpus_pipeline.STAGES[4][1](spark, docs, DIR).collect()
+        assert set(texts) <= {"None", "", " \n", "a long text ", "another text", "some words w"} and bool(packed) == bool([t for t in texts if t not in ("None", "")])
+    kept = corpus_pipeline.STAGES[0][1](spark, odd, DIR)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} <= {None, 1, 2, 3, 4, 5}
+    assert corpus_pipeline.STAGES[0][1](spark, odd.limit(0), DIR).count() == 0

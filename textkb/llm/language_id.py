@@ -136,6 +136,8 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     Texts that are null or have no letter are ``und`` with score 0, as is everything if nothing was
     learned. Ties go to the language first in code-point order; a text without hits to the language
     most frequent in training, with score 0. The score is the winner's share of the corrected counts.
+    Equal texts fare alike, repeated rows and ids as often as they come; long texts are walked whole; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

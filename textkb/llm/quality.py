@@ -53,13 +53,17 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first_word = np.concatenate([[0], np.cumsum(count)])
     word_passage = at[:-1][row] + (np.arange(len(s)) - first_word[row]) // PASSAGE_WORDS
     begins = np.flatnonzero(np.concatenate([[True], word_passage[1:] != word_passage[:-1]]))
-    # A byte belongs to the passage of the last word that began at or before it (in its row).
-    bounds = np.concatenate([s[begins], [len(data)]])
-    owner = np.repeat(word_passage[begins], np.diff(bounds))
-    body = data[bounds[0] :]
+    # A byte belongs to the passage of the last word of its row that began at or before it, or else to the row's
+    # first; bytes of rows without words to none.
+    passage, of = word_passage[begins], row[begins]
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    start = np.where(first, offsets[of], s[begins])
+    size = np.concatenate([np.where(first[1:], offsets[of[:-1] + 1], start[1:]), [offsets[of[-1] + 1]]]) - start
+    body_at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    body, owner = data[body_at], np.repeat(passage, size)
     c = _CLASS[body].astype(np.int64)
+    same = owner[1:] == owner[:-1]
     if len(body) > 1:
-        same = owner[1:] == owner[:-1]
         pair = (owner[:-1] * (_N * _N) + c[:-1] * _N + c[1:])[same]
         x[:, : _N * _N] = np.bincount(pair, minlength=at[-1] * _N * _N).reshape(-1, _N * _N)
     n_words = np.bincount(word_passage, minlength=at[-1]).astype(np.float64)
@@ -72,7 +76,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     key = word_passage.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
     distinct = np.bincount((np.unique(key) >> np.uint64(44)).astype(np.int64), minlength=at[-1])
     repeated = np.zeros(len(body))
-    repeated[1:] = (body[1:] == body[:-1]) & (c[1:] >= 4)
+    repeated[1:] = same & (body[1:] == body[:-1]) & (c[1:] >= 4)
     total = np.maximum(x[:, : _N * _N].sum(axis=1, keepdims=True), 1)
     x[:, : _N * _N] = np.sqrt(x[:, : _N * _N] / total)
     extra = (mean / 10, np.sqrt(np.maximum(square - mean**2, 0)) / 5, np.log1p(n_words) / 4, distinct / some,
@@ -151,7 +155,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> QualityM
 
 
 def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> QualityModel:
-    """From ``(doc_id, text, label)`` rows. With one label or none, every score is that label's share."""
+    """From ``(doc_id, text, label)`` rows, one for each id. Rows with other labels than 0 and 1 take no part.
+
+    A null text counts as an empty one; long texts are encoded whole. With one label or none, every score is that
+    label's share. The order of rows does not matter: bags are sorted before they are learned from.
+    """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
     have = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -186,7 +194,9 @@ def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> QualityModel
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``(doc_id, score)`` per row of ``docs``, from ``text`` alone; a null or blank text is one empty passage."""
+    """``(doc_id, score)`` per row of ``docs``, from ``text`` alone: equal texts score equally, repeated rows and ids as
+    often as they come. A null or blank text is one empty passage; long texts are encoded whole; an empty table
+    gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
