@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, nearest, ngram_jaccard, packing, quality, secrets, toxicity, warc
+from . import collocations, decontamination, hard_negatives, language_id, mixing, nearest, ngram_jaccard, packing, quality, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
     "op7_nearest": nearest.op7_nearest,
@@ -15,6 +15,16 @@ QUERIES = {
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op4_ngram_jaccard": ngram_jaccard.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+    "op4_ngram_jaccard": ngram_jaccard.OP4_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_quality_rules": quality_rules.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
