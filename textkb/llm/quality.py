@@ -185,10 +185,9 @@ def train(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> QualityModel
     draw = hash_unit("doc_id", seed="quality")
     sample = labelled.where(draw < most).where(draw < bound).select("text", "label", "doc_id")
     rows = sample.select("text", "label").mapInArrow(run, "bag binary, label int").collect()
-    bags = [np.frombuffer(bytes(r["bag"]), np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
-    y = np.array([r["label"] for r in rows], float)
-    order = np.lexsort((np.array([x.sum() for x in bags]), [len(x) for x in bags]))  # the order of tasks does not matter
-    model = fit([bags[i] for i in order], y[order])
+    rows = sorted((len(r["bag"]), bytes(r["bag"]), r["label"]) for r in rows)  # the order of rows and tasks does not matter
+    bags = [np.frombuffer(bag, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, bag, _ in rows]
+    model = fit(bags, np.array([label for *_, label in rows], float))
     model.shift = prior  # the labels weighed alike while training
     return model
 

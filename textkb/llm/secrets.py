@@ -15,7 +15,6 @@ ordinary runs cannot collect it bit by bit. Shorter runs and secrets made of wor
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN_LEAST = 16  # characters of a run that the models look at
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}", re.ASCII)
 THRESHOLD, PER_CHARACTER = 12.0, 1.6  # nats by which a random model must explain a run better
-TRAIN_DOCUMENTS = 20_000
+TRAIN_DOCUMENTS, TRAIN_IDENTIFIERS = 5_000, 200_000
 RANDOM_STRINGS = 2000  # for each alphabet
 
 WORD = re.compile(r"[A-Za-z]{2,15}", re.ASCII)
@@ -104,13 +103,16 @@ _JOINS = (
 )
 
 
-def identifiers(words: list[str]) -> list[str]:
-    """Labelled samples of the other kind: three neighbouring words put together as code does, some with a number."""
+def identifiers(words: list[str], share: int = 1 << 32) -> list[str]:
+    """Labelled samples of the other kind: three neighbouring words put together as code does, some with a number.
+
+    Of these the part that ``share`` (of 2**32) says, spread over all numbers.
+    """
     out = []
-    for i in range(0, len(words) - 2, 3):
-        k = i // 3
-        name = _JOINS[k % len(_JOINS)](words[i : i + 3])
-        out.append(f"{name}{k % 2000}" if k % 5 == 0 else f"{name}={words[i]}" if k % 11 == 0 else name)
+    for k in range(len(words) // 3):
+        if (k * 2654435761 + len(words)) % (1 << 32) < share:
+            name = _JOINS[k % len(_JOINS)](words[3 * k : 3 * k + 3])
+            out.append(f"{name}{k % 2000}" if k % 5 == 0 else f"{name}={words[3 * k]}" if k % 11 == 0 else name)
     return out
 
 
@@ -122,22 +124,37 @@ def plain_strings(n: int = RANDOM_STRINGS, seed: int = 2) -> list[str]:
     return numbers + dates + [c * 20 for c in "=-_+/"] * (n // 20)
 
 
-def fit(docs: DataFrame, bound: int = TRAIN_DOCUMENTS) -> np.ndarray:
-    """Log-likelihood ratios (random over ordinary) of each character pair, (alphabets, pairs)."""
+def _pairs(names: list[str]) -> np.ndarray:
+    """How often each character pair stands in the names, counted in one array."""
+    if not names:
+        return np.zeros(_SIDE * _SIDE, np.int64)
+    c = _CODE[np.frombuffer(("\n" + "\n".join(names)).encode("ascii"), np.uint8)]
+    c[c < 0] = _START
+    at = np.flatnonzero(c != _START)
+    return np.bincount(c[at - 1] * _SIDE + c[at], minlength=_SIDE * _SIDE)
+
+
+def fit(docs: DataFrame, bound: int = TRAIN_DOCUMENTS, most: int = TRAIN_IDENTIFIERS) -> np.ndarray:
+    """Log-likelihood ratios (random over ordinary) of each character pair, (alphabets, pairs).
+
+    Ordinary identifiers come from about ``bound`` documents, and of these about ``most`` are drawn by their number, so
+    long texts do not make the sample longer. Null and empty texts, and an empty table, give none: then the ordinary
+    model knows the plain strings alone. Rows of one id are drawn alike; the order of rows does not matter.
+    """
     n = docs.count()
     sample = docs.where(hash_unit("doc_id", seed="secrets") < sample_fraction(n, bound)).select("text")
+    words = sample.agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0] or 0
+    share = int(sample_fraction(words // 3, most) * 2**32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIDE * _SIDE, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                names = identifiers(WORD.findall(text or ""))
-                if names:
-                    total += np.bincount(np.concatenate([_transitions(x) for x in names]), minlength=len(total))
+                total += _pairs(identifiers(WORD.findall(text or ""), share))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    ordinary = np.bincount(np.concatenate([_transitions(x) for x in plain_strings()]), minlength=_SIDE * _SIDE).astype(float)
+    ordinary = _pairs(plain_strings()).astype(float)
     for r in sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         ordinary[r["at"]] += r["n"]
     ordinary = ordinary.reshape(_SIDE, _SIDE)
@@ -146,7 +163,7 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCUMENTS) -> np.ndarray:
     p_ordinary = (ordinary + BACK_OFF * single) / (ordinary.sum(axis=1, keepdims=True) + BACK_OFF)
     out = []
     for alphabet in ALPHABETS:
-        random = np.bincount(np.concatenate([_transitions(x) for x in random_strings(alphabet)]), minlength=_SIDE * _SIDE).reshape(_SIDE, _SIDE)
+        random = _pairs(random_strings(alphabet)).reshape(_SIDE, _SIDE)
         one = (random.sum(axis=0) + 0.02) / (random.sum() + 0.02 * _SIDE)
         p_random = (random + BACK_OFF * one) / (random.sum(axis=1, keepdims=True) + BACK_OFF)
         out.append(np.log(p_random / p_ordinary).ravel())
