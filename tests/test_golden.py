@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textkb.functions import text as T
 from textkb.operators import chapters as C
-from textkb.operators import clean, graph, ingest, quotes, relate, upsert, views
+from textkb.operators import clean, digests, fuzzy, graph, ingest, lexicon, pivots, quotes, relate, search, textindex, upsert, views
 from textkb.sources import library as L
 from textkb.sources import sinks
 
@@ -127,7 +127,44 @@ def test_library_scan_merge_and_stream(spark, tmp_path):
     (root / "《乙》.txt").unlink()
     (root / "《乙》新.txt").write_text("第一章 a\n" + "y" * 150)  # a shorter edition leaves no chapter behind
     streams.ingest_library(spark, str(root), table, check).awaitTermination()
-    assert count() == [("乙", 2), ("甲", 1)]
+    assert count() == [("乙", 2), ("甲", 1)]  # what is gone when it is read counts as empty, told or not
+
+
+def test_changes_of_a_library(spark, tmp_path):
+    import json
+
+    from textkb.streaming import streams
+
+    root, table, check, log = tmp_path / "lib", str(tmp_path / "chapters"), str(tmp_path / "check"), tmp_path / "log"
+    root.mkdir()
+    log.mkdir()
+    body = lambda c, n=1: "\n".join(f"第{i + 1}章 {c}\n" + c * 150 for i in range(n))
+    one, two, other = root / "《甲》[番外]一.txt", root / "《甲》[番外]二.txt", root / "《乙》.txt"
+    one.write_text(body("a"))
+    two.write_text(body("b"))
+    other.write_text(body("c", 2))
+
+    def told(*changes):
+        (log / f"{len(list(log.iterdir()))}.json").write_text("\n".join(json.dumps({"path": p and f"file:{p}", "op": op, "digest": d, "at": at}) for p, op, d, at in changes))
+
+    def run():
+        streams.ingest_library(spark, str(root), table, check, str(log)).awaitTermination()
+        rows = spark.read.parquet(table).select("book_name", F.substring("text", 1, 1).alias("c"), "seq").collect()
+        return {b: "".join(sorted(r["c"] for r in rows if r["book_name"] == b)) for b in {r["book_name"] for r in rows}}, {r["book_name"]: r["seq"] for r in rows}
+
+    assert run()[0] == {"甲[番外]": "ab", "乙": "cc"}
+    two.write_text(body("d", 2))  # changed in place: only the log tells
+    told((two, "put", "v2", "2100-01-01T00:00:00Z"))
+    first, seqs = run()
+    assert first == {"甲[番外]": "add", "乙": "cc"}
+    told((two, "put", "v2", "2100-01-01T00:00:01Z"), (other, "put", "old", "1990-01-01T00:00:00Z"), (root / "《丙》.txt", "delete", None, "2100-01-01T00:00:00Z"))
+    assert run() == (first, seqs)  # replayed, outdated and unknown changes rebuild nothing
+    one.unlink()
+    told((one, "delete", None, "2100-01-02T00:00:00Z"))
+    assert run()[0] == {"甲[番外]": "dd", "乙": "cc"}
+    two.unlink()
+    told((two, "delete", None, "2100-01-02T00:00:00Z"), (None, "put", "x", "2100-01-02T00:00:00Z"))
+    assert run()[0] == {"乙": "cc"}
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
@@ -178,9 +215,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_rejects(rows, str(tmp_path / "r"))
     assert sinks.peek(spark, {"t": rows})[0][1] == 2
     (tmp_path / "lex.json").write_text('{"banned_words": {"items": [{"word": "仿佛", "reason": "r", "replace_hint": "h"}]}}')
-    lexicon = L.lexicon(spark, str(tmp_path / "lex.json"))
+    words = L.lexicon(spark, str(tmp_path / "lex.json"))
     docs = spark.createDataFrame([(1, "仿佛仿佛"), (2, "x")], "doc_id long, text string")
-    assert [tuple(r) for r in clean.lexicon_counts(docs, lexicon).collect()] == [(1, "仿佛", 2)]
+    assert [tuple(r) for r in lexicon.lexicon_counts(docs, words).select("doc_id", "word", "hits").collect()] == [(1, "仿佛", 2)]
 
 
 def test_responses(spark):
@@ -265,11 +302,12 @@ def test_top_k_of_many_queries_stays_off_the_driver(spark, monkeypatch):
 
     r = random.Random(3)
     vectors = [(i, "ab"[i % 2], [float(r.randrange(4)) for _ in range(3)]) for i in range(60)]
-    queries = [(i, [float(r.randrange(4)) for _ in range(3)]) for i in range(search.QUERY_BLOCK + 50)]
+    queries = [(i, [float(r.randrange(4)) for _ in range(3)]) for i in range(search.FEW + 50)]
     v, q = spark.createDataFrame(vectors, "id long, kind string, embedding array<float>"), spark.createDataFrame(queries, "query_id long, query array<float>")
     with monkeypatch.context() as m:
         for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
-            m.setattr(type(q), name, lambda *_: pytest.fail("the query set passes through the driver"))
+            plain = getattr(type(q), name)
+            m.setattr(type(q), name, lambda self, *a, f=plain: pytest.fail("the query set passes through the driver") if {"q", "query", "query_id", "query_row"} & set(self.columns) else f(self, *a))
         found = search.top_k_each(v, q, 2, ["kind"])
     got = sorted((x["query_id"], x["kind"], x["rank"], x["id"]) for x in found.collect())
     want = []
@@ -289,7 +327,8 @@ def test_quote_positions_without_wide_blanks(spark):
 def test_unverified_quotes_in_another_unicode_form(spark):
     rows = [("ＡＢＣ１２３ＤＥＦ", "so abc ABC123DEF end"), ("cafe\u0301 au lait", "un café au lait"), ("ABC123DEF", "x ＡＢＣ１２３\nＤＥＦ"), ("ＡＢＣ１２３ＤＥＧ", "so ABC123DEF end"), ("ＡＢ", "so"), (None, "so")]
     df = spark.createDataFrame(rows, "q string, t string")
-    assert [r[0] for r in df.select(quotes.unverified(F.col("q"), F.col("t"))).collect()] == [False, False, False, True, False, None]
+    found = {(r["q"], r["t"]): r["unverified"] for r in quotes.unverified(df, "q", "t").collect()}
+    assert [found[r["q"], r["t"]] for r in df.collect()] == [False, False, False, True, False, None]
 
 
 def test_fuzzy_matches_equal_brute_force(spark):
@@ -328,6 +367,155 @@ def test_fuzzy_matches_equal_brute_force(spark):
                         ratio = round(1 - distance(span, quote) / max(len(span), len(quote)), 4)
                         if ratio >= 0.85:
                             want[q, doc] = max(want.get((q, doc), (0, 0)), (ratio, -no))
-    found = quotes.fuzzy_matches(spark.createDataFrame(quotes_, "quote_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").collect()
+    found = fuzzy.fuzzy_matches(spark.createDataFrame(quotes_, "quote_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").collect()
     assert {(x["quote_id"], x["doc_id"]): -x["sentence"] for x in found} == {k: v[1] for k, v in want.items()} and len(want) >= 30
     assert all(abs(float(x["ratio"]) - want[x["quote_id"], x["doc_id"]][0]) < 2e-4 for x in found)
+
+
+def test_fuzzy_matches_of_odd_quotes(spark):
+    kanji = "月光落在长长的石桥上，他没有回头；只听见身后的脚步声越来越近。"
+    texts = [(1, f"第一句。{kanji}最后一句。"), (2, None), (3, ""), (4, "   \n. " + kanji.replace("石桥", "木桥")), (4, kanji), (5, "x" * 300_000 + ".The quick brown fox jumps over the lazy dog." + "y" * 1000)]
+    quotes_ = [("a", kanji), ("b", ""), ("c", None), ("d", "the quick brown fox jumps over the lazy dog."), ("e", "他"), ("e", "他"), ("f", "第一句。")]
+    found = fuzzy.fuzzy_matches(spark.createDataFrame(quotes_, "quote_id string, quote string"), spark.createDataFrame(texts, "doc_id long, text string"), "doc_id")
+    got = {(r["quote_id"], r["doc_id"]): (round(float(r["ratio"]), 3), r["sentence"], r["position"]) for r in found.collect()}
+    assert got == {("a", 1): (1.0, 1, 4), ("a", 4): (1.0, 0, 0), ("d", 5): (0.977, 1, 300_001), ("f", 1): (1.0, 0, 0)}
+    assert fuzzy.fuzzy_matches(found.select("quote_id", F.lit("x").alias("quote")).limit(0), spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").count() == 0
+
+
+def test_located_at_three_levels(spark):
+    text = "One here. Two quick brown foxes jump over a lazy dog. Three there."
+    rows = [(1, "Two quick", text), (2, "Twoquick", text), (3, "Two quick brawn foxes jumped over a lazy dog.", text), (4, "Nothing of the kind stands in it.", text), (5, None, text), (6, "Two", None), (7, "", "")]
+    got = {r["i"]: (r["level"], r["position"]) for r in quotes.located(spark.createDataFrame(rows, "i long, q string, t string"), "q", "t").collect()}
+    assert got == {1: ("exact", 10), 2: ("spaces", 10), 3: ("fuzzy", 10), 4: ("none", -1), 5: ("none", -1), 6: ("none", -1), 7: ("none", -1)}
+
+
+def test_words_of_a_table_equal_a_plain_count(spark):
+    r = random.Random(7)
+    texts = [(i, "".join(r.choice("abc ") for _ in range(r.randrange(0, 400)))) for i in range(40)] + [(50, None), (51, ""), (7, "aaaa")]
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(300)})
+    table = spark.createDataFrame([(w, f"r{w}", "h") for w in words] + [("aa", "zz", "h"), ("", "x", "h"), (None, "x", "h")], "word string, reason string, hint string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("word", F.lit("clash"))
+    got = sorted(tuple(x) for x in lexicon.lexicon_counts(docs, table).collect())
+    reason = {w: f"r{w}" for w in words} | ({"aa": min("raa", "zz")} if "aa" in words else {"aa": "zz"})
+    assert got == sorted((i, w, t.count(w), t.find(w), reason[w], "h") for i, t in texts if t for w in reason if w in t)
+    assert lexicon.lexicon_counts(docs, table.limit(0)).count() == 0
+
+
+def test_names_of_a_books_own_cast(spark):
+    texts = spark.createDataFrame([("a", 1, "Ann met Bo and Ann"), ("a", 1, "Ann"), ("b", 2, "Ann met Bo"), (None, 3, "Ann"), ("c", 4, "Ann"), ("a", 5, None)], "book_name string, doc_id long, text string")
+    cast = spark.createDataFrame([("a", "Ann"), ("a", "Ann"), ("a", "An"), ("b", "Bo"), ("b", ""), (None, "Ann"), ("d", "Bo")], "book_name string, name string")
+    found = lexicon.mentions(texts, cast, "doc_id")
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, "An", 1, 0), ("a", 1, "An", 2, 0), ("a", 1, "Ann", 1, 0), ("a", 1, "Ann", 2, 0), ("b", 2, "Bo", 1, 8)]
+    assert {tuple(r) for r in lexicon.frequencies(found).collect()} == {("a", "An", 2, 3), ("a", "Ann", 2, 3), ("b", "Bo", 1, 1)}
+
+
+def test_components_grow_with_batches(spark):
+    r = random.Random(3)
+    edges = [(f"n{r.randrange(200)}", f"n{r.randrange(200)}") for _ in range(150)] + [("a", "a"), (None, "b"), ("n1", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    whole = {(x["node"], x["component"]) for x in graph.weak_components(frame(edges)).collect()}
+    labels = graph.weak_components(frame(edges[:50]))
+    for part in (edges[50:100], edges[100:], [], edges[:10]):
+        labels = graph.extended_components(labels, frame(part))
+    assert {(x["node"], x["component"]) for x in labels.collect()} == whole
+
+
+def test_points_in_intervals_equal_every_pair(spark):
+    r = random.Random(5)
+    points = [(r.choice("ab"), r.randrange(-50, 5000)) for _ in range(300)] + [(None, 5), ("a", None), ("a", 7), ("a", 7)]
+    spans = [(r.choice("abc"), s, s + r.choice((1, 2, 3, 17, 64, 1000, 5000))) for s in (r.randrange(-60, 4000) for _ in range(80))] + [("a", 7, 7), ("a", 9, 3), (None, 0, 9), ("a", None, 9), ("b", 0, 4096), ("b", 0, 4096)]
+    got = relate.within(spark.createDataFrame(points, "k string, at long"), spark.createDataFrame(spans, "k string, s long, e long"), ["k"], "at", "s", "e")
+    want = [(k, p, s, e) for k, p in points for j, s, e in spans if k is not None and k == j and p is not None and s is not None and s <= p < e]
+    assert sorted((x["k"], x["at"], x["s"], x["e"]) for x in got.collect()) == sorted(want) and len(want) > 300
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert relate.within(spark.createDataFrame(points, "k string, at long"), spark.createDataFrame([], "k string, s long, e long"), ["k"], "at", "s", "e").count() == 0
+
+
+def test_like_knows_no_escape_and_folds_ascii_only(spark):
+    df = spark.createDataFrame([(1, "a\\b"), (2, "É"), (3, "é"), (4, "A%b"), (5, "aXb"), (6, None), (7, "K\u212a")], "i long, v string")
+    found = lambda v: [r["i"] for r in search.like(df, "v", v).orderBy("i").collect()]
+    assert found("a\\b") == [1] and found("a\\") == [1] and found("é") == [3] and found("É") == [2]
+    assert found("a%B") == [1, 4, 5] and found("a_b") == [1, 4, 5] and found("k") == [7] and found("") == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_views_in_their_order_and_with_their_parameters(spark):
+    m = spark.createDataFrame([("a", "对话", "x", 1), ("b", "节奏", "y", 9), ("c", "对话", "z", 9), ("d", "对话", "z", None)], "id string, dimension string, mistake_name string, frequency int")
+    ids = lambda name, t, **p: [r["id"] for r in views.view({views.VIEWS[name].table: t}, name, **p).collect()]
+    assert ids("mistakes", m) == ["b", "c", "a", "d"] and ids("mistakes", m, dimension="对", mistake_name="Z") == ["c", "d"]
+    e = spark.createDataFrame([("a", "k", "第10章"), ("b", "k", "第2章"), ("c", "k", "序"), ("d", "k", "第2章 乙"), ("e", "j", "第3章")], "id string, book_name string, chapter_id string")
+    e = e.withColumn("event_type", F.lit("x")).withColumn("significance", F.lit("high"))
+    assert ids("events", e, book_name="k") == ["b", "d", "a", "c"] and ids("events", e, chapter_range="2-3") == ["b", "d", "e"] and ids("events", e, chapter_range="x-3") == ["b", "d", "e", "a", "c"]
+    rel = spark.createDataFrame([("a", "甲", "乙"), ("b", "乙", "丙"), ("c", "丙", "丁")], "id string, character_a string, character_b string").withColumn("book_name", F.lit("k"))
+    assert ids("character_relationship", rel, character_a="乙", character_b="丙") == ["b"] and ids("character_relationship", rel, character_a="乙") == ["a", "b"]
+    with pytest.raises(ValueError, match="query"):
+        views.view({"common_mistakes": m}, "mistakes", query="x")
+
+
+def test_evidence_of_scenes(spark):
+    text = "original_text string, technique_analysis string"
+    tables = {
+        "climax_buildup_chains": spark.createDataFrame([("a", "k", "决战高潮", '["x","y"]', "up"), ("b", "k", "对话", None, None)], "id string, book_name string, climax_name string, buildup_steps_json string, tension_escalation string"),
+        "climax_excerpts": spark.createDataFrame([(f"e{i:02}", "k", "高潮", "t" * 400, "x") for i in range(30)], f"id string, book_name string, excerpt_type string, {text}"),
+        "dialogue_samples": spark.createDataFrame([("d", "k", "闲谈", "t", "s", "f")], "id string, book_name string, scene_type string, original_text string, subtext string, plot_function string"),
+        "description_samples": spark.createDataFrame([], f"id string, book_name string, description_type string, sensory_details string, {text}"),
+        "action_scene_samples": spark.createDataFrame([("x", "k", "剑", "t", "a", "p")], f"id string, book_name string, action_type string, {text}, pacing_analysis string"),
+        "skills": spark.createDataFrame([(f"s{i:02}", "k", "高潮场景", "n", "a", None) for i in range(15)], "id string, book_name string, scene_type string, skill_name string, analysis string, original_example string"),
+    }
+    rows = digests.scene_evidence(tables).orderBy("scene_type", "place").collect()
+    assert [(r["scene_type"], r["type"]) for r in rows if r["scene_type"] != "高潮"] == [("对话", "dialogue"), ("打斗", "action")]
+    climax = [r for r in rows if r["scene_type"] == "高潮"]
+    assert [r["type"] for r in climax] == ["buildup_chain"] + ["excerpt"] * 10 + ["skill"] * 9 and [r["place"] for r in climax] == list(range(1, 21))
+    assert climax[0]["more"] == "2" and len(climax[1]["text"]) == 300 and climax[-1]["text"] == ""
+
+
+def test_tables_without_what_they_need_are_rebuilt(spark, tmp_path):
+    schema = "id string, chapter_id string, writing_quality int"
+    path = lambda n: str(tmp_path / n)
+    spark.range(3).select(F.col("id").cast("string")).write.parquet(path("old"))
+    spark.createDataFrame([("a", "c")], "id string, chapter_id string").write.parquet(path("kept"))
+    assert upsert.rebuilt(spark, path("old"), "dialogue_samples", schema).count() == 0 and upsert.rebuilt(spark, path("none"), "plot_lines", schema).count() == 0
+    assert spark.read.parquet(path("old")).columns == ["id", "chapter_id", "writing_quality"]
+    assert [tuple(r) for r in upsert.rebuilt(spark, path("kept"), "dialogue_samples", schema).collect()] == [("a", "c", 5)]
+    assert upsert.rebuilt(spark, path("kept"), "plot_lines", "id string").columns == ["id", "chapter_id"]
+
+
+def test_nearest_by_pivots_equals_every_pair(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    x = np.round(np.concatenate([c + g.normal(0, 0.05, (60, 6)) for c in g.normal(0, 1, (8, 6))]), 3)
+    x[40] = x[41]
+    rows = [(i, v.tolist(), f"g{i % 3}" if i % 7 else None) for i, v in enumerate(x)]
+    odd = [(900, None, "g0"), (901, [], "g0"), (902, [1.0] * 5, "g0"), (903, [None] * 6, "g0"), (904, [float("nan")] * 6, "g0"), (5, x[5].tolist(), "g1")]
+    vectors = spark.createDataFrame(rows + odd, "id long, embedding array<double>, kind string")
+    queries = spark.createDataFrame([(i, v) for i, v, _ in rows[::9]] + [(1, None), (2, [0.0] * 6)], "query_id long, query array<double>")
+    every = rows + odd[-1:]
+    for by in ((), ("kind",)):
+        got = {}
+        for r in pivots.nearest_each(vectors, queries, 4, by).collect():
+            got.setdefault((r["query_id"], r["kind"] if by else 0), []).append((r["rank"], round(r["distance"], 9), r["id"]))
+        want = {}
+        for q, v in [(i, v) for i, v, _ in rows[::9]] + [(2, [0.0] * 6)]:
+            for kind in {k for *_, k in every} if by else {0}:
+                near = sorted((round(sum((a - b) ** 2 for a, b in zip(e, v, strict=True)), 9), i) for i, e, k in every if not by or k == kind)[:4]
+                want[q, kind] = [(n, d, i) for n, (d, i) in enumerate(near, 1)]
+        assert {k: sorted(v) for k, v in got.items()} == want
+    scored = pivots.nearest_each(vectors, queries, 4, scored=True).agg(F.sum("pairs")).first()[0]
+    assert scored < 0.5 * len(every) * (len(rows[::9]) + 1)
+    assert pivots.nearest_each(vectors.limit(0), queries, 4).count() == pivots.nearest_each(vectors, queries.limit(0), 4).count() == 0
+
+
+def test_trigram_index_reads_fewer_files_and_finds_the_same(spark, tmp_path):
+    r = random.Random(9)
+    saved, index = str(tmp_path / "t"), str(tmp_path / "i")
+    rows = [(i, f"p[{i % 12}] é:", " ".join(r.choice(("alpha", "beta", "Ünïcode", "é", "100%")) for _ in range(30)) + (f" Needle{i % 12}Hay" if i % 12 < 3 else "")) for i in range(200)] + [(900, "p[3] é:", None), (901, None, "x")]
+    spark.createDataFrame(rows, "i long, part string, v string").repartition(3).write.partitionBy("part").parquet(saved)
+    textindex.build(spark.read.parquet(saved), ["v"], index)
+    whole = spark.read.parquet(saved)
+    for value in ("needle1hay", "NEEDLE", "le2", "é", "al%ta", "_100\\%", "Ünï", "nowhere", "", "x", "dle_H"):
+        got = sorted(tuple(x) for x in textindex.like(spark, saved, index, ["v"], value).collect())
+        assert got == sorted(tuple(x) for x in search.like(whole, "v", value).collect()), value
+    every = len(whole.inputFiles())
+    assert 0 < len(textindex.files(spark, saved, index, "needle1hay")) <= every // 6 and textindex.files(spark, saved, index, "nowhere") == []
+    spark.createDataFrame([(999, "p5", "needle7")], "i long, part string, v string").write.mode("append").partitionBy("part").parquet(saved)  # not indexed
+    assert [x["i"] for x in textindex.like(spark, saved, index, ["v"], "needle7").collect()] == [999]

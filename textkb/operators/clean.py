@@ -1,33 +1,13 @@
-"""Cleaning of whole documents, and the line-state removal of author's notes."""
+"""Cleaning of whole documents, and the removal of author's notes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def note_line_states(lines: DataFrame, keys: list[str], order: str, trigger: F.Column, header: F.Column) -> DataFrame:
-    """Keep the lines that are outside a note, or close one.
-
-    Outside, a trigger opens a note and is dropped; inside, a header closes it and is kept. So a line
-    that is only a trigger sets the state to 1, only a header to 0, both flips it. The state before
-    a line is the last set value xor the parity of the flips since then.
-    """
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    both, sets = trigger & header, F.when(trigger & ~header, 1).when(header & ~trigger, 0)
-    rows = lines.withColumn("_flip", both.cast("int")).withColumn("_set", sets).withColumn("_flips", F.sum("_flip").over(w))
-    state = (
-        F.coalesce(F.last("_set", ignorenulls=True).over(before), F.lit(0))
-        + F.coalesce(F.last("_flips").over(before), F.lit(0))
-        - F.coalesce(F.last(F.when(F.col("_set").isNotNull(), F.col("_flips")), ignorenulls=True).over(before), F.lit(0))
-    ) % 2
-    rows = rows.withColumn("_state", state)
-    return rows.where(((F.col("_state") == 0) & ~trigger) | ((F.col("_state") == 1) & header)).drop("_flip", "_set", "_flips", "_state")
-
-
 def note_free(text: Column | str, trigger: str = T.NOTE_LINE, header: str = T.CHAPTER_LINE) -> Column:
     """A text without author's notes: one walk over its lines inside the row, and only for texts with a trigger."""
 
@@ -65,15 +45,3 @@ def swept(df: DataFrame, columns: list[str], mode: str = "delete") -> DataFrame:
     for c in columns:
         dirty = dirty | T.is_mojibake(c)
     return df.where(~dirty)
-
-
-def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """How often each word of a lexicon stands in each text (non-overlapping), where it does.
-
-    The lexicon is a hand-written list: its words are folded into one expression, so there is no join.
-    """
-    words = [r["word"] for r in lexicon.select("word").where("word <> ''").distinct().orderBy("word").collect()]
-    item = lambda w: F.struct(F.lit(w).alias("word"), ((F.length(text) - F.length(F.replace(F.col(text), F.lit(w), F.lit("")))) / len(w)).cast("long").alias("hits"))
-    if not words:
-        return docs.select(key, F.lit("").alias("word"), F.lit(0).cast("long").alias("hits")).limit(0)
-    return docs.select(key, F.inline(F.filter(F.array(*map(item, words)), lambda x: x["hits"] > 0)))

@@ -6,6 +6,8 @@ lineage is cut with a table in the shared folder, so a lost executor costs one s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,16 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("src") == F.col("node"), "left_semi").join(ids, F.col("dst") == F.col("node"), "left_semi")
 
 
+def character_relations(nodes: DataFrame, edges: DataFrame, book_name: str, name: str = "") -> DataFrame:
+    """``(src, dst, relation_type, relation_strength)`` between the characters of a book (nodes: node_id, node_type, book_list).
+
+    A missing type is ``unknown``, a missing strength 0; ``name`` keeps characters whose id holds it.
+    """
+    own = nodes.where((F.col("node_type") == "character") & F.contains(F.col("book_list"), F.lit(book_name)) & F.contains(F.col("node_id"), F.lit(name)))
+    kept = induced(edges, own.select(F.col("node_id").alias("node")))
+    return kept.select("src", "dst", F.coalesce("relation_type", F.lit("unknown")).alias("relation_type"), F.coalesce(F.col("strength").cast("double"), F.lit(0.0)).alias("relation_strength"))
+
+
 def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)``: component is the smallest node, by alternating hooks to smaller roots and jumps.
 
@@ -128,6 +140,24 @@ def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def extended_components(labels: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """``(node, component)`` after new edges, from the labels before them (``node``, ``component``: the smallest node).
+
+    Old components are single vertices here: only the new edges are walked, between the labels of their ends, and then
+    every label is looked up once. New nodes are labels of their own at first. Edges with a null end are left out;
+    edges inside a component change nothing. Labels only ever merge: edges are not taken away.
+    """
+    new = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    known = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+    met = cut(new.join(known("src"), "src", "left").join(known("dst"), "dst", "left"))
+    label = lambda end: F.coalesce(f"{end}_label", end)
+    moved = weak_components(met.select(label("src").alias("src"), label("dst").alias("dst")), max_rounds).withColumnRenamed("component", "root")
+    fresh = reduce(DataFrame.unionByName, (met.where(F.col(f"{end}_label").isNull()).select(F.col(end).alias("node")) for end in ("src", "dst"))).distinct()
+    every = labels.select("node", "component").unionByName(fresh.withColumn("component", F.col("node")))
+    return every.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(measure, name, value)``: nodes and edges, nodes by type, nodes by book (where there is a ``book_list``, names
     with ``|`` between them), components and the largest."""
@@ -166,8 +196,3 @@ def export_attributes(attrs: Column) -> Column:
 def numbered_subgraph(nodes: DataFrame, edges: DataFrame, first: int, last: int) -> DataFrame:
     """Edges among the nodes whose ``number`` lies in a range."""
     return induced(edges, nodes.where(F.col("number").between(first, last)).select(F.col("node_id").alias("node")))
-
-
-def top_neighbours(edges: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -174,7 +174,7 @@ def _listed(source: str, required: str, **defaults: str) -> Callable[[], Column]
 
 _PROFILE = ("appearance", "quirks", "identity", "motivation", "internal_conflict", "personality", "relation_to_mc?未知", "relations_to_others", "climax_or_fate", "background", "speech_samples", "behavior_samples", "relationship_evolution", "abilities", "internal_dilemma", "transformation_trigger", "contrast_design")
 
-#: Response kinds by table. Keys name columns or, where there is none, literals.
+#: Response kinds by table, with the names and defaults of their fields. Keys name columns or, where there is none, literals.
 KINDS = {
     k.table: k
     for k in (

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-
-#: A similarity this much below the least one may still round to it.
-ROUNDED = 0.0001
+from .fuzzy import fuzzy_position
 
 
 @F.pandas_udf(StringType())
@@ -20,10 +19,24 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def unverified(quote: Column, text: Column, least: int = 8) -> Column:
-    """True for a quote of ``least`` or more characters that the text does not contain, both in NFKC, spaces and line ends aside."""
-    dense = lambda c: F.translate(nfkc(c), " \n", "")
-    return (F.length(dense(quote)) >= least) & ~F.contains(dense(text), dense(quote))
+#: Characters that NFKC leaves alone wherever they stand: ASCII, Latin letters without ligatures and digraphs, Greek and
+#: Cyrillic letters, kana, the first block of ideographs, and the quotation marks and dashes of running text.
+PLAIN = r"\x00-\x7F\u00A1-\u00A7\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A1\u03A3-\u03C9\u0400-\u0481\u2013\u2014\u2018-\u201E\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF"
+
+
+def unverified(rows: DataFrame, quote: str, text: str, name: str = "unverified", least: int = 8) -> DataFrame:
+    """``rows`` with ``name``: true for a quote of ``least`` or more characters that the text does not contain, both in NFKC,
+    spaces and line ends aside; null where either is null.
+
+    Only rows that hold a character which NFKC may change pass through Python: the others are a branch of their own.
+    """
+    changes = F.coalesce(F.concat(F.col(quote), F.col(text)).rlike(f"[^{PLAIN}]"), F.lit(False))
+
+    def judged(part: DataFrame, form) -> DataFrame:
+        dense = lambda c: F.translate(form(F.col(c)), " \n", "")
+        return part.withColumn(name, (F.length(dense(quote)) >= least) & ~F.contains(dense(text), dense(quote)))
+
+    return judged(rows.where(~changes), lambda c: c).unionByName(judged(rows.where(changes), nfkc))
 
 
 def positions(rows: DataFrame, quote: str, text: str) -> DataFrame:
@@ -54,27 +67,10 @@ def _with_place(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("level", level).withColumn("position", place.cast("int")).drop("_exact", "_dense")
 
 
-def fuzzy_matches(quotes: DataFrame, texts: DataFrame, key: str, window: int = 8, least: float = 0.85) -> DataFrame:
-    """Quotes in windows of up to ``window`` sentences at Levenshtein similarity ``least`` or more.
-
-    A window meets the quotes of similar length that have a piece in it: a quote is cut into one piece more
-    than the edits that ``least`` admits at the greatest length, so one piece of every match is unchanged
-    and none is lost. The best window of each (quote, text) is kept.
-    """
-    edits = f"int(floor({1 - least + ROUNDED} * (floor(length(quote) * {2 - least}) + 1)))"
-    cut = "int(floor({i} * length(quote) / (edits + 1)))"
-    q = quotes.select("quote_id", "quote", F.expr(edits).alias("edits")).where("length(quote) > 0")
-    pieces = f"transform(sequence(0, edits), i -> substring(quote, {cut.format(i='i')} + 1, {cut.format(i='(i + 1)')} - {cut.format(i='i')}))"
-    lengths = f"explode(sequence(greatest(int(floor(length(quote) * {least})) - 1, 0), int(ceil(length(quote) * {2 - least})) + 1))"
-    q = q.select("*", F.expr(pieces).alias("pieces"), F.expr(lengths).alias("length"))
-    sentences = texts.select(key, F.posexplode(F.split("text", r"(?<=[.!?。！？\n])")).alias("no", "sentence"))
-    w = Window.partitionBy(key).orderBy("no")
-    spans = sentences.select(key, "no", *(F.lead("sentence", i).over(w).alias(f"s{i}") for i in range(window)))
-    joined = F.array(*(F.concat_ws("", *(f"s{j}" for j in range(i + 1))) for i in range(window)))
-    found = spans.select(key, "no", F.explode(F.array_distinct(joined)).alias("span")).withColumn("span", F.trim("span"))
-    pairs = found.withColumn("length", F.length("span")).join(q, "length")
-    pairs = pairs.where(F.exists("pieces", lambda p: F.contains("span", p))).where("levenshtein(span, quote, edits) >= 0")
-    near = F.abs(F.length("span") - F.length("quote")) <= F.length("quote") * (1 - least)
-    ratio = 1 - F.levenshtein("span", "quote") / F.greatest(F.length("span"), F.length("quote"))
-    scored = pairs.where(near).withColumn("ratio", T.decimal_round(ratio)).where(F.col("ratio") >= least)
-    return scored.groupBy("quote_id", key).agg(F.max_by(F.struct("ratio", "no"), F.struct(F.col("ratio"), -F.col("no"))).alias("b")).select("quote_id", key, "b.ratio", F.col("b.no").alias("sentence"))
+def located(rows: DataFrame, quote: str, text: str) -> DataFrame:
+    """``level`` (exact, spaces, fuzzy or none) and ``position`` of each row's quote in its own text: ``positions``, and where that
+    finds none the best similar span of sentences. Rows found before are not walked again."""
+    found = positions(rows, quote, text)
+    left = fuzzy_position(found.where("level = 'none'"), quote, text)
+    near = left.withColumn("level", F.when(F.col("fuzzy_at") >= 0, "fuzzy").otherwise("none")).withColumn("position", F.col("fuzzy_at")).drop("fuzzy_at")
+    return found.where("level <> 'none'").unionByName(near)

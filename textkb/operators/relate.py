@@ -79,10 +79,26 @@ def named_edges(edges: DataFrame, events: DataFrame, missing: str = "未知事
     return out.withColumns({c: F.coalesce(c, F.lit(missing)) for c in ("source_name", "target_name")})
 
 
-def mentions(texts: DataFrame, names: Sequence[str], key: str, text: str = "text") -> DataFrame:
-    """``(key, name)`` for every name of a short, hand-written list that a text contains."""
-    hits = F.array(*(F.when(F.contains(F.col(text), F.lit(n)), F.lit(n)) for n in names))
-    return texts.select(key, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("name"))
+def within(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str) -> DataFrame:
+    """Each point with the intervals of its keys that hold it (``start <= at < end``): an equi-join, whatever the lengths.
+
+    An interval belongs to the level of its length (the next power of two) and lies in one or two buckets of that width;
+    a point looks into one bucket of each level there is. So neither side is multiplied by the length of an interval,
+    and a hot bucket is a skewed key of a plain join, which Spark splits. Null keys, points and bounds and empty
+    intervals meet nothing; repeated rows meet as often as they stand.
+    """
+    size = F.col(end) - F.col(start)
+    level = F.ceil(F.log2(size.cast("double"))).cast("int")
+    held = intervals.where(size > 0).withColumn("_level", F.greatest(level, F.lit(0)))
+    levels = sorted(r["_level"] for r in held.select("_level").distinct().collect())  # 64 at most
+    width = lambda of: F.pow(F.lit(2.0), of).cast("long")
+    bucket = lambda c, of: F.floor(F.col(c).cast("double") / width(of)).cast("long")
+    last = F.floor((F.col(end) - 1).cast("double") / width(F.col("_level"))).cast("long")
+    held = held.withColumn("_bucket", F.explode(F.sequence(bucket(start, F.col("_level")), F.greatest(last, bucket(start, F.col("_level"))))))
+    found = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    found = found.withColumn("_bucket", bucket(at, F.col("_level")))
+    met = found.join(held, [*keys, "_level", "_bucket"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+    return met.drop("_level", "_bucket")
 
 
 def one_row_each(base: DataFrame, parts: Mapping[str, DataFrame], key: str) -> DataFrame:

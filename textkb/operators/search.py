@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, VECTOR_CELLS = 256, 64
+from .pivots import nearest_each
 
+#: Queries that are held against all vectors in one pass.
+FEW = 256
 
 def _known(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
@@ -25,12 +28,18 @@ def equals(df: DataFrame, **values: object) -> DataFrame:
 
 
 def like(df: DataFrame, columns: str | Sequence[str], value: str) -> DataFrame:
-    """Rows in which any of the columns is LIKE ``%value%``, whatever the case; '' does not filter."""
+    """Rows in which any of the columns is LIKE ``%value%``; '' does not filter.
+
+    ``%`` and ``_`` in the value are wildcards and nothing escapes them, so a backslash is one; case is ignored for A to Z
+    and no other letters. A null column does not match.
+    """
     columns = [columns] if isinstance(columns, str) else list(columns)
     _known(df, columns)
     if not value:
         return df
-    return df.where(reduce(lambda a, c: a | F.col(c).ilike(f"%{value}%"), columns, F.lit(False)))
+    pattern = "%" + "".join(c.lower() if c.isascii() else c for c in value).replace("\\", "\\\\") + "%"
+    folded = lambda c: F.translate(F.col(c).cast("string"), ascii_uppercase, ascii_lowercase)
+    return df.where(reduce(lambda a, c: a | folded(c).like(pattern), columns, F.lit(False)))
 
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int = 0) -> DataFrame:
@@ -60,22 +69,19 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, where: Mapping[str
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = (), id_column: str = "id") -> DataFrame:
     """The k nearest vectors for every row of a query set (``query_id``, ``query``) of any size, per ``by`` group.
 
-    Queries are held as rows of about ``QUERY_BLOCK`` each and dealt to every cell of the vectors by an
-    equi-join on (block, cell), both numbers salted by id: only the count of the queries passes through the
-    driver. k rows a query, group and cell are merged.
+    Up to ``FEW`` queries are held against all vectors in one pass, which costs less than cells around pivots; more go
+    through ``pivots``. Both are exact and give the same rows. Vectors and queries that are null or of another length
+    meet nothing in the pass; see ``nearest_each`` for those around pivots.
     """
     q = queries.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    held = q.groupBy(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "query")).alias("_q"))
-    held = held.withColumn("_cell", F.explode(F.expr(f"sequence(0L, {VECTOR_CELLS - 1}L)")))
-    cells = vectors.withColumn("_cell", F.pmod(F.xxhash64(F.col(id_column)), F.lit(VECTOR_CELLS)))
-    cells = cells.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    rows = cells.join(held, ["_block", "_cell"]).withColumn("_q", F.explode("_q"))
-    rows = rows.select(*vectors.columns, "_cell", F.col("_q.query_id").alias("query_id"), squared_distance(F.col("embedding"), F.col("_q.query")).alias("distance"))
-    inner = Window.partitionBy("query_id", *by, "_cell").orderBy("distance", id_column)
-    rows = rows.withColumn("_rank", F.row_number().over(inner)).where(F.col("_rank") <= k).drop("_rank", "_cell")
+    if q.count() > FEW:
+        return nearest_each(vectors, queries, k, by, id_column)
+    held = q.agg(F.collect_list(F.struct("query_id", "query")).alias("_q"))  # one row of at most FEW queries
+    rows = vectors.join(F.broadcast(held), F.lit(True)).withColumn("_q", F.explode("_q"))
+    rows = rows.select(*vectors.columns, F.col("_q.query_id").alias("query_id"), squared_distance(F.col("embedding"), F.col("_q.query")).alias("distance"))
     w = Window.partitionBy("query_id", *by).orderBy("distance", id_column)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = rows.where("distance is not null").withColumn("rank", F.row_number().over(w))  # k rows a query leave each task
+    return ranked.where(F.col("rank") <= k)
 
 
 def hybrid(semantic: DataFrame, structured: DataFrame, limit: int, id_column: str = "id") -> DataFrame:
@@ -131,7 +137,7 @@ def documents(rows: DataFrame, table: str, summaries: DataFrame | None = None, m
     return out.withColumn("document", F.concat_ws("\n", *parts)).select(*rows.columns, "document")
 
 
-#: What a kind of document, and a stage of writing, asks: collections of vectors, tables, further tables.
+#: What a kind of document, and a stage of writing, asks: collections of vectors, tables, further tables.
 DOCUMENT_TYPES = {
     "world": (("world_settings_kb",), ("world_settings", "world_timeline"), ("faction_networks", "setting_evolutions")),
     "character": (("character_profiles_kb", "character_speech_style_kb"), ("character_profiles",), ("character_behavior_marks", "character_relationship_dynamics")),

@@ -6,7 +6,7 @@ A batch is one DataFrame with an order column; existing rows count as the earlie
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ingest import one_per_key
@@ -38,6 +38,14 @@ def write_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def drop_partition(spark: SparkSession, path: str, by: str, value: str) -> None:
+    """Remove the partition of one value from a saved table, if it is there."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"{by}={escape(value)}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def upsert_table(rows: DataFrame, path: str, key: str, by: str, seq: str, ignore: bool = False, merge=None) -> None:
     """Keyed upsert into a partitioned table: only the touched partitions are read and written again.
 
@@ -68,6 +76,26 @@ def migrated(df: DataFrame, quality: str = "writing_quality", default: int = 5)
     return df.withColumn(quality, F.coalesce(F.col(quality), F.lit(default)) if quality in df.columns else F.lit(default))
 
 
+#: Tables that are of no use without the chapter of a row.
+CHAPTER_TABLES = ("skills", "plot_arcs", "sensory_mappings", "dialogue_samples", "description_samples", "chapter_functions")
+
+
+def rebuilt(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The saved table ``name``; where it is missing, cannot be read or lacks a ``chapter_id`` that it needs, an empty one of
+    ``schema`` takes its place in the folder. Tables from before the quality column get it with its default."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        found = None
+    if found is None or (name in CHAPTER_TABLES and "chapter_id" not in found.columns):
+        found = spark.createDataFrame([], schema)
+        found.write.mode("overwrite").parquet(path)
+        return spark.read.schema(found.schema).parquet(path)
+    return migrated(found) if "writing_quality" in spark.createDataFrame([], schema).columns else found
+
+
 def search_log(searches: DataFrame) -> DataFrame:
     """Rows of the search log with an ``id`` of their own each: a UUID, as equal searches are told apart."""
     return searches.select(F.expr("uuid()").alias("id"), *searches.columns)

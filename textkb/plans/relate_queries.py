@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import digests as D
+from ..operators import lexicon
 from ..operators import relate as R
 from ..operators import rules as Q
 from ..operators import ingest as I
@@ -125,12 +127,41 @@ def jon_06(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
-_NAMES = ("idiot", "stupid", "moron", "clown", "loser", "keit", "eaux")
+#: A cast for each book: the longer words of some benchmark items.
+_CAST = "c AS (SELECT DISTINCT 'src' || item_id % 20 AS book_name, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')) AS name FROM benchmark), m AS (SELECT book_name, doc_id, name, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS hits, (instr(text, name) - 1)::INT AS position FROM documents JOIN c ON source = book_name AND contains(text, name))"
 
 
-@query("jon_07_mentions", f"SELECT doc_id, n AS name FROM documents, (SELECT unnest({list(_NAMES)}) AS n) WHERE contains(text, n)")
+def _mentions(spark, sf_dir):
+    name = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ]{6,}"), F.lit(0))).alias("name")
+    cast = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("book_name"), name)
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), "doc_id", "text")
+    return lexicon.mentions(texts, cast, "doc_id")
+
+
+@query("jon_07_mentions", f"WITH {_CAST} SELECT * FROM m")
 def jon_07(spark, sf_dir):
-    return R.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), _NAMES, "doc_id")
+    return _mentions(spark, sf_dir)
+
+
+@query("agg_08_cast_frequency", f"WITH {_CAST} SELECT book_name, name, count(*) AS texts, sum(hits)::BIGINT AS hits FROM m GROUP BY ALL")
+def agg_08_cast(spark, sf_dir):
+    return lexicon.frequencies(_mentions(spark, sf_dir))
+
+
+@query("jon_10_positions_in_chapters", """
+WITH c AS (SELECT source AS book_name, doc_id, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS ends FROM documents),
+q AS (SELECT 'src' || l_suppkey % 20 AS book_name, l_orderkey, l_linenumber, (l_partkey * 997 + l_linenumber * 13)::BIGINT AS place FROM lineitem)
+SELECT book_name, l_orderkey, l_linenumber, place, doc_id, place - begins AS inside FROM q JOIN c USING (book_name) WHERE begins <= place AND place < ends""")
+def jon_10_positions(spark, sf_dir):
+    """Places in whole books (one of a position of each line item) to the chapters that hold them."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), "doc_id", F.length("text").alias("n"))
+    w = Window.partitionBy("book_name").orderBy("doc_id")
+    c = d.withColumn("ends", F.sum("n").over(w)).withColumn("begins", F.col("ends") - F.col("n")).drop("n")
+    q = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("book_name"), "l_orderkey", "l_linenumber", (F.col("l_partkey") * 997 + F.col("l_linenumber") * 13).cast("long").alias("place")
+    )
+    met = R.within(q, c, ["book_name"], "place", "begins", "ends")
+    return met.select("book_name", "l_orderkey", "l_linenumber", "place", "doc_id", (F.col("place") - F.col("begins")).alias("inside"))
 
 
 @query("jon_08_book_digest", """
@@ -231,7 +262,7 @@ def key_10(spark, sf_dir):
     from ..operators.quotes import unverified
 
     q = F.concat(F.substring("text", 11, 30), F.when(F.col("doc_id") % 4 == 0, "zzz").otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", unverified(q, F.col("text")).alias("unverified"))
+    return unverified(table(spark, sf_dir, "documents").select("doc_id", q.alias("quote"), "text"), "quote", "text").select("doc_id", "unverified")
 
 
 @query("key_11_positions", """
@@ -252,12 +283,24 @@ def key_11(spark, sf_dir):
 
 @query("key_11_fuzzy")
 def key_11_fuzzy(spark, sf_dir):
-    from ..operators.quotes import fuzzy_matches
+    from ..operators.fuzzy import fuzzy_matches
 
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return fuzzy_matches(b, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+@query("key_11_located")
+def key_11_located(spark, sf_dir):
+    """A passage of each text with every 12th character changed, located in its own text; two in three need the third level."""
+    from ..operators.quotes import located
+
+    d = table(spark, sf_dir, "documents")
+    passage = F.trim(F.element_at(F.split("text", r"(?<=[.!?\n])"), 1))
+    changed = F.regexp_replace(passage, r"(?s)(.{11}).", "$1#")
+    quote = F.when(F.col("doc_id") % 3 == 0, passage).otherwise(changed)
+    return located(d.select("doc_id", quote.alias("quote"), "text"), "quote", "text").select("doc_id", "level", "position")
+
+
 # --- data quality ----------------------------------------------------------------------------------------------------
 
 _SUMMARY = "s AS (SELECT source AS book_name, 'ch' || doc_id AS chapter_id, CASE WHEN length(text) < 100 THEN '' WHEN length(text) < 300 THEN substr(text, 1, 40) ELSE substr(text, 1, 100) END AS summary, (doc_id % 5)::INT AS cast_size FROM documents)"
@@ -421,6 +464,80 @@ def xbk_07(spark, sf_dir):
     return R.one_row_each(settings, {"t": c.groupBy("book_name").agg(F.min_by(F.substring("text", 1, 50), "seq").alias("theme"))}, "book_name")
 
 
+_GIVEN = lambda c: f"coalesce({c}::VARCHAR, '')"
+_STEPS = lambda c: f"coalesce(json_array_length({c}), 0)"
+_BOOKS = "SELECT DISTINCT user_id::VARCHAR AS book_name FROM events WHERE user_id % 3 <> 0"
+
+#: Each dimension's table, rows and line, stated in SQL for itself.
+_DIMENSION_SQL = {
+    "高潮铺垫方式": ("climax_buildup_chains", 5, f"'高潮: ' || {_GIVEN('climax_name')} || ' (第' || {_GIVEN('climax_chapter')} || '章) | 铺垫步骤: ' || {_STEPS('buildup_steps_json')} || '步 | 张力升级: ' || {_GIVEN('tension_escalation')}"),
+    "冲突升级模式": ("conflict_escalation", 5, f"'冲突线: ' || {_GIVEN('conflict_line')} || ' | 升级步骤: ' || {_STEPS('escalation_steps_json')} || '步 | 升级模式: ' || {_GIVEN('escalation_pattern')}"),
+    "人物塑造": ("character_profiles", 5, f"'角色: ' || {_GIVEN('name')} || ' (' || {_GIVEN('role_type')} || ')'"),
+    "世界观设计": ("world_settings", 10, f"{_GIVEN('module')} || ':' || {_GIVEN('entity')} || ' - ' || left({_GIVEN('content')}, 100)"),
+    "对话风格": ("character_speech_style", 5, f"'角色: ' || {_GIVEN('character_name')} || ' | 口头禅: ' || {_GIVEN('catchphrases')} || ' | 词汇偏好: ' || {_GIVEN('vocabulary_preference')} || ' | 句式: ' || {_GIVEN('sentence_pattern')}"),
+    "描写技法": ("description_samples", 5, f"'类型: ' || {_GIVEN('description_type')} || ' | 技法: ' || {_GIVEN('technique_analysis')} || ' | 感官: ' || {_GIVEN('sensory_details')}"),
+    "信息管理": ("information_management", 5, f"'策略: ' || {_GIVEN('strategy_type')} || ' | 目标信息: ' || {_GIVEN('target_info')} || ' | 隐瞒方式: ' || {_GIVEN('conceal_method')} || ' | 揭露时机: ' || {_GIVEN('reveal_timing')} || ' | 戏剧目的: ' || {_GIVEN('dramatic_purpose')}"),
+    "伏笔设计": ("plot_foreshadowing", 5, f"'伏笔: ' || {_GIVEN('hook_name')} || ' | 埋设: 第' || {_GIVEN('planted_chapter')} || '章 | 计划回收: ' || {_GIVEN('planned_payoff')} || ' | 状态: ' || {_GIVEN('status')}"),
+}
+
+
+def _told_sql(table_sql: str, line: str, most: int, separator: str = "chr(10)", where: str = "true") -> str:
+    return f"SELECT book_name, string_agg(line, {separator} ORDER BY n) AS told FROM (SELECT book_name, {line} AS line, row_number() OVER (PARTITION BY book_name ORDER BY id) AS n FROM ({table_sql}) WHERE {where}) WHERE n <= {most} GROUP BY book_name"
+
+
+@query("xbk_03_dimension_digests", f"WITH b AS ({_BOOKS}) " + " UNION ALL ".join(
+    [f"SELECT '{d}' AS dimension, book_name, told AS digest FROM ({_told_sql(kind_sql(t), line, n)}) WHERE book_name IN (SELECT book_name FROM b)" for d, (t, n, line) in _DIMENSION_SQL.items()]
+    + [f"SELECT '{d}', book_name, '{x}' FROM b" for d, x in (("感情线设计", "感情线: 数据已废弃"), ("结构编排", "结构: 数据已废弃"))]))
+def xbk_03_dimensions(spark, sf_dir):
+    books = table(spark, sf_dir, "events").where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("book_name"))
+    return D.dimension_digests(_rows_of(spark, sf_dir, *(t for t, *_ in D.LINES.values())), books)
+
+
+_EVIDENCE = (
+    ("buildup_chain", "climax_buildup_chains", "s IN ('打斗', '高潮', '转折', '揭秘', 'e') AND contains(climax_name, s)", "climax_name", "buildup_steps_json", "tension_escalation", _STEPS("buildup_steps_json") + "::VARCHAR"),
+    ("excerpt", "climax_excerpts", "contains(excerpt_type, s)", "excerpt_type", "left(original_text, 300)", "technique_analysis", "''"),
+    ("dialogue", "dialogue_samples", "s = '对话'", "scene_type", "left(original_text, 300)", "subtext", "plot_function"),
+    ("description", "description_samples", "s = '描写'", "description_type", "left(original_text, 300)", "technique_analysis", "sensory_details"),
+    ("action", "action_scene_samples", "s = '打斗'", "action_type", "left(original_text, 300)", "technique_analysis", "pacing_analysis"),
+    ("skill", "skills", "contains(scene_type, s)", "skill_name", "left(original_example, 200)", "analysis", "''"),
+)
+
+
+@query("xbk_04_scene_evidence", "WITH s AS (SELECT unnest(['打斗', '对话', '描写', '高潮', '转折', '揭秘', 'e']) AS s), u AS (" + " UNION ALL ".join(
+    f"SELECT s, {n} AS source, id, '{kind}' AS type, book_name, {_GIVEN(name)} AS name, {_GIVEN(text)} AS text, {_GIVEN(analysis)} AS analysis, {_GIVEN(more)} AS more FROM ({kind_sql(t)}), s WHERE {of.replace(", 'e'", '')} QUALIFY row_number() OVER (PARTITION BY s ORDER BY id) <= 10"
+    for n, (kind, t, of, name, text, analysis, more) in enumerate(_EVIDENCE))
+    + ") SELECT s AS scene_type, row_number() OVER (PARTITION BY s ORDER BY source, id)::INT AS place, type, book_name, name, text, analysis, more FROM u QUALIFY place <= 20")
+def xbk_04_scenes(spark, sf_dir):
+    return D.scene_evidence(_rows_of(spark, sf_dir, *(t for _, t, *_ in _EVIDENCE)), (*D.SCENES, "e"))
+
+
+_LINE = lambda a, x, b, y, c, z: f"'  {a}:' || {_GIVEN(x)} || ' | {b}:' || {_GIVEN(y)} || chr(10) || '  {c}:' || {z}"
+
+
+@query("xbk_06_review_pack", f"""
+WITH b AS ({_BOOKS}), d AS ({_told_sql(kind_sql('dialogue_samples'), _LINE('场景', 'scene_type', '张力', 'emotional_tension', '原文', "left(coalesce(original_text, ''), 200)"), 3)}),
+e AS ({_told_sql(kind_sql('description_samples'), _LINE('类型', 'description_type', '技法', 'technique_analysis', '原文', "left(coalesce(original_text, ''), 200)"), 3)}),
+n AS ({_told_sql(kind_sql('narrative_distance'), _LINE('距离', 'distance_type', '触发', 'trigger_reason', '示例', "left(coalesce(original_example, ''), 150)"), 2)})
+SELECT book_name, concat_ws(chr(10), chr(10) || '===== 标杆作品《' || book_name || '》=====', '【对话样本】' || chr(10) || d.told, '【描写样本】' || chr(10) || e.told, '【叙事距离控制】' || chr(10) || n.told) AS pack
+FROM b LEFT JOIN d USING (book_name) LEFT JOIN e USING (book_name) LEFT JOIN n USING (book_name) WHERE coalesce(d.told, e.told, n.told) IS NOT NULL""")
+def xbk_06_pack(spark, sf_dir):
+    books = table(spark, sf_dir, "events").where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("book_name"))
+    return D.review_pack(_rows_of(spark, sf_dir, "dialogue_samples", "description_samples", "narrative_distance"), books)
+
+
+@query("xbk_07_recommendation_digest", f"""
+WITH b AS (SELECT user_id::VARCHAR AS book_name, min(event_type) AS category FROM events GROUP BY ALL),
+w AS ({_told_sql(kind_sql('world_settings'), f"{_GIVEN('module')} || ':' || {_GIVEN('entity')}", 5, "', '")}),
+c AS ({_told_sql(kind_sql('character_profiles'), f"{_GIVEN('name')} || '(' || {_GIVEN('role_type')} || ')'", 5, "', '")}),
+m AS ({_told_sql(kind_sql('plot_lines'), _GIVEN('theme'), 1, "''", "line_type = 'main'")})
+SELECT book_name, '【《' || book_name || '》】' || chr(10) || concat_ws(chr(10), '分类: ' || category, '世界观: ' || w.told, '人物: ' || c.told, '主线: ' || m.told) AS digest
+FROM b LEFT JOIN w USING (book_name) LEFT JOIN c USING (book_name) LEFT JOIN m USING (book_name)""")
+def xbk_07_digest(spark, sf_dir):
+    books = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("book_name")).agg(F.min("event_type").alias("category"))
+    rows = _rows_of(spark, sf_dir, "world_settings", "character_profiles", "plot_lines")
+    return D.recommendation_digest(books, *rows.values())
+
+
 @query("xbk_08_volume_digest", f"""
 WITH {CHAPTERS}, i AS (SELECT book_name, seq, chapter_id, {INDEXED} FROM chapters), v AS (SELECT *, (idx // least(ceil(n / 10e0), 75)::INT)::INT AS volume FROM i)
 SELECT book_name, volume, string_agg(chapter_id, chr(10) ORDER BY seq) AS digest, count(*)::BIGINT AS lines FROM v GROUP BY ALL""")

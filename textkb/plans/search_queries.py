@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators import textindex as X
+from ..operators.scratch import shared_folder
 from . import ingest_queries  # noqa: F401 (its SQL comes first)
 from .base import ORACLES, query, table
 
@@ -112,6 +115,15 @@ def vec_09(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("collection")).agg(F.count("*").alias("vectors"))
 
 
+@query("flt_02_indexed", "SELECT doc_id, lang FROM documents WHERE text ILIKE '%worthless%' OR source ILIKE '%worthless%'")
+def flt_02_indexed(spark, sf_dir):
+    """Documents saved by source and language, with an index of their trigrams: files without the word are not read."""
+    saved, index = shared_folder(spark), shared_folder(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").write.partitionBy("source", "lang").parquet(saved)
+    X.build(spark.read.parquet(saved), ["text", "source"], index)
+    return X.like(spark, saved, index, ["text", "source"], "WORTHLESS").select("doc_id", "lang")
+
+
 # --- filters, orders, sets ---------------------------------------------------------------------------
 
 _FILTERS = {
@@ -185,6 +197,16 @@ def grf_07(spark, sf_dir):
     return G.weak_components(_edges(spark, sf_dir))
 
 
+@query("grf_07_incremental")  # the same rows as grf_07_components, grown batch by batch: tests hold it against that
+def grf_07_incremental(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    batch = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    labels = G.weak_components(e.where(batch == 0))
+    for n in (1, 2):
+        labels = G.extended_components(labels, e.where(batch == n))
+    return labels
+
+
 @query("grf_07_stats")
 def grf_07_stats(spark, sf_dir):
     e = _edges(spark, sf_dir)
@@ -199,6 +221,30 @@ def grf_08(spark, sf_dir):
     return G.induced(_edges(spark, sf_dir), n)
 
 
+@query("grf_08_character_relations", """
+WITH n AS (SELECT 'char:' || s_suppkey AS node_id, 'b' || s_nationkey % 4 || '|b' || s_suppkey % 3 AS book_list FROM supplier WHERE s_suppkey % 5 <> 0),
+o AS (SELECT node_id FROM n WHERE contains(book_list, 'b1')),
+e AS (SELECT 'char:' || l_suppkey AS src, 'char:' || l_partkey % 100 AS dst, nullif(l_returnflag, 'N') AS relation_type, CASE WHEN l_linenumber > 2 THEN l_quantity::DOUBLE END AS strength FROM lineitem)
+SELECT src, dst, coalesce(relation_type, 'unknown') AS relation_type, coalesce(strength, 0)::DOUBLE AS relation_strength FROM e WHERE src IN (SELECT node_id FROM o) AND dst IN (SELECT node_id FROM o)""")
+def grf_08_relations(spark, sf_dir):
+    s, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("s_suppkey") % 5 == 0, "event").otherwise("character")
+    books = F.concat(F.lit("b"), F.col("s_nationkey") % 4, F.lit("|b"), F.col("s_suppkey") % 3)
+    nodes = s.select(F.concat(F.lit("char:"), "s_suppkey").alias("node_id"), kind.alias("node_type"), books.alias("book_list"))
+    edges = li.select(
+        F.concat(F.lit("char:"), "l_suppkey").alias("src"), F.concat(F.lit("char:"), F.col("l_partkey") % 100).alias("dst"),
+        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("relation_type"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("double")).alias("strength"),
+    )
+    return G.character_relations(nodes, edges, "b1")
+
+
+@query("srt_04_chapter_order", "SELECT doc_id, chapter_id FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '序章' ELSE '第' || (doc_id * 37 % 500) || '章' END AS chapter_id FROM documents) ORDER BY coalesce(try_cast(regexp_extract(chapter_id, '([0-9]+)', 1) AS INT), 99999), doc_id LIMIT 300")
+def srt_04(spark, sf_dir):
+    """Chapters by their number, those without one last: the first 300."""
+    name = F.when(F.col("doc_id") % 9 == 0, "序章").otherwise(F.concat(F.lit("第"), F.col("doc_id") * 37 % 500, F.lit("章")))
+    return S.page(table(spark, sf_dir, "documents").select("doc_id", name.alias("chapter_id")), [T.chapter_number("chapter_id", 99999), "doc_id"], 300)
+
+
 @query("grf_01_appearances", """
 WITH s AS (SELECT role AS name, 'c' || conv_id AS chapter_id, substr(text, 1, 50) AS state, min(turn) AS seq FROM conversations GROUP BY 1, 2, 3)
 SELECT 'char:' || name AS src, 'chap:' || chapter_id AS dst, string_agg(state, '|' ORDER BY seq, state) AS action FROM s GROUP BY name, chapter_id""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clean, statistics
+from ..operators.lexicon import lexicon_counts
 from .base import CHAPTERS, chapters, query, table
 
 S = T.SPACE
@@ -120,7 +121,21 @@ SELECT doc_id, word, hits FROM (
   FROM documents, (SELECT unnest(['idiot', 'stupid', 'the', 'keit', 'ción', 'eaux']) AS word)) WHERE hits > 0""")
 def txt_16(spark, sf_dir):
     lexicon = spark.createDataFrame([(w,) for w in ("idiot", "stupid", "the", "keit", "ción", "eaux")], "word string")
-    return clean.lexicon_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon)
+    return lexicon_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon).drop("position")
+
+
+@query("txt_16_word_table", r"""
+WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')) AS word FROM benchmark),
+l AS (SELECT word, 'item ' || min(item_id) AS reason, 'stands in ' || count(DISTINCT item_id) || ' items' AS replace_hint FROM w GROUP BY word)
+SELECT doc_id, word, ((length(text) - length(replace(text, word, ''))) // length(word))::BIGINT AS hits, (instr(text, word) - 1)::INT AS position, reason, replace_hint
+FROM documents JOIN l ON contains(text, word)""")
+def txt_16_word_table(spark, sf_dir):
+    """Over a thousand words with their reasons and hints, from a table: the words of the benchmark."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ]{5,}"), F.lit(0))).alias("word"))
+    lexicon = w.groupBy("word").agg(
+        F.concat(F.lit("item "), F.min("item_id")).alias("reason"), F.concat(F.lit("stands in "), F.count_distinct("item_id"), F.lit(" items")).alias("replace_hint")
+    )
+    return lexicon_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon)
 
 
 _RATIO = "round((%s)::DECIMAL(20,10), %d)::DOUBLE"

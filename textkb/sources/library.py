@@ -41,6 +41,12 @@ def files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     return read.load(root).select("path", "content")
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in any store that Spark reads."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(file)
+
+
 # --- names --------------------------------------------------------------------------------------------
 
 
@@ -80,15 +86,15 @@ def tags(name: Column | str) -> Column:
     return F.filter(F.transform(found, strip), lambda t: t != "")
 
 
-def descriptors(paths: DataFrame, root: str) -> DataFrame:
-    """A book descriptor for each file ``path``."""
+def descriptors(paths: DataFrame, root: str, *more: str) -> DataFrame:
+    """A book descriptor for each file ``path``, with ``more`` columns of its row."""
     prefix = root.rstrip("/") + "/"
     relative = F.when(F.instr("path", prefix) > 0, F.substring_index("path", prefix, -1)).otherwise(F.col("path"))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.txt$", "")
     rows = paths.withColumn("_n", name).withColumn("_r", relative)
     return rows.select(
         F.concat(book_title("_n"), title_suffix("_n")).alias("book_name"), book_title("_n").alias("pure_name"), author("_n").alias("author"),
-        category("_n", "_r").alias("category"), tags("_n").alias("tags"), F.array("path").alias("all_files"),
+        category("_n", "_r").alias("category"), tags("_n").alias("tags"), F.array("path").alias("all_files"), *more,
     )
 
 
