@@ -35,8 +35,8 @@ CONTAINED = 50
 CAPACITY = 1 << 20
 #: Part of capacity * threshold that a partition's mass is planned for: partitions by hash differ a little.
 FILL = 0.8
-#: N-grams that a task counts at a time.
-COUNTED_AT_ONCE = 4 << 20
+#: N-grams that a task counts at a time, and bytes of text that it keeps for their phrases: what bounds its memory.
+COUNTED_AT_ONCE, TEXT_AT_ONCE = 3 << 19, 8 << 20
 #: The most bits of the filter (64 MB), bits a survivor and probes.
 FILTER_BITS, BITS_EACH, PROBES = 1 << 29, 12, 4
 
@@ -46,6 +46,7 @@ _BLANK[[0x20, 0x09]] = True
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[9] = 32
 
 
 def pieces_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +139,30 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> U64(32)) * U64(parts) >> U64(32)
 
 
+def _among(bloom: np.ndarray, hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Whether the filter may hold each hash."""
+    ok = np.ones(len(hashes), bool)
+    for at in _probes(hashes, parts, bits):
+        ok &= bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+    return ok
+
+
+def _phrases(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of a lower-case text (tabs are spaces already) as strings, with single spaces."""
+    n = (end - start).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    data = text[np.repeat(start - offsets[:-1], n) + np.arange(offsets[-1])]
+    wide = np.flatnonzero((data[1:] == 32) & (data[:-1] == 32))
+    out = pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+    if len(wide):
+        at = np.unique(np.searchsorted(offsets, wide, side="right") - 1)
+        told = [b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split()).decode("utf-8", "replace") for i in at]
+        place = np.arange(len(n))
+        place[at] = len(n) + np.arange(len(at))
+        out = pa.concat_arrays([out, pa.array(told, pa.large_string())]).take(pa.array(place))
+    return out.cast(pa.string())
+
+
 def survivors(docs: DataFrame, max_words: int, least: int, parts: int, capacity: int) -> DataFrame:
     """``(part, items)``: the n-grams that may stand ``least`` times or more, as packed hashes, written to the shared folder."""
 
@@ -222,32 +247,36 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     shared = spark.sparkContext.broadcast(bloom)  # at most FILTER_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        names: list[str] = []  # languages of this task, by number
+        numbers: dict[str, int] = {}
+        texts, hits, size, n_hits = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(held.values())
-            held.clear()
-            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
+            h, start, end, lang, n = (np.concatenate(c) for c in zip(*hits, strict=True))
+            _, one, f = np.unique(h, return_index=True, return_counts=True)
+            phrases = _phrases(np.concatenate(texts), start[one], end[one])
+            arrays = [pa.array(names).take(pa.array(lang[one])), phrases, pa.array(n[one], pa.int32()), pa.array(f, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n_words", "f"])
 
         for batch in batches:
             for part, langs, s, e, row, out in ngrams(batch, max_words):
-                low = _LOWER[part].tobytes()
+                for x in set(langs) - numbers.keys():
+                    numbers[x] = len(names)
+                    names.append(x)
+                lang = np.array([numbers[x] for x in langs], np.int32)
                 for n, (first, h) in enumerate(out, 1):
-                    ok = np.ones(len(h), bool)
-                    for at in _probes(h, parts, bits):
-                        ok[ok] = shared.value[at[ok] >> 3] >> (7 - (at[ok] & 7)).astype(np.uint8) & 1 == 1
-                    first, h = first[ok], h[ok]
-                    h, one, c = np.unique(h, return_index=True, return_counts=True)
-                    for x, w, k in zip(h.tolist(), first[one].tolist(), c.tolist(), strict=True):
-                        if x in held:
-                            held[x][3] += k
-                        else:
-                            phrase = b" ".join(low[s[i] : e[i]] for i in range(w, w + n)).decode("utf-8", "replace")
-                            held[x] = [langs[row[w]], phrase, n, k]
-                if len(held) >= 200_000:
+                    ok = np.flatnonzero(_among(shared.value, h, parts, bits))
+                    if len(ok):
+                        w = first[ok]
+                        hits.append((h[ok], (s[w] + size).astype(np.int32), (e[w + n - 1] + size).astype(np.int32), lang[row[w]], np.full(len(ok), n, np.int8)))
+                        n_hits += len(ok)
+                texts.append(_LOWER[part])
+                size += len(part)
+                if hits and (n_hits >= COUNTED_AT_ONCE or size >= TEXT_AT_ONCE):
                     yield flush()
-        if held:
+                if n_hits >= COUNTED_AT_ONCE or size >= TEXT_AT_ONCE:
+                    texts, hits, size, n_hits = [], [], 0, 0
+        if hits:
             yield flush()
 
     rows = docs.mapInArrow(counted, "lang string, phrase string, n_words int, f long")
