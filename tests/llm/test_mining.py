@@ -181,7 +181,7 @@ def test_collocations_equal_a_plain_count(spark, capacity, monkeypatch):
     rows += [("É é École " * 30, "fr"), ("one two " * 4000, "hot"), ("x" * 50_000 + " y " * 30, "hot"), ("a.b.c" * 50, "hot")]
     got = [tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in collocations.collocations(frame(spark, rows), capacity=capacity).collect()]
     want = collocated(rows)
-    assert sorted(got) == want and len(want) > 500
+    assert sorted(got) == want and len(want) > 300
 
 
 def test_collocations_of_longer_phrases_and_of_nothing(spark):
@@ -222,3 +222,37 @@ def test_quality_training_does_not_depend_on_the_order_of_rows(spark):
     train = lambda rows, n: quality.train(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(n))
     one, two = train(rows, 1), train(rows[::-1], 7)
     assert one.shift == two.shift and all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+
+
+# --- 3, 7, 10: names that clash, ties, empty tables ------------------------------------------------------
+
+
+def test_operators_ignore_columns_of_their_own_names(spark):
+    from textkb.llm import nearest, secrets, warc
+
+    key = "".join(random.Random(1).choice("ABCDEFabcdef0123456789xyzXYZ") for _ in range(40))
+    docs = spark.createDataFrame([(1, f"see {key} there", "a", "b", "c"), (1, f"see {key} there", "a", "b", "c"), (2, "plain", "a", "b", "c")], "doc_id long, text string, spans string, kind string, start string")
+    rows = sorted((r["doc_id"], len(r["spans"])) for r in secrets.secret_spans(docs).collect())
+    assert rows == [(1, 1), (1, 1), (2, 0)] and secrets.secret_spans(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "a", "b"), (2, "u", "x" * 2000, "a", "b")], "page_id long, url string, html string, payload string, digest string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == [(1, "response", None), (2, "revisit", 1)]
+    v = spark.createDataFrame([(i, [1.0, float(i // 2)], "x", 1.0) for i in range(20, 30)], "vec_id long, embedding array<double>, row string, score double")
+    got = [(r["rank"], r["vec_id"]) for r in nearest.nearest(v).orderBy("rank").collect()]
+    assert got == list(enumerate([28, 29, 26, 27, 24, 25, 22, 23, 21], 1))
+
+
+def test_the_whole_pipeline_is_its_stages(spark):
+    import os
+
+    import corpus_pipeline
+    from textkb.llm.common import materialize, table
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, folder))
+    told = lambda df: sorted((r["n_tokens"], tuple(r["doc_ids"]), bytes(r["ids"])) for r in df.collect())
+    assert told(corpus_pipeline.run(spark, folder)) == told(docs) != []

@@ -107,7 +107,11 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, grams: int = GRAMS) -> LanguageFilter:
-    """A filter from ``docs`` (doc_id, text, lang); rows with null text or lang teach nothing."""
+    """A filter from ``docs`` (doc_id, text, lang); rows with null text or lang teach nothing.
+
+    Rows of one id are drawn together or not at all; empty texts have no n-grams; n-grams of equal rate are kept by
+    their hash; long texts count whole; an empty table gives a filter that knows no language; other columns are ignored.
+    """
     bounded_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a number for each language

@@ -96,7 +96,9 @@ def mixed_counts(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as ``mixed_counts`` says, with all its columns.
 
-    Only the table of sources meets the texts, and Spark sends it to them where it is small.
+    Only the table of sources meets the texts, and Spark sends it to them where it is small. Nulls, empty and long
+    texts and repeated rows as in ``mixed_counts``; an empty table stays empty; working columns get other names where
+    ``docs`` has theirs.
     """
     of, size, target, times = unique_names(docs.columns, "mix_of", "mix_size", "mix_target", "mix_times")
     targets = source_targets(docs.select("source", _word_count().alias("size")), **shares)

@@ -569,7 +569,11 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All links ``(a, b)`` between classes of equal sets, and membership ``(doc_id, size, cls)``."""
+    """All links ``(a, b)`` between classes of equal sets, and membership ``(doc_id, size, cls)``.
+
+    Null, empty and blank texts have an empty set and no class; rows of equal sets (repeated rows too) are one class; a
+    null id is a member with a null id; texts are taken whole; an empty table gives no rows; other columns are ignored.
+    """
     j = _Join(docs, n, percent)
     pairs = materialize(j._crossing(j._open_postings(None)))
     return j._check(pairs, j._sets_of(_ends(pairs))).where("ok").select("a", "b"), j.members

@@ -210,7 +210,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: QualityModel, least: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all their columns and nothing shuffled."""
+    """The rows of ``docs`` that score at least ``least``, with all their columns and nothing shuffled.
+
+    Rows are judged one by one as in ``score``: a row at the bar stays, repeated rows fare alike, null and empty texts
+    score as one empty passage, long texts are encoded whole, an empty table stays empty.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared, place = spark.sparkContext.broadcast(model), docs.columns.index("text")

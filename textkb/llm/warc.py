@@ -152,7 +152,8 @@ def write_archives(pages: DataFrame, revisit_least: int = REVISIT_LEAST, archive
 
     A null html is an empty payload; a null url has no target header; of equal payloads of at least
     ``revisit_least`` bytes the smallest page_id is the response (all its rows, if it is repeated;
-    null ids come last), the others revisit it.
+    null ids come last), the others revisit it. An empty table gives no archives; a payload longer than
+    ``archive_bytes`` has an archive of its own, whole; other columns are ignored, whatever their names.
     """
     bounded_batches(pages.sparkSession)
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -189,7 +190,11 @@ def write_archives(pages: DataFrame, revisit_least: int = REVISIT_LEAST, archive
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The page records of ``(archive, content)`` rows; payload digests of responses are verified."""
+    """The page records of ``(archive, content)`` rows; payload digests of responses are verified.
+
+    Records come in the order of their archive, repeated pages as often as they were written; an empty table gives
+    none; long payloads are read whole, frame by frame; other columns are ignored.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
