@@ -519,3 +519,46 @@ def test_trigram_index_reads_fewer_files_and_finds_the_same(spark, tmp_path):
     assert 0 < len(textindex.files(spark, saved, index, "needle1hay")) <= every // 6 and textindex.files(spark, saved, index, "nowhere") == []
     spark.createDataFrame([(999, "p5", "needle7")], "i long, part string, v string").write.mode("append").partitionBy("part").parquet(saved)  # not indexed
     assert [x["i"] for x in textindex.like(spark, saved, index, ["v"], "needle7").collect()] == [999]
+
+
+def test_slices_equal_a_scan_of_every_place(spark):
+    """The definition, place by place: which kind of cut may stand behind each character."""
+
+    def cut(region):
+        kinds = {}
+        for i in range(max(len(region) // 3, 100), len(region)):
+            last3 = region[i - 2 : i + 1]
+            if last3 in ("...", "---", "***") or last3[1:] == "\n\n":
+                kinds[2] = i + 1
+            elif last3[2:] == "\n" and last3[0] in "”\"。！？.!?":
+                kinds[3] = i + 1
+            elif last3[2:] == "\n" and last3[1] in "。！？.!?":
+                kinds[4] = i + 1
+        return kinds[min(kinds)] if kinds else len(region)
+
+    def slices(text, size, overlap):
+        out, at = [], 0
+        while at < len(text):
+            end = at + cut(text[at : at + size])
+            out.append(text[at:end].strip())
+            if end >= len(text):
+                break
+            at = end if len(text) - max(end - overlap, 0) <= size else max(end - overlap, 0)
+        return [x for x in out if len(x) > 200]
+
+    r = random.Random(6)
+    for n in range(60):
+        marks = ["字", "x", " ", "\n", "\n\n", "。\n", "”\n", "。”\n", "...", "---", "!a\n", "……"]
+        weights = [40, 40, 5, 1, 0.3, 0.5, 0.5, 0.5, 0.1, 0.1, 0.5, 0.2] if n % 3 else [50, 50, 1, 0.1, 0, 0.1, 0, 0.1, 0, 0, 0.1, 0]
+        text = "".join(r.choices(marks, weights, k=r.randrange(300, 6000)))
+        for size, overlap in ((700, 50), (1500, 200), (400, 0)):
+            assert C.semantic_slices(text, size, overlap) == slices(text, size, overlap)
+    C.register(spark)
+    rows = [(str(i), 0, f"第{i}章", "".join(r.choices(["字", "。\n", "\n\n"], [60, 1, 0.2], k=n))) for i, n in enumerate((100, 5000, 5001, 30_000))] + [("9", 0, "x", None), ("8", 0, "x", "")]
+    spark.createDataFrame(rows, "key string, chapter_idx int, chapter_id string, text string").repartition(3).createOrReplaceTempView("long_chapters")
+    got = sorted((x["key"], x["slice_no"], x["chapter_id"], x["text"]) for x in spark.sql("SELECT * FROM text_slices(TABLE(long_chapters))").collect())
+    want = []
+    for k, _, name, t in rows[:4]:
+        want += [(k, n, f"{name}_{n}", p) for n, p in enumerate(slices(t, 5000, 200), 1)] if len(t) > 5000 else [(k, 0, name, t)]
+    assert got == sorted(want)
+    assert sorted(x["text"] for x in spark.sql("SELECT * FROM text_slices(TABLE(long_chapters) PARTITION BY key)").collect()) == sorted(x[3] for x in want)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -94,6 +94,34 @@ def split_chapters(docs: DataFrame, key: str = "doc_id", size: int = MAX_CHUNK,
     return fits.unionByName(long.mapInArrow(run, schema))
 
 
+SLICES = "key string, chapter_idx int, chapter_id string, slice_no int, text string"
+
+
+@F.arrow_udtf(returnType=SLICES)
+class TextSlices:
+    """Table function ``text_slices(TABLE(chapters))``: the slices of chapters that are too long, and the others as they are.
+
+    ``chapters`` has key, chapter_idx, chapter_id and text. Chapters are sliced one by one: no partitioning of the
+    argument is needed, and any gives the same rows. Null texts give none.
+    """
+
+    def eval(self, chapters: pa.RecordBatch) -> Iterator[pa.Table]:
+        out = []
+        for row in chapters.select(["key", "chapter_idx", "chapter_id", "text"]).to_pylist():
+            text = row["text"] or ""
+            if len(text) > MAX_CHUNK:
+                out += [{**row, "chapter_id": f"{row['chapter_id']}_{n}", "slice_no": n, "text": part} for n, part in enumerate(semantic_slices(text), 1)]
+            elif text:
+                out.append({**row, "slice_no": 0})
+        kinds = {"key": pa.string(), "chapter_idx": pa.int32(), "chapter_id": pa.string(), "slice_no": pa.int32(), "text": pa.string()}
+        yield pa.Table.from_pydict({c: pa.array([r[c] for r in out], t) for c, t in kinds.items()})
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``text_slices`` known to SQL."""
+    spark.udtf.register("text_slices", TextSlices)
+
+
 def _dense(c: Column | str) -> Column:
     """Characters without line ends and spaces."""
     return F.length(F.translate(T.col(c), "\n ", "")).cast("long")

@@ -173,3 +173,12 @@ w AS (SELECT book_name, seq, coalesce(bool_or(a) OVER x, false) AS a, coalesce(b
 SELECT book_name, seq, list_concat(['the'], list_filter([CASE WHEN a THEN 'idiot' END, CASE WHEN b THEN 'stupid' END, CASE WHEN c THEN 'keit' END], lambda n: n IS NOT NULL)) AS "cast" FROM w""")
 def smp_08(spark, sf_dir):
     return sample.active_cast(chapters(spark, sf_dir), ["the"], ["idiot", "stupid", "keit", "x"])
+
+
+@query("chk_03_table_function")  # inherently sequential: tests hold the slices against a scan of every place
+def chk_03_udtf(spark, sf_dir):
+    """Every document as a chapter, through the table function."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("key"), F.lit(0).alias("chapter_idx"), F.concat(F.lit("ch"), "doc_id").alias("chapter_id"), "text")
+    C.register(spark)
+    return spark.sql("SELECT * FROM text_slices(TABLE({rows}))", rows=rows)
