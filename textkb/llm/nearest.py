@@ -202,9 +202,14 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int, float, int]:
     return v, dim or 1, float(norm or 1.0), n
 
 
+def _own() -> F.Column:
+    """A number that a vector gives by its components: draws do not depend on how the rows are dealt."""
+    return F.xxhash64("embedding")
+
+
 def _leaf_budget(forest: Forest, placed: DataFrame, queries: DataFrame, dim: int, n: int, k: int, target: float) -> int:
     """The least number of leaves that reaches the target recall on the calibration queries."""
-    some = queries.orderBy(hash_unit("vec_id", "row", seed="calibration"), "row").limit(CALIBRATION).toArrow()
+    some = queries.orderBy(hash_unit("vec_id", _own(), seed="calibration"), "vec_id", _own()).limit(CALIBRATION).toArrow()
     if not some.num_rows or n <= k + 1:
         return TREES << forest.depth
     known = list(zip(some["row"].to_pylist(), some["vec_id"].to_pylist(), _matrix(some["embedding"], dim), strict=True))
@@ -261,7 +266,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, target:
     spark = vectors.sparkSession
     rows, dim, scale, n = usable(vectors)
     depth = max(0, round(np.log2(max(n, 1) / LEAF_ROWS)))
-    sample = rows.where(hash_unit("vec_id", "row", seed="forest") < sample_fraction(n, max(SAMPLE_VALUES // dim, 64))).orderBy("row").select("embedding").toArrow()
+    sample = rows.where(hash_unit("vec_id", _own(), seed="forest") < sample_fraction(n, max(SAMPLE_VALUES // dim, 64)))
+    sample = sample.orderBy("vec_id", _own()).select("embedding").toArrow()
     forest = Forest.grow(_matrix(sample["embedding"], dim), scale, dim, depth)
     shared = spark.sparkContext.broadcast(forest)
 

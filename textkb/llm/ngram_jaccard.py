@@ -42,7 +42,8 @@ from .components import components
 
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
-FILTER_BITS = 23  # of the bit filter that tells which documents' sets are wanted again
+# Bits of the filter that tells which documents' sets are wanted again: as many as its ids ask for, 32 MB at most.
+FILTER_BITS, FILTER_BITS_EACH, FILTER_PIECES = range(18, 29), 16, 64
 SIGNATURE_LONGS = 8
 SIGNATURE = [f"sig{i}" for i in range(SIGNATURE_LONGS)]
 HEAVY = 64  # classes of one n-gram from which pairs are checked in blocks instead of rows
@@ -216,7 +217,7 @@ def _wanted_sets(docs: DataFrame, wanted, n: int) -> DataFrame:
         bits, seen = wanted.value, set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = (mix64(ids.view(np.uint64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            at = (mix64(ids.view(np.uint64)) & U64(8 * len(bits) - 1)).astype(np.int64)
             keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             if not len(keep):
                 continue
@@ -233,34 +234,29 @@ def _wanted_sets(docs: DataFrame, wanted, n: int) -> DataFrame:
     return docs.mapInArrow(run, "holder long, grams binary")
 
 
-def _bit_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS over hashed ids, built in tasks, merged from fixed-size pieces."""
-    pieces = 32
-    size = (1 << FILTER_BITS) // 8 // pieces
+def _bit_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A bitmap over the hashes of about ``n`` ids; each piece of it is made from the ids that fall into it."""
+    log = min(max(int(np.ceil(np.log2(max(n, 1) * FILTER_BITS_EACH))), FILTER_BITS[0]), FILTER_BITS[-1])
+    size = (1 << log) // FILTER_PIECES
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(pieces * size, np.uint8)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = mix64(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & U64((1 << FILTER_BITS) - 1)
-            np.bitwise_or.at(bits, (at >> U64(3)).astype(np.int64), (1 << (at & U64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(pieces), pa.int32()), pa.array([p.tobytes() for p in bits.reshape(pieces, size)])], ["piece", "bits"]
-        )
+            at = (mix64(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & U64((1 << log) - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32))], ["piece", "place"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
         for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out[p] = out.get(p, np.zeros(size, np.uint8)) | np.frombuffer(raw, np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["piece", "bits"]
-        )
-
-    schema = "piece int, bits binary"
-    rows = ids.mapInArrow(mark, schema).repartition(pieces, "piece").mapInArrow(merge, schema).collect()
-    bits = np.zeros((pieces, size), np.uint8)
-    for r in rows:
-        bits[r["piece"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+            piece, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(piece).tolist():
+                out.setdefault(p, np.zeros(size, bool))[place[piece == p]] = True
+        packed = [np.packbits(v, bitorder="little").tobytes() for v in out.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(packed, pa.binary())], ["piece", "bits"])
+
+    rows = ids.mapInArrow(deal, "piece int, place int").repartition(FILTER_PIECES, "piece").mapInArrow(mark, "piece int, bits binary")
+    bits = np.zeros((FILTER_PIECES, size // 8), np.uint8)
+    for r in rows.collect():  # 32 MB at most
+        bits[r["piece"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits.ravel()
 
 
@@ -409,7 +405,8 @@ class _Join:
         their holders (a class's smallest document) keeps the others from being taken apart. The few
         that pass by chance are rows of documents that hold no pair, and match nothing."""
         spark = self.docs.sparkSession
-        bits = spark.sparkContext.broadcast(_bit_filter(self.holders.join(classes.distinct(), "cls", "left_semi").select("holder")))
+        wanted = materialize(self.holders.join(classes.distinct(), "cls", "left_semi").select("holder"))
+        bits = spark.sparkContext.broadcast(_bit_filter(wanted, wanted.count()))
         return materialize(_wanted_sets(self.docs.where("doc_id is not null"), bits, self.n))
 
     def _candidate(self, which: str) -> F.Column:
