@@ -94,8 +94,8 @@ class Index:
             place = np.concatenate([np.arange(len(p)) * length for p, _ in parts])
             by = np.argsort(h, kind="stable")
             h = h[by]
-            known = np.zeros(1 << 20, bool)
-            known[h & U64((1 << 20) - 1)] = True
+            known = np.zeros(1 << min(20, max(10, (64 * len(h)).bit_length())), bool)
+            known[h & U64(len(known) - 1)] = True
             self.tables.append((length, h, quote[by], place[by], known))
 
     def candidates(self, code: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ class Index:
             at_place, votes = _hashes(code, length), []
             for x in range(0, len(at_place), HITS_AT_ONCE):
                 part = at_place[x : x + HITS_AT_ONCE]
-                hit = np.flatnonzero(known[part & U64((1 << 20) - 1)]) + x
+                hit = np.flatnonzero(known[part & U64(len(known) - 1)]) + x
                 hit = hit[row[hit] == row[hit + length - 1]]
                 first = np.searchsorted(h, at_place[hit])
                 seed, t = _expanded(first, np.searchsorted(h, at_place[hit], side="right"), hit)

@@ -239,10 +239,10 @@ def sta_06(spark, sf_dir):
 
 
 @query("sta_07_description", """
-WITH f AS (SELECT source AS book_name, arg_min(concat_ws(' | ', nullif(trim(left(text, 12)), ''), lang), doc_id) AS description FROM documents GROUP BY source)
+WITH f AS (SELECT source AS book_name, arg_min(concat_ws(' | ', nullif(trim(text), ''), lang), doc_id) AS description FROM documents GROUP BY source)
 SELECT DISTINCT d.source AS book_name, f.description FROM documents d LEFT JOIN f ON d.source = f.book_name""")
 def sta_07(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), F.substring("text", 1, 12).alias("head"), "lang", "doc_id")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_name"), F.col("text").alias("head"), "lang", "doc_id")
     return R.described(d.select("book_name").distinct(), d, ["head", "lang"], "doc_id")
 
 
@@ -362,13 +362,13 @@ def dq_d_profiles(spark, sf_dir):
 
 
 @query("dq_f_samples", """
-WITH t AS (SELECT source AS book_name, CASE WHEN doc_id % 29 = 0 THEN '' ELSE substr(text, 1, (doc_id % 30)::INT + 1) END AS text, coalesce(quality, 5) AS q FROM documents LEFT JOIN labels USING (doc_id)),
-s AS (SELECT book_name, count(*) AS n, count(*) FILTER (text = '') AS e, count(*) FILTER (text <> '' AND length(text) < 15) AS sh, count(*) FILTER (q < 3) AS low FROM t GROUP BY book_name)
+WITH t AS (SELECT source AS book_name, CASE WHEN doc_id % 29 = 0 THEN '' ELSE text END AS text, coalesce(quality, 5) AS q FROM documents LEFT JOIN labels USING (doc_id)),
+s AS (SELECT book_name, count(*) AS n, count(*) FILTER (text = '') AS e, count(*) FILTER (text <> '' AND length(text) < 400) AS sh, count(*) FILTER (q < 3) AS low FROM t GROUP BY book_name)
 SELECT 'F' AS stage, book_name, '' AS chapter_id, 'high' AS severity, e || ' empty' AS description FROM s WHERE e > 0 UNION ALL SELECT 'F', book_name, '', 'medium', sh || '/' || n || ' short' FROM s WHERE sh > 0.3 * n UNION ALL SELECT 'F', book_name, '', 'medium', low || '/' || n || ' of low quality' FROM s WHERE low > 0.5 * n""")
 def dq_f(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    text = F.when(F.col("doc_id") % 29 == 0, "").otherwise(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 30).cast("int") + 1))
-    return Q.sample_rules(d.select(F.col("source").alias("book_name"), text.alias("text"), F.coalesce("quality", F.lit(5)).alias("writing_quality")), 15)
+    text = F.when(F.col("doc_id") % 29 == 0, "").otherwise(F.col("text"))
+    return Q.sample_rules(d.select(F.col("source").alias("book_name"), text.alias("text"), F.coalesce("quality", F.lit(5)).alias("writing_quality")), 400)
 
 
 @query("dq_o_untyped_edges", "SELECT 'O' AS stage, user_id::VARCHAR AS book_name, 'e' || event_id AS chapter_id, 'low' AS severity, 'edge without type' AS description FROM events WHERE event_type = 'error'")

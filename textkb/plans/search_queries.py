@@ -285,10 +285,10 @@ def grf_10(spark, sf_dir):
     return G.causal_chain(events, _causal(spark, sf_dir), starts, 4, "downstream").select("start", "node", "depth", "event_name")
 
 
-@query("grf_11_export", r"SELECT doc_id, [source, regexp_replace(coalesce(left(text, 80), ''), '[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{fffe}\x{ffff}]', '', 'g')] AS vals FROM documents")
+@query("grf_11_export", r"SELECT doc_id, [source, regexp_replace(coalesce(text, ''), '[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{fffe}\x{ffff}]', '', 'g')] AS vals FROM documents")
 def grf_11(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    attrs = F.create_map(F.lit("book"), F.col("source"), F.lit("head"), F.substring("text", 1, 80))
+    attrs = F.create_map(F.lit("book"), F.col("source"), F.lit("text"), F.col("text"))
     return d.select("doc_id", F.map_values(G.export_attributes(attrs)).alias("vals"))
 
 
