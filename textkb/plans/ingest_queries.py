@@ -14,7 +14,7 @@ _K = "(props::JSON->>'k')::INT"
 
 def _responses(spark, sf_dir, body, *beside):
     """Events as responses: book = user, chapter = hour, JSON built from the event, some fenced, some broken."""
-    e = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir)
     json = F.to_json(body)
     fenced = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Here it is:\n```json\n"), json, F.lit("\n```\nDone.")))
     broken = F.when(F.col("event_id") % 17 == 0, F.substring(json, 1, 12))
@@ -24,8 +24,13 @@ def _responses(spark, sf_dir, body, *beside):
     )
 
 
+def _events(spark, sf_dir):
+    """Events with the number in their ``props``, which is read out once however many fields use it."""
+    return table(spark, sf_dir, "events").withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def _k():
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("_k")
 
 
 _GOOD = "event_id % 17 <> 0"
@@ -165,7 +170,7 @@ for _number, _tables in _NUMBERS.items():
 
 @query("ing_01_flattened_state", f"SELECT event_id, ['mood_' || event_type, 'plain'] AS names, [{_K}::VARCHAR || ', ' || user_id, event_type] AS vals FROM events")
 def ing_01_state(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir)
     inner = F.create_map(F.col("event_type"), F.array(_k().cast("string"), F.col("user_id").cast("string")))
     state = F.concat(F.lit('{"mood":'), F.to_json(inner), F.lit(',"plain":"'), F.col("event_type"), F.lit('"}'))
     m = I.flattened_state(state)
@@ -257,7 +262,7 @@ _PROGRESS = f"(SELECT {_BOOK} AS book_name, event_type AS stage, arg_max(CASE WH
 
 def _progress(spark, sf_dir):
     status = F.when(_k() % 3 == 0, "failed").when(_k() % 7 == 0, "skipped").otherwise("complete")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book_name"), F.col("event_type").alias("stage"), status.alias("status"), "event_id")
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("book_name"), F.col("event_type").alias("stage"), status.alias("status"), "event_id")
     return e.groupBy("book_name", "stage").agg(F.max_by("status", "event_id").alias("status"))
 
 
