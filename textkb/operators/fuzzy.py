@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import bounded_batches
 
 #: What ends a sentence.
 SENTENCE_ENDS = "。！？\n.!?；"
@@ -211,6 +212,7 @@ def fuzzy_matches(quotes: DataFrame, texts: DataFrame, key: str, window: int = W
     whole. No match is lost: every similar span has the seeds it is found by.
     """
     spark = quotes.sparkSession
+    bounded_batches(spark)
     quotes = quotes.where("length(quote) > 0")
     name, kinds = f"`{key}`", (quotes.schema["quote_id"].dataType.simpleString(), texts.schema[key].dataType.simpleString())
     out = spark.createDataFrame([], f"quote_id {kinds[0]}, {name} {kinds[1]}, {FOUND}")
@@ -238,6 +240,7 @@ def fuzzy_position(rows: DataFrame, quote: str, text: str, window: int = WINDOW,
 
     Rows are judged one by one; null and empty quotes and texts have none.
     """
+    bounded_batches(rows.sparkSession)
     columns = rows.columns
     schema = rows.withColumn("fuzzy_at", F.lit(-1)).schema
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
+
 #: Characters of words in a block, and names in a row of a cast.
 BLOCK_CHARS, CAST_ROW = 4 << 20, 4096
 #: Automata of casts that a task keeps: texts of one book mostly follow each other.
@@ -60,6 +62,7 @@ def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", tex
     their values; words that overlap each other are all counted; repeated keys are rows of their own.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     given = lexicon.where("length(word) > 0")
     more = [c for c in lexicon.columns if c != "word"]
     kind = docs.schema[key].dataType.simpleString()
@@ -90,6 +93,7 @@ def mentions(texts: DataFrame, cast: DataFrame, key: str, text: str = "text", by
     Empty and null names, null books and texts have no hits; repeated names count once, repeated keys are rows of
     their own; a book without a cast gives none.
     """
+    bounded_batches(texts.sparkSession)
     names = cast.where(F.col(by).isNotNull() & (F.length("name") > 0)).select(by, "name").distinct()
     sizes = names.groupBy(by).agg(F.ceil(F.count("*") / CAST_ROW).alias("_rows"))
     part = F.pmod(F.xxhash64("name"), F.col("_rows")).alias("_part")

@@ -26,3 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of an Arrow batch of texts, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: what a Python task holds does not grow with the rows of its partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
