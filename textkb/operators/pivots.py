@@ -14,7 +14,7 @@ k best are summed exactly, in component order. k rows of a query leave a cell.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -29,6 +29,8 @@ from .scratch import materialize
 SAMPLE, PIVOTS, CELLS = 4096, 1024, 1 << 20
 #: Components of the vectors, and queries, that meet in one task at a time.
 CELL_VALUES, QUERY_BLOCK = 1 << 20, 1024
+#: Queries whose cells are listed at a time, visits (a query and a cell each) in an Arrow batch, vectors placed at a time.
+VISITORS, VISITS, PLACED = 64, 1024, 1024
 #: Bounds are relaxed by this share of the numbers they come from, so that rounding loses nothing.
 SLACK = 1e-9
 
@@ -38,6 +40,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, so that what a task holds does not grow with Spark's batches."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, rows):
+            yield batch.slice(x, rows)
+
+
 def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     """``n`` rows (or all different ones), each the farthest from those before; the first is the first row."""
     at, near = [0], np.square(x - x[0]).sum(axis=1)
@@ -79,7 +88,7 @@ def _visits(spark, queries: DataFrame, pivots: np.ndarray, counts: np.ndarray, l
         return order[: min(n, int((counts[g] > 0).sum()))]
 
     def visit(batches):
-        for batch in batches:
+        for batch in _parts(batches, VISITORS):
             pivots, counts, low, high = shared.value
             d = distances(_matrix(batch["q"], dim), pivots) if batch.num_rows else np.empty((0, len(pivots)))
             at, gs, cells = [], [], []
@@ -96,10 +105,13 @@ def _visits(spark, queries: DataFrame, pivots: np.ndarray, counts: np.ndarray, l
                     at += [i] * len(found)
                     gs += [g] * len(found)
                     cells += found.tolist()
-            take = pa.array(at, pa.int64())
-            bound = pa.nulls(len(at), pa.float64()) if first else batch["bound"].take(take)
-            arrays = [batch["query_row"].take(take), batch["q"].take(take), bound, pa.array(gs, pa.int32()), pa.array(cells, pa.int32()), pa.array(d[at, cells] if at else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["query_row", "q", "bound", "g", "cell", "away"])
+            at, gs, cells = (np.array(x, np.int64) for x in (at, gs, cells))
+            for x in range(0, max(len(at), 1), VISITS):
+                i, g, c = at[x : x + VISITS], gs[x : x + VISITS], cells[x : x + VISITS]
+                take = pa.array(i)
+                bound = pa.nulls(len(i), pa.float64()) if first else batch["bound"].take(take)
+                arrays = [batch["query_row"].take(take), batch["q"].take(take), bound, pa.array(g.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(d[i, c])]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_row", "q", "bound", "g", "cell", "away"])
 
     return queries.mapInArrow(visit, "query_row long, q array<double>, bound double, g int, cell int, away double")
 
@@ -178,7 +190,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, by: Sequence[st
     shared, at = spark.sparkContext.broadcast(pivots), vectors.columns.index("embedding")
 
     def place(batches):
-        for batch in batches:
+        for batch in _parts(batches, PLACED):
             d = distances(_matrix(batch.column(at), dim), shared.value) if batch.num_rows else np.empty((0, len(shared.value)))
             cell = d.argmin(axis=1) if batch.num_rows else np.empty(0, np.int64)
             arrays = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
