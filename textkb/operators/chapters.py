@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import bounded_batches
 
 #: Fixed value: what heads a chapter (text start or line ends before it, line ends or text end after).
 HEADING = rf"(?:^|\n+)[{T.SPACE}]*((?:第[零一二三四五六七八九十百千万两\d\-]+[章节回卷集部篇][^\n]{{0,30}})|(?:[Cc]hapter[{T.SPACE}]*\d+[^\n]{{0,30}}))[{T.SPACE}]*(?:\n+|$)"
@@ -71,6 +72,7 @@ def semantic_slices(text: str, size: int = MAX_CHUNK, overlap: int = OVERLAP, le
 def split_chapters(docs: DataFrame, key: str = "doc_id", size: int = MAX_CHUNK, overlap: int = OVERLAP, heading: str = HEADING) -> DataFrame:
     """``(key, chapter_idx, chapter_id, slice_no, text)`` for each document: by headings, by blocks where
     there are none, and chapters longer than ``size`` again into slices (the only part in Python)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(key, T.unix_newlines("text").alias("text"))
     found = heading_chapters(F.col("text"), heading)
     docs = docs.withColumn("found", found)
@@ -119,6 +121,7 @@ class TextSlices:
 
 def register(spark: SparkSession) -> None:
     """Make ``text_slices`` known to SQL."""
+    bounded_batches(spark)
     spark.udtf.register("text_slices", TextSlices)
 
 
@@ -141,16 +144,16 @@ def conservation(docs: DataFrame, chapters: DataFrame, key: str = "doc_id", over
 
 
 def merged_slices(rows: DataFrame, order: str) -> DataFrame:
-    """Slices of a chapter (``_n`` suffix) as one row: the first slice's scene, skills first-wins by name."""
+    """Slices of a chapter (``_n`` suffix) as one row: the first slice's scene, skills first-wins by name.
+
+    A slice's skills are cut to their first mentions in its row and go to their chapter as one array: no name is a row.
+    """
     base = rows.withColumn("chapter_id", F.regexp_replace("chapter_id", r"_\d+$", ""))
-    first = Window.partitionBy("book_name", "chapter_id", "skill_name").orderBy(order, "_pos")
-    skills = base.select("book_name", "chapter_id", order, F.posexplode("skills").alias("_pos", "skill_name"))
-    skills = skills.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    names = skills.groupBy("book_name", "chapter_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(order, "_pos", "skill_name"))), lambda s: s["skill_name"]).alias("skills")
-    )
-    scenes = base.groupBy("book_name", "chapter_id").agg(F.min_by("scene_type", order).alias("scene_type"))
-    return scenes.join(names, ["book_name", "chapter_id"], "left")
+    own = base.select("book_name", "chapter_id", F.col(order).alias("_order"), "scene_type", F.array_distinct("skills").alias("_skills"))
+    slices = F.array_sort(F.collect_list(F.when(F.size("_skills") > 0, F.struct("_order", "_skills"))))
+    out = own.groupBy("book_name", "chapter_id").agg(F.min_by("scene_type", "_order").alias("scene_type"), slices.alias("_slices"))
+    names = F.array_distinct(F.flatten(F.transform("_slices", lambda s: s["_skills"])))
+    return out.select("book_name", "chapter_id", "scene_type", F.when(F.size("_slices") > 0, names).alias("skills"))
 
 
 def excerpts(chapters: DataFrame, size: int = 200) -> DataFrame:
