@@ -30,7 +30,9 @@ def unverified(rows: DataFrame, quote: str, text: str, name: str = "unverified",
 
     Only rows that hold a character which NFKC may change pass through Python: the others are a branch of their own.
     """
-    changes = F.coalesce(F.concat(F.col(quote), F.col(text)).rlike(f"[^{PLAIN}]"), F.lit(False))
+    both = F.concat(F.col(quote), F.col(text))
+    # Texts of one byte a character are ASCII: no pattern walks them.
+    changes = F.coalesce((F.octet_length(both) != F.length(both)) & both.rlike(f"[^{PLAIN}]"), F.lit(False))
 
     def judged(part: DataFrame, form) -> DataFrame:
         dense = lambda c: F.translate(form(F.col(c)), " \n", "")
