@@ -120,24 +120,71 @@ def character_relations(nodes: DataFrame, edges: DataFrame, book_name: str, name
     return kept.select("src", "dst", F.coalesce("relation_type", F.lit("unknown")).alias("relation_type"), F.coalesce(F.col("strength").cast("double"), F.lit(0.0)).alias("relation_strength"))
 
 
+def _near(steps: DataFrame, key: str) -> DataFrame:
+    """``(key, near)``: the least neighbour of each vertex but itself (columns ``at``, ``to``), null for one that has none."""
+    return steps.groupBy(F.col("at").alias(key)).agg(F.min("to").alias("near"))
+
+
+def _trees(near: DataFrame) -> DataFrame:
+    """``(id, root)`` of the trees that the pointers ``(id, near)`` make, by jumps that halve their depth.
+
+    Two steps never lead to a larger id, so that chains end in pairs that point at each other: the smaller is the root.
+    """
+    up = near.select("id", F.coalesce("near", "id").alias("up"))
+    beyond = lambda t: t.select(F.col("id").alias("up"), F.col("up").alias("next"))
+    end = F.when(F.col("next") == F.col("id"), F.least("id", "up")).otherwise(F.col("next"))
+    up = cut(up.join(beyond(up), "up").select("id", end.alias("up"), F.lit(True).alias("moved")))
+    while up.where("moved").take(1):
+        up = cut(up.join(beyond(up), "up").select("id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+    return up.select("id", F.col("up").alias("root"))
+
+
+def _between(edges: DataFrame, trees: DataFrame) -> DataFrame:
+    """The edges (``u``, ``v``) between different trees, each pair of trees once."""
+    root = lambda end: trees.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    met = edges.join(root("u"), "u").join(root("v"), "v").where("u_root <> v_root")
+    return met.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct()
+
+
+def _number(node: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), node)
+
+
 def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, component)``: component is the smallest node, by alternating hooks to smaller roots and jumps.
+    """``(node, component)``: component is the smallest node, by contractions over numbered nodes.
 
-    Each round takes, for every node, the least label of its neighbours and then the label of that label,
-    so distances shrink by half and the number of rounds grows with the logarithm of the diameter.
+    A node's number is a hash, with another seed if two nodes share one. In a round each vertex points at its least
+    neighbour, the trees of these pointers become the vertices of the next round, and only edges between trees stay,
+    each once. So vertices fall by half at least, and one round leaves few edges of a graph with many for each node.
     """
-    both = cut(_steps(edges.where("src is not null and dst is not null").select("src", "dst"), "both").select("at", "to").distinct())
-    labels = cut(both.groupBy(F.col("at").alias("node")).agg(F.least(F.min("to"), F.first("at")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("to"), F.col("component").alias("c")), "to").groupBy(F.col("at").alias("node")).agg(F.min("c").alias("c"))
-        hooked = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        roots = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = cut(hooked.join(roots, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component")))
-        same = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old")
-        labels = jumped
-        if not same.take(1):
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return _components(cut(edges.where("src is not null and dst is not null").select("src", "dst")), max_rounds)
+
+
+def _components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """``weak_components`` of a table of edges, which is read a few times."""
+    for seed in range(max_rounds):
+        steps = _steps(edges, "both")
+        numbered = steps.select("at", F.when(F.col("at") != F.col("to"), _number("to", seed)).alias("to"))
+        nodes = cut(_near(numbered, "node").select("node", _number("node", seed).alias("id"), "near"))
+        if not nodes.groupBy("id").count().where("count > 1").take(1):
+            break
+    else:
+        raise RuntimeError(f"nodes share numbers under {max_rounds} seeds")
+    rest, near, rounds = edges.select(_number("src", seed).alias("u"), _number("dst", seed).alias("v")), nodes.select("id", "near"), []
+    while True:
+        rounds.append(_trees(near))
+        rest = cut(_between(rest, rounds[-1]))
+        if not rest.take(1):
+            break
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        near = _near(_steps(rest.select(F.col("u").alias("src"), F.col("v").alias("dst")), "both"), "id")
+    roots = rounds.pop()
+    for trees in reversed(rounds):  # the small ones first
+        later = roots.select(F.col("id").alias("root"), F.col("root").alias("last"))
+        roots = trees.join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    named = cut(nodes.join(roots, "id").select("node", "root"))
+    return cut(named.join(named.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component"))
 
 
 def extended_components(labels: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
