@@ -209,8 +209,11 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(measure, name, value)``: nodes and edges, nodes by type, nodes by book (where there is a ``book_list``, names
     with ``|`` between them), components and the largest."""
     row = lambda df, measure, name, value: df.select(F.lit(measure).alias("measure"), name.alias("name"), value.cast("long").alias("value"))
-    comp = weak_components(edges).groupBy("component").count()
-    alone = nodes.join(edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct(), "node_id", "left_anti")
+    nodes, edges = cut(nodes.select("node_id", "node_type", *(c for c in ("book_list",) if c in nodes.columns))), cut(edges.select("src", "dst"))
+    labels = _components(edges.where("src is not null and dst is not null"))
+    comp = labels.groupBy("component").count()
+    loose = edges.where("src is null or dst is null").select(F.coalesce("src", "dst").alias("node_id"))
+    alone = nodes.join(labels.select(F.col("node").alias("node_id")).unionByName(loose), "node_id", "left_anti")
     sizes = comp.select("count").unionByName(alone.select(F.lit(1).cast("long").alias("count")))
     parts = [
         row(nodes.agg(F.count("*").alias("v")), "nodes", F.lit(""), F.col("v")),

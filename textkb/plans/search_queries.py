@@ -217,8 +217,8 @@ def grf_07_incremental(spark, sf_dir):
 
 @query("grf_07_stats")
 def grf_07_stats(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    nodes = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct().withColumn("node_type", F.substring("node_id", 1, 1))
+    e, ends = _edges(spark, sf_dir), _links(spark, sf_dir)
+    nodes = ends.select(F.col("src").alias("node_id")).union(ends.select("dst")).distinct().withColumn("node_type", F.substring("node_id", 1, 1))
     return G.graph_stats(nodes.withColumn("book_list", F.concat_ws("|", F.substring("node_id", 1, 2), F.substring("node_id", -1, 1))), e)
 
 
