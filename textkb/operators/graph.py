@@ -190,19 +190,19 @@ def _components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def extended_components(labels: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` after new edges, from the labels before them (``node``, ``component``: the smallest node).
 
-    Old components are single vertices here: only the new edges are walked, between the labels of their ends, and then
+    Old components are single vertices here: only the new edges between them, or with a new node, are walked, and then
     every label is looked up once. New nodes are labels of their own at first. Edges with a null end are left out;
     edges inside a component change nothing. Labels only ever merge: edges are not taken away.
     """
-    new = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    new = edges.where("src is not null and dst is not null").select("src", "dst")
     known = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
-    met = cut(new.join(known("src"), "src", "left").join(known("dst"), "dst", "left"))
-    label = lambda end: F.coalesce(f"{end}_label", end)
-    moved = weak_components(met.select(label("src").alias("src"), label("dst").alias("dst")), max_rounds).withColumnRenamed("component", "root")
-    fresh = reduce(DataFrame.unionByName, (met.where(F.col(f"{end}_label").isNull()).select(F.col(end).alias("node")) for end in ("src", "dst"))).distinct()
+    met = new.join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    ends = [c for end in ("src", "dst") for c in (F.coalesce(f"{end}_label", end).alias(end), F.col(f"{end}_label").isNull().alias(f"{end}_new"))]
+    met = cut(met.select(*ends).where("src <> dst or src_new or dst_new").distinct())
+    moved = _components(met.select("src", "dst"), max_rounds).withColumnRenamed("component", "root")
+    fresh = reduce(DataFrame.unionByName, (met.where(f"{end}_new").select(F.col(end).alias("node")) for end in ("src", "dst"))).distinct()
     every = labels.select("node", "component").unionByName(fresh.withColumn("component", F.col("node")))
-    return every.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-
+    return cut(every.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def grf_07(spark, sf_dir):
 
 @query("grf_07_incremental")  # the same rows as grf_07_components, grown batch by batch: tests hold it against that
 def grf_07_incremental(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    e = _links(spark, sf_dir)
     batch = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
     labels = G.weak_components(e.where(batch == 0))
     for n in (1, 2):
