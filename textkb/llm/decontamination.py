@@ -83,34 +83,46 @@ def _walk_bits(width: int, walk: int) -> np.ndarray:
     return _bits[width, walk]
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embeddings (3w/2, n) of n windows of w symbols (a walk passes about 3/4 of its window)."""
-    n, width = windows.shape
-    flat = np.zeros((n, width + 1), np.uint8)
-    flat[:, :width] = windows
-    flat = flat.ravel()
-    place = np.arange(n) * (width + 1)
-    bits, out = _walk_bits(width, walk), np.empty((width * 3 // 2, n), np.uint8)
-    for j in range(len(out)):
-        flat.take(place, out=out[j], mode="clip")  # unbuffered
-        place += bits[j].take(out[j])
-    return out
+_samples: dict[tuple[int, int, int, int], tuple[np.ndarray, list[np.ndarray]]] = {}
+
+
+def _sampling(steps: int, walk: int, stretch: int, sampled: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A random odd factor for each step of a walk, and the places that each of its tables samples: half of the
+    stretches lie evenly, half at random."""
+    known = steps, walk, stretch, sampled
+    if known not in _samples:
+        g, room = np.random.default_rng(77 + walk), max(1, steps - stretch + 1)
+        factors = (mix64(np.arange(steps, dtype=np.uint64) + U64(1 + walk * (1 << 32))) >> U64(32)).astype(np.uint32) | np.uint32(1)
+        places = []
+        for t in range(TABLES // WALKS):  # within a stretch: an edit spoils what follows it for a while
+            begin = int(g.integers(0, room)) if t % 2 else (t // 2 * stretch // 2) % room
+            places.append(begin + g.choice(min(stretch, steps), min(sampled, steps), replace=False))
+        _samples[known] = factors, places
+    return _samples[known]
 
 
-def keys(embedded: np.ndarray, walk: int, stretch: int, sampled: int) -> Iterator[np.ndarray]:
-    """The 32-bit keys of each table of one walk: half of the stretches lie evenly, half at random."""
-    g, steps = np.random.default_rng(77 + walk), len(embedded)
-    words = (mix64(np.arange(steps * 256, dtype=np.uint64) + U64(1 + walk * (1 << 32))) >> U64(32)).astype(np.uint32).reshape(steps, 256)
-    hashed = np.empty(embedded.shape, np.uint32)
+def keys(symbol: np.ndarray, start: np.ndarray, width: int, walk: int, stretch: int, sampled: int) -> Iterator[np.ndarray]:
+    """The 32-bit keys of each table of one walk for the windows of ``width`` symbols at ``start``.
+
+    The CGK embedding of a window has 3w/2 characters (a walk passes about 3/4 of it). The symbols are read in
+    place, as windows overlap; a walk that leaves its window stays there and reads 0.
+    """
+    steps = width * 3 // 2
+    bits, (factors, places) = _walk_bits(width, walk), _sampling(steps, walk, stretch, sampled)
+    place, end, hashed = start.astype(np.intp), start + width, np.empty((steps, len(start)), np.uint32)
+    read, index, move = np.empty(len(start), np.uint8), np.empty(len(start), np.intp), np.empty(len(start), bits.dtype)
     for j in range(steps):
-        words[j].take(embedded[j], out=hashed[j], mode="clip")
-    room = max(1, steps - stretch + 1)
-    for t in range(TABLES // WALKS):  # within a stretch: an edit spoils what follows it for a while
-        begin = int(g.integers(0, room)) if t % 2 else (t // 2 * stretch // 2) % room
-        picked = begin + g.choice(min(stretch, steps), min(sampled, steps), replace=False)
-        key = hashed[picked[0]].copy()
-        for j in picked[1:]:
-            key ^= hashed[j]
+        symbol.take(place, out=read, mode="clip")  # unbuffered
+        if j >= width:
+            read[place >= end] = 0
+        np.multiply(read, factors[j], out=hashed[j])
+        index[:] = read
+        place += bits[j].take(index, out=move, mode="clip")
+    key = np.empty(len(start), np.uint32)
+    for picked in places:
+        np.add(hashed[picked[0]], hashed[picked[1]], out=key) if len(picked) > 1 else np.copyto(key, hashed[picked[0]])
+        for j in picked[2:]:
+            key += hashed[j]
         yield key
 
 
@@ -131,28 +143,48 @@ def least_edits(bits: np.ndarray, size: int, texts: np.ndarray) -> np.ndarray:
     """Least edit distance of each pattern (a row of ``bit_rows``) to a substring of its text, classes told
     apart only, so never more than the true one: ``best_substring`` for all rows at once, one word a row."""
     n, one, top = len(bits), np.uint32(1), np.uint32(size - 1)
-    bits, rows = bits.ravel(), np.arange(n, dtype=np.int64) * 32
+    bits, rows = bits.ravel(), np.arange(n, dtype=np.intp) * 32
     pv, mv = np.full(n, (1 << size) - 1, np.uint32), np.zeros(n, np.uint32)
     score = np.full(n, size, np.int32)
-    best = score.copy()
+    best, at = score.copy(), np.empty(n, np.intp)
+    eq, xv, xh, ph, mh = (np.empty(n, np.uint32) for _ in range(5))
     for column in np.ascontiguousarray(texts.T & np.uint8(31)):
-        eq = bits[rows + column]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv), pv & xh
-        score += ((ph >> top) & one).view(np.int32)
-        score -= ((mh >> top) & one).view(np.int32)
+        np.add(rows, column, out=at)
+        bits.take(at, out=eq, mode="clip")  # unbuffered
+        np.bitwise_or(eq, mv, out=xv)
+        np.bitwise_and(eq, pv, out=xh)  # xh = (((eq & pv) + pv) ^ pv) | eq
+        xh += pv
+        xh ^= pv
+        xh |= eq
+        np.bitwise_or(xh, pv, out=ph)  # ph, mh = mv | ~(xh | pv), pv & xh
+        np.invert(ph, out=ph)
+        ph |= mv
+        np.bitwise_and(pv, xh, out=mh)
+        np.right_shift(ph, top, out=eq)
+        eq &= one
+        score += eq.view(np.int32)
+        np.right_shift(mh, top, out=eq)
+        eq &= one
+        score -= eq.view(np.int32)
         ph <<= one
         mh <<= one
-        pv, mv = mh | ~(xv | ph), ph & xv
+        np.bitwise_or(xv, ph, out=pv)  # pv, mv = mh | ~(xv | ph), ph & xv
+        np.invert(pv, out=pv)
+        pv |= mh
+        np.bitwise_and(ph, xv, out=mv)
         np.minimum(best, score, out=best)
     return best
 
 
 def _regions(symbol: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """``length`` symbols from each ``begin`` on, 0 outside ``low`` to ``high``."""
-    at = begin[:, None] + np.arange(length)
-    return np.where((at >= low[:, None]) & (at < high[:, None]), symbol[np.clip(at, 0, len(symbol) - 1)], np.uint8(0))
+    out, inside = np.empty((len(begin), length), np.uint8), (begin >= low) & (begin + length <= high)
+    if inside.any():
+        out[inside] = np.lib.stride_tricks.sliding_window_view(symbol, length)[begin[inside]]
+    rest = np.flatnonzero(~inside)
+    at = begin[rest, None] + np.arange(length)
+    out[rest] = np.where((at >= low[rest, None]) & (at < high[rest, None]), symbol[np.clip(at, 0, len(symbol) - 1)], np.uint8(0))
+    return out
 
 
 class ItemIndex:
@@ -166,35 +198,35 @@ class ItemIndex:
         self.item = np.repeat(np.arange(len(items)), self.lengths - width + 1)
         counts = self.lengths - width + 1
         self.offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        windows = self.symbols[(self.begins[self.item] + self.offset)[:, None] + np.arange(width)]
         sizes = np.minimum(self.lengths, STRETCH)
         self.first_bits = np.cumsum(self.lengths - sizes + 1) - (self.lengths - sizes + 1)
         self.bits = np.concatenate([bit_rows(self.symbols, b + np.arange(n - m + 1), m) for b, n, m in zip(self.begins, self.lengths, sizes, strict=True)])
         self.tables = []
         for walk in range(WALKS):
-            for k in keys(embed(windows, walk), walk, *self.sampling):
+            for k in keys(self.symbols, self.begins[self.item] + self.offset, width, walk, *self.sampling):
                 order = np.argsort(k, kind="stable").astype(np.int32)
                 flags = np.zeros(1 << FLAG_BITS, bool)
                 flags[_flag(k)] = True
                 self.tables.append((k[order], order, flags))
 
-    def proposals(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a window and an item's window that collide in any table, each once."""
+    def proposals(self, symbol: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a window (its number in ``start``) and an item's window that collide in any table, each once."""
         pairs = []
         for walk in range(WALKS):
-            e = embed(windows, walk)
-            for t, k in enumerate(keys(e, walk, *self.sampling), walk * (TABLES // WALKS)):
+            for t, k in enumerate(keys(symbol, start, self.width, walk, *self.sampling), walk * (TABLES // WALKS)):
                 known, order, flags = self.tables[t]
-                maybe = np.flatnonzero(flags.take(_flag(k)))
+                maybe = np.flatnonzero(flags.take(_flag(k).astype(np.intp), mode="clip"))
+                k = k[maybe]
+                lo = np.searchsorted(known, k, "left")
+                same = known.take(lo, mode="clip") == k
+                maybe, k, lo = maybe[same], k[same], lo[same]
                 if not len(maybe):
                     continue
-                lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
-                n = hi - lo
-                if not n.any():
-                    continue
+                n = np.searchsorted(known, k, "right") - lo
                 hit = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 pairs.append(np.repeat(maybe, n) * len(self.item) + hit)
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        pairs = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
         return pairs // len(self.item), pairs % len(self.item)
 
     def plausible(self, symbol: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, hit: np.ndarray, max_edits: float) -> np.ndarray:
@@ -214,6 +246,22 @@ class ItemIndex:
                 good[r] = least_edits(self.bits[self.first_bits[item[r]] + begin[r]], size, texts) <= most
         return good
 
+    def possible(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether each item may stand in the text from ``low`` to ``high`` within ``limit`` edits: its disjoint
+        stretches have no more edits in sum, each wherever it fits best. No item that does is turned away."""
+        sizes, good = np.minimum(self.lengths[item], STRETCH), np.zeros(len(item), bool)
+        by_length = np.lexsort((high - low, sizes))
+        for size in np.unique(sizes).tolist():
+            rows = by_length[sizes[by_length] == size]
+            for a in range(0, len(rows), 1 << 9):
+                r = rows[a : a + (1 << 9)]
+                n = self.lengths[item[r]] // size
+                first, one = np.cumsum(n) - n, np.repeat(np.arange(len(r)), n)
+                bits = self.bits[self.first_bits[item[r]][one] + (np.arange(len(one)) - first[one]) * size]
+                texts = _regions(symbol, low[r], low[r], high[r], int((high[r] - low[r]).max()))
+                good[r] = np.add.reduceat(least_edits(bits, size, texts[one]), first) <= limit[r]
+        return good
+
 
 class ShortItems:
     """Items too short for windows. One of (edits + 1) equal pieces of an item stands unchanged in every
@@ -359,32 +407,34 @@ def search(cp: np.ndarray, at: np.ndarray, indexes: list[ItemIndex | ShortItems]
         if not len(row):
             continue
         start = rows_at[:-1][row] + (np.arange(len(row)) - (np.cumsum(windows) - windows)[row]) * index.stride
-        tried = set()
+        guesses = []
         for a in range(0, len(row), WINDOWS):
             part = start[a : a + WINDOWS]
-            i, hit = index.proposals(symbol[part[:, None] + np.arange(w)])
+            i, hit = index.proposals(symbol, part)
             once = _first_of(i, index.item[hit], (part[i] - index.offset[hit]) // 4)  # neighbours say the same
             i, hit = i[once], hit[once]
             good = index.plausible(symbol, part[i], rows_at[row[a + i]], rows_at[row[a + i] + 1], hit, max_edits)
             i, hit = i[good], hit[good]
-            which, guess, r = index.item[hit], part[i] - index.offset[hit], row[a + i]
+            which = index.item[hit]
             limits = (max_edits * index.lengths[which]).astype(np.int64)
-            once = _first_of(r, which, guess // np.maximum(limits, 1))
-            for r, k, guess in zip(r[once].tolist(), which[once].tolist(), guess[once].tolist(), strict=True):
-                item_id, item = index.items[k]
-                limit = int(max_edits * len(item))
-                bin_ = guess // max(limit, 1)
-                if (r, k, bin_) in tried or one and r in done:
-                    continue
-                tried.add((r, k, bin_))
-                lo = max(int(rows_at[r]), (bin_ - 1) * limit if limit else guess)
-                hi = min(int(rows_at[r + 1]), ((bin_ + 2) * limit if limit else guess) + len(item))
-                found = located(item, text[lo:hi], limit)
-                if found:
-                    edits, s, e = found
-                    value = (edits, int(places[lo + s] - at[r]), int(places[lo + e - 1] - at[r]) + 1, len(item))
-                    best[r, item_id] = min(best.get((r, item_id), value), value)
-                    done.add(r)
+            guesses.append((row[a + i], which, (part[i] - index.offset[hit]) // np.maximum(limits, 1)))
+        r, which, bin_ = (np.concatenate(x) for x in zip(*guesses, strict=True))
+        once = _first_of(r, which, bin_)
+        r, which, bin_ = r[once], which[once], bin_[once]
+        limits = (max_edits * index.lengths[which]).astype(np.int64)
+        lo = np.maximum(rows_at[r], np.where(limits > 0, (bin_ - 1) * limits, bin_))
+        hi = np.minimum(rows_at[r + 1], np.where(limits > 0, (bin_ + 2) * limits, bin_) + index.lengths[which])
+        good = index.possible(symbol, lo, hi, which, limits)
+        for r, k, lo, hi, limit in zip(*(x[good].tolist() for x in (r, which, lo, hi, limits)), strict=True):
+            item_id, item = index.items[k]
+            if one and r in done:
+                continue
+            found = located(item, text[lo:hi], limit)
+            if found:
+                edits, s, e = found
+                value = (edits, int(places[lo + s] - at[r]), int(places[lo + e - 1] - at[r]) + 1, len(item))
+                best[r, item_id] = min(best.get((r, item_id), value), value)
+                done.add(r)
     return sorted((r, i, s, e, d, n) for (r, i), (d, s, e, n) in best.items())
 
 
