@@ -45,6 +45,7 @@ MAX_EDITS = 0.2
 STRETCH, STRETCH_EDITS = 32, 2
 BLOCK_CHARS = 200_000
 WINDOWS = 32768  # of a text that are embedded at once
+SEGMENT = 160  # places of a text at which stretches are tried at once
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int, item_chars int"
 
 _BLANK = np.zeros(0x10000, bool)
@@ -66,9 +67,18 @@ def normalized(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out[places], np.concatenate([[0], np.cumsum(keep)])[at], places
 
 
+def _symbols(cp: np.ndarray) -> np.ndarray:
+    return ((cp ^ (cp >> np.uint32(8)) * np.uint32(167)) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
+
+
+_SYMBOL = _symbols(np.arange(0x10000, dtype=np.uint32))
+
+
 def symbols(cp: np.ndarray) -> np.ndarray:
     """One of 255 symbols (1..255) for each code point; 0 stands for the end."""
-    return ((cp ^ (cp >> np.uint32(8)) * np.uint32(167)) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
+    out, beyond = _SYMBOL.take(cp, mode="clip"), np.flatnonzero(cp > 0xFFFF)
+    out[beyond] = _symbols(cp[beyond])
+    return out
 
 
 _bits: dict[tuple[int, int], np.ndarray] = {}
@@ -187,6 +197,11 @@ def _regions(symbol: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.nd
     return out
 
 
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``counts`` rows for each: whose they are, and their number from 0."""
+    return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 class ItemIndex:
     """Keys of all windows of the items of one class."""
 
@@ -250,16 +265,18 @@ class ItemIndex:
         """Whether each item may stand in the text from ``low`` to ``high`` within ``limit`` edits: its disjoint
         stretches have no more edits in sum, each wherever it fits best. No item that does is turned away."""
         sizes, good = np.minimum(self.lengths[item], STRETCH), np.zeros(len(item), bool)
-        by_length = np.lexsort((high - low, sizes))
         for size in np.unique(sizes).tolist():
-            rows = by_length[sizes[by_length] == size]
-            for a in range(0, len(rows), 1 << 9):
-                r = rows[a : a + (1 << 9)]
-                n = self.lengths[item[r]] // size
-                first, one = np.cumsum(n) - n, np.repeat(np.arange(len(r)), n)
-                bits = self.bits[self.first_bits[item[r]][one] + (np.arange(len(one)) - first[one]) * size]
-                texts = _regions(symbol, low[r], low[r], high[r], int((high[r] - low[r]).max()))
-                good[r] = np.add.reduceat(least_edits(bits, size, texts[one]), first) <= limit[r]
+            rows, length = np.flatnonzero(sizes == size), SEGMENT + 2 * size  # a best place is no longer than 2 * size
+            for a in range(0, len(rows), 1 << 8):
+                r = rows[a : a + (1 << 8)]
+                stretches, segments = self.lengths[item[r]] // size, np.maximum(-(-(high[r] - low[r]) // SEGMENT), 1)
+                of, n = _each(stretches)  # a row for each stretch of each item
+                first = self.first_bits[item[r]][of] + n * size
+                one, s = _each(segments[of])  # and segment of its text
+                where, begin = r[of[one]], low[r[of[one]]] + s * SEGMENT
+                least = least_edits(self.bits[first[one]], size, _regions(symbol, begin, low[where], high[where], length))
+                least = np.minimum.reduceat(least, np.flatnonzero(s == 0))
+                good[r] = np.add.reduceat(least, np.flatnonzero(n == 0)) <= limit[r]
         return good
 
 
