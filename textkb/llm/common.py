@@ -60,12 +60,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/textkb-{uuid.uuid4().hex}"
 
 
+#: Whether the shuffle files of an execution go when it ends; else they stay until the driver happens to collect garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors cost no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lost executors cost no recomputation, and the shuffle
+    files behind it are given up."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` gave back; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sample_fraction(n: int, bound: int) -> float:

@@ -20,10 +20,11 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two docum
    check, so a group of thousands of near copies costs thousands of checks, not millions. Then
    *every* candidate pair across different components is checked: no link between components is
    lost. ``similar_pairs`` gives all links instead.
-6. *Hot lists.* Where more than ``HEAVY`` classes in several components share an n-gram, no pair rows
-   are made: the classes outside the group's largest component meet all of its classes in cells of
-   ``BLOCK`` x ``BLOCK`` sets, salted over tasks. A cell applies the length filter and the bound by parities
-   to all its pairs at once, counts the overlaps of sets that are left, and gives back a spanning forest.
+6. *Hot lists.* Where more than ``HEAVY`` classes in several components share an n-gram, the classes outside the
+   list's largest component meet all of its classes in cells of ``BLOCK`` x ``BLOCK`` postings, salted over tasks; lists of
+   more than a block are cut into bands of set sizes first. Only sizes, positions and parities are sent there, never sets.
+   A cell applies the filters to all its pairs at once. Where more are left than ``CELL_PAIRS`` a posting, it gives back the
+   most similar partner of each class; those that link are joined first, and the cells are asked again.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    U64, bounded_batches, materialize, mix64, slices, table, unique_names, utf8, word_hashes, words,
+    U64, bounded_batches, discard, materialize, mix64, slices, table, unique_names, utf8, word_hashes, words,
 )
 from .components import components
 
@@ -46,8 +47,9 @@ SKETCH_CHUNKS = 64
 FILTER_BITS, FILTER_BITS_EACH, FILTER_PIECES = range(18, 29), 16, 64
 SIGNATURE_LONGS = 8
 SIGNATURE = [f"sig{i}" for i in range(SIGNATURE_LONGS)]
-HEAVY = 64  # classes of one n-gram from which pairs are checked in blocks instead of rows
-BLOCK = 256  # sets on each side of such a block
+HEAVY = 64  # classes of one n-gram from which pairs are made in blocks instead of rows
+BLOCK = 2048  # postings on each side of such a block
+CELL_PAIRS = 4  # candidate pairs for each posting that a block gives back at once
 NGRAM, PERCENT = 5, 80
 
 
@@ -331,32 +333,32 @@ def block_links(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int
     return overlap * (100 + percent) >= percent * (nx[:, None] + ny[None, :])
 
 
-def may_link(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which x and y pass the length filter and the bound by parities of members, as a boolean matrix."""
-    nx, ny = np.array([len(v) for v in x_sets])[:, None], np.array([len(v) for v in y_sets])[None, :]
-    need = -(-percent * (nx + ny) // (100 + percent))
-    sx, sy = (np.array([parity_signature(v) for v in sets_]).view(np.uint64) for sets_ in (x_sets, y_sets))
-    differing = sum(np.bitwise_count(sx[:, [k]] ^ sy[:, k]).astype(np.int64) for k in range(SIGNATURE_LONGS))
-    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (differing <= nx + ny - 2 * need)
-
-
-def _forest(links: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join different trees; x and y carry ids."""
-    parent: dict[int, int] = {}
+def slack(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """By how much the parities of x and y (columns of postings of one n-gram) differ less than those of linked sets may, as a
+    matrix; -1 where the length filter, the positional filter or the parities rule the pair out."""
+    out = np.empty((len(x["size"]), len(y["size"])), np.int32)
+    bits = [(x[c].view(np.uint64), y[c].view(np.uint64)) for c in SIGNATURE]  # of negative numbers bits are not counted
+    ny, after = y["size"][None, :], (y["size"] - y["pos"])[None, :]
+    for a in range(0, len(out), 128):
+        nx = x["size"][a : a + 128, None]
+        need = -(-percent * (nx + ny) // (100 + percent))
+        ok = (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (np.minimum(nx - x["pos"][a : a + 128, None], after) >= need)
+        differing = sum(np.bitwise_count(u[a : a + 128, None] ^ v[None, :]).astype(np.int32) for u, v in bits)
+        out[a : a + 128] = np.where(ok, np.maximum(nx + ny - 2 * need - differing, -1), -1)
+    return out
 
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
 
-    out = []
-    for i, j in np.argwhere(links):
-        a, b = int(x[i]), int(y[j])
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[ra] = rb
-            out.append((a, b))
-    return out
+def cell_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the candidate pairs of a cell of one n-gram, and whether there are more: then only the most similar partner
+    of each class is given. Pairs inside a component are none; a pair of two classes that both stand in x is met once."""
+    left = slack(x, y, percent)
+    left[(x["component"][:, None] == y["component"][None, :]) | (~y["main"][None, :] & (x["cls"][:, None] >= y["cls"][None, :]))] = -1
+    i, j = np.nonzero(left >= 0)
+    if whole or len(i) <= CELL_PAIRS * (len(left) + left.shape[1]):
+        return i, j, False
+    by_x, by_y = np.stack([np.arange(len(left)), left.argmax(axis=1)]), np.stack([left.argmax(axis=0), np.arange(left.shape[1])])
+    i, j = np.unique(np.concatenate([by_x[:, left.max(axis=1) >= 0], by_y[:, left.max(axis=0) >= 0]], axis=1), axis=1)
+    return i, j, True
 
 
 # --- the join -----------------------------------------------------------------------------------
@@ -415,27 +417,25 @@ class _Join:
         ok = (F.col(f"{k}_cls") != F.col("cls")) & _passes(self.percent, f"{k}_size", f"{k}_pos", "size", "pos")
         return F.when(ok, F.col(f"{k}_cls"))
 
-    def _crossing(self, postings: DataFrame, same=None) -> DataFrame:
-        """Every candidate pair of postings in different components (and not in the same ``same``). The
-        parity signatures of the sets stand beside the postings, so pairs too far apart never leave
-        the join."""
-        names = ["cls", "size", "pos", "component", *SIGNATURE]
+    def _signed(self, postings: DataFrame) -> DataFrame:
+        """The postings with the parity signatures of their sets beside them."""
         classes = self.signatures.join(postings.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-        postings = postings.join(classes, "cls")
-        if same:
-            names.append(same)
-        postings = materialize(postings.select("gram", *names))
+        return materialize(postings.join(classes, "cls").select("gram", "cls", "size", "pos", "component", *SIGNATURE))
+
+    def _crossing(self, postings: DataFrame) -> DataFrame:
+        """Every candidate pair of postings in different components. The parity signatures of the sets
+        stand beside the postings, so pairs too far apart never leave the join."""
+        names = ["cls", "size", "pos", "component", *SIGNATURE]
+        postings = self._signed(postings)
         x = postings.select("gram", *(F.col(c).alias(f"x_{c}") for c in names)).alias("x")
         y = postings.select("gram", *(F.col(c).alias(f"y_{c}") for c in names)).alias("y")
         differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in SIGNATURE), F.lit(0))
         sizes = F.col("x_size") + F.col("y_size")
         need = F.ceil(F.lit(self.percent) * sizes / F.lit(100 + self.percent))
-        apart = F.coalesce(F.col(f"x_{same}") != F.col(f"y_{same}"), F.lit(True)) if same else F.lit(True)
         return (
             x.join(
                 y,
-                apart
-                & (F.col("x.gram") == F.col("y.gram"))
+                (F.col("x.gram") == F.col("y.gram"))
                 & (F.col("x_cls") < F.col("y_cls"))
                 & (F.col("x_component") != F.col("y_component"))
                 & _passes(self.percent, "x_size", "x_pos", "y_size", "y_pos")
@@ -445,70 +445,84 @@ class _Join:
             .distinct()
         )
 
-    def _heavy_groups(self, postings: DataFrame) -> DataFrame:
-        """``(cls, grp)``: classes that hot lists connect. ``postings`` has the list's length as ``n``."""
-        first = F.min("cls").over(Window.partitionBy("gram"))
-        links = postings.where(F.col("n") > HEAVY).select("cls", first.alias("head")).where("cls <> head")
-        return materialize(components(links, "cls", "head").select(F.col("vertex").alias("cls"), F.col("component").alias("grp")))
-
-    def _blocked(self, members: DataFrame, grams: DataFrame) -> DataFrame:
-        """Links between components inside each group of ``members`` (cls, grp, component), cell by cell."""
-        percent = self.percent
-        sizes = members.groupBy("grp", "component").count().groupBy("grp").agg(
-            F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("biggest")
+    def _hot_cells(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The two sides of the cells ``gram, band, i, j`` in which the signed postings of one n-gram meet."""
+        percent, columns = self.percent, ["cls", "size", "pos", "component", *SIGNATURE]
+        lists = postings.groupBy("gram", "component").count().groupBy("gram").agg(
+            F.max_by("component", F.struct("count", "component")).alias("main_component"), F.sum("count").alias("n")
         )
-        sizes = sizes.select(
-            "grp", "main", F.ceil((F.col("n") - F.col("biggest")) / BLOCK).alias("kx"), F.ceil(F.col("n") / BLOCK).alias("ky")
-        )
-        rows = materialize(members.join(sizes.where("kx > 0"), "grp").join(self.holders, "cls").join(grams, "holder"))
+        # Linked sets are at most one band apart: its width is a little more than their ratio of sizes.
+        band = F.floor(F.log("size") / F.lit(float(np.log(101 / percent)))).cast("int")
+        long = F.col("n") > BLOCK
+        rows = postings.join(lists.where("n > 1"), "gram").withColumn("main", F.col("component") == F.col("main_component"))
+        rows = rows.withColumn("band", F.when(long, band).otherwise(0))
+        near = F.when(long, F.array(*(F.col("band") + k for k in (-1, 0, 1)))).otherwise(F.array("band"))
+        x = rows.where("not main").drop("main")
+        y = rows.withColumn("band", F.explode(near))
+        keys = ["gram", "band"]
+        count = lambda side, k: side.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias(k))
+        sizes = materialize(count(x, "kx").join(count(y, "ky"), keys))
         place = lambda k, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(k))
         every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-        columns = ("cls", "component", "grams")
-        x = rows.where("component <> main").select("grp", place("kx", 1).alias("i"), every("ky").alias("j"), *columns)
-        y = rows.select("grp", every("kx").alias("i"), place("ky", 2).alias("j"), *columns)
+        named = lambda cols: [F.col(c).alias(c) for c in cols]
+        x = x.join(sizes, keys).select(*named(keys), place("kx", 1).alias("i"), every("ky").alias("j"), *named(columns))
+        y = y.join(sizes, keys).select(*named(keys), every("kx").alias("i"), place("ky", 2).alias("j"), *named([*columns, "main"]))
+        return x, y
+
+    def _hot_pairs(self, postings: DataFrame, whole: bool) -> DataFrame:
+        """``(a, b, cut)``: candidate pairs of signed postings in different components, made list by list and cell by cell;
+        ``cut`` where a cell holds more of them (never if ``whole``)."""
+        percent = self.percent
+        x, y = self._hot_cells(postings)
 
         def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-            pairs: list[tuple[int, int]] = []
+            a = b = np.empty(0, np.int64)
+            cut = False
             if left.num_rows and right.num_rows:
-                read = lambda t: [np.frombuffer(v.as_buffer(), np.uint64) for v in t["grams"]]
-                a, b = read(left), read(right)
-                open_ = may_link(a, b, percent) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
-                i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-                if len(i):
-                    found = block_links([a[k] for k in i], [b[k] for k in j], percent) & open_[np.ix_(i, j)]
-                    pairs = _forest(found, left["cls"].to_numpy()[i], right["cls"].to_numpy()[j])
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        keys = ("grp", "i", "j")
-        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(cell, "a long, b long")
-
-    def _check(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
+                read = lambda t: {c: t[c].to_numpy() for c in t.column_names}
+                one, other = read(left), read(right)
+                i, j, cut = cell_pairs(one, other, percent, whole)
+                a, b = one["cls"][i], other["cls"][j]
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.full(len(a), cut)})
+
+        keys = ["gram", "band", "i", "j"]
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(cell, "a long, b long, cut boolean")
+
+    def _check(self, pairs: DataFrame) -> DataFrame:
+        """``(a, b, ok)`` for the candidate pairs; the sets taken for it are given up at once."""
+        grams = self._sets_of(_ends(pairs))
         end = lambda c: self.holders.select(F.col("cls").alias(c), F.col("holder").alias(f"h{c}"))
-        return materialize(_verified(pairs.join(end("a"), "a").join(end("b"), "b"), grams, self.percent))
+        checked = materialize(_verified(pairs.join(end("a"), "a").join(end("b"), "b"), grams, self.percent))
+        discard(grams)
+        return checked
 
     def class_components(self) -> DataFrame:
         pairs = self.proposed.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        tested = self._check(pairs, self._sets_of(_ends(pairs)))
+        tested = self._check(pairs)
         comps = materialize(components(tested.where("ok"), "a", "b"))
         postings = self._open_postings(comps).withColumn("n", F.count("*").over(Window.partitionBy("gram")))
         postings = materialize(postings)
-        groups = members = None
+        pairs = self._crossing(postings.where(F.col("n") <= HEAVY)).withColumn("cut", F.lit(False))
+        hot, whole = None, False
         if postings.where(F.col("n") > HEAVY).take(1):
-            groups = self._heavy_groups(postings)
-            members = materialize(postings.select("cls", "component").distinct().join(groups, "cls"))
-            postings = postings.join(groups, "cls", "left")
-        light = self._crossing(postings.where(F.col("n") <= HEAVY), "grp" if members is not None else None)
-        light = materialize(light.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        wanted = _ends(light) if members is None else _ends(light).unionByName(members.select("cls"))
-        if not wanted.take(1):
-            return comps
-        grams = self._sets_of(wanted)
-        found = tested.unionByName(self._check(light, grams)).where("ok").select("a", "b")
-        if members is not None:
-            found = found.unionByName(materialize(self._blocked(members, grams)))
-        return materialize(components(found, "a", "b"))
+            hot = self._signed(postings.where(F.col("n") > HEAVY))
+            pairs = pairs.unionByName(self._hot_pairs(hot, whole))
+        while True:
+            found = materialize(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")))
+            cut = bool(found.where("cut").take(1))
+            fresh = materialize(found.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+            if not fresh.take(1) and not cut:
+                return comps
+            checked = self._check(fresh)
+            tested = tested.unionByName(checked)
+            comps = materialize(components(tested.where("ok"), "a", "b"))
+            if not cut:
+                return comps
+            # As long as a good part of what is given back are links, components melt away and pairs with them.
+            whole = 4 * checked.where("ok").count() <= checked.count()
+            joined = hot.drop("component").join(comps.withColumnRenamed("vertex", "cls"), "cls", "left")
+            pairs = self._hot_pairs(materialize(joined.withColumn("component", F.coalesce("component", "cls"))), whole)
 
     def _open_postings(self, comps: DataFrame | None) -> DataFrame:
         """Postings of the n-grams whose classes are not yet all in one component."""
@@ -573,7 +587,7 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tu
     """
     j = _Join(docs, n, percent)
     pairs = materialize(j._crossing(j._open_postings(None)))
-    return j._check(pairs, j._sets_of(_ends(pairs))).where("ok").select("a", "b"), j.members
+    return j._check(pairs).where("ok").select("a", "b"), j.members
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
