@@ -31,7 +31,7 @@ WINDOW, LEAST = 8, 0.85
 ROUNDED = 0.0001
 #: Characters of quotes in a block, and of texts looked at in one step.
 BLOCK_CHARS, STEP_CHARS = 8 << 20, 1 << 20
-#: Places whose hits are spread out at a time.
+#: Hits of seeds that are spread out at a time: what bounds the memory of a walk, however often a seed stands in a text.
 HITS_AT_ONCE = 1 << 17
 SEED_LENGTHS = range(8, 0, -1)
 
@@ -63,11 +63,42 @@ def _expanded(first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[n
     return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), np.repeat(value, n)
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different numbers, ascending, and how often each stands."""
-    x = np.sort(x)
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
-    return x[first], np.diff(np.append(first, len(x)))
+class _Covered:
+    """How often each number is covered by ranges of numbers, kept as the steps of that count."""
+
+    def __init__(self):
+        self.at, self.step = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, first: np.ndarray, last: np.ndarray) -> None:
+        self.pending.append((first, last))
+        if sum(len(f) for f, _ in self.pending) > max(HITS_AT_ONCE, len(self.at)):
+            self._sum()
+
+    def _sum(self) -> None:
+        at = np.concatenate([self.at, *(f for f, _ in self.pending), *(n for _, n in self.pending)])
+        step = np.full(len(at), -1)
+        step[: (len(at) + len(self.at)) // 2] = 1
+        step[: len(self.at)] = self.step
+        by = np.argsort(at)
+        at, step = at[by], np.cumsum(step[by])
+        last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.empty(0, np.int64)
+        step = np.diff(step[last], prepend=0)
+        self.at, self.step, self.pending = at[last][step != 0], step[step != 0], []
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and count of the runs of numbers that are covered equally often."""
+        self._sum()
+        return self.at[:-1], self.at[1:], np.cumsum(self.step)[:-1]
+
+
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of items whose sizes add up to ``HITS_AT_ONCE`` at most; a larger item comes alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS_AT_ONCE, side="right")))
+        yield slice(a, b)
+        a = b
 
 
 class Index:
@@ -101,24 +132,49 @@ class Index:
 
     def candidates(self, code: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(quote, sentence)`` with enough votes; ``starts`` are where sentences begin, ascending."""
-        n_starts, pairs = len(starts), [np.empty(0, np.int64)]
+        n, n_starts, pairs = len(code), len(starts), [np.empty(0, np.int64)]
+        texts = np.arange(int(row[-1]) + 2)
+        owner, at = row[np.minimum(starts, n - 1)], np.searchsorted(row, texts)
+        first_start = np.searchsorted(owner, texts)  # of each text
         for length, h, quote, place, known in self.tables:
-            pieces = int(place.max()) // length + 1
-            at_place, votes = _hashes(code, length), []
-            for x in range(0, len(at_place), HITS_AT_ONCE):
-                part = at_place[x : x + HITS_AT_ONCE]
-                hit = np.flatnonzero(known[part & U64(len(known) - 1)]) + x
-                hit = hit[row[hit] == row[hit + length - 1]]
-                first = np.searchsorted(h, at_place[hit])
-                seed, t = _expanded(first, np.searchsorted(h, at_place[hit], side="right"), hit)
-                diagonal, most = t - place[seed], self.edits[quote[seed]]
-                s, which = _expanded(np.searchsorted(starts, diagonal - most), np.searchsorted(starts, diagonal + most, side="right"), np.arange(len(seed)))
-                own = row[np.minimum(starts[s], len(row) - 1)] == row[t[which]]
-                seed, s = seed[which[own]], s[own]
-                votes.append(_distinct((quote[seed] * n_starts + s) * pieces + place[seed] // length)[0])
-            votes = _distinct(np.concatenate(votes))[0] if votes else pairs[0]  # each seed votes once for a sentence
-            pair, count = _distinct(votes // pieces)
-            pairs.append(pair[count >= self.need[pair // n_starts]])
+            at_place = _hashes(code, length)
+            hit = np.flatnonzero(known[at_place & U64(len(known) - 1)])
+            hit = hit[row[hit] == row[hit + length - 1]]
+            hit = hit[np.argsort(at_place[hit], kind="stable")]  # by hash, then by place
+            value = at_place[hit]
+            first, last = np.searchsorted(value, h), np.searchsorted(value, h, side="right")
+            most, votes, often = self.edits[quote], _Covered(), last - first > n_starts
+            key = quote * (n_starts + 1)
+            # A seed that stands in few places votes for the sentences around each of them, ...
+            few = np.flatnonzero(~often & (first < last))
+            for part in _portions((last - first)[few]):
+                seeds = few[part]
+                x, seed = _expanded(first[seeds], last[seeds], seeds)
+                t = hit[x]
+                diagonal, a, b = t - place[seed], first_start[row[t]], first_start[row[t] + 1]
+                lo = np.clip(np.searchsorted(starts, diagonal - most[seed]), a, b)
+                hi = np.clip(np.searchsorted(starts, diagonal + most[seed], side="right"), a, b)
+                # once for each: both ends ascend, and what the place before has covered is left out.
+                lo[1:] = np.where(seed[1:] == seed[:-1], np.maximum(lo[1:], hi[:-1]), lo[1:])
+                some = lo < hi
+                votes.add(key[seed[some]] + lo[some], key[seed[some]] + hi[some])
+            # ... and for one that stands in many, each sentence is asked whether a place is around it.
+            many = np.flatnonzero(often)
+            if not len(few) and not len(many):
+                continue
+            segment = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])) * (n + 1) if len(many) else value
+            for part in _portions(np.full(len(many), n_starts)):
+                seed, s = np.repeat(many[part], n_starts), np.tile(np.arange(n_starts), len(many[part]))
+                middle, a, b = starts[s] + place[seed], at[owner[s]], at[owner[s] + 1]
+                own = segment[first[seed]]
+                x = np.searchsorted(segment + hit, own + np.clip(middle - most[seed], a, b))
+                some = x < np.searchsorted(segment + hit, own + np.clip(middle + most[seed] + 1, a, b))
+                votes.add(key[seed[some]] + s[some], key[seed[some]] + s[some] + 1)
+            begin, end, count = votes.runs()
+            enough = count >= self.need[begin // (n_starts + 1)]
+            begin, end = begin[enough], end[enough]
+            pair, q = _expanded(begin, end, begin // (n_starts + 1))
+            pairs.append(pair - q)  # numbers by quote and sentence, n_starts of each quote
         pairs += [np.arange(n_starts) + q * n_starts for q in self.open]
         found = np.concatenate(pairs)
         return found // max(n_starts, 1), found % max(n_starts, 1)
