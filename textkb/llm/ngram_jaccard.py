@@ -311,7 +311,8 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(x_sets: list[np.ndarray], y_sets: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
-    """Which x and y link, as a boolean matrix; overlaps are counted by products of 0/1 blocks."""
+    """Which x and y link, as a boolean matrix; overlaps are counted by products of 0/1 blocks. No step of the join needs it
+    since hot lists meet without sets; the tests hold ``linked`` against it."""
     nx, ny = np.array([len(v) for v in x_sets]), np.array([len(v) for v in y_sets])
     shared = np.intersect1d(np.unique(np.concatenate(x_sets)), np.unique(np.concatenate(y_sets)), assume_unique=True)
     overlap = np.zeros((len(nx), len(ny)), np.float32)
